@@ -26,7 +26,7 @@ from briefloom.operators.pairs import (
     matching_items,
 )
 from briefloom.schemas import COVERAGE
-from briefloom.session import materialize
+from briefloom.session import materialize, with_scalars
 
 
 @dataclass(frozen=True)
@@ -212,12 +212,13 @@ def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions()) -> DedupR
         .drop("root_id", "is_fuzzy")
     )
     groups = coverage.select("group_ord").distinct().agg(F.count(F.lit(1)).alias("groups"))
-    stats = best.agg(
+    counters = best.agg(
         F.coalesce(F.sum("group_size"), F.lit(0)).alias("items_in"),
         F.count(F.lit(1)).alias("items_out"),
         F.coalesce(F.sum(F.col("group_size") - 1), F.lit(0)).alias("duplicates_removed"),
         F.count_if(F.col("ord") != F.col("root")).alias("promotions"),
-    ).crossJoin(F.broadcast(groups))  # one row by one row
+    )
+    stats = with_scalars(counters, groups)
     return DedupResult(items, coverage, assignment, stats)
 
 

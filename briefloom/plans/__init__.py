@@ -1 +1 @@
-"""See the module docstrings."""
+"""Composite jobs built from the operators."""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -33,6 +34,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/briefloom/{label}-{uuid.uuid4().hex}"
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("v")).scalar()
+    added = df.withColumn("__one", packed)
+    return added.select(*df.columns, *[F.col("__one")[c].alias(c) for c in one_row.columns])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Landed raw tables to items. Bodies are rows of a table, so parsing runs in parallel."""
