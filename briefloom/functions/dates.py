@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from briefloom.functions.text import trim_ws
+from briefloom.functions.text import let, trim_ws
 
 # Thai month names, short and long, with their numbers.
 THAI_MONTHS = {
@@ -33,7 +33,6 @@ ZONE_HOURS = {
 
 BUDDHIST_OFFSET = 543
 BANGKOK = "Asia/Bangkok"
-BANGKOK_HOURS = 7
 
 _RFC822 = (
     "^(?:[A-Za-z]{3,9}\\.?,?\\s*)?(\\d{1,2})[\\s-]+([A-Za-z]{3})[A-Za-z]*\\.?,?[\\s-]+(\\d{4})"
@@ -43,76 +42,65 @@ _ISO = (
     "^(\\d{4})-(\\d{2})-(\\d{2})"
     "(?:[Tt ](\\d{2}):(\\d{2})(?::(\\d{2})(?:[.,](\\d{1,6})\\d*)?)?)?\\s*([+-]\\d{2}:?\\d{2}|[Zz])?$"
 )
-_THAI = "(\\d{1,2})\\s*([ก-๙.]+)\\s*(\\d{4})(?:\\s+(\\d{1,2}):(\\d{2}))?"
+_THAI = "^.*?(\\d{1,2})\\s*([ก-๙.]+)\\s*(\\d{4})(?:\\s+(\\d{1,2}):(\\d{2}))?.*$"
 _NUMERIC = "^(\\d{1,2})[/-](\\d{1,2})[/-](\\d{4})$"
 
 
+# Each notation is rewritten to: year|month|day|hour|minute|second|fraction|zone.
+_BANGKOK_ZONE = "+07:00"
+_TO_FIELDS_ISO = "$1|$2|$3|$4|$5|$6|$7|$8"
+_TO_FIELDS_RFC822 = "$3|$2|$1|$4|$5|$6||$7"
+_TO_FIELDS_THAI = f"$3|$2|$1|$4|$5|||{_BANGKOK_ZONE}"
+_TO_FIELDS_NUMERIC = f"$3|$2|$1|||||{_BANGKOK_ZONE}"
+
+
 def _lookup(entries: dict[str, int], key: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
     return F.element_at(table, key)
 
 
+def _months() -> dict[str, int]:
+    digits = {str(i): i for i in range(1, 13)} | {f"{i:02d}": i for i in range(1, 10)}
+    return digits | {name: i + 1 for i, name in enumerate(ENGLISH_MONTHS)} | THAI_MONTHS
+
+
 def _int(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")).cast("int"), F.lit(0))
 
 
 def _zone_seconds(zone: Column) -> Column:
     """Seconds east of UTC; no zone means UTC; unknown names give null."""
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
     digits = F.regexp_replace(zone, "[^0-9]", "")
-    numeric = sign * (_int(F.substring(digits, 1, 2)) * 3600 + _int(F.substring(digits, 3, 2)) * 60)
+    size = _int(F.substring(digits, 1, 2)) * 3600 + _int(F.substring(digits, 3, 2)) * 60
     return (
         F.when(zone == "", F.lit(0))
-        .when(zone.rlike("^[+-]"), numeric)
+        .when(zone.startswith("-"), -size)
+        .when(zone.startswith("+"), size)
         .otherwise(_lookup(ZONE_HOURS, F.lower(zone)) * 3600)
     )
 
 
-def _instant(year: Column, month: Column, day: Column, seconds: Column) -> Column:
-    """Instant from a calendar day and seconds within it; days past the month's end roll over."""
-    good = month.between(1, 12) & day.between(1, 31) & year.between(1, 9999)
-    first = F.make_date(F.when(good, year), F.when(good, month), F.lit(1))
-    return F.timestamp_seconds(F.unix_date(F.date_add(first, day - 1)).cast("bigint") * 86400 + seconds)
-
-
-def _group(c: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(c, pattern, i)
-
-
-def _iso(c: Column) -> Column:
-    g = [None] + [_group(c, _ISO, i) for i in range(1, 9)]
-    seconds = _int(g[4]) * 3600 + _int(g[5]) * 60 + _int(g[6]) - _zone_seconds(g[8])
-    micros = F.rpad(g[7], 6, "0").cast("bigint")
-    whole = _instant(_int(g[1]), _int(g[2]), _int(g[3]), seconds)
-    precise = F.when(g[7] == "", whole).otherwise(F.timestamp_micros(F.unix_micros(whole) + micros))
-    valid = (_int(g[4]) <= 24) & (_int(g[5]) < 60) & (_int(g[6]) < 60)
-    return F.when(c.rlike(_ISO) & valid, precise)
-
+def _instant(fields: Column) -> Column:
+    """Instant from the eight fields; days past the end of a month roll over."""
 
-def _rfc822(c: Column) -> Column:
-    g = [None] + [_group(c, _RFC822, i) for i in range(1, 8)]
-    months = {name: i + 1 for i, name in enumerate(ENGLISH_MONTHS)}
-    seconds = _int(g[4]) * 3600 + _int(g[5]) * 60 + _int(g[6]) - _zone_seconds(g[7])
-    return F.when(c.rlike(_RFC822), _instant(_int(g[3]), _lookup(months, F.lower(g[2])), _int(g[1]), seconds))
+    def at(i: int) -> Column:
+        return F.get(fields, F.lit(i))
 
+    def build(number: Column) -> Column:
+        year, month, day, hour, minute, second = (F.get(number, F.lit(i)) for i in range(6))
+        valid = (
+            month.isNotNull() & day.between(1, 31) & year.between(1, 9999)
+            & (hour <= 24) & (minute < 60) & (second < 60)
+        )
+        first = F.make_date(F.when(valid, year), month, F.lit(1))
+        days = F.unix_date(F.date_add(first, day - 1)).cast("bigint")
+        seconds = days * 86400 + hour * 3600 + minute * 60 + second - _zone_seconds(at(7))
+        return F.timestamp_micros(seconds * 1_000_000 + F.rpad(at(6), 6, "0").cast("bigint"))
 
-def _christian_year(year: Column) -> Column:
-    return F.when(year > 2400, year - BUDDHIST_OFFSET).otherwise(year)
-
-
-def _thai(c: Column) -> Column:
-    g = [None] + [_group(c, _THAI, i) for i in range(1, 6)]
-    seconds = (_int(g[4]) - BANGKOK_HOURS) * 3600 + _int(g[5]) * 60
-    return F.when(
-        c.rlike(_THAI), _instant(_christian_year(_int(g[3])), _lookup(THAI_MONTHS, g[2]), _int(g[1]), seconds)
-    )
-
-
-def _numeric(c: Column) -> Column:
-    g = [None] + [_group(c, _NUMERIC, i) for i in range(1, 4)]
-    return F.when(
-        c.rlike(_NUMERIC), _instant(_christian_year(_int(g[3])), _int(g[2]), _int(g[1]), F.lit(-BANGKOK_HOURS * 3600))
-    )
+    year = _int(at(0))
+    christian = F.when(year > 2400, year - BUDDHIST_OFFSET).otherwise(year)
+    numbers = F.array(christian, _lookup(_months(), F.lower(at(1))), _int(at(2)), _int(at(3)), _int(at(4)), _int(at(5)))
+    return let(numbers, build)
 
 
 def parse_date(c: Column, now: Column | None = None) -> Column:
@@ -121,14 +109,21 @@ def parse_date(c: Column, now: Column | None = None) -> Column:
     Reads ISO 8601, RFC 822, Thai text dates (Thai digits, Buddhist years, Bangkok midnight) and
     day-first numeric dates. Times without a zone are UTC. With ``now``, absurd times are null.
     """
-    raw = trim_ws(c)
-    arabic = F.translate(raw, THAI_DIGITS, "0123456789")
-    ts = (
-        F.when(raw.rlike("^\\d{4}-\\d{2}-\\d{2}"), _iso(raw))
-        .when(arabic.rlike(_NUMERIC), _numeric(arabic))
-        .when(arabic.rlike("[ก-๙]"), _thai(arabic))
-        .otherwise(_rfc822(raw))
+    notations = (
+        (_ISO, _TO_FIELDS_ISO),
+        (_NUMERIC, _TO_FIELDS_NUMERIC),
+        (_THAI, _TO_FIELDS_THAI),
+        (_RFC822, _TO_FIELDS_RFC822),
     )
+
+    def fields(raw: Column) -> Column:
+        out = F
+        for pattern, target in notations:
+            out = out.when(raw.rlike(pattern), F.regexp_replace(raw, pattern, target))
+        return F.split(out, "\\|", -1)
+
+    arabic = F.translate(trim_ws(c), THAI_DIGITS, "0123456789")
+    ts = let(let(arabic, fields), _instant)
     return ts if now is None else clamp_date(ts, now)
 
 

@@ -1,16 +1,18 @@
-"""URL functions as staged projections.
+"""URL functions as column expressions.
 
-URLs are taken apart with two regex passes per row. Each stage is its own projection, so
-Catalyst evaluates every intermediate once instead of repeating it in nested expressions.
-Parity is for ASCII hosts; non-ASCII host names are lower-cased, not converted to punycode.
+Intermediate values are bound once (``let``), so the expressions stay small and every part of a
+URL is computed once per row. Parity is for ASCII hosts; non-ASCII host names are lower-cased,
+not converted to punycode.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.functions.text import has_control_or_space, let, replace_each_once, trim_ws
+from briefloom.functions.text import let, replace_each_once, trim_ws
 
 # Query parameters that only track the visitor.
 TRACKING_PREFIXES = ("utm_",)
@@ -24,17 +26,25 @@ TRACKING_REGEX = f"(?i)^(?:{'|'.join(TRACKING_PREFIXES)})|^(?:{'|'.join(TRACKING
 AGGREGATOR_HOSTS = "news\\.(?:url\\.)?google\\.com"
 
 _PARTS = "^(?i:(https?)):[/\\\\]*([^/?#\\\\]*)([^?#]*)(\\?[^#]*)?(#.*)?$"
-_AUTHORITY = "^(?:(.*)@)?(\\[[0-9A-Fa-f:.]+\\]|[^:@\\[\\]<>^|%]+)(?::([0-9]{0,5}))?$"
+_AUTHORITY = "^(?:(.*)@)?(\\[[0-9A-Fa-f:.]+\\]|[^:@\\[\\]<>^|%]+)(?::([0-9]*))?$"
+_PORT = "0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
+_SAFE = (
+    "(?i)^https?:[/\\\\]*(?:[^/?#\\\\\\x00-\\x20\\x7F]*@)?(?:\\[[0-9A-Fa-f:.]+\\]|[^/?#\\\\:@\\[\\]<>^|%\\x00-\\x20\\x7F]+)"
+    f"(?::{_PORT})?(?:[/?#\\\\][^\\x00-\\x20\\x7F]*)?$"
+)
 _IS_AGGREGATOR = f"(?i)^https?:[/\\\\]*(?:[^/?#\\\\]*@)?[^/?#\\\\:@]*{AGGREGATOR_HOSTS}(?::[0-9]*)?(?:[/?#\\\\]|$)"
-_SAFE_TARGET = "(?i)^https?:[/\\\\]*(?:[^/?#\\\\@]*@)?[^/?#\\\\@:\\[\\]<>^|%]+(?::[0-9]{0,5})?(?:[/?#\\\\].*)?$"
 _UNSAFE_IN_PATH = "[^\\x21-\\x7E]|[\"<>`{}]"
 _UNSAFE_IN_QUERY = "[^\\x21-\\x7E]|[\"<>']"
 
 
+def is_safe_url(c: Column) -> Column:
+    """True for plain http(s) links; exactly the rows that get a sanitised and a canonical URL."""
+    return F.coalesce(trim_ws(c).rlike(_SAFE), F.lit(False))
+
+
 def _cut(c: Column, pattern: str, groups: int) -> Column:
-    """Groups of a full match as an array, in one regex pass; null when there is no match."""
-    joined = F.regexp_replace(c, pattern, "\n".join(f"${i}" for i in range(1, groups + 1)))
-    return F.when(c.rlike(pattern), F.split(joined, "\n", -1))
+    """Groups of a pattern that matches as an array, in one regex pass."""
+    return F.split(F.regexp_replace(c, pattern, "\n".join(f"${i}" for i in range(1, groups + 1))), "\n", -1)
 
 
 def _percent_encode(c: Column, unsafe: str) -> Column:
@@ -60,72 +70,55 @@ def _resolve_dots(path: Column) -> Column:
     return F.when(path.rlike("/\\.{1,2}(/|$)"), let(split, resolve)).otherwise(path)
 
 
-def _clean_input(c: Column) -> Column:
-    trimmed = trim_ws(c)
-    return F.when((trimmed != "") & ~has_control_or_space(trimmed), trimmed)
-
-
-def _with_parts(df: DataFrame, cleaned: Column, p: str) -> DataFrame:
-    """Add scheme, user, host, port, path, query and fragment columns with prefix ``p``."""
-    auth = F.col(f"{p}auth")
-    parts = F.col(f"{p}parts")
-    port = F.get(auth, F.lit(2))
-    return (
-        df.withColumn(f"{p}parts", _cut(cleaned, _PARTS, 5))
-        .withColumn(f"{p}auth", _cut(F.get(parts, F.lit(1)), _AUTHORITY, 3))
-        .withColumns(
-            {
-                f"{p}scheme": F.lower(F.get(parts, F.lit(0))),
-                f"{p}user": F.nullif(F.get(auth, F.lit(0)), F.lit("")),
-                f"{p}host": F.lower(F.get(auth, F.lit(1))),
-                f"{p}port": F.nullif(port, F.lit("")).cast("int"),
-                f"{p}path": F.replace(F.get(parts, F.lit(2)), F.lit("\\"), F.lit("/")),
-                f"{p}query": F.get(parts, F.lit(3)),
-                f"{p}fragment": F.get(parts, F.lit(4)),
-            }
-        )
-        .withColumns(
-            {
-                f"{p}ok": F.col(f"{p}host").isNotNull() & (F.coalesce(F.col(f"{p}port"), F.lit(0)) <= 65535),
-                f"{p}path": _percent_encode(
-                    _resolve_dots(F.when(F.col(f"{p}path") == "", F.lit("/")).otherwise(F.col(f"{p}path"))),
-                    _UNSAFE_IN_PATH,
-                ),
-            }
-        )
-    )
+def _parse(safe: Column) -> Column:
+    """Parts of a safe URL: scheme, user, host, port, path, query, fragment."""
 
+    def with_authority(parts: Column) -> Column:
+        def build(auth: Column) -> Column:
+            path = F.replace(F.get(parts, F.lit(2)), F.lit("\\"), F.lit("/"))
+            rooted = F.when(path == "", F.lit("/")).otherwise(path)
+            return F.struct(
+                F.lower(F.get(parts, F.lit(0))).alias("scheme"),
+                F.nullif(F.get(auth, F.lit(0)), F.lit("")).alias("user"),
+                F.lower(F.get(auth, F.lit(1))).alias("host"),
+                F.nullif(F.get(auth, F.lit(2)), F.lit("")).cast("int").alias("port"),
+                _percent_encode(let(rooted, _resolve_dots), _UNSAFE_IN_PATH).alias("path"),
+                F.get(parts, F.lit(3)).alias("query"),
+                F.get(parts, F.lit(4)).alias("fragment"),
+            )
 
-def _drop_prefixed(df: DataFrame, p: str) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(p)])
+        return let(_cut(F.get(parts, F.lit(1)), _AUTHORITY, 3), build)
 
+    return let(_cut(safe, _PARTS, 5), with_authority)
 
-def _authority(p: str, host: Column, drop_ports: Column) -> Column:
-    user = F.col(f"{p}user")
-    port = F.col(f"{p}port")
+
+def _authority(u: Column, host: Column, drop_port: Column) -> Column:
     return F.concat(
-        F.coalesce(F.concat(user, F.lit("@")), F.lit("")),
+        F.coalesce(F.concat(u["user"], F.lit("@")), F.lit("")),
         host,
-        F.when(port.isNull() | drop_ports, F.lit("")).otherwise(F.concat(F.lit(":"), port.cast("string"))),
+        F.when(u["port"].isNull() | drop_port, F.lit("")).otherwise(F.concat(F.lit(":"), u["port"].cast("string"))),
     )
 
 
-def with_sanitized_url(df: DataFrame, url: str, out: str) -> DataFrame:
-    """Add the serialised URL, or null unless it is a plain http(s) link."""
-    p = "__s_"
-    parsed = _with_parts(df.withColumn(f"{p}in", _clean_input(F.col(url))), F.col(f"{p}in"), p)
-    scheme, port = F.col(f"{p}scheme"), F.col(f"{p}port")
-    default_port = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
-    query = F.col(f"{p}query")
-    serialised = F.concat(
-        scheme,
-        F.lit("://"),
-        _authority(p, F.col(f"{p}host"), default_port),
-        F.col(f"{p}path"),
-        _percent_encode(query, _UNSAFE_IN_QUERY),
-        F.col(f"{p}fragment"),
-    )
-    return _drop_prefixed(parsed.withColumn(out, F.when(F.col(f"{p}ok"), serialised)), p)
+def _on_safe(c: Column, build: Callable[[Column], Column]) -> Column:
+    return let(trim_ws(c), lambda raw: F.when(raw.rlike(_SAFE), build(raw)))
+
+
+def sanitize_url(c: Column) -> Column:
+    """The serialised URL, or null unless it is a plain http(s) link."""
+
+    def serialise(u: Column) -> Column:
+        default_port = ((u["scheme"] == "http") & (u["port"] == 80)) | ((u["scheme"] == "https") & (u["port"] == 443))
+        return F.concat(
+            u["scheme"],
+            F.lit("://"),
+            _authority(u, u["host"], F.coalesce(default_port, F.lit(False))),
+            u["path"],
+            _percent_encode(u["query"], _UNSAFE_IN_QUERY),
+            u["fragment"],
+        )
+
+    return _on_safe(c, lambda raw: let(_parse(raw), serialise))
 
 
 def _canonical_query(query: Column) -> Column:
@@ -149,31 +142,36 @@ def _canonical_query(query: Column) -> Column:
     return F.when(F.length(query) <= 1, F.lit("")).otherwise(text)
 
 
-def with_canonical_url(df: DataFrame, url: str, out: str = "canonical_url") -> DataFrame:
-    """Add the form used to find duplicates (C8), null for unsafe or unparsable links.
+def _unwrapped(raw: Column) -> Column:
+    """Publisher link of an aggregator URL where it is in the parameters, else the URL itself."""
+    target = F.try_url_decode(F.nullif(F.regexp_extract(raw, "^[^?#]*\\?(?:[^#]*&)??url=([^&#]*)", 1), F.lit("")))
+    unwrap = let(trim_ws(target), lambda t: F.when(t.rlike(_SAFE), t).otherwise(raw))
+    return F.when(raw.rlike(_IS_AGGREGATOR), unwrap).otherwise(raw)
+
+
+def canonical_url(c: Column) -> Column:
+    """The form used to find duplicates (C8), null for unsafe or unparsable links.
 
     https, lower-case host without ``www.``, no default port, no fragment, no tracking
     parameters, sorted parameters, one trailing slash removed; aggregator links are unwrapped.
     """
-    p = "__c_"
-    start = df.withColumn(f"{p}in", _clean_input(F.col(url)))
-    target = F.try_url_decode(F.nullif(F.regexp_extract(F.col(f"{p}in"), "^[^?#]*\\?(?:[^#]*&)??url=([^&#]*)", 1), F.lit("")))
-    start = start.withColumn(
-        f"{p}target", F.when(F.col(f"{p}in").rlike(_IS_AGGREGATOR), _clean_input(target))
-    ).withColumn(
-        f"{p}eff",
-        F.when(F.col(f"{p}target").rlike(_SAFE_TARGET), F.col(f"{p}target")).otherwise(F.col(f"{p}in")),
-    )
-    parsed = _with_parts(start, F.col(f"{p}eff"), p)
-    port = F.col(f"{p}port")
-    host = F.regexp_replace(F.col(f"{p}host"), "^www\\.", "")
-    base = F.concat(_authority(p, host, port.isin(80, 443)), F.col(f"{p}path"))
-    canonical = F.concat(
-        F.lit("https://"),
-        F.regexp_replace(base, "([^/])/$", "$1"),
-        _canonical_query(F.col(f"{p}query")),
-    )
-    return _drop_prefixed(parsed.withColumn(out, F.when(F.col(f"{p}ok"), canonical)), p)
+
+    def serialise(u: Column) -> Column:
+        host = F.regexp_replace(u["host"], "^www\\.", "")
+        base = F.concat(_authority(u, host, u["port"].isin(80, 443)), u["path"])
+        return F.concat(F.lit("https://"), F.regexp_replace(base, "([^/])/$", "$1"), _canonical_query(u["query"]))
+
+    return _on_safe(c, lambda raw: let(_parse(let(raw, _unwrapped)), serialise))
+
+
+def with_canonical_url(df: DataFrame, url: str, out: str = "canonical_url") -> DataFrame:
+    """Rows with a safe link and their canonical URL. The cheap test runs first and on its own."""
+    return df.where(is_safe_url(F.col(url))).withColumn(out, canonical_url(F.col(url)))
+
+
+def with_sanitized_url(df: DataFrame, url: str, out: str) -> DataFrame:
+    """Rows with a safe link and their serialised URL."""
+    return df.where(is_safe_url(F.col(url))).withColumn(out, sanitize_url(F.col(url)))
 
 
 def domain_of(c: Column) -> Column:

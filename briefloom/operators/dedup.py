@@ -61,11 +61,16 @@ def preference(tier: str = "source_tier", ts: str = "published_at", unverified:
 
 
 def keep_best(df: DataFrame, key: str, rank: Column | None = None) -> DataFrame:
-    """Best row per key (E1). The winner is found by a pre-aggregated minimum, not a sorted window,
-    so a key that holds a large share of the rows needs no single big task."""
+    """Best row per key and the number of its copies.
+
+    One pre-aggregated pass: every task sends at most one row per key, so a key that holds a
+    large share of the rows needs no big sort and no second read of the input.
+    """
     rank = preference() if rank is None else rank
-    best = df.groupBy(key).agg(F.min(rank).getField("ord").alias("ord"), F.count(F.lit(1)).alias("copies"))
-    return df.join(best.select("ord", "copies"), "ord")
+    best = df.groupBy(F.col(key).alias("__key")).agg(
+        F.min_by(F.struct(*df.columns), rank).alias("row"), F.count(F.lit(1)).alias("copies")
+    )
+    return best.select("row.*", "copies")
 
 
 def first_by(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:

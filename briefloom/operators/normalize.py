@@ -47,7 +47,7 @@ def normalize_items(
 
     One narrow stage from the scan to the score: nothing here shuffles.
     """
-    linked = with_canonical_url(with_defaults(raw), "link").where(F.col("canonical_url").isNotNull())
+    linked = with_canonical_url(with_defaults(raw), "link")
     cleaned = linked.withColumns(
         {
             "title": truncate(strip_html(F.col("title")), options.max_title_chars),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.lexicons.model import Lexicon
 from briefloom.operators.dedup import first_by
+from briefloom.session import with_scalars
 
 _STEP = 1_000_000
 
@@ -20,42 +23,60 @@ def keyword_queries(terms: DataFrame) -> DataFrame:
     )
 
 
-def competitor_queries(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
-    """Every competitor with every qualifier of every language (D7): configuration by configuration."""
-    qualifiers = [
-        (lang, q, li * 100 + qi)
-        for li, (lang, quals) in enumerate(lexicon.competitor_qualifiers)
-        for qi, q in enumerate(quals)
-    ]
-    quals = F.array(
-        *[F.struct(F.lit(g).alias("language"), F.lit(q).alias("qualifier"), F.lit(o).alias("qord")) for g, q, o in qualifiers]
+def competitor_queries(competitors: DataFrame, qualifiers: DataFrame, category: str) -> DataFrame:
+    """Every competitor with every qualifier of every language.
+
+    ``competitors``: competitor, ord. ``qualifiers``: language, qualifier, ord; a handful of
+    configured words, attached to the competitors as one list and unfolded there.
+    """
+    words = qualifiers.agg(
+        F.array_sort(F.collect_list(F.struct(F.col("ord").alias("qord"), "language", "qualifier"))).alias("words")
     )
-    pairs = lexicon.competitors_df(spark).select("competitor", "ord", F.inline(quals))
+    pairs = with_scalars(competitors.select("competitor", "ord"), words).select("competitor", "ord", F.inline("words"))
     return pairs.select(
         F.concat(F.lit('"'), F.col("competitor"), F.lit('" '), F.col("qualifier")).alias("q"),
-        F.lit(lexicon.competitor_category).alias("category_id"),
+        F.lit(category).alias("category_id"),
         "language",
         (F.lit(_STEP) + F.col("ord") * 1000 + F.col("qord")).cast("bigint").alias("ord"),
     )
 
 
-def brand_queries(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
-    rows = [
-        (template.format(brand=b.name), lexicon.brand_category, lang, 2 * _STEP + bi * 10 + ti)
-        for bi, b in enumerate(b for b in lexicon.brands if b.priority)
-        for ti, (lang, template) in enumerate(lexicon.brand_templates)
-    ]
-    return spark.createDataFrame(rows, "q string, category_id string, language string, ord bigint")
+def brand_queries(brands: DataFrame, templates: tuple[tuple[str, str], ...], category: str) -> DataFrame:
+    """Priority brands in every template. ``brands``: brand, priority, ord."""
+    texts = []
+    for i, (lang, template) in enumerate(templates):
+        before, _, after = template.partition("{brand}")
+        q = F.concat(F.lit(before), F.col("brand"), F.lit(after))
+        texts.append(F.struct(q.alias("q"), F.lit(lang).alias("language"), F.lit(i).alias("t")))
+    rows = brands.where("priority").select("ord", F.inline(F.array(*texts)))
+    return rows.select(
+        "q", F.lit(category).alias("category_id"), "language",
+        (F.lit(1000 * _STEP) + F.col("ord") * 10 + F.col("t")).cast("bigint").alias("ord"),
+    )
+
+
+def distinct_queries(*parts: DataFrame) -> DataFrame:
+    """Union of the lists; the first of equal queries per language wins."""
+    union = reduce(lambda x, y: x.unionByName(y), parts)
+    return first_by(union, [F.col("language"), F.lower("q")], F.col("ord"))
 
 
 def all_queries(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
-    """Union of the three lists; the first of equal queries per language wins."""
-    union = (
-        keyword_queries(lexicon.terms_df(spark))
-        .unionByName(competitor_queries(spark, lexicon))
-        .unionByName(brand_queries(spark, lexicon))
+    """All stored queries of a lexicon."""
+    words = [
+        (lang, q, li * 100 + qi)
+        for li, (lang, quals) in enumerate(lexicon.competitor_qualifiers)
+        for qi, q in enumerate(quals)
+    ]
+    return distinct_queries(
+        keyword_queries(lexicon.terms_df(spark)),
+        competitor_queries(
+            lexicon.competitors_df(spark),
+            spark.createDataFrame(words, "language string, qualifier string, ord int"),
+            lexicon.competitor_category,
+        ),
+        brand_queries(lexicon.brands_df(spark), lexicon.brand_templates, lexicon.brand_category),
     )
-    return first_by(union, [F.col("language"), F.lower("q")], F.col("ord"))
 
 
 def queries_per_locale(queries: DataFrame, locales: DataFrame, n: int = 14) -> DataFrame:

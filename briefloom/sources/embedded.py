@@ -92,7 +92,7 @@ def topic_items(
         label.alias("__label"),
         kind.alias("__kind"),
     ).where((F.coalesce("topic", F.lit("")) != "") & (F.col("title") != ""))
-    linked = with_sanitized_url(rows, "__link", "link").where(F.col("link").isNotNull())
+    linked = with_sanitized_url(rows, "__link", "link")
     return linked.select(
         *keep,
         "entry_pos",

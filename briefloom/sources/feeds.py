@@ -89,7 +89,7 @@ def feed_entries(
         first_text(text("pubDate"), text("published"), text("updated"), text("dc:date"), text("dcterms:date")).alias("__date"),
         F.nullif(strip_html(text("source")), F.lit("")).alias("publisher"),
     ).where(F.col("title") != "")
-    linked = with_sanitized_url(fields, "__link", "link").where(F.col("link").isNotNull())
+    linked = with_sanitized_url(fields, "__link", "link")
     return linked.select(
         *keep,
         "entry_pos",

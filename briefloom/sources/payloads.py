@@ -76,7 +76,7 @@ def post_items(
         F.coalesce("d.permalink_url", F.concat(F.lit("https://www.facebook.com/"), F.col("d.id"))).alias("__link"),
         F.col("d.created_time").alias("__time"),
     )
-    linked = with_sanitized_url(rows.where(F.col("text") != ""), "__link", "link").where(F.col("link").isNotNull())
+    linked = with_sanitized_url(rows.where(F.col("text") != ""), "__link", "link")
     return linked.select(
         *keep,
         "entry_pos",
@@ -103,7 +103,7 @@ def short_video_items(
         F.concat(F.lit("https://www.tiktok.com/video/"), F.col("v.id")).alias("__link"),
         F.nullif("v.create_time", F.lit(0)).alias("__time"),
     )
-    linked = with_sanitized_url(rows.where(F.col("text") != ""), "__link", "link").where(F.col("link").isNotNull())
+    linked = with_sanitized_url(rows.where(F.col("text") != ""), "__link", "link")
     return linked.select(
         *keep,
         "entry_pos",
@@ -160,7 +160,7 @@ def video_items(
             "__link": F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("video_id")),
         }
     )
-    linked = with_sanitized_url(cleaned.where(F.col("title") != ""), "__link", "link").where(F.col("link").isNotNull())
+    linked = with_sanitized_url(cleaned.where(F.col("title") != ""), "__link", "link")
     return linked.select(
         "query_ord",
         "pos",

@@ -2,7 +2,6 @@
 
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from briefloom.functions import dates, hashing, numbers, text, urls
@@ -17,12 +16,18 @@ def one(spark, build, *values):
 
 def canon(spark, *raw):
     df = spark.createDataFrame([(r,) for r in raw], "u string")
-    return [r["c"] for r in urls.with_canonical_url(df, "u", "c").collect()]
+    return [r["c"] for r in df.select(urls.canonical_url(F.col("u")).alias("c")).collect()]
 
 
-@pytest.mark.parametrize(
-    "raw, expected",
-    [
+def check_all(spark, build, vectors):
+    """All vectors of a function in one job."""
+    rows = [(i, raw) for i, (raw, _) in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "i int, c string").select("i", build(F.col("c")).alias("r"))
+    got = {r["i"]: r["r"] for r in df.collect()}
+    assert [(raw, got[i]) for i, (raw, _) in enumerate(vectors)] == vectors
+
+
+STRIP_HTML = [
         ("<p>สวัสดี <b>ครับ</b></p>", "สวัสดี ครับ"),
         ("<style>body{color:red}</style>ข้อความ", "ข้อความ"),
         ("ok<script>alert(1)", "ok"),
@@ -38,10 +43,11 @@ def canon(spark, *raw):
         ("<scripted>x</scripted>", "x"),
         ("a<svg/onload=1>b</svg>c", "a c"),
         (None, ""),
-    ],
-)
-def test_strip_html(spark, raw, expected):
-    assert one(spark, text.strip_html, raw) == expected
+]
+
+
+def test_strip_html(spark):
+    check_all(spark, text.strip_html, STRIP_HTML)
 
 
 def test_whitespace_and_control(spark):
@@ -99,11 +105,13 @@ def test_canonical_url(spark):
 def test_unsafe_urls_are_null(spark):
     bad = ["javascript:alert(1)", "data:text/html,x", "file:///etc/passwd", "", None, "not a url", "https://", "https://h:99999/"]
     assert canon(spark, *bad) == [None] * len(bad)
+    df = spark.createDataFrame([(u,) for u in bad], "u string")
+    assert df.where(urls.is_safe_url(F.col("u"))).isEmpty()
 
 
 def test_sanitized_url(spark):
     df = spark.createDataFrame([("https://example.com",), ("http://E.com:80/A?x=1#f",), ("ftp://x/",)], "u string")
-    assert [r["s"] for r in urls.with_sanitized_url(df, "u", "s").collect()] == [
+    assert [r["s"] for r in df.select(urls.sanitize_url(F.col("u")).alias("s")).collect()] == [
         "https://example.com/",
         "http://e.com/A?x=1#f",
         None,
@@ -124,9 +132,7 @@ def test_hashes(spark):
     assert marks[0] == marks[1]
 
 
-@pytest.mark.parametrize(
-    "raw, expected",
-    [
+PARSE_DATE = [
         ("Tue, 15 Jul 2025 09:30:00 +0700", datetime(2025, 7, 15, 2, 30)),
         ("Tue, 15 Jul 2025 08:00:00 GMT", datetime(2025, 7, 15, 8, 0)),
         ("15 Jul 2025 08:00 EST", datetime(2025, 7, 15, 13, 0)),
@@ -144,11 +150,12 @@ def test_hashes(spark):
         ("45/13/2025", None),
         ("", None),
         (None, None),
-    ],
-)
-def test_parse_date(spark, raw, expected):
+]
+
+
+def test_parse_date(spark):
     now = F.lit("2026-01-01T00:00:00Z").cast("timestamp")
-    assert one(spark, lambda c: dates.parse_date(c, now), raw) == expected
+    check_all(spark, lambda c: dates.parse_date(c, now), PARSE_DATE)
 
 
 def test_epoch_or_date(spark):
