@@ -117,6 +117,21 @@ def dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table that several queries read, written once per application to the shared folder."""
+    from briefloom.session import new_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.operators.lexicon import score
 
@@ -130,6 +145,11 @@ def classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(items, PROBE_RULES)
 
 
+def analysed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified documents as a stored report table."""
+    return stored(spark, sf_dir, "analysed", classified_documents)
+
+
 def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as analysed items of daily reports, the day counted in Bangkok time."""
     from briefloom.functions.dates import date_key
