@@ -163,16 +163,16 @@ def source_health(fetches: DataFrame, items: DataFrame, sources: DataFrame) -> D
 
 def tally(df: DataFrame, values: Column, limit: int = 8, multi: bool = False) -> DataFrame:
     """Most frequent labels (K8); empty ones are skipped, ties go by label."""
-    label = F.explode(values) if multi else values
-    counted = df.select(label.cast("string").alias("label")).where(blank_to_null(F.col("label")).isNotNull())
+    listed = df.select((F.explode(values) if multi else values).alias("label"))
+    counted = listed.select(F.col("label").cast("string")).where(blank_to_null(F.col("label")).isNotNull())
     counts = counted.groupBy("label").agg(F.count(F.lit(1)).alias("value"))
     return counts.orderBy(F.desc("value"), "label").limit(limit)
 
 
 def facet_values(df: DataFrame, values: Column, multi: bool = False) -> DataFrame:
     """Distinct non-empty values in order (K9)."""
-    label = F.explode(values) if multi else values
-    return df.select(label.cast("string").alias("value")).where(F.coalesce(F.col("value"), F.lit("")) != "").distinct().orderBy("value")
+    listed = df.select((F.explode(values) if multi else values).alias("value"))
+    return listed.select(F.col("value").cast("string")).where(F.coalesce("value", F.lit("")) != "").distinct().orderBy("value")
 
 
 def weighted_average(value: Column, weight: Column) -> Column:
