@@ -11,6 +11,7 @@ from briefloom.functions.numbers import clamp, round_int, trunc
 from briefloom.functions.text import truncate
 from briefloom.lexicons.model import RuleSet, Signal
 from briefloom.schemas import ACTION
+from briefloom.session import compute_once
 
 TEXTS = "array<string>"
 
@@ -69,7 +70,8 @@ def classify(df: DataFrame, rules: RuleSet) -> DataFrame:
     def flags(kind: str, signals: tuple[Signal, ...]) -> dict[str, Column]:
         return {f"{p}{kind}{i}": matches(text, s.pattern) for i, s in enumerate(signals)}
 
-    out = out.withColumns(
+    out = compute_once(
+        out,
         {
             **flags("pos", rules.positive),
             **flags("neg", rules.negative),
@@ -80,7 +82,7 @@ def classify(df: DataFrame, rules: RuleSet) -> DataFrame:
             f"{p}rival": F.size("matched_competitors") > 0,
             f"{p}names": F.array_join("matched_competitors", ", "),
             f"{p}weak": (F.col("source_tier") == 3) | F.col("unverified"),
-        }
+        },
     )
     dual, distress, rival, weak = (F.col(f"{p}{n}") for n in ("dual", "distress", "rival", "weak"))
     names = F.col(f"{p}names")

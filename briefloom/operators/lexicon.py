@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from briefloom.functions.text import contains_any, contains_term
 from briefloom.lexicons.model import Lexicon
+from briefloom.session import compute_once
 
 EMPTY = "array<string>"
 
@@ -62,7 +63,7 @@ def score(
         flags[f"{p}brand{i}"] = contains_any(hay, (brand.name, *brand.aliases))
     for i, comp in enumerate(lexicon.competitors):
         flags[f"{p}comp{i}"] = contains_any(hay, comp.aliases)
-    staged = staged.withColumns(flags)
+    staged = compute_once(staged, flags)
 
     ctx, neg, excl = F.col(f"{p}ctx"), F.col(f"{p}neg"), F.col(f"{p}excl")
     tier_col = F.col(tier) if tier else F.lit(2)

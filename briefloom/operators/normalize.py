@@ -13,6 +13,7 @@ from briefloom.functions.urls import with_canonical_url
 from briefloom.lexicons.model import Lexicon
 from briefloom.operators import lexicon as lx
 from briefloom.schemas import COVERAGE
+from briefloom.session import compute_once
 
 
 @dataclass(frozen=True)
@@ -48,11 +49,12 @@ def normalize_items(
     One narrow stage from the scan to the score: nothing here shuffles.
     """
     linked = with_canonical_url(with_defaults(raw), "link")
-    cleaned = linked.withColumns(
+    cleaned = compute_once(
+        linked,
         {
             "title": truncate(strip_html(F.col("title")), options.max_title_chars),
             "snippet": truncate(strip_html(F.col("snippet")), options.max_snippet_chars),
-        }
+        },
     ).where(F.col("title") != "")
     keyed = cleaned.withColumns(
         {

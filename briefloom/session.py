@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -34,6 +34,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/briefloom/{label}-{uuid.uuid4().hex}"
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are costly and used several times, also by later filters.
+
+    A plain projection would be undone: the optimizer pushes filters below it and repeats the
+    expressions there. Unfolding a one-row list keeps the computation in one place.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    rest = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(row)))
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table to every row, as a scalar subquery."""
     packed = one_row.select(F.struct(*one_row.columns).alias("v")).scalar()

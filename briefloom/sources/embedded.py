@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from briefloom.functions.dates import parse_epoch_or_date
 from briefloom.functions.text import strip_highlight, strip_html, truncate
 from briefloom.functions.urls import with_sanitized_url
+from briefloom.session import compute_once
 
 _SCRIPT = '(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
 MAX_DEPTH = 8
@@ -26,38 +25,45 @@ def embedded_json(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, _SCRIPT, 1), F.lit(""))
 
 
-def _looks_like_topics(node: list) -> bool:
-    head = node[0] if node else None
-    return isinstance(head, dict) and "title" in head and ("id" in head or "topic_id" in head)
-
+def topic_finder():
+    """Arrow UDF from JSON texts to topic lists, for layouts that are not known in advance.
 
-def _first_topics(doc: object) -> list:
-    """First list of topics in document order, not deeper than the limit."""
-    stack = [(doc, 0)]
-    while stack:
-        node, depth = stack.pop()
-        if depth > MAX_DEPTH or not isinstance(node, (dict, list)):
-            continue
-        if isinstance(node, list) and _looks_like_topics(node):
-            return node
-        children = node if isinstance(node, list) else list(node.values())
-        stack.extend((child, depth + 1) for child in reversed(children))
-    return []
+    The search is a small helper per document; it is defined inside, so it travels to the
+    executors by value and needs no installed package there.
+    """
+    max_depth, fields = MAX_DEPTH, _FIELDS
 
+    def is_topic_list(node: list) -> bool:
+        head = node[0] if node else None
+        return isinstance(head, dict) and "title" in head and ("id" in head or "topic_id" in head)
 
-@F.pandas_udf(f"array<{TOPIC}>")
-def find_topics(docs: pd.Series) -> pd.Series:
-    """Topic list of each JSON text, for layouts that are not known in advance (Arrow batches)."""
+    def search(doc: object) -> list:
+        """First list of topics in document order, not deeper than the limit."""
+        stack = [(doc, 0)]
+        while stack:
+            node, depth = stack.pop()
+            if depth > max_depth or not isinstance(node, (dict, list)):
+                continue
+            if isinstance(node, list) and is_topic_list(node):
+                return node
+            children = node if isinstance(node, list) else list(node.values())
+            stack.extend((child, depth + 1) for child in reversed(children))
+        return []
 
     def topics(text: str | None) -> list[dict]:
+        import json
+
         try:
-            found = _first_topics(json.loads(text)) if text else []
+            found = search(json.loads(text)) if text else []
         except ValueError:
             return []
         rows = [t for t in found if isinstance(t, dict)]
-        return [{f: None if t.get(f) is None else str(t[f]) for f in _FIELDS} for t in rows]
+        return [{f: None if t.get(f) is None else str(t[f]) for f in fields} for t in rows]
 
-    return docs.map(topics)
+    def find(docs: pd.Series) -> pd.Series:
+        return docs.map(topics)
+
+    return F.pandas_udf(find, f"array<{TOPIC}>")
 
 
 def topics_at(doc: Column, path: str) -> Column:
@@ -69,7 +75,7 @@ def forum_topics(pages: DataFrame, html: str = "html", path: str | None = None,
     """Pages to topic rows, in page order. Without a known ``path`` the topic list is searched for."""
     keep = [c for c in pages.columns if c != html]
     docs = pages.select(*keep, embedded_json(F.col(html)).alias("__doc")).where(F.col("__doc").isNotNull())
-    found = find_topics(F.col("__doc")) if path is None else topics_at(F.col("__doc"), path)
+    found = topic_finder()(F.col("__doc")) if path is None else topics_at(F.col("__doc"), path)
     topics = docs.withColumn("__topics", found)
     listed = F.col("__topics") if max_items is None else F.slice("__topics", 1, max_items)
     return topics.select(*keep, F.posexplode(listed).alias("entry_pos", "t")).select(*keep, "entry_pos", "t.*")
@@ -81,16 +87,17 @@ def topic_items(
 ) -> DataFrame:
     """Topics to raw items (A10). The label goes into the source name, never into scored text."""
     topic_id = F.coalesce("id", "topic_id")
-    rows = topics.select(
-        *keep,
-        "entry_pos",
-        topic_id.alias("topic"),
-        strip_html(strip_highlight(F.col("title"))).alias("title"),
-        F.coalesce("url", F.concat(F.lit("https://pantip.com/topic/"), topic_id)).alias("__link"),
-        strip_html(strip_highlight(F.coalesce("detail", "comment"))).alias("__body"),
-        parse_epoch_or_date(F.coalesce("created_time", "last_reply_time"), now).alias("published_at"),
-        label.alias("__label"),
-        kind.alias("__kind"),
+    rows = compute_once(
+        topics,
+        {
+            "topic": topic_id,
+            "title": strip_html(strip_highlight(F.col("title"))),
+            "__link": F.coalesce("url", F.concat(F.lit("https://pantip.com/topic/"), topic_id)),
+            "__body": strip_html(strip_highlight(F.coalesce("detail", "comment"))),
+            "published_at": parse_epoch_or_date(F.coalesce("created_time", "last_reply_time"), now),
+            "__label": label,
+            "__kind": kind,
+        },
     ).where((F.coalesce("topic", F.lit("")) != "") & (F.col("title") != ""))
     linked = with_sanitized_url(rows, "__link", "link")
     return linked.select(

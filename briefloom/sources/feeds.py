@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from briefloom.functions.dates import parse_date
 from briefloom.functions.text import blank_to_null, first_text, strip_html, truncate
 from briefloom.functions.urls import with_sanitized_url
+from briefloom.session import compute_once
 
 _TEXT = "struct<_VALUE: string>"
 _LINK = "array<struct<_href: string, _rel: string, _VALUE: string>>"
@@ -32,7 +33,7 @@ def alternate_link(links: Column) -> Column:
 def _parsed(feeds: DataFrame, body: str) -> DataFrame:
     root = F.lower(F.regexp_extract(F.coalesce(F.col(body), F.lit("")), _ROOT, 1))
     doc = F.from_xml(F.col(body), FEED_SCHEMA, {"mode": "PERMISSIVE"})
-    return feeds.withColumns({"__root": root, "__doc": doc}).withColumn(
+    return compute_once(feeds, {"__root": root, "__doc": doc}).withColumn(
         "__entries",
         F.when(F.col("__root") == "rss", F.col("__doc.channel.item"))
         .when(F.col("__root").isin("rdf:rdf", "rdf"), F.col("__doc.item"))
@@ -77,17 +78,18 @@ def feed_entries(
     def text(name: str) -> Column:
         return F.col(f"e.`{name}`._VALUE")
 
-    fields = entries.select(
-        *keep,
-        "entry_pos",
-        strip_html(text("title")).alias("title"),
-        F.when(F.col("e.link").isNotNull(), alternate_link(F.col("e.link"))).otherwise(text("guid")).alias("__link"),
-        first_text(
-            text("description"), text("summary"), text("content:encoded"), text("content"),
-            F.col("e.`media:group`.`media:description`._VALUE"),
-        ).alias("__body"),
-        first_text(text("pubDate"), text("published"), text("updated"), text("dc:date"), text("dcterms:date")).alias("__date"),
-        F.nullif(strip_html(text("source")), F.lit("")).alias("publisher"),
+    fields = compute_once(
+        entries,
+        {
+            "title": strip_html(text("title")),
+            "__link": F.when(F.col("e.link").isNotNull(), alternate_link(F.col("e.link"))).otherwise(text("guid")),
+            "__body": first_text(
+                text("description"), text("summary"), text("content:encoded"), text("content"),
+                F.col("e.`media:group`.`media:description`._VALUE"),
+            ),
+            "__date": first_text(text("pubDate"), text("published"), text("updated"), text("dc:date"), text("dcterms:date")),
+            "publisher": F.nullif(strip_html(text("source")), F.lit("")),
+        },
     ).where(F.col("title") != "")
     linked = with_sanitized_url(fields, "__link", "link")
     return linked.select(

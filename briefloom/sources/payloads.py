@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from briefloom.functions.dates import parse_date
 from briefloom.functions.text import api_error_reason, blank_to_null, build_video_snippet, strip_html, truncate
 from briefloom.functions.urls import with_sanitized_url
+from briefloom.session import compute_once
 
 NEWS_SCHEMA = (
     "status string, articles array<struct<title: string, url: string, description: string, publishedAt: string, "
@@ -69,12 +70,13 @@ def post_items(
     """Page-post payloads (A6); needs page_id. A payload-level error rejects the document."""
     keep = _rest(payloads, body)
     parsed = payloads.select(*keep, F.from_json(F.col(body), POSTS_SCHEMA).alias("p")).where(F.col("p.error").isNull())
-    rows = parsed.select(*keep, F.posexplode("p.data").alias("entry_pos", "d")).select(
-        *keep,
-        "entry_pos",
-        strip_html(F.col("d.message")).alias("text"),
-        F.coalesce("d.permalink_url", F.concat(F.lit("https://www.facebook.com/"), F.col("d.id"))).alias("__link"),
-        F.col("d.created_time").alias("__time"),
+    rows = compute_once(
+        parsed.select(*keep, F.posexplode("p.data").alias("entry_pos", "d")),
+        {
+            "text": strip_html(F.col("d.message")),
+            "__link": F.coalesce("d.permalink_url", F.concat(F.lit("https://www.facebook.com/"), F.col("d.id"))),
+            "__time": F.col("d.created_time"),
+        },
     )
     linked = with_sanitized_url(rows.where(F.col("text") != ""), "__link", "link")
     return linked.select(
@@ -96,12 +98,13 @@ def short_video_items(
     """Short-video payloads (A7); needs hashtag. Times are epoch seconds, links come from ids."""
     keep = _rest(payloads, body)
     parsed = payloads.select(*keep, F.from_json(F.col(body), SHORTS_SCHEMA).alias("p"))
-    rows = parsed.select(*keep, F.posexplode("p.data.videos").alias("entry_pos", "v")).select(
-        *keep,
-        "entry_pos",
-        strip_html(F.col("v.video_description")).alias("text"),
-        F.concat(F.lit("https://www.tiktok.com/video/"), F.col("v.id")).alias("__link"),
-        F.nullif("v.create_time", F.lit(0)).alias("__time"),
+    rows = compute_once(
+        parsed.select(*keep, F.posexplode("p.data.videos").alias("entry_pos", "v")),
+        {
+            "text": strip_html(F.col("v.video_description")),
+            "__link": F.concat(F.lit("https://www.tiktok.com/video/"), F.col("v.id")),
+            "__time": F.nullif("v.create_time", F.lit(0)),
+        },
     )
     linked = with_sanitized_url(rows.where(F.col("text") != ""), "__link", "link")
     return linked.select(
@@ -153,12 +156,13 @@ def video_items(
         F.col("i.snippet.publishedAt").alias("raw_time"),
     )
     first = first_by(rows, [F.col("video_id")], F.struct("query_ord", "pos"))
-    cleaned = first.join(stats, "video_id", "left").withColumns(
+    cleaned = compute_once(
+        first.join(stats, "video_id", "left"),
         {
             "title": strip_html(F.col("raw_title")),
             "channel": strip_html(F.col("raw_channel")),
             "__link": F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("video_id")),
-        }
+        },
     )
     linked = with_sanitized_url(cleaned.where(F.col("title") != ""), "__link", "link")
     return linked.select(

@@ -225,34 +225,39 @@ def cost_budget(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _echo_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stand-in for a model: a fixed, valid answer per item, invalid for every prompt that mentions a licence."""
-    for pdf in batches:
-        ok = ~pdf["prompt"].str.lower().str.contains("license", regex=False)
-        n = len(pdf)
-        yield pd.DataFrame(
-            {
-                "ord": pdf["ord"],
-                "title_local": ["model"] * n,
-                "short_summary": ["summary"] * n,
-                "classification": ["neutral"] * n,
-                "impact_score": ok.map({True: 1, False: 99}).astype("int32"),
-                "confidence": [80] * n,
-                "relevance_score": [60] * n,
-                "news_category": ["OTHER"] * n,
-                "affected_channels": [[] for _ in range(n)],
-                "affected_products": [[] for _ in range(n)],
-                "affected_countries": [[] for _ in range(n)],
-                "affected_competitors": [[] for _ in range(n)],
-                "okr_impact": [{"O1": "neutral", "O2": "neutral"} for _ in range(n)],
-                "positive_impacts": [[] for _ in range(n)],
-                "negative_impacts": [[] for _ in range(n)],
-                "reasoning_summary": [[] for _ in range(n)],
-                "business_interpretation": [""] * n,
-                "recommended_actions": [[] for _ in range(n)],
-                "time_horizon": ["immediate"] * n,
-            }
-        )
+def _echo_model():
+    """Stand-in for a model, defined inside so that it travels to the executors by value."""
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A fixed, valid answer per item, invalid for every prompt that mentions a licence."""
+        for pdf in batches:
+            ok = ~pdf["prompt"].str.lower().str.contains("license", regex=False)
+            n = len(pdf)
+            yield pd.DataFrame(
+                {
+                    "ord": pdf["ord"],
+                    "title_local": ["model"] * n,
+                    "short_summary": ["summary"] * n,
+                    "classification": ["neutral"] * n,
+                    "impact_score": ok.map({True: 1, False: 99}).astype("int32"),
+                    "confidence": [80] * n,
+                    "relevance_score": [60] * n,
+                    "news_category": ["OTHER"] * n,
+                    "affected_channels": [[] for _ in range(n)],
+                    "affected_products": [[] for _ in range(n)],
+                    "affected_countries": [[] for _ in range(n)],
+                    "affected_competitors": [[] for _ in range(n)],
+                    "okr_impact": [{"O1": "neutral", "O2": "neutral"} for _ in range(n)],
+                    "positive_impacts": [[] for _ in range(n)],
+                    "negative_impacts": [[] for _ in range(n)],
+                    "reasoning_summary": [[] for _ in range(n)],
+                    "business_interpretation": [""] * n,
+                    "recommended_actions": [[] for _ in range(n)],
+                    "time_horizon": ["immediate"] * n,
+                }
+            )
+
+    return answer
 
 
 def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,7 +275,7 @@ def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
         {"analyzed_by": F.lit("ai"), "analysis_model": F.lit("cached"), "classification": F.lit("neutral")}
     )
     options = enrich.EnrichOptions(max_model_items=60, max_input_chars=None, model_name="stub")
-    out = enrich.enrich(base.drop(*ANALYSIS_COLUMNS), PROBE_RULES, cache, _echo_model, options)
+    out = enrich.enrich(base.drop(*ANALYSIS_COLUMNS), PROBE_RULES, cache, _echo_model(), options)
     return out.select(F.col("ord").alias("doc_id"), "analyzed_by", "analysis_model", "classification", "impact_score")
 
 
