@@ -26,15 +26,15 @@ from briefloom.operators.pairs import (
     matching_items,
 )
 from briefloom.schemas import COVERAGE
-from briefloom.session import materialize, with_scalars
+from briefloom.session import materialize, spread, with_scalars
 
 
 @dataclass(frozen=True)
 class DedupOptions:
     similarity: SimilarityOptions = field(default_factory=SimilarityOptions)
     #: candidate pairs a batch may produce, per item and at least
-    pairs_per_item: int = 200
-    min_pair_budget: int = 20_000_000
+    pairs_per_item: int = 1_000
+    min_pair_budget: int = 400_000_000
     #: coverage lists up to this length are nested into the item; longer ones stay in the table
     max_nested_coverage: int = 1_000
 
@@ -148,7 +148,7 @@ def _batch_limit(index: DataFrame, budget: int) -> int | None:
 def cluster(items: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
     """Leader of every item under the similarity rules: (ord, leader, fuzzy)."""
     sim = options.similarity
-    features = materialize(item_features(items, sim), "features")
+    features = materialize(item_features(spread(items), sim), "features")
     index = materialize(item_index(features, sim), "index")
     budget = max(options.min_pair_budget, options.pairs_per_item * features.count())
     links = None

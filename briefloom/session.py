@@ -34,6 +34,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/briefloom/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a costly step over an input of few files.
+
+    Only a table that comes in fewer partitions than there are cores is redistributed; such a
+    table is small. Large tables are left as they are scanned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add or replace columns that are costly and used several times, also by later filters.
 
