@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,13 +89,19 @@ def enrich(
     break the schema fall back to the rules. ``budget`` may drop model candidates whose
     running cost exceeds a limit (see ``within_budget``).
     """
-    ruled = classify(items, rules).withColumns(
-        {"analyzed_by": F.lit("fallback"), "analysis_model": F.lit(None).cast("string")}
-    )
-    misses = ruled if cache is None else ruled.join(cache.select("content_hash"), "content_hash", "left_anti")
-    hits = None if cache is None else overlay_cache(items, cache)
-    fresh = misses if model is None else _model_pass(items, misses, cache, model, options, budget)
-    final = fresh if hits is None else hits.unionByName(fresh.select(*hits.columns))
+    misses = items if cache is None else items.join(cache.select("content_hash"), "content_hash", "left_anti")
+    parts = []
+    rest = misses
+    if model is not None:
+        answers = _model_answers(items, misses, rules, cache, model, options, budget)
+        rest = misses.join(answers.select("ord"), "ord", "left_anti")
+        bare = misses.drop(*ANALYSIS_COLUMNS, *PROVENANCE)
+        parts.append(_from(bare.join(answers, "ord"), "ai", options.model_name))
+    # Only rows without a cached or a model result are classified by the rules.
+    parts.insert(0, _from(classify(rest, rules), "fallback", None))
+    if cache is not None:
+        parts.append(overlay_cache(items, cache))
+    final = reduce(lambda x, y: x.unionByName(y.select(*x.columns)), parts)
     return final.withColumns(
         {
             "source_url": F.col("canonical_url"),
@@ -104,31 +111,29 @@ def enrich(
     )
 
 
-def _model_pass(
+def _from(df: DataFrame, by: str, model: str | None) -> DataFrame:
+    return df.withColumns({"analyzed_by": F.lit(by), "analysis_model": F.lit(model).cast("string")})
+
+
+def _model_answers(
     items: DataFrame,
     misses: DataFrame,
+    rules: RuleSet,
     cache: DataFrame | None,
     model: BatchModel,
     options: EnrichOptions,
     budget: Callable[[DataFrame], DataFrame] | None,
 ) -> DataFrame:
+    """Valid model answers for the best-scored items: ord and the analysis columns."""
     top = items.orderBy(F.desc("prefilter_score"), "ord").limit(options.max_model_items)
     asked = top if cache is None else top.join(cache.select("content_hash"), "content_hash", "left_anti")
     asked = asked.select("ord", "prefilter_score", "content_hash", prompt_text(options).alias("prompt"))
     if budget is not None:
         asked = budget(asked)
-    schema = misses.select("ord", *ANALYSIS_COLUMNS).schema
-    answers = asked.select("ord", "content_hash", "prompt").mapInPandas(model, schema)
+    schema = classify(misses, rules).select("ord", *ANALYSIS_COLUMNS).schema
     # Written once: a model must not be called again when the rows are read twice.
-    answers = materialize(answers, "model-answers")
-    valid = violations(answers, ANALYSIS_RULES).where(F.size("violations") == 0).drop("violations")
-    by_model = (
-        misses.drop(*ANALYSIS_COLUMNS, *PROVENANCE)
-        .join(valid, "ord")
-        .withColumns({"analyzed_by": F.lit("ai"), "analysis_model": F.lit(options.model_name).cast("string")})
-    )
-    by_rules = misses.join(valid.select("ord"), "ord", "left_anti")
-    return by_model.select(*misses.columns).unionByName(by_rules)
+    answers = materialize(asked.select("ord", "content_hash", "prompt").mapInPandas(model, schema), "model-answers")
+    return violations(answers, ANALYSIS_RULES).where(F.size("violations") == 0).drop("violations")
 
 
 def origin_counts(analyzed: DataFrame) -> DataFrame:

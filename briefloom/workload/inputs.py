@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.lexicons.model import Brand, Category, Competitor, Country, LabelRule, Lexicon, RuleSet, Signal, Term
+from briefloom.session import spread
 
 NOW = "2024-01-31T00:00:00Z"
 
 
+# Tables whose rows are costly to process; the harness stores each as one file.
+TEXT_TABLES = ("documents", "pages")
+
+
 def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
@@ -17,7 +22,8 @@ def now() -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A harness table; its zoneless times are UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _terms(*texts: str) -> tuple[Term, ...]:
