@@ -171,7 +171,7 @@ def prices_df(spark: SparkSession, prices: list[tuple[str, float, float]]) -> Da
 
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost in USD of each call (J2) from its four token counts."""
-    priced = usage.join(F.broadcast(price_per_model(usage, prices)), "model")
+    priced = usage.join(price_per_model(usage, prices), "model")
     zero = F.lit(0)
     cost = (
         F.coalesce("input_tokens", zero) / 1e6 * F.col("input_price")

@@ -84,7 +84,7 @@ def queries_per_locale(queries: DataFrame, locales: DataFrame, n: int = 14) -> D
     from briefloom.operators.ranking import first_per_source
 
     wanted = locales.withColumn("qlang", F.when(F.col("language") == "th", "th").otherwise("en")).drop("language")
-    joined = queries.join(F.broadcast(wanted), F.col("language") == F.col("qlang")).drop("qlang")
+    joined = queries.join(wanted, F.col("language") == F.col("qlang")).drop("qlang")
     return first_per_source(joined, ["locale_id"], n)
 
 

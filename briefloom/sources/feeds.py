@@ -107,7 +107,7 @@ def feed_items(entries: DataFrame, sources: DataFrame, max_items: int | None = 2
     """Entries to raw items with the attributes of their source; at most ``max_items`` per source."""
     from briefloom.operators.ranking import first_per_source
 
-    attributed = entries.join(F.broadcast(sources), "source_id").withColumns(
+    attributed = entries.join(sources, "source_id").withColumns(
         {
             "source_name": F.when(
                 F.col("publisher").isNotNull(), F.concat("source_name", F.lit(" / "), "publisher")

@@ -222,7 +222,7 @@ def item_scan(spark: SparkSession, sf: str) -> DataFrame:
     scanned = items.read_raw_items(spark, path)
     sources = table(spark, sf, "documents").select(F.col("source").alias("source_id")).distinct()
     enabled = items.enabled_sources(sources.withColumn("enabled", F.when(F.col("source_id") != "src3", F.col("source_id") != "src4")))
-    kept = scanned.join(F.broadcast(enabled), "source_id", "left_semi")
+    kept = scanned.join(enabled, "source_id", "left_semi")
     return kept.groupBy("source_id", "item_kind", "unverified").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("snippet").cast("bigint")).alias("chars"))
 
 
