@@ -26,18 +26,22 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def byte_cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` bytes each, one row at least: memory follows bytes, not rows."""
+    ends = np.cumsum(sizes)
+    start, done = 0, 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield start, stop
+        start, done = stop, int(ends[stop - 1])
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = ROWS_AT_ONCE, column: str = "__text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has about ``limit`` bytes of text: memory follows bytes, not rows."""
+    """Cut batches so that each has about ``limit`` bytes of text."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
         sizes = text_sizes(batch.column(batch.schema.get_field_index(column)))
-        ends = np.cumsum(sizes)
-        start, done = 0, 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        for start, stop in byte_cuts(sizes, limit):
             yield batch.slice(start, stop - start)
-            start, done = stop, int(ends[stop - 1])
 
 
 def text_sizes(column: pa.Array) -> np.ndarray:
@@ -49,11 +53,14 @@ def text_sizes(column: pa.Array) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column in one array, and the offsets of the texts in it. Null counts as empty."""
-    sizes = text_sizes(column)
-    offsets = np.zeros(len(sizes) + 1, np.int64)
-    np.cumsum(sizes, out=offsets[1:])
-    data = b"".join(x.encode() for x in column.to_pylist() if x)
-    return np.frombuffer(data, np.uint8), offsets
+    import pyarrow.compute as pc
+
+    filled = pc.fill_null(column, "").cast(pa.large_string())
+    _, places, data = filled.buffers()
+    offsets = np.frombuffer(places, np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    if data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(filled) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def map_batches(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.llm.bpe import encode_decode
 
@@ -29,6 +35,44 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(spans: str) -> Column:
+    """kind:start:end of spans in their order, comma-joined."""
+    one = F.transform(F.expr(spans), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    return F.array_join(one, ",")
+
+
+def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    counts = [F.size(F.expr(f"filter(spans, x -> x.base and x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in kinds]
+    digest = F.sha2(_listed("filter(spans, x -> x.base)"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), _listed("spans").alias("spans"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.pii import BASE_KINDS, find_pii
+
+    return _span_report(find_pii(_table(spark, sf_dir, "documents")), BASE_KINDS)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.secrets import BASE_KINDS, find_secrets
+
+    return _span_report(find_secrets(_table(spark, sf_dir, "documents")), BASE_KINDS)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.decontam import find_contamination
+
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.llm.token_counts import count_tokens
 
@@ -42,7 +86,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op4_pii": op4_pii,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_counts": op8_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
