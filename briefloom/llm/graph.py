@@ -1,0 +1,36 @@
+"""Connected groups of a link table, as DataFrame rounds over written tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from briefloom.session import materialize
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """Smallest member of the group of every linked node: (node, root). ``links``: (a, b) of one orderable type.
+
+    Every node keeps its smallest neighbour and hands the other smaller ones to that neighbour, until each has one
+    parent; then parents are replaced by their parents until nothing changes. Null ends and self links do not count.
+    """
+    edges = materialize(
+        links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
+    )
+    while True:
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "parents")
+        several = least.where("n > 1").select("u", "m")
+        if several.isEmpty():
+            break
+        handed = edges.join(several, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(least.select("u", F.col("m").alias("v")).unionByName(handed).distinct(), "links")
+    state = least.select(F.col("u").alias("node"), F.col("m").alias("root"), F.lit(True).alias("moved"))
+    while True:
+        up = state.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        state = materialize(
+            state.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots"
+        )
+        if state.where("moved").isEmpty():
+            break
+    roots = state.select("root").distinct()
+    return state.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root"))

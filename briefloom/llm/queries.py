@@ -79,6 +79,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents"), threshold=0.8, n_words=5)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.llm.exact_dedup import exact_groups
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
