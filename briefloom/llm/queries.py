@@ -59,6 +59,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(find_secrets(_table(spark, sf_dir, "documents")), BASE_KINDS)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.llm.decontam import find_contamination
 
@@ -96,6 +109,7 @@ QUERIES = {
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op4_pii": op4_pii,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
