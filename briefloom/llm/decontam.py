@@ -13,6 +13,7 @@ far travels along.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.llm.common import id_type, ids_and_texts, slices, text_bytes
+from briefloom.llm.common import ROWS_AT_ONCE, byte_cuts, id_type, ids_and_texts, slices, text_bytes, text_or_empty, text_sizes
 from briefloom.session import materialize
 
 WINDOW = 10
@@ -283,6 +284,19 @@ _SPANS = "array<struct<start:int,end:int>>"
 _SHIPPED: dict[int, Windows] = {}
 
 
+def _ship(docs: DataFrame, known: Windows):
+    """Send a block of windows to the executors: a bounded broadcast, and a number to know it by."""
+    return docs.sparkSession.sparkContext.broadcast(pickle.dumps(known)), uuid.uuid4().int
+
+
+def _windows(shipped, number: int) -> Windows:
+    """The block in this worker; only the last one is held."""
+    if number not in _SHIPPED:
+        _SHIPPED.clear()
+        _SHIPPED[number] = pickle.loads(shipped.value)
+    return _SHIPPED[number]
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
@@ -295,7 +309,6 @@ def find_contamination(
     string. One row per input row, repeated rows included; null identifiers pass through; other columns are not read.
     An empty benchmark contaminates nothing. No shuffle.
     """
-    spark = docs.sparkSession
     key = id_type(docs, id_col)
     found = ids_and_texts(docs, id_col, text_col).select(
         "__id", "__text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("word_spans"),
@@ -308,10 +321,7 @@ def find_contamination(
 
     def searching(shipped, number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if number not in _SHIPPED:
-                _SHIPPED.clear()
-                _SHIPPED[number] = pickle.loads(shipped.value)
-            known = _SHIPPED[number]
+            known = _windows(shipped, number)
             for batch in slices(batches):
                 counts, words, places, items = search_shard(batch.column(1), known)
                 so_far = [batch.column(k).to_pylist() for k in (3, 4, 5)]
@@ -331,13 +341,30 @@ def find_contamination(
     for block in _blocks(rows, block_bytes):
         if passes:
             found = materialize(found, "contamination")
-        known = Windows(block, window)
-        shipped = spark.sparkContext.broadcast(pickle.dumps(known))
-        found = found.mapInArrow(searching(shipped, shipped._jbroadcast.id() if shipped._jbroadcast else passes), schema)
+        found = found.mapInArrow(searching(*_ship(docs, Windows(block, window))), schema)
         passes += 1
     if not passes:
-        shipped = spark.sparkContext.broadcast(pickle.dumps(Windows([], window)))
-        found = found.mapInArrow(searching(shipped, shipped._jbroadcast.id()), schema)
+        found = found.mapInArrow(searching(*_ship(docs, Windows([], window))), schema)
     return found.select(
         F.col("__id").alias(id_col), "n_words", "word_spans", "byte_spans", "items", (F.size("word_spans") > 0).alias("contaminated")
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any hit word, with all their columns. Each block of the benchmark is one more filter."""
+
+    def clean(shipped, number: int):
+        @F.arrow_udf(T.BooleanType())
+        def test(texts: pa.Array) -> pa.Array:
+            known = _windows(shipped, number)
+            out: list[bool] = []
+            for start, stop in byte_cuts(text_sizes(texts), ROWS_AT_ONCE):
+                out += [not spans for spans in search_shard(texts.slice(start, stop - start), known)[1]]
+            return pa.array(out, pa.bool_())
+
+        return test(text_or_empty(F.col(f"`{text_col}`").cast("string")))
+
+    texts = benchmark.select(F.lit(""), text_or_empty(F.col(f"`{item_text_col}`").cast("string")))
+    for block in _blocks(texts, block_bytes):
+        docs = docs.where(clean(*_ship(docs, Windows(block, window))))
+    return docs

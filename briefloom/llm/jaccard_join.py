@@ -288,3 +288,16 @@ def jaccard_classes(
         "__id", F.col("__id").alias("class_id"), zero.alias("n_links"), zero.alias("n_linked_texts"), F.lit(1).cast("long").alias("class_size")
     )
     return with_words.unionByName(alone).withColumnRenamed("__id", id_col)
+
+
+def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+    """One document of every class of near-duplicates, with all its columns: that of the smallest identifier.
+
+    Documents are told apart by identifier and text. Rows that repeat both are one document and stay together.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    row = F.struct(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text"))
+    classes = jaccard_classes(docs.select(row.alias("__row"), text.alias("__whole")), "__row", "__whole", **join)
+    kept = classes.where(F.col("__row").eqNullSafe(F.col("class_id"))).select(F.col("__row.id").alias("__keep"), F.col("__row.text").alias("__key")).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("__key"))
+    return docs.join(kept, same, "left_semi")

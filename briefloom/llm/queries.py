@@ -17,6 +17,13 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.chat import format_chats
+
+    chats = format_chats(_table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "n_turns", "n_copies", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.llm.quality import score_quality
 
@@ -104,7 +111,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), retain="largest")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op4_pii": op4_pii,
@@ -117,6 +132,25 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat_formatting": """
+        WITH turns AS (
+            SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                   '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS part
+            FROM turns
+        ), prefixes AS (
+            SELECT conv_id, pos, string_agg(part, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix,
+                   count(*) OVER (PARTITION BY conv_id) AS n_turns
+            FROM placed
+        ), whole AS (
+            SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, prefix AS rendered
+            FROM prefixes WHERE pos = n_turns GROUP BY n_turns, prefix
+        )
+        SELECT conv_id, n_turns, n_copies, sha256(rendered) AS rendered_sha256
+        FROM whole
+        WHERE rendered NOT IN (SELECT prefix FROM prefixes WHERE pos < n_turns)
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
