@@ -88,12 +88,12 @@ def map_batches(
     return source.mapInArrow(run, out)
 
 
-def salted_lookup(rows: DataFrame, key: str, values: DataFrame, salt_by: str, salts: int = 64) -> DataFrame:
-    """Add the columns of ``values`` (one row per ``key``) to ``rows``; rows without a value are dropped.
+def salted_lookup(rows: DataFrame, key: str, values: DataFrame, salt_by: str, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Add the columns of ``values`` (one row per ``key``) to ``rows``; with "inner", rows without a value are dropped.
 
     A key that a third of all rows hold does not meet in one task: the values go to every (key, salt) that occurs, at
     most ``salts`` rows of a key, and from there to the rows.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     spread = salted.groupBy(key, "__salt").agg(F.lit(1).alias("__one")).drop("__one").join(values, key)
-    return salted.join(spread, [key, "__salt"]).drop("__salt")
+    return salted.join(spread, [key, "__salt"], how).drop("__salt")

@@ -67,9 +67,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows that stay, with all their columns. Of rows repeated with equal identifier and text any one stays."""
     groups = exact_groups(docs, id_col, text_col, retain)
     kept = groups.where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__digest"))
-    digest = F.sha2(text_or_empty(F.col(f"`{text_col}`").cast("string")), 256)
-    stay = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")) & (digest == F.col("__digest")), "left_semi")
+    digest = F.sha2(text_or_empty(docs[f"`{text_col}`"].cast("string")), 256)
+    stay = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["__keep"]) & (digest == kept["__digest"]), "left_semi")
     repeated = groups.where("not kept").select(F.col(id_col), "keep_id").where(F.col(id_col).eqNullSafe(F.col("keep_id")))
     if repeated.isEmpty():
         return stay
-    return stay.dropDuplicates([id_col, text_col])
+    empty = text_or_empty(F.col(f"`{text_col}`").cast("string"))
+    return stay.withColumn("__same text", F.sha2(empty, 256)).dropDuplicates([id_col, "__same text"]).drop("__same text")

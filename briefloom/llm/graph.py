@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.llm.common import salted_lookup
 from briefloom.session import materialize
 
 
@@ -27,8 +28,9 @@ def connected(links: DataFrame) -> DataFrame:
     state = least.select(F.col("u").alias("node"), F.col("m").alias("root"), F.lit(True).alias("moved"))
     while True:
         up = state.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        climbed = salted_lookup(state.select("node", "root"), "root", up, "node", how="left")  # very many nodes can have one root
         state = materialize(
-            state.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots"
+            climbed.select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots"
         )
         if state.where("moved").isEmpty():
             break

@@ -299,5 +299,6 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row = F.struct(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text"))
     classes = jaccard_classes(docs.select(row.alias("__row"), text.alias("__whole")), "__row", "__whole", **join)
     kept = classes.where(F.col("__row").eqNullSafe(F.col("class_id"))).select(F.col("__row.id").alias("__keep"), F.col("__row.text").alias("__key")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("__key"))
+    own = F.coalesce(F.xxhash64(docs[f"`{text_col}`"].cast("string")), F.lit(0))
+    same = docs[f"`{id_col}`"].eqNullSafe(kept["__keep"]) & (own == kept["__key"])
     return docs.join(kept, same, "left_semi")

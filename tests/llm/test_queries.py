@@ -1,0 +1,91 @@
+"""The registered queries on whole small tables: against SQL where there is one, else against brute force."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from briefloom.llm import queries as llm
+from briefloom.session import materialize
+
+TABLES = ("documents", "benchmark", "labels", "conversations")
+
+
+@pytest.fixture(scope="module")
+def sql(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return con
+
+
+def table(df):
+    return sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_against_sql(spark, sf, sql, name):
+    df = llm.QUERIES[name](spark, sf)
+    rel = sql.sql(llm.ORACLES[name])
+    order = [rel.columns.index(c) for c in sorted(rel.columns)]
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert table(df) == sorted(tuple(str(r[i]) for i in order) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(llm.QUERIES) - {"pipeline", "op1_chat_formatting"}))
+def test_a_row_for_every_document(spark, sf, sql, name):
+    got = sorted(r.doc_id for r in llm.QUERIES[name](spark, sf).select("doc_id").collect())
+    assert got == sorted(r[0] for r in sql.sql("select doc_id from documents").fetchall())
+
+
+def test_repeats_of_documents(spark, sf, sql):
+    import hashlib
+
+    from test_operators import covered
+
+    docs = sql.sql("select doc_id, text from documents").fetchall()
+    want = {i: (*c[:3], hashlib.sha256(c[3]).hexdigest()) for (i, _), c in zip(docs, covered([t for _, t in docs], 400))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in llm.QUERIES["op6_suffix_array_dedup"](spark, sf).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 0
+
+
+def test_contamination_of_documents(spark, sf, sql):
+    from test_operators import hits
+
+    docs = sql.sql("select doc_id, text from documents").fetchall()
+    want = {i: h for (i, _), h in zip(docs, hits([t for _, t in docs], sql.sql("select item_id, text from benchmark").fetchall()))}
+    got = {r.doc_id: r for r in llm.QUERIES["op7_benchmark_decontamination"](spark, sf).collect()}
+    assert {i: (r.n_words, r.n_hit, r.n_items, r.contaminated) for i, r in got.items()} == {i: (h[0], h[1], len(h[2]), h[3]) for i, h in want.items()}
+
+
+def test_pipeline_stage_by_stage(spark, sf, sql):
+    from test_operators import classes, hits
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, text = docs.columns, dict(sql.sql("select doc_id, text from documents").fetchall())
+    labels = dict(sql.sql("select doc_id, quality from labels").fetchall())
+    bench = sql.sql("select item_id, text from benchmark").fetchall()
+    before = set(text)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+        now = {r.doc_id for r in docs.collect()}
+        assert now <= before
+        if name == "quality_classifier":
+            good = [i for i in before if labels.get(i) == 1]
+            bad = [i for i in before if labels.get(i) == 0]
+            assert len(now & set(good)) > 0.97 * len(good) and len(now & set(bad)) < 0.4 * len(bad)
+        elif name == "exact_dedup":
+            best = {}
+            for i in before:
+                best[text[i]] = max(i, best.get(text[i], i))
+            assert now == set(best.values())
+        elif name == "ngram_jaccard_join":
+            ids = sorted(before)
+            _, group, _ = classes([text[i] for i in ids])
+            assert now == {ids[g] for g in group}
+        else:
+            ids = sorted(before)
+            assert now == {i for i, h in zip(ids, hits([text[i] for i in ids], bench)) if not h[3]}
+        before = now
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in last.collect()} == before
