@@ -121,7 +121,7 @@ class ForcedBoundaryBpe:
         for fragment in self.split(self.symbols(mapped)):
             known = self.fragments.get(fragment)
             if known is None:
-                if len(self.fragments) >= CACHE_ENTRIES:
+                if len(self.fragments) >= CACHE_ENTRIES // 4:
                     self.fragments.clear()
                 known = self.merge(fragment)
                 if len(fragment) <= 64:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_AT_ONCE = 1 << 23  # bytes of text that one task handles at a time
+ROWS_AT_ONCE = 1 << 22  # bytes of text that one task handles at a time
 
 
 def id_type(docs: DataFrame, id_col: str) -> T.DataType:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.llm.common import ROWS_AT_ONCE, byte_cuts, ids_and_texts, text_bytes, text_or_empty, text_sizes
+from briefloom.llm.common import byte_cuts, ids_and_texts, text_bytes, text_or_empty, text_sizes
 from briefloom.llm.decontam import word_keys, word_places
 
 #: Rows that the fit reads at most: positives, unlabelled documents.
@@ -161,6 +161,7 @@ def held_out(key: Column) -> Column:
 
 
 _SLOTS = 1 << 30
+_AT_ONCE = 1 << 20  # bytes of text whose features are computed together
 
 
 def _slot(key: Column) -> Column:
@@ -171,7 +172,7 @@ def _slot(key: Column) -> Column:
 @F.arrow_udf(T.BinaryType())
 def _features_udf(texts: pa.Array) -> pa.Array:
     out: list[bytes] = []
-    for start, stop in byte_cuts(text_sizes(texts), ROWS_AT_ONCE):
+    for start, stop in byte_cuts(text_sizes(texts), _AT_ONCE):
         out += [row.tobytes() for row in features(texts.slice(start, stop - start))]
     return pa.array(out, pa.binary())
 
@@ -220,7 +221,7 @@ def quality_score(scorer: Scorer, text: Column) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        parts = [scorer.score(features(texts.slice(a, b - a))) for a, b in byte_cuts(text_sizes(texts), ROWS_AT_ONCE)]
+        parts = [scorer.score(features(texts.slice(a, b - a))) for a, b in byte_cuts(text_sizes(texts), _AT_ONCE)]
         return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return score(text_or_empty(text.cast("string")))
