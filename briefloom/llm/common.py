@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_AT_ONCE = 1 << 22  # bytes of text that one task handles at a time
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes, and send this package to the executors, once per application.
+
+    Functions on executors import the package by name. A smaller limit that the session already sets stays.
+    """
+    limit = spark.conf.get(_BATCH_CONF, "64m").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    held = int(limit[:-1]) * units[limit[-1]] if limit[-1] in units else int(limit)
+    if not 0 < held <= ROWS_AT_ONCE:
+        spark.conf.set(_BATCH_CONF, str(ROWS_AT_ONCE))
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="briefloom-"))  # on the driver, which serves the file
+    with zipfile.ZipFile(folder / "briefloom_package.zip", "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(folder / "briefloom_package.zip"))
+    _SHIPPED.add(application)
+
+
 
 
 def id_type(docs: DataFrame, id_col: str) -> T.DataType:
@@ -19,6 +48,7 @@ def id_type(docs: DataFrame, id_col: str) -> T.DataType:
 
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, under internal names: extra columns cannot clash."""
+    prepare(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
 
 
@@ -86,14 +116,3 @@ def map_batches(
             )
 
     return source.mapInArrow(run, out)
-
-
-def salted_lookup(rows: DataFrame, key: str, values: DataFrame, salt_by: str, salts: int = 64, how: str = "inner") -> DataFrame:
-    """Add the columns of ``values`` (one row per ``key``) to ``rows``; with "inner", rows without a value are dropped.
-
-    A key that a third of all rows hold does not meet in one task: the values go to every (key, salt) that occurs, at
-    most ``salts`` rows of a key, and from there to the rows.
-    """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    spread = salted.groupBy(key, "__salt").agg(F.lit(1).alias("__one")).drop("__one").join(values, key)
-    return salted.join(spread, [key, "__salt"], how).drop("__salt")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.llm.common import ROWS_AT_ONCE, byte_cuts, id_type, ids_and_texts, slices, text_bytes, text_or_empty, text_sizes
+from briefloom.llm.common import ROWS_AT_ONCE, byte_cuts, id_type, ids_and_texts, prepare, slices, text_bytes, text_or_empty, text_sizes
 from briefloom.session import materialize
 
 WINDOW = 10
@@ -352,6 +352,7 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any hit word, with all their columns. Each block of the benchmark is one more filter."""
+    prepare(docs.sparkSession)
 
     def clean(shipped, number: int):
         @F.arrow_udf(T.BooleanType())

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.llm.common import id_type, ids_and_texts, salted_lookup, slices, text_bytes
+from briefloom.llm.common import id_type, ids_and_texts, slices, text_bytes
 from briefloom.llm.decontam import word_keys, word_places
-from briefloom.llm.graph import connected
+from briefloom.operators.graph import connected, salted_lookup
 from briefloom.session import materialize
 
 N_WORDS = 5

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.llm.common import byte_cuts, ids_and_texts, text_bytes, text_or_empty, text_sizes
+from briefloom.llm.common import byte_cuts, ids_and_texts, prepare, text_bytes, text_or_empty, text_sizes
 from briefloom.llm.decontam import word_keys, word_places
 
 #: Rows that the fit reads at most: positives, unlabelled documents.
@@ -241,5 +241,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **training) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns."""
+    prepare(docs.sparkSession)
     scorer = train(docs, labels, id_col, text_col, **training)
     return docs.where(quality_score(scorer, F.col(f"`{text_col}`")) >= threshold)

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.llm.common import id_type, ids_and_texts, salted_lookup, slices, text_bytes, text_or_empty
+from briefloom.llm.common import id_type, ids_and_texts, slices, text_bytes, text_or_empty
 from briefloom.llm.gsaca import suffix_arrays
+from briefloom.operators.graph import salted_lookup
 from briefloom.session import materialize
 
 LENGTH = 400
