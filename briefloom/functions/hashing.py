@@ -17,10 +17,10 @@ def id_from_url(canonical_url: Column) -> Column:
     return F.substring(sha256(canonical_url), 1, 16)
 
 
-def content_hash(title: Column, snippet: Column, snippet_chars: int | None = 300) -> Column:
-    """Fingerprint of a story (C11): words of the title and the first characters of the snippet.
+def content_hash(title: Column, snippet: Column, snippet_chars: int | None = None) -> Column:
+    """Fingerprint of a story (C11): words of the title and of the snippet.
 
-    ``snippet_chars=None`` fingerprints the whole text, for tables of full documents.
+    ``snippet_chars`` limits the snippet to its first characters, where fingerprints of another system must be met.
     """
     body = collapse_whitespace(normalize_words(F.coalesce(snippet, F.lit(""))))
     if snippet_chars is not None:

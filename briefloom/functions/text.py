@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -289,3 +290,15 @@ def source_group(
     for prefix, label in prefixes.items():
         out = (F if out is None else out).when(source_id.startswith(prefix), F.lit(label))
     return source_name if out is None else out.otherwise(source_name)
+
+
+def filled(template: str, **values: Column | str) -> Column:
+    """Text of a template; null if one of its values is."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name:
+            value = values[name]
+            parts.append(F.lit(value) if isinstance(value, str) else value.cast("string"))
+    return F.concat(*parts)

@@ -219,10 +219,11 @@ def feed_check(parsed: DataFrame, errors: DataFrame, feeds: DataFrame) -> DataFr
     ).orderBy("ok", "source_id")
 
 
-def error_log(errors: DataFrame, limit: int = 60) -> DataFrame:
-    """First errors in order, as ``[scope] message``."""
+def error_log(errors: DataFrame, limit: int | None = None) -> DataFrame:
+    """Errors in order, with ``limit`` the first ones, as ``[scope] message``."""
     text = F.concat(F.lit("["), F.col("scope"), F.lit("] "), F.col("message"))
-    return errors.select("ord", "scope", text.alias("error")).orderBy("ord").limit(limit)
+    log = errors.select("ord", "scope", text.alias("error")).orderBy("ord")
+    return log if limit is None else log.limit(limit)
 
 
 def range_errors(errors: DataFrame) -> DataFrame:

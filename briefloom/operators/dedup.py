@@ -14,6 +14,7 @@ candidates whatever the skew. Intermediate tables are written to the shared fold
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ from briefloom.operators.pairs import (
     item_index,
     matching_items,
 )
+from briefloom.operators.ranges import merge_groups
 from briefloom.schemas import COVERAGE
-from briefloom.session import materialize, spread, with_scalars
+from briefloom.session import materialize, with_scalars
 
 
 @dataclass(frozen=True)
@@ -35,58 +37,76 @@ class DedupOptions:
     #: candidate pairs a batch may produce, per item and at least
     pairs_per_item: int = 1_000
     min_pair_budget: int = 400_000_000
-    #: coverage lists up to this length are nested into the item; longer ones stay in the table
-    max_nested_coverage: int = 1_000
 
 
 @dataclass(frozen=True)
 class DedupResult:
     """Lazy tables of one deduplication."""
 
-    items: DataFrame  #: one row per group, the best copy
+    items: DataFrame  #: one row per group, the best copy, with coverage_count
     coverage: DataFrame  #: (group_ord, source_name, url, tier, ord), complete
     assignment: DataFrame  #: (ord, root): every input row and the leader of its group
     stats: DataFrame  #: one row of counters
 
 
+def sort_code(*parts: tuple[Column, int]) -> Column:
+    """One decimal that orders like its parts: (non-negative whole number, its largest number of digits).
+
+    A decimal is a value that hash aggregation can keep per key, a struct is not. Null counts as 0.
+    """
+    if sum(digits for _, digits in parts) > 38:
+        raise ValueError("a decimal has 38 digits")
+    texts = [F.lpad(F.coalesce(value.cast("bigint"), F.lit(0)).cast("string"), digits, "0") for value, digits in parts]
+    return F.concat(*texts).cast("decimal(38,0)")
+
+
+def shorter(length: Column) -> Column:
+    """Longer first, as a non-negative number."""
+    return F.lit(2**31 - 1) - length
+
+
 def preference(tier: str = "source_tier", ts: str = "published_at", unverified: str = "unverified", snippet: str = "snippet") -> Column:
     """Sort key of the best copy (E3): tier, dated, verified, longer snippet, then earlier."""
-    return F.struct(
-        F.col(tier).alias("tier"),
-        F.col(ts).isNull().alias("undated"),
-        F.col(unverified).alias("unverified"),
-        (-F.length(snippet)).alias("shorter"),
-        F.col("ord").alias("ord"),
-    )
+    flags = 2 * F.col(ts).isNull().cast("int") + F.coalesce(F.col(unverified), F.lit(False)).cast("int")
+    # A missing tier comes first, as null does; tiers are small numbers.
+    rank = F.when(F.col(tier).isNull(), 0).otherwise(1 + F.least(F.greatest(F.col(tier), F.lit(0)), F.lit(9_999_998)))
+    return sort_code((rank, 7), (flags, 1), (shorter(F.coalesce(F.length(snippet), F.lit(0))), 10), (F.col("ord"), 19))
+
+
+def code_ord(code: Column) -> Column:
+    """The ``ord`` that a sort key ends with."""
+    return (code % F.lit(str(10**19)).cast("decimal(20,0)")).cast("bigint")
 
 
 def keep_best(df: DataFrame, key: str, rank: Column | None = None) -> DataFrame:
     """Best row per key and the number of its copies.
 
-    One pre-aggregated pass: every task sends at most one row per key, so a key that holds a
-    large share of the rows needs no big sort and no second read of the input.
+    ``rank`` is a ``sort_code`` that ends with the unique, non-negative ``ord``. Only keys and ranks are aggregated,
+    before the shuffle, so a key that holds a large share of the rows sends one number per task;
+    the winning rows are then picked by ``ord``.
     """
     rank = preference() if rank is None else rank
-    best = df.groupBy(F.col(key).alias("__key")).agg(
-        F.min_by(F.struct(*df.columns), rank).alias("row"), F.count(F.lit(1)).alias("copies")
-    )
-    return best.select("row.*", "copies")
+    best = df.groupBy(F.col(key).alias("__key")).agg(F.min(rank).alias("code"), F.count(F.lit(1)).alias("copies"))
+    return df.join(best.select(code_ord(F.col("code")).alias("ord"), "copies"), "ord")
 
 
 def first_by(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
-    """First row per key in an explicit order (E8). ``order`` must be unique within the key."""
-    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
-    first = df.groupBy(*named).agg(F.min_by(F.struct(*df.columns), order).alias("row"))
-    return first.select("row.*")
+    """First row per key in an explicit order (E8). ``order`` must be unique within the key.
+
+    Keys and order alone are aggregated; the rows are then picked by both.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    named = [k.alias(n) for k, n in zip(keys, names)]
+    first = df.groupBy(*named).agg(F.min(order).alias("__order"))
+    marked = df.withColumns({**dict(zip(names, keys)), "__order": order})
+    same = [marked[n].eqNullSafe(first[n]) for n in (*names, "__order")]
+    return marked.join(first, reduce(lambda a, b: a & b, same), "left_semi").drop(*names, "__order")
 
 
 def exact_groups(df: DataFrame, url: str = "canonical_url", digest: str = "content_hash") -> DataFrame:
-    """Root of every row by equal URL, then by equal fingerprint of the URL roots."""
-    by_url = df.groupBy(url).agg(F.min(F.struct("ord", digest)).alias("u"))
-    url_root = by_url.select(F.col(url), F.col("u.ord").alias("u_ord"), F.col(f"u.{digest}").alias("u_digest"))
-    by_hash = url_root.groupBy("u_digest").agg(F.min("u_ord").alias("root"))
-    roots = url_root.join(by_hash, "u_digest").select(url, "root")
-    return df.select("ord", url).join(roots, url).select("ord", "root")
+    """Root of every row (D1, D2): the earliest row it reaches over equal URLs or equal fingerprints."""
+    rows = df.select("ord", F.col(url).alias("canonical_url"), F.col(digest).alias("content_hash"), F.col("ord").cast("string").alias("id"))
+    return merge_groups(rows).withColumnRenamed("first_ord", "root")
 
 
 def _empty(df: DataFrame) -> bool:
@@ -148,7 +168,7 @@ def _batch_limit(index: DataFrame, budget: int) -> int | None:
 def cluster(items: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
     """Leader of every item under the similarity rules: (ord, leader, fuzzy)."""
     sim = options.similarity
-    features = materialize(item_features(spread(items), sim), "features")
+    features = materialize(item_features(items, sim), "features")
     index = materialize(item_index(features, sim), "index")
     budget = max(options.min_pair_budget, options.pairs_per_item * features.count())
     links = None
@@ -194,7 +214,7 @@ def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions()) -> DedupR
         "ord", "root", "id", "canonical_url", "source_name", "source_tier", "published_at", "unverified", "snippet"
     )
     best = members.groupBy("root").agg(
-        F.min(preference()).getField("ord").alias("ord"),
+        code_ord(F.min(preference())).alias("ord"),
         F.min_by("id", "ord").alias("root_id"),
         F.count(F.lit(1)).alias("group_size"),
     )
@@ -212,7 +232,7 @@ def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions()) -> DedupR
         "coverage",
     )
     items = (
-        nest_coverage(primary, coverage, options.max_nested_coverage)
+        count_coverage(primary, coverage)
         .withColumn("duplicate_group_id", F.when(F.col("is_fuzzy"), F.col("root_id")))
         .drop("root_id", "is_fuzzy")
     )
@@ -227,24 +247,20 @@ def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions()) -> DedupR
     return DedupResult(items, coverage, assignment, stats)
 
 
-def nest_coverage(primary: DataFrame, coverage: DataFrame, max_nested: int) -> DataFrame:
-    """Attach coverage lists (E5) in item order. Lists longer than ``max_nested`` are not gathered
-    into one row: they keep their count here and stay complete in the coverage table."""
-    counts = coverage.groupBy("group_ord").agg(F.count(F.lit(1)).alias("coverage_count"))
-    small = coverage.join(counts.where(F.col("coverage_count") <= max_nested), "group_ord", "left_semi")
-    lists = small.groupBy("group_ord").agg(
+def count_coverage(primary: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Number of coverage rows of every item. The rows stay in their table, whatever their number."""
+    counts = coverage.groupBy(F.col("group_ord").alias("ord")).agg(F.count(F.lit(1)).alias("coverage_count"))
+    joined = primary.drop("related_coverage", "coverage_count").join(counts, "ord", "left")
+    return joined.withColumn("coverage_count", F.coalesce("coverage_count", F.lit(0)))
+
+
+def nest_coverage(items: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Attach the whole coverage list to every item (E5), in item order: for readers that want one document per story."""
+    lists = coverage.groupBy(F.col("group_ord").alias("ord")).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("ord", "source_name", "url", "tier"))),
+            F.array_sort(F.collect_list(F.struct(F.col("ord").alias("place"), "source_name", "url", "tier"))),
             lambda c: F.struct(c["source_name"].alias("source_name"), c["url"].alias("url"), c["tier"].alias("tier")),
         ).alias("related_coverage")
     )
-    base = primary.drop("related_coverage", "coverage_count")
-    return (
-        base.join(counts.withColumnRenamed("group_ord", "ord"), "ord", "left")
-        .join(lists.withColumnRenamed("group_ord", "ord"), "ord", "left")
-        .withColumn("coverage_count", F.coalesce("coverage_count", F.lit(0)))
-        .withColumn(
-            "related_coverage",
-            F.when(F.col("coverage_count") == 0, F.array().cast(f"array<{COVERAGE}>")).otherwise(F.col("related_coverage")),
-        )
-    )
+    empty = F.array().cast(f"array<{COVERAGE}>")
+    return items.drop("related_coverage").join(lists, "ord", "left").withColumn("related_coverage", F.coalesce("related_coverage", empty))

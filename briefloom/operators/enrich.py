@@ -9,12 +9,13 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from briefloom.functions.text import truncate
 from briefloom.lexicons.model import RuleSet
 from briefloom.operators.classify import ANALYSIS_COLUMNS, classify
 from briefloom.operators.quality import ANALYSIS_RULES, violations
-from briefloom.session import materialize
+from briefloom.session import materialize, parallelism
 
 #: Batches of (ord, content_hash, prompt) in, batches with ord and the analysis columns out.
 BatchModel = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -28,40 +29,66 @@ CACHE_WRITE_FACTOR = 1.25
 CACHE_READ_FACTOR = 0.1
 
 
+@dataclass(frozen=True)
+class PromptLabels:
+    """Wording of the model input; every label starts a line."""
+
+    title: str = "Headline"
+    outlet: str = "Outlet"
+    tier: str = "tier"
+    unverified: str = "not verified"
+    country: str = "Country"
+    language: str = "Language"
+    published: str = "Published"
+    undated: str = "unknown"
+    press_release: str = "Form: press release"
+    sponsored: str = "Form: paid content"
+    text: str = "Text"
+    competitors: str = "Competitors named"
+    brands: str = "Brands named"
+    coverage: str = "Other outlets with this story"
+
+
 @dataclass(frozen=True)
 class EnrichOptions:
-    max_model_items: int = 60
-    max_input_chars: int | None = 1600
+    #: best-scored items a model may see; all by default, the budget is the stop
+    max_model_items: int | None = None
+    max_input_chars: int | None = None
     model_name: str | None = None
+    labels: PromptLabels = PromptLabels()
+
+
+@dataclass(frozen=True)
+class Enrichment:
+    """Tables of one enrichment."""
+
+    items: DataFrame  #: every item with its analysis
+    errors: DataFrame  #: (ord, scope, message): batches the model failed on, answers that break the schema
+    fresh: DataFrame  #: cache rows of new model answers: content_hash, analysis, provenance
 
 
 def prompt_text(options: EnrichOptions = EnrichOptions()) -> Column:
-    """Model input of an item: one line per fact that is present."""
-    tier = F.concat(F.lit("Tier "), F.col("source_tier").cast("string"), F.when(F.col("unverified"), F.lit(", ยังไม่ยืนยัน")).otherwise(F.lit("")))
+    """Model input of an item: one line per fact that is present (F12). Needs ``coverage_count``."""
+    words = options.labels
+
+    def line(label: str, *value: Column) -> Column:
+        return F.concat(F.lit(f"{label}: "), *value)
+
+    note = F.when(F.col("unverified"), F.lit(f", {words.unverified}")).otherwise(F.lit(""))
+    when = F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(words.undated))
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("หัวข้อข่าว: "), F.col("title")),
-        F.concat(F.lit("สำนักข่าว: "), F.col("source_name"), F.lit(" ("), tier, F.lit(")")),
-        F.concat(F.lit("ประเทศ: "), F.col("source_country")),
-        F.concat(F.lit("ภาษา: "), F.col("language")),
-        F.concat(
-            F.lit("วันที่เผยแพร่: "),
-            F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("ไม่ระบุ")),
-        ),
-        F.when(F.col("is_press_release"), F.lit("ประเภท: ข่าวประชาสัมพันธ์ (Press Release)")),
-        F.when(F.col("is_sponsored"), F.lit("ประเภท: เนื้อหาโฆษณา (Sponsored)")),
-        F.concat(F.lit("เนื้อหาย่อ: "), truncate(F.col("snippet"), options.max_input_chars)),
-        F.when(
-            F.size("matched_competitors") > 0,
-            F.concat(F.lit("คู่แข่งที่ระบบตรวจพบ: "), F.array_join("matched_competitors", ", ")),
-        ),
-        F.when(
-            F.size("matched_brands") > 0, F.concat(F.lit("แบรนด์ที่ระบบตรวจพบ: "), F.array_join("matched_brands", ", "))
-        ),
-        F.when(
-            F.size("related_coverage") > 0,
-            F.concat(F.lit("รายงานจากแหล่งอื่น: "), F.size("related_coverage").cast("string"), F.lit(" แหล่ง")),
-        ),
+        line(words.title, F.col("title")),
+        line(words.outlet, F.col("source_name"), F.lit(f" ({words.tier} "), F.col("source_tier").cast("string"), note, F.lit(")")),
+        line(words.country, F.col("source_country")),
+        line(words.language, F.col("language")),
+        line(words.published, when),
+        F.when(F.col("is_press_release"), F.lit(words.press_release)),
+        F.when(F.col("is_sponsored"), F.lit(words.sponsored)),
+        F.when(F.size("matched_competitors") > 0, line(words.competitors, F.array_join("matched_competitors", ", "))),
+        F.when(F.size("matched_brands") > 0, line(words.brands, F.array_join("matched_brands", ", "))),
+        F.when(F.col("coverage_count") > 0, line(words.coverage, F.col("coverage_count").cast("string"))),
+        line(words.text, truncate(F.col("snippet"), options.max_input_chars)),
     )
 
 
@@ -81,19 +108,23 @@ def enrich(
     model: BatchModel | None = None,
     options: EnrichOptions = EnrichOptions(),
     budget: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Analysis of every item: cached, else by the model for the highest scores, else by the rules.
+) -> Enrichment:
+    """Analysis of every item (J1): cached, else by the model for the highest scores, else by the rules.
 
-    The cap counts cache hits, so the top rows are picked before hits are removed. They are
-    picked with a sorted limit; no global window runs over the table. Model rows that fail or
-    break the schema fall back to the rules. ``budget`` may drop model candidates whose
-    running cost exceeds a limit (see ``within_budget``).
+    A limit on model items counts cache hits, so the top rows are picked before hits are removed. They are
+    picked with a sorted limit; no global window runs over the table. Where the model fails or its answer
+    breaks the schema, the rules decide and an error row is kept. ``budget`` takes the candidates (ord,
+    prefilter_score, content_hash, prompt) and returns those that may be asked (see ``within_budget``).
     """
     misses = items if cache is None else items.join(cache.select("content_hash"), "content_hash", "left_anti")
     parts = []
     rest = misses
+    schema = classify(misses, rules).select("ord", *ANALYSIS_COLUMNS).schema
+    spark = items.sparkSession
+    errors = spark.createDataFrame([], "ord bigint, scope string, message string")
+    answers = spark.createDataFrame([], schema)
     if model is not None:
-        answers = _model_answers(items, misses, rules, cache, model, options, budget)
+        answers, errors = _model_answers(items, misses, schema, cache, model, options, budget)
         rest = misses.join(answers.select("ord"), "ord", "left_anti")
         bare = misses.drop(*ANALYSIS_COLUMNS, *PROVENANCE)
         parts.append(_from(bare.join(answers, "ord"), "ai", options.model_name))
@@ -102,38 +133,58 @@ def enrich(
     if cache is not None:
         parts.append(overlay_cache(items, cache))
     final = reduce(lambda x, y: x.unionByName(y.select(*x.columns)), parts)
-    return final.withColumns(
-        {
-            "source_url": F.col("canonical_url"),
-            "title_original": F.col("title"),
-            "original_snippet": F.col("snippet"),
-        }
-    )
+    final = final.withColumns({"source_url": F.col("canonical_url"), "title_original": F.col("title"), "original_snippet": F.col("snippet")})
+    fresh = _from(misses.select("ord", "content_hash").join(answers, "ord"), "ai", options.model_name)
+    return Enrichment(final, errors, fresh.select("content_hash", *ANALYSIS_COLUMNS, *PROVENANCE))
 
 
 def _from(df: DataFrame, by: str, model: str | None) -> DataFrame:
     return df.withColumns({"analyzed_by": F.lit(by), "analysis_model": F.lit(model).cast("string")})
 
 
+def _guarded(model: BatchModel, columns: list[str]) -> BatchModel:
+    """The model, called batch by batch; a batch it fails on gives rows with the error instead of ending the job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                found = [answer.assign(error=None) for answer in model(iter([batch]))]
+            except Exception as e:  # noqa: BLE001  whatever a model raises
+                failed = {c: [None] * len(batch) for c in columns} | {"ord": batch["ord"], "error": f"{type(e).__name__}: {e}"}
+                found = [pd.DataFrame(failed, index=batch.index)]
+            yield from (x[[*columns, "error"]] for x in found)
+
+    return run
+
+
 def _model_answers(
     items: DataFrame,
     misses: DataFrame,
-    rules: RuleSet,
+    schema: StructType,
     cache: DataFrame | None,
     model: BatchModel,
     options: EnrichOptions,
     budget: Callable[[DataFrame], DataFrame] | None,
-) -> DataFrame:
-    """Valid model answers for the best-scored items: ord and the analysis columns."""
-    top = items.orderBy(F.desc("prefilter_score"), "ord").limit(options.max_model_items)
-    asked = top if cache is None else top.join(cache.select("content_hash"), "content_hash", "left_anti")
+) -> tuple[DataFrame, DataFrame]:
+    """Valid model answers for the best-scored items (ord and the analysis columns), and error rows."""
+    asked = misses
+    if options.max_model_items is not None:
+        asked = items.orderBy(F.desc("prefilter_score"), "ord").limit(options.max_model_items)
+        asked = asked if cache is None else asked.join(cache.select("content_hash"), "content_hash", "left_anti")
     asked = asked.select("ord", "prefilter_score", "content_hash", prompt_text(options).alias("prompt"))
     if budget is not None:
         asked = budget(asked)
-    schema = classify(misses, rules).select("ord", *ANALYSIS_COLUMNS).schema
+    # A model call costs far more than its bytes show: the rows are dealt out to all tasks, also after a limit.
+    dealt = asked.select("ord", "content_hash", "prompt").repartition(parallelism(asked), "ord")
+    nullable = StructType([StructField(f.name, f.dataType, True) for f in schema.fields] + [StructField("error", StringType())])
     # Written once: a model must not be called again when the rows are read twice.
-    answers = materialize(asked.select("ord", "content_hash", "prompt").mapInPandas(model, schema), "model-answers")
-    return violations(answers, ANALYSIS_RULES).where(F.size("violations") == 0).drop("violations")
+    answers = materialize(dealt.mapInPandas(_guarded(model, schema.names), nullable), "model-answers")
+    good, failed = answers.where("error is null").drop("error"), answers.where("error is not null")
+    checked = violations(good, ANALYSIS_RULES)
+    valid = checked.where(F.size("violations") == 0).drop("violations")
+    broken = checked.where(F.size("violations") > 0).select("ord", F.lit("model answer").alias("scope"), F.array_join("violations", "; ").alias("message"))
+    errors = failed.select("ord", F.lit("model call").alias("scope"), F.col("error").alias("message")).unionByName(broken)
+    return valid, errors
 
 
 def origin_counts(analyzed: DataFrame) -> DataFrame:
@@ -149,7 +200,7 @@ def price_per_model(usage: DataFrame, prices: DataFrame) -> DataFrame:
     Works on the distinct model names, of which there are few, so the prefix join stays small.
     """
     names = usage.select("model").distinct()
-    candidate = names.join(F.broadcast(prices), F.col("model").startswith(F.col("model_id")), "left")
+    candidate = names.join(prices, F.col("model").startswith(F.col("model_id")), "left")
     best = candidate.groupBy("model").agg(
         F.min_by(
             F.struct("input_price", "output_price"),

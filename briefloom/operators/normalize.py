@@ -12,20 +12,16 @@ from briefloom.functions.text import strip_html, truncate
 from briefloom.functions.urls import with_canonical_url
 from briefloom.lexicons.model import Lexicon
 from briefloom.operators import lexicon as lx
-from briefloom.schemas import COVERAGE
 from briefloom.session import compute_once
 
 
 @dataclass(frozen=True)
 class NormalizeOptions:
-    """Length limits of the stored text. ``None`` keeps and fingerprints whole texts."""
+    """Length limits of the stored text, if a caller wants any. Whole texts are kept and fingerprinted by default."""
 
-    max_title_chars: int | None = 300
-    max_snippet_chars: int | None = 600
-    hash_snippet_chars: int | None = 300
-
-
-WHOLE_TEXT = NormalizeOptions(None, None, None)
+    max_title_chars: int | None = None
+    max_snippet_chars: int | None = None
+    hash_snippet_chars: int | None = None
 
 
 @dataclass(frozen=True)
@@ -61,7 +57,7 @@ def normalize_items(
             "id": id_from_url(F.col("canonical_url")),
             "content_hash": content_hash(F.col("title"), F.col("snippet"), options.hash_snippet_chars),
             "collected_at": now,
-            "related_coverage": F.array().cast(f"array<{COVERAGE}>"),
+            "coverage_count": F.lit(0).cast("bigint"),
         }
     )
     return lx.score(keyed, lexicon)

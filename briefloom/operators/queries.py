@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.lexicons.model import Lexicon
 from briefloom.operators.dedup import first_by
 from briefloom.session import with_scalars
 
-_STEP = 1_000_000
+
+def _place(number: int, *parts: Column) -> Column:
+    """Place of a query in the order of all lists: the list, then up to three numbers of any size."""
+    three = [*parts, *[F.lit(0)] * (3 - len(parts))]
+    return F.struct(F.lit(number).alias("list"), *[p.cast("bigint").alias(n) for n, p in zip("abc", three)])
 
 
 def keyword_queries(terms: DataFrame) -> DataFrame:
     """Terms flagged as queries; Thai before English within a category."""
     lang_ord = F.when(F.col("language") == "th", 0).otherwise(1)
-    order = (F.col("cat_ord") * 2 + lang_ord) * 1000 + F.col("term_ord")
+    place = _place(0, F.col("cat_ord"), lang_ord, F.col("term_ord"))
     return terms.where("query").select(
-        F.col("term").alias("q"), "category_id", "language", order.cast("bigint").alias("ord")
+        F.col("term").alias("q"), "category_id", "language", place.alias("ord")
     )
 
 
@@ -37,7 +41,7 @@ def competitor_queries(competitors: DataFrame, qualifiers: DataFrame, category:
         F.concat(F.lit('"'), F.col("competitor"), F.lit('" '), F.col("qualifier")).alias("q"),
         F.lit(category).alias("category_id"),
         "language",
-        (F.lit(_STEP) + F.col("ord") * 1000 + F.col("qord")).cast("bigint").alias("ord"),
+        _place(1, F.col("ord"), F.col("qord")).alias("ord"),
     )
 
 
@@ -51,7 +55,7 @@ def brand_queries(brands: DataFrame, templates: tuple[tuple[str, str], ...], cat
     rows = brands.where("priority").select("ord", F.inline(F.array(*texts)))
     return rows.select(
         "q", F.lit(category).alias("category_id"), "language",
-        (F.lit(1000 * _STEP) + F.col("ord") * 10 + F.col("t")).cast("bigint").alias("ord"),
+        _place(2, F.col("ord"), F.col("t")).alias("ord"),
     )
 
 
@@ -79,13 +83,13 @@ def all_queries(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
     )
 
 
-def queries_per_locale(queries: DataFrame, locales: DataFrame, n: int = 14) -> DataFrame:
-    """First n queries of each locale's language (D8); locales other than Thai take the English ones."""
+def queries_per_locale(queries: DataFrame, locales: DataFrame, n: int | None = None) -> DataFrame:
+    """Queries of each locale's language, with ``n`` the first ones (D8); locales other than Thai take the English ones."""
     from briefloom.operators.ranking import first_per_source
 
     wanted = locales.withColumn("qlang", F.when(F.col("language") == "th", "th").otherwise("en")).drop("language")
     joined = queries.join(wanted, F.col("language") == F.col("qlang")).drop("qlang")
-    return first_per_source(joined, ["locale_id"], n)
+    return joined if n is None else first_per_source(joined, ["locale_id"], n)
 
 
 # ---- term table against document table ----

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briefloom.operators.graph import connected, salted_lookup
 from briefloom.session import materialize, with_scalars
 
 
@@ -66,30 +67,42 @@ def merge_groups(items: DataFrame) -> DataFrame:
     """
     keys = items.select("ord", F.explode(_keys()).alias("k"))
     first = keys.groupBy("k").agg(F.min("ord").alias("a"))
-    links = materialize(
-        keys.join(first, "k").where(F.col("a") < F.col("ord")).select("a", F.col("ord").alias("b")).distinct(), "links"
-    )
-    heads = links.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("head"))
-    state = materialize(heads.withColumn("moved", F.lit(True)), "heads")
-    while not state.where("moved").limit(1).isEmpty():
-        known = state.select(F.col("ord").alias("node"), F.col("head").alias("up"))
-        # One hop along all links, then a jump to the head of the head: chains shrink by doubling.
-        hop = (
-            links.join(known, links.a == known.node, "left")
-            .groupBy(F.col("b").alias("ord"))
-            .agg(F.min(F.least("a", F.coalesce("up", "a"))).alias("hop"))
-        )
-        jump = hop.join(known, hop.hop == known.node, "left").select("ord", F.coalesce("up", "hop").alias("new"))
-        state = materialize(
-            state.join(jump, "ord").select("ord", F.col("new").alias("head"), (F.col("new") < F.col("head")).alias("moved")),
-            "heads",
-        )
-    return items.select("ord").join(state, "ord", "left").select("ord", F.coalesce("head", "ord").alias("first_ord"))
+    links = salted_lookup(keys, "k", first, "ord").where(F.col("a") < F.col("ord")).select("a", F.col("ord").alias("b"))
+    groups = connected(links).select(F.col("node").alias("ord"), "root")
+    return items.select("ord").join(groups, "ord", "left").select("ord", F.coalesce("root", "ord").alias("first_ord"))
+
 
+def merge_heads(items: DataFrame) -> DataFrame:
+    """Group head of every item over several days, without closure (E4): (ord, first_ord).
 
-def merge_items(items: DataFrame) -> DataFrame:
+    In the order of ``ord``, an item joins the group of an earlier item with its fingerprint, else of
+    the last earlier item with its URL, else it opens a group. Groups that only a later item connects stay apart.
+    """
+    digest, url = F.nullif("content_hash", F.lit("")), F.nullif("canonical_url", F.lit(""))
+    keyed = items.select("ord", "date", digest.alias("digest"), F.when(digest.isNull() & url.isNull(), F.concat(F.lit("i:"), "id")).otherwise(F.concat(F.lit("u:"), url)).alias("link"))
+    first = keyed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("ord").alias("first"))
+    # The last earlier item with the same link, by day first: no window sees all rows of a link.
+    linked = keyed.where(F.col("link").isNotNull())
+    days = linked.groupBy("link", "date").agg(F.max("ord").alias("last"))
+    before = Window.partitionBy("link").orderBy(F.desc("date"))
+    days = days.select("link", "date", F.lag("last").over(before).alias("earlier"))
+    inside = Window.partitionBy("link", "date").orderBy("ord")
+    previous = linked.withColumn("near", F.lag("ord").over(inside)).join(days, ["link", "date"]).select("ord", F.coalesce("near", "earlier").alias("previous"))
+    parents = keyed.select("ord", "digest").join(first, "digest", "left").join(previous, "ord", "left")
+    parents = parents.select("ord", F.when(F.col("first") < F.col("ord"), F.col("first")).otherwise(F.col("previous")).alias("up"))
+    state = materialize(parents.select("ord", F.coalesce("up", "ord").alias("head"), F.col("up").isNotNull().alias("moved")), "heads")
+    while not state.where("moved").isEmpty():
+        above = state.select(F.col("ord").alias("head"), F.col("head").alias("above"))
+        climbed = state.join(above, "head").select("ord", F.col("above").alias("head"), (F.col("above") != F.col("head")).alias("moved"))
+        state = materialize(climbed, "heads")
+    return state.select("ord", F.col("head").alias("first_ord"))
+
+
+def merge_items(items: DataFrame, closure: bool = False) -> DataFrame:
     """One row per story over several days (E4): the best copy and all its report dates.
 
+    ``ord`` rises from the newest day to the oldest. With ``closure``, chains of shared keys are one story.
+
     Best: lowest tier (missing counts as 9), then larger absolute impact, then the earlier ``ord``.
     ``first_ord`` gives the order of first appearance.
     """
@@ -97,7 +110,7 @@ def merge_items(items: DataFrame) -> DataFrame:
     weaker = -F.abs(F.coalesce("impact_score", F.lit(0)))
     rank = F.struct(tier.alias("tier"), weaker.alias("weaker"), F.col("ord").alias("ord"))
     groups = (
-        items.join(merge_groups(items), "ord")
+        items.join(merge_groups(items) if closure else merge_heads(items), "ord")
         .groupBy("first_ord")
         .agg(
             F.min(rank).getField("ord").alias("ord"),

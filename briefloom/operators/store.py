@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from briefloom.operators.quality import Rule, split_valid
-from briefloom.session import new_path
 
 RETENTION_DAYS = 31
 CACHE_DAYS = 14
@@ -35,18 +34,26 @@ def upsert_index(index: DataFrame, entries: DataFrame, keep: int = RETENTION_DAY
     return kept.unionByName(entries.select(*index.columns)).orderBy(F.desc("date")).limit(keep)
 
 
-def expired_partitions(stored: DataFrame, index: DataFrame) -> DataFrame:
-    """Stored dates that the index no longer lists."""
-    return stored.select("date").distinct().join(index.select("date"), "date", "left_anti")
+def stored_dates(spark: SparkSession, path: str) -> list[date]:
+    """Dates of a report table, from its partition folders; no data file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [e.getPath().getName() for e in entries]
+    return sorted(date.fromisoformat(n[5:]) for n in names if re.fullmatch(r"date=\d{4}-\d{2}-\d{2}", n))
+
+
+def expired_partitions(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """Stored dates that the index no longer lists (B3, D11): one row per day."""
+    days = spark.createDataFrame([(d,) for d in stored_dates(spark, path)], "date date")
+    return days.join(index.select("date"), "date", "left_anti")
 
 
 def prune(spark: SparkSession, path: str, index: DataFrame) -> list[date]:
-    """Delete the partitions of expired dates and return them. Only directory names are touched."""
-    expired = [r["date"] for r in expired_partitions(read_reports(spark, path), index).collect()]  # one row per day
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Delete the partitions of expired dates and return them."""
+    expired = [r["date"] for r in expired_partitions(spark, path, index).collect()]  # one row per day
     for day in expired:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/date={day.isoformat()}")
-        target.getFileSystem(conf).delete(target, True)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return expired
 
 
@@ -58,9 +65,11 @@ def evict_expired(cache: DataFrame, now: Column, days: int = CACHE_DAYS) -> Data
 def upsert_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """One row per fingerprint, the last saved one (B5). Ties go to the fresh rows."""
     both = cache.withColumn("__new", F.lit(0)).unionByName(fresh.select(*cache.columns).withColumn("__new", F.lit(1)))
-    row = F.struct(*[c for c in cache.columns])
-    last = both.groupBy("content_hash").agg(F.max_by(row, F.struct("saved_at", "__new")).alias("row"))
-    return last.select("row.*")
+    # Only fingerprints and times are aggregated; rows are picked by both, and repeated ones collapse.
+    rank = 2 * F.unix_micros("saved_at") + F.col("__new")
+    last = both.groupBy(F.col("content_hash").alias("__hash")).agg(F.max(rank).alias("__last"))
+    picked = both.join(last, (F.col("content_hash") == F.col("__hash")) & (rank == F.col("__last")), "left_semi")
+    return picked.drop("__new").dropDuplicates(["content_hash"])
 
 
 def new_rows(report: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
@@ -91,19 +100,11 @@ def read_report(spark: SparkSession, path: str, day: str) -> DataFrame | None:
 
 
 def read_latest(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """Newest report (A14): the date comes from the index, the scan is pruned at run time."""
-    newest = index.agg(F.max("date").alias("date"))
-    return spark.read.parquet(path).join(F.broadcast(newest), "date", "left_semi")
+    """Newest report (A14): the date comes from the index, only its partition is read."""
+    newest = index.agg(F.max("date")).first()[0]  # one value
+    return spark.read.parquet(path).where(F.col("date") == F.lit(newest))
 
 
 def read_dates(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
     """Several days, newest first; days without a report return nothing."""
     return spark.read.parquet(path).where(F.col("date").isin(days)).orderBy(F.desc("date"))
-
-
-def rewrite_table(df: DataFrame, path: str, label: str) -> None:
-    """Overwrite a small table that ``df`` itself reads: staged in the shared folder first."""
-    spark = df.sparkSession
-    staged = new_path(spark, label)
-    df.write.parquet(staged)
-    spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").parquet(path)

@@ -14,7 +14,7 @@ from briefloom.operators.enrich import BatchModel, EnrichOptions, enrich, origin
 from briefloom.operators.normalize import NormalizeOptions, RecencyOptions, filter_by_recency, normalize_items
 from briefloom.operators.ranking import candidate_preview, gate, publish_cut, publish_ranking
 from briefloom.plans.briefing import briefing
-from briefloom.session import materialize, spread, with_scalars
+from briefloom.session import materialize, with_scalars
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def collect_funnel(raw: DataFrame, now: Column, lexicon: Lexicon, options: Daily
 
     The normalised items are written once: the counts, the deduplication and the report read them.
     """
-    normalized = materialize(normalize_items(spread(raw), lexicon, now, options.normalize), "normalized")
+    normalized = materialize(normalize_items(raw, lexicon, now, options.normalize), "normalized")
     recent = filter_by_recency(normalized, now, options.recency)
     dedup = deduplicate(recent, options.dedup)
     return Funnel(raw, normalized, recent, dedup, gate(dedup.items, options.min_prefilter_score))
@@ -89,7 +89,7 @@ def run_daily(
 ) -> DailyReport:
     """Raw items to the report tables of one day. Without a model every verdict comes from the rules."""
     funnel = collect_funnel(raw, now, lexicon, options)
-    analyzed = materialize(enrich(funnel.candidates, rules, cache, model, options.enrich), "analyzed")
+    analyzed = materialize(enrich(funnel.candidates, rules, cache, model, options.enrich).items, "analyzed")
     published = publish_cut(analyzed, options.min_relevance)
     counts = funnel.counts()
     return DailyReport(

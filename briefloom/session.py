@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -31,14 +31,24 @@ _LOCAL_DIR: str | None = None
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/briefloom/{label}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/briefloom/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly step over an input of few files.
+    """Use all cores for a costly step over a table of few files. For bare scans only.
 
-    Only a table that comes in fewer partitions than there are cores is redistributed; such a
-    table is small. Large tables are left as they are scanned.
+    A scan knows its partitions from the file listing, nothing runs for it. Only a table that comes
+    in fewer partitions than there are cores is redistributed; such a table is small.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -71,3 +81,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dense_order(df: DataFrame, *order: Column | str, name: str = "ord") -> DataFrame:
+    """Number all rows 0, 1, 2 ... in a total order, without a global window.
+
+    Rows are dealt out by ranges of the order and written; each range is numbered by itself, and the
+    sizes of the ranges before it, one row per range, are added. ``order`` must be unique.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ordered")
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(*order)
+    numbered = ranged.join(offsets, "__range").withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
+    return numbered.drop("__range", "__before")
+
+
+def parallelism(df: DataFrame) -> int:
+    """Tasks of a step whose cost is not visible in its bytes; adaptive coalescing must not shrink it."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

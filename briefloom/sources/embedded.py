@@ -12,7 +12,6 @@ from briefloom.functions.urls import with_sanitized_url
 from briefloom.session import compute_once
 
 _SCRIPT = '(?s)<script id="__NEXT_DATA__" type="application/json">(.*?)</script>'
-MAX_DEPTH = 8
 TOPIC = (
     "struct<id: string, topic_id: string, title: string, detail: string, comment: string, url: string, "
     "created_time: string, last_reply_time: string>"
@@ -25,24 +24,24 @@ def embedded_json(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, _SCRIPT, 1), F.lit(""))
 
 
-def topic_finder():
+def topic_finder(max_depth: int | None = None):
     """Arrow UDF from JSON texts to topic lists, for layouts that are not known in advance.
 
     The search is a small helper per document; it is defined inside, so it travels to the
     executors by value and needs no installed package there.
     """
-    max_depth, fields = MAX_DEPTH, _FIELDS
+    fields = _FIELDS
 
     def is_topic_list(node: list) -> bool:
         head = node[0] if node else None
         return isinstance(head, dict) and "title" in head and ("id" in head or "topic_id" in head)
 
     def search(doc: object) -> list:
-        """First list of topics in document order, not deeper than the limit."""
+        """First list of topics in document order, not deeper than the limit, if there is one."""
         stack = [(doc, 0)]
         while stack:
             node, depth = stack.pop()
-            if depth > max_depth or not isinstance(node, (dict, list)):
+            if (max_depth is not None and depth > max_depth) or not isinstance(node, (dict, list)):
                 continue
             if isinstance(node, list) and is_topic_list(node):
                 return node
@@ -55,7 +54,7 @@ def topic_finder():
 
         try:
             found = search(json.loads(text)) if text else []
-        except ValueError:
+        except (ValueError, RecursionError):
             return []
         rows = [t for t in found if isinstance(t, dict)]
         return [{f: None if t.get(f) is None else str(t[f]) for f in fields} for t in rows]
@@ -71,7 +70,7 @@ def topics_at(doc: Column, path: str) -> Column:
     return F.from_json(F.get_json_object(doc, path), f"array<{TOPIC}>")
 
 
-def forum_topics(pages: DataFrame, html: str = "html", path: str | None = None, max_items: int | None = 15) -> DataFrame:
+def forum_topics(pages: DataFrame, html: str = "html", path: str | None = None, max_items: int | None = None) -> DataFrame:
     """Pages to topic rows, in page order. Without a known ``path`` the topic list is searched for."""
     keep = [c for c in pages.columns if c != html]
     docs = pages.select(*keep, embedded_json(F.col(html)).alias("__doc")).where(F.col("__doc").isNotNull())
@@ -83,7 +82,7 @@ def forum_topics(pages: DataFrame, html: str = "html", path: str | None = None,
 
 def topic_items(
     topics: DataFrame, keep: tuple[str, ...], label: Column, kind: Column, now: Column | None = None,
-    max_snippet_chars: int | None = 400,
+    max_snippet_chars: int | None = None,
 ) -> DataFrame:
     """Topics to raw items (A10). The label goes into the source name, never into scored text."""
     topic_id = F.coalesce("id", "topic_id")

@@ -63,7 +63,7 @@ def feed_errors(feeds: DataFrame, body: str = "body") -> DataFrame:
 
 
 def feed_entries(
-    feeds: DataFrame, body: str = "body", max_title_chars: int | None = 300, max_snippet_chars: int | None = 600,
+    feeds: DataFrame, body: str = "body", max_title_chars: int | None = None, max_snippet_chars: int | None = None,
     now: Column | None = None,
 ) -> DataFrame:
     """RSS 2.0, RDF and Atom documents to entries, one row per usable entry.
@@ -103,8 +103,11 @@ def feed_entries(
     )
 
 
-def feed_items(entries: DataFrame, sources: DataFrame, max_items: int | None = 20) -> DataFrame:
-    """Entries to raw items with the attributes of their source; at most ``max_items`` per source."""
+def feed_items(entries: DataFrame, sources: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Entries to raw items with the attributes of their source; with ``max_items``, the first ones of each source.
+
+    Needs ``ord`` only for such a limit.
+    """
     from briefloom.operators.ranking import first_per_source
 
     attributed = entries.join(sources, "source_id").withColumns(
@@ -119,7 +122,7 @@ def feed_items(entries: DataFrame, sources: DataFrame, max_items: int | None = 2
     return attributed if max_items is None else first_per_source(attributed, ["source_id"], max_items)
 
 
-def search_feed_items(entries: DataFrame, max_snippet_chars: int | None = 400, default_name: str = "Google News") -> DataFrame:
+def search_feed_items(entries: DataFrame, max_snippet_chars: int | None = None, default_name: str = "Google News") -> DataFrame:
     """Search-feed entries: the snippet is markup again and is stripped once more."""
     return entries.withColumns(
         {

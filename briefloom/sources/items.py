@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from briefloom.operators.normalize import with_defaults
 from briefloom.schemas import RAW_ITEM
+from briefloom.session import dense_order
 
 
 def read_raw_items(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -19,31 +20,30 @@ def read_raw_items(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 def union_items(*parts: DataFrame) -> DataFrame:
     """All sources in one table; columns a source lacks become null, then defaults."""
+    return _whole_items(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def _whole_items(merged: DataFrame, *extra: str) -> DataFrame:
     wanted = StructType.fromDDL(RAW_ITEM)
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     have = set(merged.columns)
     cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]
-    return with_defaults(merged.select(*cols))
+    return with_defaults(merged.select(*cols, *extra))
 
 
-def with_ord(parts: list[tuple[DataFrame, list[str]]]) -> list[DataFrame]:
-    """Give each source its place in the item order without a global sort.
+def ordered_union(parts: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """All sources in one table with their place in the item order, ``ord``.
 
-    Every part is (rows, order columns of type integer, most significant first, each below 2^20).
-    The part number comes first, so parts keep their order in the union.
+    Every part is (rows, order columns of type integer, most significant first, unique in the part).
+    Parts keep their order. The numbers are dense, whatever the size of the order columns.
     """
-    out = []
-    for i, (df, order) in enumerate(parts):
-        code = reduce(lambda acc, c: acc * (1 << 20) + F.col(c).cast("bigint"), order, F.lit(i).cast("bigint"))
-        out.append(df.withColumn("ord", code))
-    return out
+    places = [
+        df.withColumn("__place", F.array(F.lit(i).cast("bigint"), *[F.col(c).cast("bigint") for c in order])).drop("ord")
+        for i, (df, order) in enumerate(parts)
+    ]
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), places)
+    return dense_order(_whole_items(merged, "__place"), "__place").drop("__place")
 
 
 def enabled_sources(sources: DataFrame) -> DataFrame:
     """Sources that are switched on."""
     return sources.where(F.coalesce("enabled", F.lit(True)))
-
-
-def configured_sources(health: DataFrame) -> DataFrame:
-    """Sources that are set up; a missing flag counts as set up."""
-    return health.where(F.coalesce("configured", F.lit(True)))

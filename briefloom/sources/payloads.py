@@ -43,9 +43,14 @@ def _social(tier: int = 3) -> dict[str, Column]:
     }
 
 
-def news_api_items(payloads: DataFrame, body: str = "body", max_snippet_chars: int | None = 400) -> DataFrame:
-    """News-search payloads (A5): good ones only, articles with title and link only."""
+def news_api_items(payloads: DataFrame, body: str = "body", max_snippet_chars: int | None = None) -> DataFrame:
+    """News-search payloads (A5): good ones only, articles with title and link only.
+
+    ``language`` is that of the query a payload answers, a column of ``payloads``; null without one.
+    """
     keep = _rest(payloads, body)
+    if "language" not in keep:
+        payloads, keep = payloads.withColumn("language", F.lit(None).cast("string")), [*keep, "language"]
     parsed = payloads.select(*keep, F.from_json(F.col(body), NEWS_SCHEMA).alias("p")).where(F.col("p.status") == "ok")
     rows = parsed.select(*keep, F.posexplode("p.articles").alias("entry_pos", "a"))
     return rows.where(F.coalesce(F.col("a.title"), F.lit("")) != "").where(F.coalesce(F.col("a.url"), F.lit("")) != "").select(
@@ -65,7 +70,7 @@ def news_api_items(payloads: DataFrame, body: str = "body", max_snippet_chars: i
 
 
 def post_items(
-    payloads: DataFrame, body: str = "body", max_title_chars: int | None = 160, max_snippet_chars: int | None = 400
+    payloads: DataFrame, body: str = "body", max_title_chars: int | None = None, max_snippet_chars: int | None = None
 ) -> DataFrame:
     """Page-post payloads (A6); needs page_id. A payload-level error rejects the document."""
     keep = _rest(payloads, body)
@@ -93,7 +98,7 @@ def post_items(
 
 
 def short_video_items(
-    payloads: DataFrame, body: str = "body", max_title_chars: int | None = 160, max_snippet_chars: int | None = 400
+    payloads: DataFrame, body: str = "body", max_title_chars: int | None = None, max_snippet_chars: int | None = None
 ) -> DataFrame:
     """Short-video payloads (A7); needs hashtag. Times are epoch seconds, links come from ids."""
     keep = _rest(payloads, body)
@@ -125,18 +130,19 @@ def api_errors(payloads: DataFrame, body: str = "body") -> DataFrame:
     return payloads.withColumn("error", api_error_reason(F.col(body))).where(F.col("error").isNotNull()).drop(body)
 
 
-def video_stats(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """View counts per video (D9): the last payload row of a video wins."""
+def video_stats(payloads: DataFrame, body: str = "body", ord: str = "ord") -> DataFrame:
+    """View counts per video (D9): the last payload row of a video wins, in the order of ``ord``."""
     good = payloads.where(api_error_reason(F.col(body)).isNull())
-    rows = good.select(F.inline(F.from_json(F.col(body), VIDEO_STATS_SCHEMA)["items"]))
+    listed = good.select(F.col(ord).alias("__ord"), F.posexplode(F.from_json(F.col(body), VIDEO_STATS_SCHEMA)["items"]).alias("__pos", "i"))
+    rows = listed.select("__ord", "__pos", "i.*")
     counted = rows.where(F.col("id").isNotNull() & F.col("statistics.viewCount").isNotNull())
     views = F.coalesce(F.expr("try_cast(statistics.viewCount AS bigint)"), F.lit(0))
-    return counted.groupBy(F.col("id").alias("video_id")).agg(F.max(views).alias("views"))
+    return counted.groupBy(F.col("id").alias("video_id")).agg(F.max_by(views, F.struct("__ord", "__pos")).alias("views"))
 
 
 def video_items(
     payloads: DataFrame, stats: DataFrame, body: str = "body", ord: str = "ord",
-    max_title_chars: int | None = 300, max_snippet_chars: int | None = 400,
+    max_title_chars: int | None = None, max_snippet_chars: int | None = None,
 ) -> DataFrame:
     """Video-search payloads (A8): the first hit of a video over all queries wins, view counts joined on.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.lexicons.model import Brand, Category, Competitor, Country, LabelRule, Lexicon, RuleSet, Signal, Term
-from briefloom.session import spread
+from briefloom.session import materialize, spread
 
 NOW = "2024-01-31T00:00:00Z"
 
@@ -123,21 +123,6 @@ def dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived table that several queries read, written once per application to the shared folder."""
-    from briefloom.session import new_path
-
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        path = new_path(spark, name)
-        build(spark, sf_dir).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
-
-
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.operators.lexicon import score
 
@@ -152,8 +137,8 @@ def classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified documents as a stored report table."""
-    return stored(spark, sf_dir, "analysed", classified_documents)
+    """Classified documents, written as a report table for a query that reads them more than once."""
+    return materialize(classified_documents(spark, sf_dir), "analysed")
 
 
 def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

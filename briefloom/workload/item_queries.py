@@ -8,16 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.functions.text import token_set, trigrams
+from briefloom.functions.text import strip_html, token_set, trigrams
 from briefloom.functions.urls import with_canonical_url
 from briefloom.operators import dedup, enrich, facets, normalize, pairs, quality, queries, ranking
 from briefloom.operators.classify import ANALYSIS_COLUMNS
+from briefloom.session import materialize
 from briefloom.workload.inputs import (
     PROBE_LEXICON, PROBE_RULES, analysed_documents, classified_documents, dedup_items, document_items, now,
     scored_documents, table,
 )
 from briefloom.workload.text_queries import (
-    SQL_CANONICAL, sql_collapse, sql_content_hash, sql_norm, sql_packed, sql_token_set,
+    SQL_CANONICAL, sql_collapse, sql_content_hash, sql_norm, sql_packed, sql_strip_html, sql_token_set,
 )
 
 PAIR_THRESHOLD = 0.65
@@ -56,7 +57,7 @@ def term_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored queries from the dimension tables, first 14 per locale (nation)."""
+    """Stored queries from the dimension tables, per locale (nation)."""
     language = lambda key: F.when(F.col(key) % 2 == 0, "th").otherwise("en")
     terms = table(spark, sf, "part").select(
         F.col("p_type").alias("term"), F.col("p_brand").alias("category_id"), language("p_partkey").alias("language"),
@@ -77,7 +78,8 @@ def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
     locales = table(spark, sf, "nation").select(
         F.col("n_name").alias("locale_id"), F.when(F.col("n_regionkey") < 2, "th").otherwise("vi").alias("language")
     )
-    return queries.queries_per_locale(all_queries, locales, 14).select("locale_id", "q", "category_id", "language", "ord")
+    placed = queries.queries_per_locale(all_queries, locales)
+    return placed.select("locale_id", "q", "category_id", "language", *[F.col(f"ord.{n}").cast("bigint").alias(f"place_{n}") for n in ("list", "a", "b", "c")])
 
 
 def exact_dedup_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,10 +89,10 @@ def exact_dedup_best(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_dedup_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Roots by equal canonical URL, then equal text, over the pages."""
+    """Roots over the pages: connected by equal canonical URL or by equal title and text."""
     pages = with_canonical_url(table(spark, sf, "pages"), "url").select(
         F.col("page_id").alias("ord"), "canonical_url",
-        F.sha2(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), 256).alias("content_hash"),
+        F.sha2(F.concat(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("|"), strip_html(F.col("html"))), 256).alias("content_hash"),
     )
     return dedup.exact_groups(pages)
 
@@ -117,6 +119,21 @@ def near_dup_groups(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("ord", "root", "group_size", "coverage_count", "duplicate_group_id", "source_name", "source_tier")
 
 
+def duplicate_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that one of the three accept rules links, with what each rule saw. A title that is near is enough below
+    the strong threshold, a snippet counts where the titles do not."""
+    options = pairs.SimilarityOptions()
+    features = materialize(pairs.item_features(dedup_items(spark, sf), options), "features")
+    index = materialize(pairs.item_index(features, options), "index")
+    found = pairs.matching_items(pairs.candidate_items(index, index, options), features, options)
+    near = pairs.close_in_time(F.col("a_ts"), F.col("b_ts"), options.same_event_hours)
+    times = features.select("ord", "ts")
+    timed = found.join(times.select(F.col("ord").alias("a"), F.col("ts").alias("a_ts")), "a").join(times.select(F.col("ord").alias("b"), F.col("ts").alias("b_ts")), "b")
+    return timed.select(
+        "a", "b", F.when(F.col("by_title"), F.round("title_similarity", 6)).alias("title_similarity"), "by_title", F.round("snippet_similarity", 6).alias("snippet_similarity"), near.alias("near")
+    )
+
+
 def recency_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Events as items with a window per kind; counters of the same filter joined as columns."""
     from briefloom.session import with_scalars
@@ -146,8 +163,7 @@ def facet_filter(spark: SparkSession, sf: str) -> DataFrame:
 def publish_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Gate, cut and publish ranking; the ranking number is the result position."""
     published = ranking.publish_cut(ranking.gate(analysed_documents(spark, sf)))
-    top = published.orderBy(*ranking.publish_order()).limit(50)
-    return top.select(F.col("ord").alias("doc_id"), F.round(ranking.significance(), 6).alias("significance"), "prefilter_score")
+    return ranking.publish_ranking(published).select(F.col("ord").alias("doc_id"), F.round(ranking.significance(), 6).alias("significance"), "prefilter_score")
 
 
 def top_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,11 +180,13 @@ def top_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def compact_items(spark: SparkSession, sf: str) -> DataFrame:
     """Compact projection and model input of every item."""
-    items = analysed_documents(spark, sf).withColumn("related_coverage", F.array().cast("array<string>"))
-    options = enrich.EnrichOptions(max_input_chars=None)
+    items = analysed_documents(spark, sf).withColumn("coverage_count", F.col("ord") % 3)
+    options = enrich.EnrichOptions()
     prompts = items.select("id", F.sha2(enrich.prompt_text(options), 256).alias("prompt_sha"))
-    compact = ranking.compact_projection(items).select("id", F.length("summary").cast("bigint").alias("summary_chars"), "category", "tier")
-    return compact.join(prompts, "id")
+    compact = ranking.compact_projection(items)
+    flat = {"channels": F.array_join("channels", "|"), "products": F.array_join("products", "|"), "countries": F.array_join("countries", "|"),
+            "competitors": F.array_join("competitors", "|"), "okr": F.concat_ws("|", "okr.O1", "okr.O2")}
+    return compact.withColumns(flat).join(prompts, "id")
 
 
 def action_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,29 +279,37 @@ def _echo_model():
 
 
 def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """Items enriched from a cache, a stand-in model for the top scores, and the rules."""
+    """Items enriched from a cache, a stand-in model while a budget lasts, and the rules; error rows beside them."""
     from briefloom.functions.hashing import content_hash
 
     base = analysed_documents(spark, sf).withColumns(
         {
-            "content_hash": content_hash(F.col("title"), F.col("snippet"), None),
+            "content_hash": content_hash(F.col("title"), F.col("snippet")),
             "canonical_url": F.col("link"),
-            "related_coverage": F.array().cast("array<string>"),
+            "coverage_count": F.lit(0).cast("bigint"),
         }
     )
-    cache = dedup.keep_best(base.where(F.col("language") == "de"), "content_hash", F.struct("ord")).withColumns(
+    cache = dedup.keep_best(base.where(F.col("language") == "de"), "content_hash", dedup.sort_code((F.col("ord"), 19))).withColumns(
         {"analyzed_by": F.lit("ai"), "analysis_model": F.lit("cached"), "classification": F.lit("neutral")}
     )
-    options = enrich.EnrichOptions(max_model_items=60, max_input_chars=None, model_name="stub")
-    out = enrich.enrich(base.drop(*ANALYSIS_COLUMNS), PROBE_RULES, cache, _echo_model(), options)
-    return out.select(F.col("ord").alias("doc_id"), "analyzed_by", "analysis_model", "classification", "impact_score")
+
+    def budget(asked: DataFrame) -> DataFrame:
+        """Every call costs one; each source may spend forty, best scores first."""
+        sources = base.select("ord", "source_name")
+        priced = asked.join(sources, "ord").withColumns({"cost_usd": F.lit(1.0), "slot": -F.col("prefilter_score")})
+        return enrich.within_budget(priced, 40.0, ["source_name"], [F.col("ord")]).where("allowed").select(*asked.columns)
+
+    options = enrich.EnrichOptions(model_name="stub")
+    done = enrich.enrich(base.drop(*ANALYSIS_COLUMNS), PROBE_RULES, cache, _echo_model(), options, budget)
+    errors = done.errors.select("ord", F.col("scope").alias("error"))
+    return done.items.join(errors, "ord", "left").select(F.col("ord").alias("doc_id"), "analyzed_by", "analysis_model", "classification", "impact_score", "error")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         lexicon_score, rule_classify, term_matches, query_expansion, exact_dedup_best, exact_dedup_groups, first_wins,
-        token_jaccard_pairs, trigram_jaccard_pairs, near_dup_groups, recency_filter, facet_filter, publish_rank_topk,
+        token_jaccard_pairs, trigram_jaccard_pairs, near_dup_groups, duplicate_matches, recency_filter, facet_filter, publish_rank_topk,
         top_signals, compact_items, action_items, schema_violations, secret_scan, cost_budget, cached_enrichment,
     )
 }
@@ -326,7 +352,7 @@ items as (
 )"""
 
 
-def sql_scored(lx=PROBE_LEXICON) -> str:
+def sql_scored(lx=PROBE_LEXICON, items: str = SQL_ITEMS) -> str:
     flags = {
         "excl": sql_any("hay", lx.hard_exclude), "ctx": sql_any("hay", lx.context_terms), "neg": sql_any("hay", lx.negative_context),
         "geo": sql_any("hay", [n for c in (lx.home, *lx.markets) for n in c.names]),
@@ -362,7 +388,7 @@ def sql_scored(lx=PROBE_LEXICON) -> str:
         reasons.append((guard[i], _s(f"competitor: {c.name}")))
     reasons += [("geo", "'target country mentioned'"), ("not ctx", "'penalty: no automotive context'"), ("spons", "'penalty: sponsored content'")]
     cat0 = lx.brand_category
-    return f"""{SQL_ITEMS},
+    return f"""{items},
 hayed as (select *, lower(title || ' ' || snippet) as hay from items),
 flagged as (select *, {fcols} from hayed),
 named as (select *, {brands} as brands, {comps} as comps, {cats} as cats, {base} as base from flagged),
@@ -383,7 +409,7 @@ def sql_list(c: str) -> str:
     return f"coalesce(list_aggregate({c}, 'string_agg', '|'), '')"
 
 
-def sql_classified(r=PROBE_RULES) -> str:
+def sql_classified(r=PROBE_RULES, items: str = SQL_ITEMS) -> str:
     def m(p: str) -> str:
         return f"regexp_matches(body, {_s('(?i)' + p)})"
 
@@ -404,7 +430,7 @@ def sql_classified(r=PROBE_RULES) -> str:
     prods = _compact([(f"prod{i}", _s(c.id)) for i, c in enumerate(r.products)])
     order = "[" + ", ".join(_s(c) for c in r.category_priority) + "]"
     ranked = f"list_filter({order}, lambda c: list_contains(matched_categories, c))"
-    return f"""{sql_scored()},
+    return f"""{sql_scored(items=items)},
 bodied as (select *, title || ' ' || snippet as body from scored),
 ruled as (select *, {', '.join(f'{v} as {k}' for k, v in cols.items())}, len(matched_competitors) > 0 as rival, source_tier = 3 or unverified as weak from bodied),
 points as (select *, {pts} as pts, {chans} as chans, {positives} as positives, {negatives} as negatives, {reasons} as why, {prods} as affected_products from ruled),
@@ -439,7 +465,73 @@ def _pairs_sql(sets: str) -> str:
       union all select rep, doc_id, 1.0 from digests join reps using (dg) where doc_id <> rep"""
 
 
-_TITLE_RE = "sha256(regexp_extract(html, '<title>(.*?)</title>', 1, 'si'))"
+_TITLE_RE = "regexp_extract(html, '<title>(.*?)</title>', 1, 'si')"
+
+# Smallest ord that every ord of ``keys(ord, k)`` reaches over shared keys: closed(ord, root).
+SQL_CLOSURE = """first as (select k, min(ord) as a from keys group by k), links as (select distinct a, ord as b from keys join first using (k) where a < ord),
+        both_ways as (select a as x, b as y from links union select b, a from links),
+        reach(s, n) as (select distinct ord, ord from keys where ord not in (select b from links) union select s, y from reach join both_ways on x = n),
+        closed as (select n as ord, min(s) as root from reach group by n)"""
+
+
+def sql_matches(src: str) -> str:
+    """Duplicate relation of ``src`` by brute force: matches(a, b, title_similarity, snippet_similarity), a before b."""
+    tri = "select distinct {f} as fam, ord, substring(packed, i, 3) as s from (select ord, packed, unnest(range(1, length(packed) - 1)) as i from (select ord, {p} as packed from {src} {w}))"
+    long = "where length(snippet) > 80"
+    return f"""sh as materialized (select 0 as fam, ord, unnest({sql_token_set('title')}) as s from {src} union all select 2, ord, unnest({sql_token_set('snippet')}) from {src} {long}
+          union all {tri.format(f=1, p=sql_packed('title'), src=src, w='')} union all {tri.format(f=3, p=sql_packed('snippet'), src=src, w=long)}),
+        shn as materialized (select *, count(*) over (partition by fam, ord) as n, case when fam < 2 then 0.33 else 0.65 end as t from sh),
+        co as (select x.fam, x.ord as a, y.ord as b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) as j from shn x join shn y
+          on x.fam = y.fam and x.s = y.s and x.ord < y.ord and least(x.n, y.n) >= x.t * greatest(x.n, y.n) - 1e-9 group by all),
+        sims as (select a, b, coalesce(max(j) filter (fam < 2), 0) as ts, coalesce(max(j) filter (fam >= 2), 0) as ss from co group by a, b),
+        timed as (select sims.*, x.published_at is null or y.published_at is null or abs(epoch_us(x.published_at) - epoch_us(y.published_at)) <= 259200000000 as near
+          from sims join {src} x on x.ord = a join {src} y on y.ord = b),
+        matches as materialized (select a, b, ts, ss, near, ts >= 0.55 or (ts >= 0.33 and near) as by_title from timed where ts >= 0.55 or (ts >= 0.33 and near) or ss >= 0.65)"""
+
+
+def sql_groups(src: str) -> str:
+    """Deduplication of ``src``: groups(ord of the best copy, root, group_size, coverage_count, duplicate_group_id). Needs ``with recursive``.
+
+    Leaders are found by folding over the roots in order: a root with a leader among its earlier matches follows it.
+    """
+    return f"""keys as (select ord, 'h:' || content_hash as k from {src} union all select ord, 'u:' || canonical_url from {src}), {SQL_CLOSURE},
+        exact as materialized (select ord, root from closed), roots as materialized (select * from {src} where ord in (select root from exact)), {sql_matches('roots')},
+        near_by as (select r.ord, list(cast(m.a as bigint) order by m.a) filter (m.a is not null) as nb from roots r left join matches m on m.b = r.ord group by r.ord),
+        folded as (select list_reduce(list({{'o': cast(ord as bigint), 'nb': coalesce(nb, []::bigint[]), 'heads': []::bigint[]}} order by ord),
+          lambda acc, x: {{'o': x.o, 'nb': x.nb, 'heads': case when list_has_any(x.nb, acc.heads) then acc.heads else list_append(acc.heads, x.o) end}},
+          {{'o': -1::bigint, 'nb': []::bigint[], 'heads': []::bigint[]}}) as f from near_by),
+        heads as materialized (select unnest(f.heads) as head from folded),
+        led as materialized (select r.ord, coalesce(min(h.head), r.ord) as leader, count(h.head) > 0 as fuzzy from roots r left join matches m on m.b = r.ord left join heads h on h.head = m.a
+          where r.ord not in (select head from heads) group by r.ord union all select head, head, false from heads),
+        assigned as materialized (select e.ord, leader as root from exact e join led on led.ord = e.root),
+        ranked as (select i.*, a.root, row_number() over (partition by a.root order by source_tier, published_at is null, unverified, length(snippet) desc, i.ord) as rn,
+          count(*) over (partition by a.root) as group_size, first_value(substring(sha256(canonical_url), 1, 16)) over (partition by a.root order by i.ord) as root_id from {src} i join assigned a using (ord)),
+        best as materialized (select * from ranked where rn = 1),
+        cov as (select b.ord, count(distinct r.canonical_url) as n from best b join ranked r on r.root = b.root and r.ord <> b.ord and r.source_name <> b.source_name group by b.ord),
+        groups as (select b.ord, b.root, group_size, coalesce(n, 0) as coverage_count, case when b.root in (select leader from led where fuzzy) then root_id end as duplicate_group_id from best b left join cov using (ord))"""
+
+
+def sql_deduplicated(raw: str) -> str:
+    """Raw items (CTE ``raw_items``) cleaned, kept if recent, and deduplicated: the best copies as ``items``."""
+    return f"""{raw},
+        clean as (select * replace ({sql_strip_html('title')} as title, {sql_strip_html('snippet')} as snippet), link as url from raw_items),
+        {SQL_CANONICAL.format(src="(select * from clean where title <> '')")},
+        normal as (select * exclude (url), {sql_content_hash('title', 'snippet', None)} as content_hash from canon),
+        recent as materialized (select * from normal where not coalesce(timestamp '2024-01-31' - published_at > case when item_kind = 'social' then interval 720 hour else interval 48 hour end, false)),
+        {sql_groups('recent')},
+        items as materialized (select recent.*, coverage_count from recent join groups using (ord))"""
+
+
+SQL_RAW_DOCUMENTS = SQL_ITEMS.replace("items as (", "raw_documents as (", 1) + """,
+raw_items as (select *, case when source_tier = 3 then 'social' when source_name = 'src7' then 'signal' else 'news' end as item_kind from raw_documents)"""
+SQL_RAW_PAGES = """
+raw_items as (select page_id as ord, regexp_extract(html, '<title>(.*?)</title>', 1, 'si') as title, url as link, regexp_extract(html, '<article>(.*)</article>', 1, 'si') as snippet,
+  cast(null as timestamp) as published_at, 'web' as source_name, cast(2 as int) as source_tier, 'TH' as source_country, 'en' as language, false as unverified, 'news' as item_kind from pages)"""
+SQL_FUNNEL = """(select count(*) from raw_items) as total_collected, (select count(*) from normal) as after_normalize, (select count(*) from recent) as after_recency,
+        (select count(*) from items) as after_dedup"""
+
+_KEYED = f"""{SQL_ITEMS}, {SQL_CANONICAL.format(src='(select *, link as url from items)')},
+        keyed as materialized (select * exclude (url), {sql_content_hash('title', 'snippet', None)} as content_hash from canon)"""
 
 ORACLES = {
     "lexicon_score": f"""with {sql_scored()} select ord as doc_id, prefilter_score, {sql_list('matched_categories')} as matched_categories,
@@ -460,22 +552,24 @@ ORACLES = {
         group by term""",
     "query_expansion": """with q as (
           select p_type as q, p_brand as category_id, case when p_partkey % 2 = 0 then 'th' else 'en' end as language,
-                 cast((case when p_partkey % 2 = 0 then 0 else 1 end) * 1000 + p_partkey as bigint) as ord from part where p_size > 5
+                 0 as l, 0 as a, case when p_partkey % 2 = 0 then 0 else 1 end as b, p_partkey as c from part where p_size > 5
           union all select '"' || s_name || '" ' || r_name, 'COMPETITOR', case when r_regionkey % 2 = 0 then 'th' else 'en' end,
-                 1000000 + s_suppkey * 1000 + r_regionkey from supplier cross join region
-          union all select n_name || ' ศูนย์บริการ', 'OEM_BRANDS', 'th', 1000000000 + n_nationkey * 10 from nation where n_regionkey = 0
-          union all select n_name || ' service network', 'OEM_BRANDS', 'en', 1000000000 + n_nationkey * 10 + 1 from nation where n_regionkey = 0),
-        d as (select * from q qualify row_number() over (partition by language, lower(q) order by ord) = 1),
-        j as (select n_name as locale_id, q, category_id, language, ord, row_number() over (partition by n_name order by ord) as rn
-              from d join nation on language = case when n_regionkey < 2 then 'th' else 'en' end)
-        select locale_id, q, category_id, language, ord from j where rn <= 14""",
+                 1, s_suppkey, r_regionkey, 0 from supplier cross join region
+          union all select n_name || ' ศูนย์บริการ', 'OEM_BRANDS', 'th', 2, n_nationkey, 0, 0 from nation where n_regionkey = 0
+          union all select n_name || ' service network', 'OEM_BRANDS', 'en', 2, n_nationkey, 1, 0 from nation where n_regionkey = 0),
+        d as (select * from q qualify row_number() over (partition by language, lower(q) order by l, a, b, c) = 1)
+        select n_name as locale_id, q, category_id, language, cast(l as bigint) as place_list, cast(a as bigint) as place_a, cast(b as bigint) as place_b, cast(c as bigint) as place_c
+        from d join nation on language = case when n_regionkey < 2 then 'th' else 'en' end""",
     "exact_dedup_best": f"""with {SQL_ITEMS}, h as (select *, {sql_content_hash('title', 'snippet', None)} as content_hash from items),
         r as (select *, count(*) over (partition by content_hash) as copies, row_number() over (partition by content_hash
               order by source_tier, published_at is null, unverified, length(snippet) desc, ord) as rn from h)
         select content_hash, ord, copies, source_tier from r where rn = 1""",
-    "exact_dedup_groups": f"""with {SQL_CANONICAL.format(src='pages')}, p as (select page_id as ord, canonical_url, {_TITLE_RE} as h from canon),
-        u as (select canonical_url, min(ord) as u_ord, arg_min(h, ord) as h from p group by 1), g as (select h, min(u_ord) as root from u group by 1)
-        select p.ord, root from p join u using (canonical_url) join g on g.h = u.h""",
+    "exact_dedup_groups": f"""with recursive {SQL_CANONICAL.format(src='pages')}, it as (select page_id as ord, canonical_url, sha256({_TITLE_RE} || '|' || {sql_strip_html('html')}) as h from canon),
+        keys as (select ord, 'u:' || canonical_url as k from it union all select ord, 'h:' || h from it), {SQL_CLOSURE}
+        select ord, root from closed""",
+    "near_dup_groups": f"""with recursive {_KEYED}, {sql_groups('keyed')}
+        select g.ord, g.root, g.group_size, g.coverage_count, g.duplicate_group_id, k.source_name, k.source_tier from groups g join keyed k using (ord)""",
+    "duplicate_matches": f"""with {_KEYED}, {sql_matches('keyed')} select a, b, case when by_title then round(ts, 6) end as title_similarity, by_title, case when not by_title then round(ss, 6) end as snippet_similarity, near from matches""",
     "first_wins": "select user_id, event_type, min(event_id) as event_id from events group by all",
     "token_jaccard_pairs": _pairs_sql(f"sh as materialized (select doc_id, unnest({sql_token_set('text')}) as s from documents)"),
     "trigram_jaccard_pairs": _pairs_sql(
@@ -491,20 +585,22 @@ ORACLES = {
           and contains(lower(title_local || ' ' || title || ' ' || short_summary || ' ' || source_name || ' ' || coalesce(list_aggregate(matched_competitors, 'string_agg', ' '), '') || ' ' || list_aggregate(reasoning_summary, 'string_agg', ' ')), 'la')
         union all select ord, impact_score, news_category from classified where source_name = 'src7' and list_contains(affected_products, 'AC_CLEANING') and len(matched_competitors) > 0""",
     "publish_rank_topk": f"""with {sql_classified()} select ord as doc_id, round({SIG}, 6) as significance, prefilter_score from classified
-        where prefilter_score >= 8 and relevance_score >= 40 order by {PUB} limit 50""",
+        where prefilter_score >= 8 and relevance_score >= 40""",
     "top_signals": f"""with {sql_classified()}
         (select 'top_positive' as list, ord as doc_id, impact_score from classified where classification = 'positive' order by impact_score desc, {PUB} limit 3)
         union all (select 'top_negative', ord, impact_score from classified where classification = 'negative' order by impact_score, {PUB} limit 3)
         union all (select 'significant', ord, impact_score from classified order by abs(impact_score) * confidence desc, ord limit 35)
         union all (select 'preview', ord, impact_score from classified order by prefilter_score desc, ord limit 10)""",
-    "compact_items": f"""with {sql_classified()} select cast(ord as varchar) as id,
-        length(case when length(short_summary) <= 260 then short_summary else regexp_replace(substring(short_summary, 1, 259), '\\s+$', '') || '…' end) as summary_chars,
-        news_category as category, source_tier as tier, sha256(concat_ws(chr(10), 'หัวข้อข่าว: ' || title,
-          'สำนักข่าว: ' || source_name || ' (Tier ' || source_tier || case when unverified then ', ยังไม่ยืนยัน' else '' end || ')', 'ประเทศ: ' || source_country,
-          'ภาษา: ' || language, 'วันที่เผยแพร่: ' || coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S.000Z'), 'ไม่ระบุ'),
-          case when is_press_release then 'ประเภท: ข่าวประชาสัมพันธ์ (Press Release)' end, case when is_sponsored then 'ประเภท: เนื้อหาโฆษณา (Sponsored)' end,
-          'เนื้อหาย่อ: ' || snippet, case when len(matched_competitors) > 0 then 'คู่แข่งที่ระบบตรวจพบ: ' || list_aggregate(matched_competitors, 'string_agg', ', ') end,
-          case when len(matched_brands) > 0 then 'แบรนด์ที่ระบบตรวจพบ: ' || list_aggregate(matched_brands, 'string_agg', ', ') end)) as prompt_sha from classified""",
+    "compact_items": f"""with {sql_classified()} select cast(ord as varchar) as id, title_local,
+        case when length(short_summary) <= 260 then short_summary else regexp_replace(substring(short_summary, 1, 259), '\\s+$', '') || '…' end as summary,
+        classification, impact_score, confidence, news_category as category, {sql_list('affected_channels')} as channels, {sql_list('affected_products')} as products, country as countries,
+        {sql_list('matched_competitors')} as competitors, classification || '|' || case when list_contains(affected_channels, 'B2B') or list_contains(affected_channels, 'B2C') then classification else 'neutral' end as okr,
+        source_name as source, source_tier as tier, sha256(concat_ws(chr(10), 'Headline: ' || title, 'Outlet: ' || source_name || ' (tier ' || source_tier || case when unverified then ', not verified' else '' end || ')',
+          'Country: ' || source_country, 'Language: ' || language, 'Published: ' || coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S.000Z'), 'unknown'),
+          case when is_press_release then 'Form: press release' end, case when is_sponsored then 'Form: paid content' end,
+          case when len(matched_competitors) > 0 then 'Competitors named: ' || list_aggregate(matched_competitors, 'string_agg', ', ') end,
+          case when len(matched_brands) > 0 then 'Brands named: ' || list_aggregate(matched_brands, 'string_agg', ', ') end,
+          case when ord % 3 > 0 then 'Other outlets with this story: ' || (ord % 3) end, 'Text: ' || snippet)) as prompt_sha from classified""",
     "action_items": """select l.doc_id as action_ord, cast(0 as int) as pos, cast(d.doc_id as varchar) as id from labels l join documents d on d.doc_id = l.doc_id + 1
         union all select l.doc_id, 1, cast(d.doc_id as varchar) from labels l join documents d on d.doc_id = l.doc_id + 5000000""",
     "schema_violations": f"""with {sql_classified()}, b as (select c.*, quality, toxic from classified c left join labels l on l.doc_id = c.ord),
@@ -525,9 +621,10 @@ ORACLES = {
         select conv_id, turn, model, round(cast(cost as double), 9) as cost_usd, round(cast(spent as double), 9) as spent_before, spent < 0.02 as allowed from s""",
     "cached_enrichment": f"""with {sql_classified()}, h as (select *, {sql_content_hash('title', 'snippet', None)} as ch from classified),
         c as (select ch, arg_min(impact_score, ord) as ci from h where language = 'de' group by ch),
-        t as (select ord from h order by prefilter_score desc, ord limit 60),
-        j as (select h.*, ci, c.ch is not null as hit, c.ch is null and h.ord in (select ord from t) and not contains(lower(title || ' ' || snippet), 'license') as asked from h left join c using (ch))
-        select ord as doc_id, case when hit or asked then 'ai' else 'fallback' end as analyzed_by,
+        t as (select ord from (select h.*, row_number() over (partition by source_name order by prefilter_score desc, ord) as rn from h where ch not in (select ch from c)) where rn <= 40),
+        j as (select h.*, ci, c.ch is not null as hit, h.ord in (select ord from t) as seen, contains(lower(title || ' ' || snippet), 'license') as bad from h left join c using (ch)),
+        k as (select *, seen and not bad as asked from j)
+        select ord as doc_id, case when hit or asked then 'ai' else 'fallback' end as analyzed_by, case when seen and bad then 'model answer' end as error,
           case when hit then 'cached' when asked then 'stub' end as analysis_model, case when hit or asked then 'neutral' else classification end as classification,
-          cast(case when hit then ci when asked then 1 else impact_score end as int) as impact_score from j""",
+          cast(case when hit then ci when asked then 1 else impact_score end as int) as impact_score from k""",
 }

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from briefloom.functions.dates import date_key
 from briefloom.operators import aggregates as agg
 from briefloom.operators import ranges, ranking, store
-from briefloom.operators.normalize import WHOLE_TEXT
 from briefloom.plans.briefing import briefing
-from briefloom.plans.daily import DailyOptions, collect_funnel, run_daily
+from briefloom.plans.daily import collect_funnel, run_daily
 from briefloom.plans.range_report import range_report
-from briefloom.session import new_path, with_scalars
+from briefloom.session import materialize, new_path, with_scalars
 from briefloom.streaming import jobs
 from briefloom.workload.inputs import (
     PROBE_LEXICON, PROBE_RULES, analysed_documents, document_items, event_reports, now, table,
 )
-from briefloom.workload.item_queries import PUB, SIG, sql_classified, sql_list
+from briefloom.workload.item_queries import (
+    PUB, SIG, SQL_CLOSURE, SQL_FUNNEL, SQL_RAW_DOCUMENTS, SQL_RAW_PAGES, sql_classified, sql_deduplicated, sql_list, sql_scored,
+)
 
 KPI = (
     "published", "positive", "neutral", "negative", "high_impact", "competitor_alerts", "ev_related", "international",
@@ -114,11 +115,11 @@ def run_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def error_log(spark: SparkSession, sf: str) -> DataFrame:
-    """First errors of the log, and the errors of a range newest day first."""
+    """The log in order, and the errors of a range newest day first."""
     e = event_reports(spark, sf).where(F.col("event_type") == "error")
     log = e.select("ord", "date", F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("scope"), F.col("canonical_url").alias("message"))
     first = agg.error_log(log).select(F.lit("first").alias("list"), "ord", "error")
-    newest = agg.range_errors(log.withColumn("error", F.col("message"))).limit(100).select(F.lit("range").alias("list"), "ord", "error")
+    newest = agg.range_errors(log.withColumn("error", F.col("message"))).select(F.lit("range").alias("list"), "ord", "error")
     return first.unionByName(newest)
 
 
@@ -150,8 +151,10 @@ def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def retention(spark: SparkSession, sf: str) -> DataFrame:
     """Stored days the index no longer lists."""
     index = _index(spark, sf)
+    path = new_path(spark, "stored")
+    store.write_day(event_reports(spark, sf).select("date", "id"), path)
     kept = store.upsert_index(index.limit(0), index, 10)
-    return store.expired_partitions(event_reports(spark, sf), kept).select(F.col("date").cast("string").alias("date"))
+    return store.expired_partitions(spark, path, kept).select(F.col("date").cast("string").alias("date"))
 
 
 def report_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +185,7 @@ def cache_maintenance(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.lit("2024-01-18T00:00:00Z").cast("timestamp")
     old = store.upsert_cache(e.limit(0), e.where(F.col("saved_at") < cut))
     kept = store.evict_expired(old, clock)
-    fresh = e.where((F.col("saved_at") >= cut) & (F.col("impact_score") > 0))
+    fresh = e.where(F.col("saved_at") >= cut)
     return store.upsert_cache(kept, fresh).select("content_hash", "event_id", "impact_score")
 
 
@@ -207,36 +210,50 @@ def range_presets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _newest_first(items: DataFrame) -> DataFrame:
-    return items.withColumn("ord", -F.unix_date("date").cast("bigint") * 100_000_000 + F.col("event_id"))
+    return items.withColumn("ord", F.struct((-F.unix_date("date")).alias("day"), F.col("event_id").alias("place")))
+
+
+def _stories(merged: DataFrame) -> DataFrame:
+    dates = F.array_join(F.transform("report_dates", lambda d: d.cast("string")), ",")
+    return merged.select("event_id", F.col("first_ord.place").alias("first_event"), "source_tier", "impact_score", dates.alias("dates"))
 
 
 def range_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Stories merged over all days by fingerprint (every item has one and no URL is shared)."""
-    items = _newest_first(event_reports(spark, sf)).withColumn("canonical_url", F.lit(None).cast("string"))
-    merged = ranges.merge_items(items)
-    return merged.select("event_id", "first_ord", "source_tier", "impact_score", F.array_join(F.transform("report_dates", lambda d: d.cast("string")), ",").alias("dates"))
+    """Stories merged over all days by fingerprint, else by URL, in report order."""
+    return _stories(ranges.merge_items(_newest_first(event_reports(spark, sf))))
 
 
 def range_merge_linked(spark: SparkSession, sf: str) -> DataFrame:
     """Stories merged over all days by fingerprint or URL, closed over chains of both."""
-    merged = ranges.merge_items(_newest_first(event_reports(spark, sf)))
-    return merged.select("event_id", "first_ord", F.size("report_dates").cast("bigint").alias("days"))
+    return _stories(ranges.merge_items(_newest_first(event_reports(spark, sf)), closure=True))
 
 
-def range_report_kpi(spark: SparkSession, sf: str) -> DataFrame:
-    """Range report over the last seven days: counters, mean score, sentiment, status."""
-    items = event_reports(spark, sf).withColumn("canonical_url", F.lit(""))
+def _range_report(spark: SparkSession, sf: str, preset: ranges.RangePreset) -> DataFrame:
+    items = event_reports(spark, sf)
     index = _index(spark, sf)
     funnel = items.groupBy("date").agg(
         F.count(F.lit(1)).alias("total_collected"), F.countDistinct("user_id").alias("after_dedup"), F.count_if(F.col("confidence") >= 40).alias("after_prefilter")
     )
-    dates = ranges.resolve_range(index, ranges.RangePreset("last", 7))
-    report = range_report(items, funnel, index.select("date", "status"), dates)
+    kpis = agg.daily_kpi(items, ("date",), funnel)
+    days = index.select("date", "status", "net_impact_score", "overall_sentiment", F.concat(F.lit("day "), F.col("date").cast("string")).alias("headline"))
+    report = range_report(items, kpis, days, ranges.resolve_range(index, preset))
     summary = report.summary.select(
-        F.col("range_from").cast("string").alias("range_from"), F.col("range_to").cast("string").alias("range_to"), "range_days", "is_range", "net_impact_score",
-        "overall_sentiment", "status", F.col("narrative_from_date").cast("string").alias("narrative_from_date"),
+        F.col("range_from").cast("string").alias("range_from"), F.col("range_to").cast("string").alias("range_to"), "range_days", "is_range",
+        F.round("net_impact_score", 4).alias("net_impact_score"), "overall_sentiment", "status", F.col("narrative_from_date").cast("string").alias("narrative_from_date"), "headline",
     )
-    return with_scalars(report.kpi, summary)
+    stories = report.items.agg(F.count(F.lit(1)).alias("stories"), F.sum(F.size("report_dates")).alias("story_days"))
+    rows = [report.kpi, materialize(summary, "summary"), materialize(stories, "stories")]  # one row each
+    return with_scalars(with_scalars(rows[0], rows[1]), rows[2])
+
+
+def range_report_kpi(spark: SparkSession, sf: str) -> DataFrame:
+    """Range report over the last seven days: counters, mean score, sentiment, status, narrative of the newest day."""
+    return _range_report(spark, sf, ranges.RangePreset("last", 7))
+
+
+def range_report_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Range report over one day: the stored counters, score and sentiment of that day."""
+    return _range_report(spark, sf, ranges.RangePreset())
 
 
 def daily_briefing(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,15 +265,14 @@ def daily_briefing(spark: SparkSession, sf: str) -> DataFrame:
         *[F.array_join(F.transform(c, lambda x: x["related_ids"][0]), ",").alias(c) for c in lists],
         F.array_join("okr_assessment.benefiting_channels", ",").alias("benefiting"),
         F.array_join("okr_assessment.at_risk_channels", ",").alias("at_risk"),
-        F.regexp_extract("executive_summary", "ได้ ([0-9]+) ข่าว", 1).alias("summary_count"),
+        "executive_summary", F.col("actions_today")[0]["action"].alias("first_action"), F.col("actions_to_monitor")[0]["action"].alias("first_rival_action"), F.col("okr_assessment.O1").alias("o1"),
         F.col("okr_assessment.O2").alias("o2"),
     )
 
 
 def daily_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Documents through the whole daily job to the published items."""
-    options = DailyOptions(normalize=WHOLE_TEXT)
-    report = run_daily(document_items(spark, sf), now(), PROBE_LEXICON, PROBE_RULES, options=options)
+    report = run_daily(document_items(spark, sf), now(), PROBE_LEXICON, PROBE_RULES)
     kpi = report.kpi.select(*[F.col(c).alias(f"kpi_{c}") for c in ("total_collected", "after_dedup", "after_prefilter", "published")])
     return with_scalars(
         report.items.select(F.col("ord").alias("doc_id"), "id", "classification", "impact_score", "relevance_score", "coverage_count"), kpi
@@ -272,7 +288,7 @@ def collect_only(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("web").alias("source_id"), F.lit("web").alias("source_name"), F.lit(2).alias("source_tier"), F.lit("TH").alias("source_country"),
         F.lit("en").alias("language"),
     )
-    return collect_funnel(raw, now(), PROBE_LEXICON, DailyOptions(normalize=WHOLE_TEXT)).counts()
+    return collect_funnel(raw, now(), PROBE_LEXICON).counts()
 
 
 # ---- streams ----
@@ -333,7 +349,7 @@ QUERIES = {
     for f in (
         kpi_rollup, daily_kpi, net_score_daily, model_stats, tally_topk, facet_values, funnel_counts, source_health, run_status,
         error_log, trend, index_upsert, retention, report_scan, cache_maintenance, new_rows, range_presets, range_merge,
-        range_merge_linked, range_report_kpi, daily_briefing, daily_pipeline, collect_only, event_windows, stream_dedup, stream_cache,
+        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, collect_only, event_windows, stream_dedup, stream_cache,
     )
 }
 
@@ -374,8 +390,39 @@ _INDEX = """ix as (select date, count(*) as total, count(*) filter (classificati
       round(sum(impact_score * (confidence / 100.0)), 2) / 10 as net,
       case when day(date) % 9 = 0 then 'failed' when day(date) % 2 = 0 then 'degraded' else 'ok' end as status from er group by date)"""
 _FUNNEL = "count(*) as total_collected, count(distinct user_id) as after_dedup, count(*) filter (confidence >= 40) as after_prefilter"
-_MERGED = """mg as (select *, row_number() over (partition by content_hash order by source_tier, abs(impact_score) desc, o) as rn,
-      min(o) over (partition by content_hash) as first_ord from (select *, -cast(date - date '1970-01-01' as bigint) * 100000000 + event_id as o from {src}))"""
+# Report order of the events of {src}, the group each joins, and the best of every group: ranked(event_id, root, rn, o, ...).
+_MERGED = """od as (select *, row_number() over (order by date desc, event_id) as o from {src}),
+      par as (select o, case when min(o) over (partition by content_hash) < o then min(o) over (partition by content_hash)
+        else lag(o) over (partition by canonical_url order by o) end as up from od),
+      hd(o, root) as (select o, o from par where up is null union all select par.o, hd.root from hd join par on par.up = hd.o),
+      ranked as (select od.*, root, row_number() over (partition by root order by source_tier, abs(impact_score) desc, od.o) as rn from od join hd using (o))"""
+_LINKED = """od as (select *, row_number() over (order by date desc, event_id) as o from {src}),
+      keys as (select o as ord, 'h:' || content_hash as k from od union all select o, 'u:' || canonical_url from od), """ + SQL_CLOSURE + """,
+      ranked as (select od.*, root, row_number() over (partition by root order by source_tier, abs(impact_score) desc, od.o) as rn from od join closed on ord = o)"""
+_STORIES = """ds as (select root, string_agg(cast(date as varchar), ',' order by date desc) as dates from (select distinct root, date from ranked) group by root)
+        select r.event_id, h.event_id as first_event, r.source_tier, r.impact_score, dates from ranked r join ds using (root) join od h on h.o = r.root where r.rn = 1"""
+
+
+def _sql_range(days: int) -> str:
+    """Range report over the last days; one day keeps what was stored."""
+    one = days == 1
+    merged = "ranked as (select *, 1 as rn from c)" if one else _MERGED.format(src="c")
+    n_days = "select count(*) from c" if one else "select count(*) from (select distinct root, date from ranked)"
+    net = "(select round(net, 4) from ix order by date desc limit 1)" if one else "floor(avg(impact_score) * 100 + 0.5) / 100"
+    mood = (
+        "(select case when s >= 3 then 'positive' when s <= -3 then 'negative' else 'neutral' end from (select sum(impact_score * (confidence / 100.0)) as s from c))"
+        if one
+        else "case when positive > negative then 'positive' when negative > positive then 'negative' else 'neutral' end"
+    )
+    return f"""with recursive {SQL_EVENTS}, l as (select distinct date from er order by date desc limit {days}), c as (select * from er where date in (select date from l)), {merged},
+        m as (select * from ranked where rn = 1), {_INDEX},
+        f as (select sum(total_collected)::bigint as total_collected, sum(after_dedup)::bigint as after_dedup, sum(after_prefilter)::bigint as after_prefilter from (select {_FUNNEL} from c group by date)),
+        k as (select {sql_kpi(_DAILY_INT if one else "source_country <> 'TH'")}, cast({net} as double) as net_impact_score, count(*) as stories from m)
+        select k.*, f.*, (select cast(min(date) as varchar) from l) as range_from, (select cast(max(date) as varchar) from l) as range_to, (select count(*) from l) as range_days, {str(not one).lower()} as is_range,
+          {mood} as overall_sentiment, ({n_days}) as story_days,
+          (select case max(case status when 'failed' then 2 when 'degraded' then 1 else 0 end) when 2 then 'failed' when 1 then 'degraded' else 'ok' end from ix where date in (select date from l)) as status,
+          (select cast(max(date) as varchar) from l) as narrative_from_date, 'day ' || (select cast(max(date) as varchar) from l) as headline from k, f"""
+
 
 ORACLES = {
     "kpi_rollup": f"""with {sql_classified()}, j as (select c.* exclude (classification), case when toxic = 1 then 'negative' when quality = 1 then 'positive' else 'neutral' end as classification,
@@ -408,8 +455,8 @@ ORACLES = {
         e as (select date, count(*) as n from er where event_type = 'error' and impact_score = -5 group by date),
         d as (select s.*, case when sources > 0 and failed = sources then 'failed' when failed > 0 or coalesce(n, 0) > 0 then 'degraded' else 'ok' end as status from s left join e using (date))
         select cast(date as varchar) as date, sources, failed, status, case max(case status when 'failed' then 2 when 'degraded' then 1 else 0 end) over () when 2 then 'failed' when 1 then 'degraded' else 'ok' end as worst from d""",
-    "error_log": f"""with {SQL_EVENTS} (select 'first' as list, event_id as ord, '[user:' || user_id || '] ' || canonical_url as error from er where event_type = 'error' order by event_id limit 60)
-        union all (select 'range', event_id, canonical_url from er where event_type = 'error' order by date desc, event_id limit 100)""",
+    "error_log": f"""with {SQL_EVENTS} (select 'first' as list, event_id as ord, '[user:' || user_id || '] ' || canonical_url as error from er where event_type = 'error' )
+        union all (select 'range', event_id, canonical_url from er where event_type = 'error' )""",
     "trend": f"""with {SQL_EVENTS}, {_INDEX}, l as (select date, net from ix order by date desc limit 7)
         select cast(date as varchar) as date, round(cast(greatest(-5.0, least(5.0, net)) as double), 4) as score, case when net >= 2 then 'pos' when net <= -2 then 'neg' else 'neu' end as tone from l""",
     "index_upsert": f"""with {SQL_EVENTS}, {_INDEX} select cast(date as varchar) as date, case when date >= date '2024-01-18' then -total else total end as total, positive, status from ix order by date desc limit 25""",
@@ -419,7 +466,7 @@ ORACLES = {
         union all select 'one', cast(date as varchar), count(*), cast(sum(impact_score) as bigint) from p where date = date '2024-01-12' and dr <= 20 group by date
         union all select 'several', cast(date as varchar), count(*), cast(sum(impact_score) as bigint) from p where date in (date '2024-01-13', date '2024-01-14') and dr <= 20 group by date""",
     "cache_maintenance": f"""with {SQL_EVENTS}, o as (select content_hash, arg_max(event_id, ts) as event_id, max(ts) as ts from er where ts < timestamp '2024-01-18' group by 1),
-        b as (select content_hash, event_id, ts from o where ts >= timestamp '2024-01-11' union all select content_hash, event_id, ts from er where ts >= timestamp '2024-01-18' and impact_score > 0),
+        b as (select content_hash, event_id, ts from o where ts >= timestamp '2024-01-11' union all select content_hash, event_id, ts from er where ts >= timestamp '2024-01-18'),
         w as (select content_hash, arg_max(event_id, ts) as event_id from b group by 1)
         select w.content_hash, w.event_id, impact_score from w join er using (event_id)""",
     "new_rows": f"""with {SQL_EVENTS} select event_id from er where event_type = 'click' and canonical_url not in (select canonical_url from er where event_type <> 'click')""",
@@ -428,22 +475,16 @@ ORACLES = {
         union all select 'custom', cast(date as varchar) from r where date between date '2024-01-10' and date '2024-01-12'
         union all select 'empty', cast(date as varchar) from r where n = 1
         union all select 'inside', cast(date as varchar) from r where date between date '2024-01-10' and date '2024-01-12'""",
-    "range_merge": f"""with {SQL_EVENTS}, {_MERGED.format(src='er')},
-        ds as (select content_hash, string_agg(cast(date as varchar), ',' order by date desc) as dates from (select distinct content_hash, date from er) group by 1)
-        select event_id, first_ord, source_tier, impact_score, dates from mg join ds using (content_hash) where rn = 1""",
-    "range_report_kpi": f"""with {SQL_EVENTS}, l as (select distinct date from er order by date desc limit 7), c as (select * from er where date in (select date from l)), {_MERGED.format(src='c')},
-        m as (select * from mg where rn = 1), {_INDEX},
-        f as (select sum(total_collected)::bigint as total_collected, sum(after_dedup)::bigint as after_dedup, sum(after_prefilter)::bigint as after_prefilter from (select {_FUNNEL} from c group by date)),
-        k as (select {sql_kpi("source_country <> 'TH'")}, floor(avg(impact_score) * 100 + 0.5) / 100 as net_impact_score from m)
-        select k.*, f.*, (select cast(min(date) as varchar) from l) as range_from, (select cast(max(date) as varchar) from l) as range_to, (select count(*) from l) as range_days, true as is_range,
-          case when positive > negative then 'positive' when negative > positive then 'negative' else 'neutral' end as overall_sentiment,
-          (select case max(case status when 'failed' then 2 when 'degraded' then 1 else 0 end) when 2 then 'failed' when 1 then 'degraded' else 'ok' end from ix where date in (select date from l)) as status,
-          (select cast(max(date) as varchar) from l) as narrative_from_date from k, f""",
+    "range_merge": f"""with recursive {SQL_EVENTS}, {_MERGED.format(src='er')}, {_STORIES}""",
+    "range_merge_linked": f"""with recursive {SQL_EVENTS}, {_LINKED.format(src='er')}, {_STORIES}""",
+    "range_report_kpi": _sql_range(7),
+    "range_report_day": _sql_range(1),
     "daily_briefing": f"""with {sql_classified()}, p as (select *, {SIG} as sig from classified where relevance_score >= 40),
-        tp as (select ord, row_number() over (order by impact_score desc, {PUB}) as rn from p where classification = 'positive'),
-        tn as (select ord, row_number() over (order by impact_score, {PUB}) as rn from p where classification = 'negative'),
-        tr as (select ord, row_number() over (order by {PUB}) as rn from p where len(matched_competitors) > 0),
+        tp as (select ord, title_local, row_number() over (order by impact_score desc, {PUB}) as rn from p where classification = 'positive'),
+        tn as (select ord, title_local, row_number() over (order by impact_score, {PUB}) as rn from p where classification = 'negative'),
+        tr as (select ord, matched_competitors, row_number() over (order by {PUB}) as rn from p where len(matched_competitors) > 0),
         s as (select sum(impact_score * (confidence / 100.0)) as net, count(*) filter (len(matched_competitors) > 0) as rivals, count(*) as n,
+          count(*) filter (classification = 'positive') as good, count(*) filter (classification = 'neutral') as fair, count(*) filter (classification = 'negative') as bad,
           count(*) filter (list_contains(affected_channels, 'B2B') or list_contains(affected_channels, 'B2C')) as broad from p)
         select case when net >= 3 then 'positive' when net <= -3 then 'negative' else 'neutral' end as overall_sentiment, round(cast(net as double), 2) as net_impact_score,
           case when abs(net) >= 6 or rivals >= 3 then 'high' when abs(net) >= 3 then 'medium' else 'low' end as urgency_level,
@@ -452,7 +493,21 @@ ORACLES = {
           (select string_agg(cast(ord as varchar), ',' order by rn) from tr where rn <= 2) as actions_to_monitor,
           (select string_agg(distinct c, ',' order by c) from (select unnest(affected_channels) as c from p where classification = 'positive')) as benefiting,
           (select string_agg(distinct c, ',' order by c) from (select unnest(affected_channels) as c from p where classification = 'negative')) as at_risk,
-          cast(n as varchar) as summary_count, 'ข่าวที่เกี่ยวกับช่องทางนอก OEM หลัก มี ' || broad || ' รายการ' as o2 from s""",
+          concat_ws(' ', n || ' stories about acme: ' || good || ' good, ' || fair || ' neutral, ' || bad || ' bad.',
+            'Net score ' || printf('%.1f', net) || ', ' || case when net >= 3 then 'positive' when net <= -3 then 'negative' else 'neutral' end || '.',
+            'Best news: "' || (select title_local from tp where rn = 1) || '".', 'Watch: "' || (select title_local from tn where rn = 1) || '".',
+            case when rivals > 0 then rivals || ' stories name rivals.' else 'No story names a rival.' end, 'Written from rules without a model.') as executive_summary,
+          'Check the effect of: ' || (select title_local from tn where rn = 1) as first_action,
+          'Keep an eye on ' || (select list_aggregate(matched_competitors, 'string_agg', ', ') from tr where rn = 1) as first_rival_action,
+          'Revenue goal: today''s signals ' || case when net >= 3 then 'help' when net <= -3 then 'hurt' else 'are mixed' end as o1,
+          broad || ' stories reach beyond the main channel' as o2 from s""",
+    "daily_pipeline": f"""with recursive {sql_classified(items=sql_deduplicated(SQL_RAW_DOCUMENTS))},
+        counts as (select {SQL_FUNNEL}, (select count(*) from classified where prefilter_score >= 8) as after_prefilter,
+          (select count(*) from classified where prefilter_score >= 8 and relevance_score >= 40) as published)
+        select ord as doc_id, substring(sha256(canonical_url), 1, 16) as id, classification, impact_score, relevance_score, coverage_count, total_collected as kpi_total_collected,
+          after_dedup as kpi_after_dedup, after_prefilter as kpi_after_prefilter, published as kpi_published from classified, counts where prefilter_score >= 8 and relevance_score >= 40""",
+    "collect_only": f"""with recursive {sql_scored(items=sql_deduplicated(SQL_RAW_PAGES))}
+        select {SQL_FUNNEL}, (select count(*) from scored where prefilter_score >= 8) as after_prefilter""",
     "event_windows": """select cast(cast(ts + interval 7 hour as date) as varchar) as day, count(*) as events, count(*) filter (event_type = 'error') as errors, count(*) filter (value >= 10) as high from events group by 1""",
     "stream_dedup": "select distinct user_id || '/' || event_type as canonical_url from events",
     "stream_cache": f"""with {SQL_EVENTS} select content_hash, arg_max(event_id, ts) as event_id from er group by 1 having max(ts) >= timestamp '2024-01-11'""",

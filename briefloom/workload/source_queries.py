@@ -9,8 +9,9 @@ from briefloom.functions.hashing import content_hash
 from briefloom.operators import aggregates as agg
 from briefloom.operators import signals
 from briefloom.operators.ranking import first_per_source
+from briefloom.session import materialize
 from briefloom.sources import embedded, feeds, items, payloads
-from briefloom.workload.inputs import document_items, event_reports, now, stored, table
+from briefloom.workload.inputs import document_items, event_reports, now, table
 from briefloom.workload.text_queries import sql_content_hash, sql_strip_html
 
 MONTH = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -46,7 +47,7 @@ def _feed_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed_parse(spark: SparkSession, sf: str) -> DataFrame:
-    entries = feeds.feed_entries(_feed_documents(spark, sf), max_title_chars=None, max_snippet_chars=None)
+    entries = feeds.feed_entries(_feed_documents(spark, sf))
     return entries.select(
         F.col("ord").alias("doc_id"), "link", F.length("title").cast("bigint").alias("title_chars"),
         content_hash(F.col("title"), F.col("snippet"), None).alias("text_hash"), F.unix_seconds("published_at").alias("epoch"), "publisher",
@@ -69,8 +70,8 @@ def news_payload_items(spark: SparkSession, sf: str) -> DataFrame:
     )
     status = F.when(F.col("source_id") == "src5", "error").otherwise("ok")
     body = F.to_json(F.struct(status.alias("status"), articles.alias("articles")))
-    out = payloads.news_api_items(d.select("ord", body.alias("body")), max_snippet_chars=None)
-    return out.select(F.col("ord").alias("doc_id"), "link", "source_name", F.unix_seconds("published_at").alias("epoch"), content_hash(F.col("title"), F.col("snippet"), None).alias("text_hash"))
+    out = payloads.news_api_items(d.select("ord", "language", body.alias("body")))
+    return out.select(F.col("ord").alias("doc_id"), "link", "source_name", "language", F.unix_seconds("published_at").alias("epoch"), content_hash(F.col("title"), F.col("snippet")).alias("text_hash"))
 
 
 def post_payload_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +81,7 @@ def post_payload_items(spark: SparkSession, sf: str) -> DataFrame:
     link = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://Www.Posts.example.com/p/"), key))
     good = F.to_json(F.struct(F.array(F.struct(key.alias("id"), F.col("text").alias("message"), F.lit("2025-07-15T09:30:00+0700").alias("created_time"), link.alias("permalink_url"))).alias("data")))
     body = F.when(F.col("role") == "system", F.lit('{"error":{"message":"token expired"}}')).otherwise(good)
-    out = payloads.post_items(c.select("conv_id", "turn", F.col("role").alias("page_id"), body.alias("body")), max_title_chars=None, max_snippet_chars=None)
+    out = payloads.post_items(c.select("conv_id", "turn", F.col("role").alias("page_id"), body.alias("body")))
     return out.select("conv_id", "turn", "link", "source_id", F.unix_seconds("published_at").alias("epoch"), content_hash(F.lit(""), F.col("snippet"), None).alias("text_hash"))
 
 
@@ -105,8 +106,9 @@ def video_items(spark: SparkSession, sf: str) -> DataFrame:
     )
     failed = F.lit('{"error":{"message":"quota","errors":[{"reason":"quotaExceeded"}]}}')
     body = F.when(F.col("o_orderkey") % 50 == 49, failed).otherwise(F.to_json(F.struct(F.array(hit).alias("items"))))
-    stat = F.struct(F.col("c_custkey").cast("string").alias("id"), F.struct(F.floor(F.abs("c_acctbal")).cast("string").alias("viewCount")).alias("statistics"))
-    stats = table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0).select(F.to_json(F.struct(F.array(stat).alias("items"))).alias("body"))
+    # Every order reports a view count of its customer, in order; the last one counts.
+    stat = F.struct(F.col("o_custkey").cast("string").alias("id"), F.struct(F.floor("o_totalprice").cast("string").alias("viewCount")).alias("statistics"))
+    stats = o.select(F.col("o_orderkey").alias("ord"), F.to_json(F.struct(F.array(stat).alias("items"))).alias("body"))
     out = payloads.video_items(o.select(F.col("o_orderkey").alias("ord"), body.alias("body")), payloads.video_stats(stats))
     return out.select("video_id", "query_ord", "title", "link", "snippet", F.unix_seconds("published_at").alias("epoch"))
 
@@ -141,7 +143,7 @@ def _topic_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topic_rows(topics: DataFrame) -> DataFrame:
-    out = embedded.topic_items(topics, ("page_id",), F.lit("cars"), F.lit("tag"), max_snippet_chars=None)
+    out = embedded.topic_items(topics, ("page_id",), F.lit("cars"), F.lit("tag"))
     return out.select(
         "page_id", F.col("entry_pos").cast("int").alias("pos"), "title", "link", F.unix_seconds("published_at").alias("epoch"),
         F.sha2("snippet", 256).alias("snippet_sha"), "source_name",
@@ -180,7 +182,7 @@ def _cities(spark: SparkSession, sf: str) -> DataFrame:
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(
         F.col("n_nationkey").alias("ord"), F.col("n_name").alias("city"), (F.col("n_regionkey") + 1).cast("double").alias("weight"),
-        (F.col("o_totalprice") / 7000).alias("feels_like"), F.when(F.col("n_nationkey") % 3 != 0, F.col("c_acctbal") / 180).alias("pm25"),
+        (F.col("o_totalprice") / 6000).alias("feels_like"), F.when(F.col("n_nationkey") % 3 != 0, F.col("c_acctbal") / 100).alias("pm25"),
     )
 
 
@@ -202,22 +204,34 @@ def demand_signals(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ord", "title", "snippet", "link", "source_name", "source_tier", "item_kind")
 
 
-def source_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Three sources in one item table, at most 20 rows per source, in source order."""
+def _all_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = document_items(spark, sf).select("ord", "title", "link", "snippet", "published_at", "source_id", "source_name", "source_tier")
     posts = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("title"), F.lit("https://p.example.com/").alias("link"), F.col("role").alias("source_id"),
+        "conv_id", "turn", F.col("text").alias("title"), F.lit("https://p.example.com/").alias("link"), F.col("role").alias("source_id"),
         F.col("role").alias("source_name"), F.lit(3).alias("source_tier"), F.lit("social").alias("item_kind"), F.lit(True).alias("unverified"),
     )
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("ord"), F.lit("page").alias("title"), F.col("url").alias("link"), F.lit("web").alias("source_id"), F.lit("web").alias("source_name"))
-    parts = items.with_ord([(docs, ["ord"]), (posts, ["ord"]), (pages, ["ord"])])
-    union = first_per_source(items.union_items(*parts), ["source_id"], 20)
-    return union.select("ord", "source_id", "item_kind", "unverified", F.length("snippet").cast("bigint").alias("snippet_chars"))
+    pages = table(spark, sf, "pages").select(
+        "page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.col("html").alias("snippet"), F.col("url").alias("link"),
+        F.lit("web").alias("source_id"), F.lit("web").alias("source_name"),
+    )
+    return items.ordered_union([(docs, ["ord"]), (posts, ["conv_id", "turn"]), (pages, ["page_id"])])
+
+
+def source_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Three sources in one item table, numbered in source order."""
+    return _all_sources(spark, sf).select(
+        "ord", "source_id", "item_kind", "unverified", F.length("title").cast("bigint").alias("title_chars"), F.length("snippet").cast("bigint").alias("snippet_chars")
+    )
+
+
+def source_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """The limit per source of a collection run: the first 20 items of each."""
+    return first_per_source(_all_sources(spark, sf), ["source_id"], 20).select("ord", "source_id")
 
 
 def item_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Item table written without its optional columns and scanned with schema and defaults; enabled sources only."""
-    path_df = stored(spark, sf, "raw-items", lambda s, d: document_items(s, d).drop("unverified", "item_kind"))
+    path_df = materialize(document_items(spark, sf).drop("unverified", "item_kind"), "raw-items")
     path = path_df.inputFiles()[0].rsplit("/", 1)[0]
     scanned = items.read_raw_items(spark, path)
     sources = table(spark, sf, "documents").select(F.col("source").alias("source_id")).distinct()
@@ -230,16 +244,20 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_parse, feed_check, news_payload_items, post_payload_items, short_video_items, video_items, api_errors, embedded_topics,
-        embedded_topics_known_path, forecast_payload, weighted_signal, demand_signals, source_union, item_scan,
+        embedded_topics_known_path, forecast_payload, weighted_signal, demand_signals, source_union, source_caps, item_scan,
     )
 }
 
 _TITLE = "string_split(text, chr(10))[1]"
+_UNION = f"""u as (select 0 as p, doc_id as a, 0 as b, source as source_id, 'news' as item_kind, false as unverified, length({_TITLE}) as title_chars, length(text) as snippet_chars from documents
+          union all select 1, conv_id, turn, role, 'social', true, length(text), 0 from conversations
+          union all select 2, page_id, 0, 'web', 'news', false, length(regexp_extract(html, '<title>(.*?)</title>', 1, 'si')), length(html) from pages),
+        numbered as (select *, row_number() over (order by p, a, b) - 1 as ord from u)"""
 _DOCS = f"""d as (select doc_id, lang, source, {_TITLE} as title, text from documents)"""
 _TOPICS = f"""with p as (select page_id, url, {sql_strip_html("regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 'si'), '</script>', ' ', 'g')")} as body from pages where page_id % 10 <> 9)
         select page_id, cast(0 as int) as pos, 'page ' || page_id as title, 'https://pantip.com/topic/' || page_id as link, cast(1752546600 as bigint) as epoch, sha256(body) as snippet_sha, 'Pantip (tag cars)' as source_name from p
         union all select page_id, 1, 'comment only', case when regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' then regexp_replace(url, '^(https?://[^/?#]+)', '\\1/') else url end, 1752546600, sha256('hit'), 'Pantip (tag cars)' from p"""
-_CITY = """rows as (select n_nationkey as o, n_name as city, n_regionkey + 1.0 as w, o_totalprice / 7000 as f, case when n_nationkey % 3 <> 0 then c_acctbal / 180 end as pm
+_CITY = """rows as (select n_nationkey as o, n_name as city, n_regionkey + 1.0 as w, o_totalprice / 6000 as f, case when n_nationkey % 3 <> 0 then c_acctbal / 100 end as pm
           from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
         city as (select city, min(o) as o, any_value(w) as w, max(f) as peak, avg(f) as mean, max(pm) as pm from rows group by city)"""
 
@@ -259,15 +277,15 @@ ORACLES = {
           case when doc_id % 20 <> 19 then 'https://feed.example.com/' || lang || '/' || doc_id else '' end as sample,
           case when doc_id % 20 <> 19 then '' when doc_id % 3 = 0 then 'empty feed body' when doc_id % 3 = 1 then 'unrecognised feed format (no rss/rdf/atom root)' else 'malformed XML' end as error from documents""",
     "news_payload_items": f"""with {_DOCS}, t as (select *, {sql_strip_html('title')} as st, {sql_strip_html('text')} as sb from d where source <> 'src5')
-        select doc_id, 'https://www.' || source || '.example.com/' || lang || '/' || doc_id || '?utm_source=x' as link, source as source_name, cast(1752546600 as bigint) as epoch, {sql_content_hash('st', 'sb', None)} as text_hash from t""",
+        select doc_id, 'https://www.' || source || '.example.com/' || lang || '/' || doc_id || '?utm_source=x' as link, source as source_name, lang as language, cast(1752546600 as bigint) as epoch, {sql_content_hash('st', 'sb', None)} as text_hash from t""",
     "post_payload_items": f"""with t as (select *, {sql_strip_html('text')} as sb from conversations where role <> 'system')
         select conv_id, turn, case when turn % 2 = 0 then 'https://www.posts.example.com/p/' else 'https://www.facebook.com/' end || conv_id || '_' || turn as link, 'facebook:' || role as source_id,
           cast(1752546600 as bigint) as epoch, {sql_content_hash("''", 'sb', None)} as text_hash from t where sb <> ''""",
     "short_video_items": """select event_id, event_type || ' & ' || props as title, 'https://www.tiktok.com/video/' || event_id as link, 'tiktok:' || event_type as source_id, cast(floor(epoch(ts)) as bigint) as epoch from events""",
     "video_items": """with h as (select *, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders where o_orderkey % 50 <> 49)
         select cast(o_custkey as varchar) as video_id, o_orderkey as query_ord, o_orderpriority as title, 'https://www.youtube.com/watch?v=' || o_custkey as link,
-          o_orderstatus || ' (ช่อง: chan)' || case when c_custkey is not null then ' · ยอดวิว ' || format('{:,}', cast(floor(abs(c_acctbal)) as bigint)) || ' ครั้ง' else '' end as snippet,
-          cast(epoch(o_orderdate) as bigint) as epoch from h left join customer on c_custkey = o_custkey and c_custkey % 3 <> 0 where rn = 1""",
+          o_orderstatus || ' (ช่อง: chan)' || ' · ยอดวิว ' || format('{:,}', views) || ' ครั้ง' as snippet,
+          cast(epoch(o_orderdate) as bigint) as epoch from h join (select o_custkey, arg_max(cast(floor(o_totalprice) as bigint), o_orderkey) as views from orders group by 1) using (o_custkey) where rn = 1""",
     "api_errors": """select conv_id, turn, case when role = 'user' then 'user' else 'keyInvalid: m' end as error from conversations where role = 'user' or turn % 2 <> 0""",
     "embedded_topics": _TOPICS,
     "embedded_topics_known_path": _TOPICS,
@@ -278,16 +296,13 @@ ORACLES = {
     "demand_signals": f"""with {_CITY}, s as (select sum(mean * w) / sum(w) as feels, sum(pm * w) / sum(w) filter (pm is not null) as pm, max(peak) as hp, max(pm) as wp from city),
         x as (select *, (select city from city order by peak desc, o limit 1) as hot, (select city from city where city.pm is not null order by city.pm desc, o limit 1) as worst,
           (select string_agg(city || ' ' || {_dec('peak')} || '°C', ' · ' order by peak desc, o) from (select * from city order by peak desc, o limit 4)) as cl from s)
-        select cast(0 as bigint) as ord, case when feels >= 40 then 'อากาศร้อนจัด' else 'อากาศร้อน' end || ': อุณหภูมิที่รู้สึกได้สูงสุดเฉลี่ย ' || {_dec('feels')} || '°C ใน 7 วันข้างหน้า — ปัจจัยหนุนความต้องการล้างแอร์รถยนต์' as title,
-          'ข้อมูลพยากรณ์: อุณหภูมิที่รู้สึกได้สูงสุดรายเมือง ' || cl || '. ค่าเฉลี่ยถ่วงน้ำหนักตามความหนาแน่นของศูนย์บริการอยู่ที่ ' || {_dec('feels')} || '°C จุดสูงสุดอยู่ที่ ' || hot || ' ' || {_dec('hp')} ||
-          '°C. [การตีความของระบบ] อากาศร้อนทำให้ผู้ใช้รถเปิดแอร์หนักและนานขึ้น คอยล์เย็นสะสมความชื้นและสิ่งสกปรกเร็วขึ้น มักตามมาด้วยอาการแอร์ไม่เย็นและกลิ่นอับ ซึ่งเป็นช่วงที่ความต้องการบริการล้างแอร์รถยนต์สูงขึ้นตามฤดูกาล' as snippet,
-          'https://open-meteo.com/' as link, 'Open-Meteo (พยากรณ์อากาศ)' as source_name, cast(1 as int) as source_tier, 'signal' as item_kind from x where feels >= 36
-        union all select 1, 'ฝุ่น PM2.5 ' || case when pm >= 50 then 'สูงถึงระดับมีผลต่อสุขภาพ' else 'สูงกว่าเกณฑ์ปกติ' end || ': ค่าสูงสุดเฉลี่ย ' || {_dec('pm')} || ' µg/m³ — หนุนความต้องการดูแลคุณภาพอากาศในห้องโดยสารรถยนต์',
-          'ข้อมูลพยากรณ์คุณภาพอากาศ 3 วันข้างหน้า: ค่า PM2.5 สูงสุดเฉลี่ย ' || {_dec('pm')} || ' µg/m³ พื้นที่ที่สูงที่สุดคือ ' || worst || ' ' || {_dec('wp')} ||
-          ' µg/m³. [การตีความของระบบ] ช่วงที่ฝุ่นสูง ผู้ใช้รถให้ความสำคัญกับอากาศในห้องโดยสารมากขึ้น เป็นจังหวะที่เหมาะกับการสื่อสารเรื่องการล้างแอร์รถยนต์และการเปลี่ยนฟิลเตอร์',
-          'https://open-meteo.com/en/docs/air-quality-api', 'Open-Meteo (คุณภาพอากาศ)', 1, 'signal' from x where pm >= 37.5""",
-    "source_union": """with u as (select doc_id as ord, source as source_id, 'news' as item_kind, false as unverified, length(text) as snippet_chars from documents
-          union all select 1048576 + conv_id * 1000 + turn, role, 'social', true, 0 from conversations union all select 2 * 1048576 + page_id, 'web', 'news', false, 0 from pages)
-        select * from u qualify row_number() over (partition by source_id order by ord) <= 20""",
+        select cast(0 as bigint) as ord, case when feels >= 40 then 'Severe heat' else 'Heat' end || ', 7 days ahead: felt maximum of ' || {_dec('feels')} || '°C on average' as title,
+          'Felt maximum by city: ' || cl || '. Weighted average ' || {_dec('feels')} || '°C, highest in ' || hot || ' with ' || {_dec('hp')} || '°C. More cooling is used, so cooling systems need care sooner.' as snippet,
+          'https://open-meteo.com/' as link, 'Open-Meteo forecast' as source_name, cast(1 as int) as source_tier, 'signal' as item_kind from x where feels >= 36
+        union all select 1, case when pm >= 50 then 'Fine dust at an unhealthy level' else 'Fine dust above normal' end || ': PM2.5 maximum of ' || {_dec('pm')} || ' µg/m³ on average',
+          'PM2.5 maximum ' || {_dec('pm')} || ' µg/m³ on average, highest in ' || worst || ' with ' || {_dec('wp')} || ' µg/m³. Cabin air gets attention, so filters and cleaning are asked for.',
+          'https://open-meteo.com/en/docs/air-quality-api', 'Open-Meteo air quality', 1, 'signal' from x where pm >= 37.5""",
+    "source_union": f"""with {_UNION} select ord, source_id, item_kind, unverified, title_chars, snippet_chars from numbered""",
+    "source_caps": f"""with {_UNION} select ord, source_id from numbered qualify row_number() over (partition by source_id order by ord) <= 20""",
     "item_scan": """select source as source_id, 'news' as item_kind, false as unverified, count(*) as items, cast(sum(length(text)) as bigint) as chars from documents where source <> 'src4' group by source""",
 }

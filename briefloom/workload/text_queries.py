@@ -112,7 +112,6 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         "doc_id",
         hashing.content_hash(title, F.col("text")).alias("content_hash"),
-        hashing.content_hash(title, F.col("text"), None).alias("full_hash"),
     )
 
 
@@ -201,15 +200,15 @@ def robots_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def domain_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Pages to canonical links, best copy per link, pages and text per domain."""
-    from briefloom.operators.dedup import keep_best
+    from briefloom.operators.dedup import keep_best, shorter, sort_code
 
     pages = urls.with_canonical_url(page_texts(spark, sf), "url")
-    rank = F.struct((-F.length("body")).alias("shorter"), F.col("page_id").alias("ord"))
-    best = keep_best(pages.withColumn("ord", F.col("page_id")), "canonical_url", rank)
+    narrow = pages.select(F.col("page_id").alias("ord"), "canonical_url", "title", F.length("body").cast("bigint").alias("chars"))
+    best = keep_best(narrow, "canonical_url", sort_code((shorter(F.col("chars")), 10), (F.col("ord"), 19)))
     return best.groupBy(urls.domain_of(F.col("canonical_url")).alias("domain")).agg(
         F.count(F.lit(1)).alias("stories"),
         F.sum("copies").alias("pages"),
-        F.sum(F.length("body").cast("bigint")).alias("chars"),
+        F.sum("chars").alias("chars"),
         F.countDistinct("title").alias("titles"),
     )
 
@@ -242,8 +241,7 @@ ORACLES = {
     "html_to_text": f"""with t as (select page_id, {_PAGE_TITLE} as title, {_PAGE_BODY} as body from pages)
         select page_id, case when length(title) <= 40 then title else rtrim(substring(title, 1, 39)) || '…' end as short_title,
                length(body) as chars, sha256(body) as text_sha from t""",
-    "content_hash": f"""select doc_id, {sql_content_hash(_TITLE, 'text', 300)} as content_hash,
-        {sql_content_hash(_TITLE, 'text', None)} as full_hash from documents""",
+    "content_hash": f"""select doc_id, {sql_content_hash(_TITLE, 'text', None)} as content_hash from documents""",
     "token_stats": f"""with w as (select doc_id, {sql_tokens('text')} as toks, {sql_packed('text')} as packed from documents),
         g as (select doc_id, count(distinct substring(packed, i, 3)) as trigrams
               from (select doc_id, packed, unnest(range(1, length(packed) - 1)) as i from w) group by doc_id)

@@ -55,7 +55,9 @@ def test_daily_pipeline(spark, report):
     assert counts["after_dedup"] == 7
     assert {2, 3, 4, 8} <= set(items) and not {1, 5, 6, 7, 9, 12} & set(items)
     # The official copy leads its group and lists the other outlet once.
-    assert [c["url"] for c in items[8]["related_coverage"]] == ["https://a.example/toyota"]
+    nested = {r["ord"]: r for r in dedup.nest_coverage(report.items, report.coverage).collect()}
+    assert [c["url"] for c in nested[8]["related_coverage"]] == ["https://a.example/toyota"] and nested[2]["related_coverage"] == []
+    assert items[8]["coverage_count"] == 1
     assert items[8]["duplicate_group_id"] is not None
     assert items[3]["affected_competitors"] == ["Wizard"] and items[3]["classification"] == "negative"
     assert items[4]["time_horizon"] == "long-term" and items[4]["news_category"] == "EV"
@@ -78,7 +80,7 @@ def test_daily_pipeline(spark, report):
 def test_empty_day(spark, report):
     empty = report.items.limit(0)
     b = briefing(empty).first()
-    assert b["urgency_level"] == "low" and "ไม่พบข่าว" in b["executive_summary"]
+    assert b["urgency_level"] == "low" and "Nothing about us" in b["executive_summary"]
     funnel = collect_funnel(spark.createDataFrame(STORIES[9:11], RAW_ITEM), now(), VEHICLE_CARE_LEXICON)
     assert collect_preview(funnel).isEmpty()
 
@@ -166,7 +168,7 @@ def test_demand_signals(spark):
 
     assert run([("bkk", 1, [30, 31, 30], 10.0)]) == []
     heat = run([("bkk", 5, [40, 40], None), ("small", 1, [28, 28], None)])
-    assert len(heat) == 1 and "เฉลี่ย 38°C" in heat[0]["title"]
+    assert len(heat) == 1 and "maximum of 38°C" in heat[0]["title"]
     assert len(run([("bkk", 1, [41], 70.0)])) == 2
     dust = run([("bkk", 1, [30], 60.0)])
     assert len(dust) == 1 and "PM2.5" in dust[0]["title"]
