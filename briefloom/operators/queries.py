@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from briefloom.lexicons.model import Lexicon
 from briefloom.operators.dedup import first_by
-from briefloom.session import with_scalars
+from briefloom.operators.graph import salted_lookup
+from briefloom.session import materialize, with_scalars
 
 
 def _place(number: int, *parts: Column) -> Column:
@@ -98,23 +99,14 @@ def queries_per_locale(queries: DataFrame, locales: DataFrame, n: int | None = N
 def match_terms(docs: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
     """(key, term) for every term of a table that occurs in a document, same rules as ``contains_term``.
 
-    Latin terms are found through their first word: documents are exploded into distinct words,
-    joined with the terms on that word, then checked at word edges. Other terms are found
-    through their first characters in the same way. No term is compared with every document.
+    Latin terms are looked up by their rarest word, other terms by their first other characters, so that a word that
+    most documents hold is a probe only for terms made of nothing rarer. Documents and probes meet with a salt: a probe
+    that very many documents hold is spread over tasks. The terms found for a document are gathered and checked at word
+    edges in one pass over its text. No term is compared with every document. ``key`` must be unique.
     """
     needle = F.lower(F.trim(F.col(term)))
     prepared = terms.select(F.col(term), needle.alias("needle")).where(F.col("needle") != "").distinct()
-    is_latin = F.col("needle").rlike("^[ -~]+$")
-    first_word = F.regexp_extract("needle", "[a-z0-9]+", 0)
-    prepared = prepared.select(
-        term,
-        "needle",
-        is_latin.alias("latin"),
-        # Terms without a Latin word to look up are looked up by their first other characters.
-        F.when(is_latin & (first_word != ""), F.concat(F.lit("w:"), first_word))
-        .otherwise(F.concat(F.lit("c:"), F.regexp_extract("needle", "[^a-z0-9\\s][^a-z0-9]{0,2}", 0)))
-        .alias("probe"),
-    )
+    prepared = prepared.withColumn("latin", F.col("needle").rlike("^[ -~]+$"))
     hay = docs.select(F.col(key), F.lower(F.col(text)).alias("hay"))
     words = F.transform(F.regexp_extract_all("hay", F.lit("[a-z0-9]+"), 0), lambda w: F.concat(F.lit("w:"), w))
     # Character probes exist only where the text leaves the Latin alphabet or holds bare symbols.
@@ -125,21 +117,37 @@ def match_terms(docs: DataFrame, terms: DataFrame, key: str, text: str, term: st
             lambda run: F.flatten(
                 F.transform(
                     F.sequence(F.lit(1), F.length(run)),
-                    lambda i: F.array(
-                        F.concat(F.lit("c:"), run.substr(i, F.lit(1))),
-                        F.concat(F.lit("c:"), run.substr(i, F.lit(2))),
-                        F.concat(F.lit("c:"), run.substr(i, F.lit(3))),
-                    ),
+                    lambda i: F.array(*[F.concat(F.lit("c:"), run.substr(i, F.lit(n))) for n in (1, 2, 3)]),
                 )
             ),
         )
     )
-    probes = hay.select(key, F.explode(F.array_distinct(F.concat(words, grams))).alias("probe"))
-    candidates = probes.join(prepared, "probe").select(key, term, "needle", "latin").distinct()
-    quoted = F.concat(F.lit("\\Q"), F.col("needle"), F.lit("\\E"))
-    edge = F.concat(F.lit("(^|[^a-z0-9])"), quoted, F.lit("([^a-z0-9]|$)"))
+    found = materialize(hay.select(key, F.explode(F.array_distinct(F.concat(words, grams))).alias("probe")), "probes")
+    frequency = found.groupBy("probe").agg(F.count(F.lit(1)).alias("df"))
+    symbols = F.concat(F.lit("c:"), F.regexp_extract("needle", "[^a-z0-9\\s][^a-z0-9]{0,2}", 0))
+    own = F.transform(F.regexp_extract_all("needle", F.lit("[a-z0-9]+"), 0), lambda w: F.concat(F.lit("w:"), w))
+    choices = prepared.select(term, "needle", "latin", F.explode(F.when(F.col("latin") & (F.size(own) > 0), own).otherwise(F.array(symbols))).alias("probe"))
+    # A word that no document holds rules its term out; else the rarest one is the probe.
+    rated = choices.join(frequency, "probe", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = rated.groupBy(term, "needle", "latin").agg(F.min(F.struct("df", "probe")).alias("p")).where("p.df > 0")
+    lists = rarest.groupBy(F.col("p.probe").alias("probe")).agg(F.collect_list(F.struct(term, "needle", "latin")).alias("terms"))  # terms with one rarest word
+    candidates = salted_lookup(found, "probe", lists, key).select(key, F.explode("terms").alias("t"))
+    per_doc = candidates.groupBy(key).agg(F.collect_set("t").alias("ts"))  # at most the terms that share a word with the document
+    padded = F.concat(F.lit(" "), F.regexp_replace("hay", "[^a-z0-9]", " "), F.lit(" "))
     return (
-        candidates.join(hay, key)
-        .where(F.col("hay").contains(F.col("needle")) & (~F.col("latin") | F.regexp_like("hay", edge)))
-        .select(key, term)
+        hay.join(per_doc, key)
+        .select(key, "hay", padded.alias("edges"), F.explode("ts").alias("t"))
+        .where(_occurs(F.col("hay"), F.col("edges"), F.col("t.needle"), F.col("t.latin")))
+        .select(key, F.col(f"t.{term}").alias(term))
     )
+
+
+def _occurs(hay: Column, edges: Column, needle: Column, latin: Column) -> Column:
+    """Whether a needle is in a text; a Latin one only between other characters than a-z and 0-9.
+
+    ``edges`` is the text with a space for every such other character, and one around it. The needle in the same form
+    has to be in it first; only then the exact place is looked for.
+    """
+    plain = F.concat(F.lit(" "), F.regexp_replace(needle, "[^a-z0-9]", " "), F.lit(" "))
+    exact = F.regexp_like(hay, F.concat(F.lit("(^|[^a-z0-9])\\Q"), needle, F.lit("\\E([^a-z0-9]|$)")))
+    return F.contains(hay, needle) & F.when(~latin, F.lit(True)).otherwise(F.when(F.contains(edges, plain), exact).otherwise(F.lit(False)))

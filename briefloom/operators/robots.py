@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from briefloom.functions.urls import origin_of, path_of
 from briefloom.functions.text import trim_ws
+from briefloom.operators.graph import salted_lookup
 
 _PREFIX_CHARS = 8
+_SALTS = 16
 
 
 def robots_rules(files: DataFrame, user_agent: str) -> DataFrame:
@@ -35,17 +37,16 @@ def robots_rules(files: DataFrame, user_agent: str) -> DataFrame:
 def allowed_by_robots(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "ord") -> DataFrame:
     """Rows whose path no rule of their origin covers; origins without rules are allowed.
 
-    Hash anti-join on the origin plus the first characters of the path, at every length that a
-    rule can have up to a limit, so rules are looked up instead of compared with every page.
-    Longer rules are verified in the join condition.
+    Only pages of origins that have a rule are looked at. Their paths are cut to the lengths that the rules of the
+    origin really have, and joined on origin and beginning, with the page's own number as salt: a site that holds a
+    third of all pages is spread over tasks. Rules longer than the joined beginning are verified in full.
     """
-    path = path_of(F.col(url))
-    heads = F.transform(F.sequence(F.lit(1), F.lit(_PREFIX_CHARS)), lambda n: F.substring(path, 1, n))
-    probes = pages.select(
-        F.col(key), origin_of(F.col(url)).alias("origin"), path.alias("path"), F.explode(F.array_distinct(heads)).alias("head")
-    )
-    keyed = rules.withColumn("head", F.substring("rule", 1, _PREFIX_CHARS))
-    blocked = probes.join(
-        keyed, ["origin", "head"]
-    ).where((F.col("rule") == "/") | F.col("path").startswith(F.col("rule")))
+    placed = pages.select(F.col(key), origin_of(F.col(url)).alias("origin"), path_of(F.col(url)).alias("path"))
+    headed = rules.withColumn("head", F.substring("rule", 1, _PREFIX_CHARS))
+    lengths = headed.groupBy("origin").agg(F.collect_set(F.length("head")).alias("lengths"))  # at most eight
+    ruled = salted_lookup(placed, "origin", lengths, key)
+    heads = F.transform("lengths", lambda n: F.substring("path", F.lit(1), n))
+    probes = ruled.select(key, "path", F.explode(F.array_distinct(heads)).alias("head"), "origin", F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias("salt"))
+    salted = headed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
+    blocked = probes.join(salted, ["origin", "head", "salt"]).where((F.col("rule") == "/") | F.col("path").startswith(F.col("rule")))
     return pages.join(blocked.select(key).distinct(), key, "left_anti").where(origin_of(F.col(url)).isNotNull())

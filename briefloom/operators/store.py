@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from briefloom.operators.quality import Rule, split_valid
+from briefloom.session import delete_folder, partition_values
 
 RETENTION_DAYS = 31
 CACHE_DAYS = 14
@@ -36,10 +37,7 @@ def upsert_index(index: DataFrame, entries: DataFrame, keep: int = RETENTION_DAY
 
 def stored_dates(spark: SparkSession, path: str) -> list[date]:
     """Dates of a report table, from its partition folders; no data file is opened."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    names = [e.getPath().getName() for e in entries]
-    return sorted(date.fromisoformat(n[5:]) for n in names if re.fullmatch(r"date=\d{4}-\d{2}-\d{2}", n))
+    return [date.fromisoformat(d) for d in partition_values(spark, path, "date") if re.fullmatch(r"\d{4}-\d{2}-\d{2}", d)]
 
 
 def expired_partitions(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
@@ -52,8 +50,7 @@ def prune(spark: SparkSession, path: str, index: DataFrame) -> list[date]:
     """Delete the partitions of expired dates and return them."""
     expired = [r["date"] for r in expired_partitions(spark, path, index).collect()]  # one row per day
     for day in expired:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day.isoformat()}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, f"{path}/date={day.isoformat()}")
     return expired
 
 
@@ -108,3 +105,25 @@ def read_latest(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
 def read_dates(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
     """Several days, newest first; days without a report return nothing."""
     return spark.read.parquet(path).where(F.col("date").isin(days)).orderBy(F.desc("date"))
+
+
+# ---- small tables that are replaced as a whole ----
+
+
+def write_version(df: DataFrame, path: str) -> None:
+    """Write the next version of a table and delete the ones before the last: readers always find a whole one."""
+    spark = df.sparkSession
+    versions = [int(v) for v in partition_values(spark, path, "version")]
+    df.write.parquet(f"{path}/version={max(versions, default=0) + 1}")
+    for old in sorted(versions)[:-1]:
+        delete_folder(spark, f"{path}/version={old}")
+
+
+def read_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Last finished version of a table; empty if there is none."""
+    versions = sorted(int(v) for v in partition_values(spark, path, "version"))
+    for v in reversed(versions):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.schema(schema).parquet(f"{path}/version={v}")
+    return spark.createDataFrame([], schema)

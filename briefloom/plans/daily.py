@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefloom.lexicons.model import Lexicon, RuleSet
-from briefloom.operators.aggregates import daily_kpi, funnel_counts, run_status
+from briefloom.operators import store
+from briefloom.operators.aggregates import daily_kpi, error_log, funnel_counts, run_status
 from briefloom.operators.dedup import DedupOptions, DedupResult, deduplicate
 from briefloom.operators.enrich import BatchModel, EnrichOptions, enrich, origin_counts
 from briefloom.operators.normalize import NormalizeOptions, RecencyOptions, filter_by_recency, normalize_items
 from briefloom.operators.ranking import candidate_preview, gate, publish_cut, publish_ranking
+from briefloom.operators.quality import ANALYSIS_RULES
+from briefloom.operators.store import RETENTION_DAYS
 from briefloom.plans.briefing import briefing
+from briefloom.schemas import REPORT_INDEX
 from briefloom.session import materialize, with_scalars
 
 
@@ -56,6 +62,8 @@ class DailyReport:
     dedup_stats: DataFrame
     funnel: DataFrame
     origins: DataFrame
+    errors: DataFrame  #: (ord, scope, message) of failed model calls and answers
+    fresh: DataFrame  #: cache rows of new model answers, without their time
 
     def with_date(self, day: Column) -> "DailyReport":
         """Add the partition column of the stored tables."""
@@ -86,10 +94,15 @@ def run_daily(
     cache: DataFrame | None = None,
     model: BatchModel | None = None,
     options: DailyOptions = DailyOptions(),
+    budget: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DailyReport:
-    """Raw items to the report tables of one day. Without a model every verdict comes from the rules."""
+    """Raw items to the report tables of one day. Without a model every verdict comes from the rules.
+
+    ``budget`` decides which model calls may be made (see ``enrich``).
+    """
     funnel = collect_funnel(raw, now, lexicon, options)
-    analyzed = materialize(enrich(funnel.candidates, rules, cache, model, options.enrich).items, "analyzed")
+    done = enrich(funnel.candidates, rules, cache, model, options.enrich, budget)
+    analyzed = materialize(done.items, "analyzed")
     published = publish_cut(analyzed, options.min_relevance)
     counts = funnel.counts()
     return DailyReport(
@@ -100,6 +113,8 @@ def run_daily(
         dedup_stats=funnel.dedup.stats,
         funnel=counts,
         origins=origin_counts(analyzed),
+        errors=done.errors,
+        fresh=done.fresh,
     )
 
 
@@ -118,3 +133,35 @@ def index_entry(report: DailyReport, health: DataFrame, errors: DataFrame, day:
         "date", "generated_at", "status", "total", "positive", "neutral", "negative",
         "net_impact_score", "overall_sentiment", "competitor_alerts",
     )
+
+
+#: Report tables, one partition per day.
+DAY_TABLES = ("items", "coverage", "kpi", "briefing", "health", "errors")
+
+
+def save_day(
+    report: DailyReport, root: str, day: date, now: Column, health: DataFrame, errors: DataFrame | None = None, keep: int = RETENTION_DAYS
+) -> list[date]:
+    """Finish a day (O1): write its tables, put it into the history index, drop expired days, add to the cache.
+
+    ``health``: (source_id, source_name, ok, item_count, error, configured). ``errors``: (ord, scope, message) of the
+    collectors, beside those of the model. A day that is saved again replaces what was stored. Returns the days that
+    were dropped. Items that break the schema stop the job before anything is written.
+    """
+    spark = report.items.sparkSession
+    log = report.errors if errors is None else errors.select("ord", "scope", "message").unionByName(report.errors)
+    tables = {
+        "items": report.items.drop("saved_at"), "coverage": report.coverage, "kpi": report.kpi, "briefing": report.briefing, "health": health, "errors": error_log(log),
+    }
+    for name in DAY_TABLES:
+        dated = tables[name].withColumn("date", F.lit(day))
+        store.write_day(dated, f"{root}/{name}", ANALYSIS_RULES if name == "items" else ())
+    entry = index_entry(report, health, log, F.lit(day), now)
+    index = materialize(store.upsert_index(store.read_version(spark, f"{root}/index", REPORT_INDEX), entry, keep), "index")
+    store.write_version(index, f"{root}/index")
+    dropped = [store.prune(spark, f"{root}/{name}", index) for name in DAY_TABLES]
+    fresh = report.fresh.withColumn("saved_at", now)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fresh.schema.fields)
+    cache = store.evict_expired(store.read_version(spark, f"{root}/cache", schema), now)
+    store.write_version(materialize(store.upsert_cache(cache, fresh), "cache"), f"{root}/cache")
+    return sorted({d for days in dropped for d in days})

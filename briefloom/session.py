@@ -38,10 +38,25 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/briefloom/{spark.sparkContext.applicationId}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark can write to."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a table's partition folders, without opening a data file; none if there is no table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    names = [e.getPath().getName() for e in store.listStatus(folder)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, _run_dir(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:

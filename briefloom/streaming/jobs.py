@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from briefloom.operators.enrich import overlay_cache
 from briefloom.operators.store import evict_expired, upsert_cache
-from briefloom.session import new_path
+from briefloom.session import delete_folder, materialize, new_path, partition_values
 
 
 def dedup_stream(items: DataFrame, key: str = "canonical_url", lookback: str = "48 hours", ts: str = "published_at", ingested: str = "collected_at") -> DataFrame:
@@ -61,6 +61,21 @@ def latest_updates(spark: SparkSession, path: str, schema: str, keys: list[str])
     return last.select(*keys, "v.*")
 
 
+def compact_updates(spark: SparkSession, path: str, schema: str, keys: list[str], batch_id: int) -> None:
+    """Replace the update log up to ``batch_id`` by one row per key, and delete the older batches.
+
+    The compacted rows are written as that batch first; rows of later batches still win over them.
+    """
+    log = spark.read.schema(f"{schema}, batch_id int").parquet(path).where(F.col("batch_id") <= batch_id)
+    values = [c for c in log.columns if c not in (*keys, "batch_id")]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("v")).select(*keys, "v.*")
+    compacted = materialize(last, "compacted").withColumn("batch_id", F.lit(batch_id))
+    compacted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    for name in partition_values(spark, path, "batch_id"):
+        if int(name) < batch_id:
+            delete_folder(spark, f"{path}/batch_id={name}")
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all input that is there now into a table of the shared folder, and read it."""
     spark = stream.sparkSession
@@ -79,21 +94,36 @@ def with_cached_analysis(items: DataFrame, cache: DataFrame, now: Column) -> Dat
     return overlay_cache(items, evict_expired(cache, now))
 
 
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("content_hash"), F.lit(BUCKETS)).cast("int"))
+
+
 def cache_writer(path: str, now: Column):
-    """``foreachBatch`` function that folds fresh analyses into the cache table and drops expired rows.
+    """``foreachBatch`` function that folds fresh analyses into a cache table keyed by fingerprint.
 
-    Every batch writes its own version folder from the one before, so a retried batch is harmless.
+    The table is split into buckets by fingerprint. A batch reads and replaces only the buckets it touches, and the
+    result does not depend on how often it is repeated, so a retried batch is harmless. Expired rows leave their
+    bucket when it is next written, and are not returned by ``read_cache``.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        first = batch_id == 0
-        old = batch.limit(0) if first else read_cache(batch.sparkSession, path, batch_id - 1, batch.schema)
-        merged = upsert_cache(evict_expired(old, now), batch)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark = batch.sparkSession
+        fresh = materialize(_bucketed(batch), "fresh")
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most one row per bucket
+        if not touched:
+            return
+        old = fresh.limit(0)
+        if partition_values(spark, path, "bucket"):
+            old = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched))
+        merged = materialize(upsert_cache(evict_expired(old, now), fresh), "cache")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return save
 
 
-def read_cache(spark: SparkSession, path: str, version: int, schema: StructType) -> DataFrame:
-    """Cache table after a batch."""
-    return spark.read.schema(schema).parquet(f"{path}/version={version}")
+def read_cache(spark: SparkSession, path: str, schema: StructType, now: Column) -> DataFrame:
+    """Rows of the cache table that have not expired."""
+    return evict_expired(spark.read.schema(schema).parquet(path), now)

@@ -48,10 +48,12 @@ def rule_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored queries against documents: the first words of every benchmark text as phrases, and the special letters."""
+    """Stored queries against documents: all neighbouring word pairs of the benchmark texts, and its special letters."""
     words = F.split(F.lower("text"), "\\s+")
-    phrases = table(spark, sf, "benchmark").select(F.array_join(F.slice(words, 1, 2), " ").alias("term")).distinct()
-    letters = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[^ -~\\s]+[a-z]*"), 0)).alias("term")).distinct()
+    pairs_of = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat_ws(" ", F.element_at("ws", i), F.element_at("ws", i + 1)))
+    bench = table(spark, sf, "benchmark").select("text", words.alias("ws"))
+    phrases = bench.where(F.size("ws") > 1).select(F.explode(pairs_of).alias("term"))
+    letters = bench.select(F.explode(F.regexp_extract_all("text", F.lit("[^ -~\\s]+[a-z]*"), 0)).alias("term"))
     matched = queries.match_terms(table(spark, sf, "documents"), phrases.unionByName(letters).distinct(), "doc_id", "text")
     return matched.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("doc_id").alias("doc_sum"))
 
@@ -544,11 +546,11 @@ ORACLES = {
         case when abs(impact_score) >= 3 then 'high' else 'medium' end as priority, case when abs(impact_score) >= 3 then 'today' else 'monitor' end as deadline
         from classified""",
     "term_matches": """with w as (select regexp_split_to_array(lower(text), '\\s+') as ws, text from benchmark),
-        terms as (select distinct array_to_string(ws[1:2], ' ') as term from w
+        terms as (select distinct ws[i] || ' ' || ws[i + 1] as term from (select ws, unnest(range(1, len(ws))) as i from w)
                   union select distinct unnest(regexp_extract_all(text, '[^ -~\\s]+[a-z]*')) from benchmark),
         n as (select term, lower(trim(term)) as needle from terms)
-        select term, count(*) as documents, cast(sum(doc_id) as bigint) as doc_sum from n join documents d on case when regexp_matches(needle, '^[ -~]+$')
-          then regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(needle) || '([^a-z0-9]|$)') else contains(lower(text), needle) end
+        select term, count(*) as documents, cast(sum(doc_id) as bigint) as doc_sum from n join (select doc_id, lower(text) as t from documents) d
+          on contains(t, needle) and (not regexp_matches(needle, '^[ -~]+$') or regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(needle) || '([^a-z0-9]|$)'))
         group by term""",
     "query_expansion": """with q as (
           select p_type as q, p_brand as category_id, case when p_partkey % 2 = 0 then 'th' else 'en' end as language,

@@ -11,9 +11,10 @@ from briefloom.functions.dates import date_key
 from briefloom.operators import aggregates as agg
 from briefloom.operators import ranges, ranking, store
 from briefloom.plans.briefing import briefing
-from briefloom.plans.daily import collect_funnel, run_daily
+from briefloom.plans.daily import collect_funnel, run_daily, save_day
 from briefloom.plans.range_report import range_report
-from briefloom.session import materialize, new_path, with_scalars
+from briefloom.schemas import REPORT_INDEX
+from briefloom.session import materialize, new_path, partition_values, with_scalars
 from briefloom.streaming import jobs
 from briefloom.workload.inputs import (
     PROBE_LEXICON, PROBE_RULES, analysed_documents, document_items, event_reports, now, table,
@@ -291,17 +292,50 @@ def collect_only(spark: SparkSession, sf: str) -> DataFrame:
     return collect_funnel(raw, now(), PROBE_LEXICON).counts()
 
 
+def daily_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily job run and saved for two days, the first one twice; index, items and health read back from the store."""
+    root = new_path(spark, "store")
+    docs = document_items(spark, sf)
+    names = docs.select("source_id", "source_name").distinct()
+    runs = [
+        (date(2024, 1, 30), docs.where(F.col("language") != "en")),
+        (date(2024, 1, 30), docs.where(F.col("language") == "fr")),
+        (date(2024, 1, 31), docs.where(F.col("language") != "fr")),
+    ]
+    for day, raw in runs:
+        report = run_daily(raw, now(), PROBE_LEXICON, PROBE_RULES)
+        fetches = names.select("source_id", (F.col("source_id") != "src3").alias("ok"), F.lit("refused").alias("error"), F.lit(1).alias("ord"))
+        health = agg.source_health(fetches, report.items, names).withColumn("configured", F.lit(True))
+        save_day(report, root, day, now(), health)
+    index = store.read_version(spark, f"{root}/index", REPORT_INDEX)
+    items = store.read_reports(spark, f"{root}/items").groupBy("date").agg(F.count(F.lit(1)).alias("stored"), F.sum("ord").alias("ord_sum"))
+    health = store.read_reports(spark, f"{root}/health").groupBy("date").agg(F.sum("item_count").alias("source_items"))
+    newest = store.read_latest(spark, f"{root}/items", index).select("date").distinct().withColumn("newest", F.lit(True))
+    rows = index.join(items, "date", "left").join(health, "date", "left").join(newest, "date", "left")
+    return rows.select(
+        F.col("date").cast("string").alias("date"), "status", "total", "positive", "negative", F.round("net_impact_score", 2).alias("net_impact_score"), "stored", "ord_sum", "source_items", "newest"
+    )
+
+
 # ---- streams ----
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return raw.withColumn("event_time", F.col("ts").cast("timestamp"))
+def _event_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
+    """Events as a stream of several files in event order, one file per micro-batch."""
+    e = table(spark, sf, "events").withColumn("event_time", F.col("ts"))
+    path = new_path(spark, "event-files")
+    # One write per file, so that their order in time is their order of arrival.
+    micros = F.unix_micros("event_time")
+    low, high = e.agg(F.min(micros), F.max(micros)).first()
+    bounds = [low + (high - low) * i // files for i in range(1, files)]
+    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        part = e.where((F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high))
+        part.coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream: counters per Bangkok day, kept up to date batch by batch."""
+    """Events as a stream: counters per Bangkok day, kept up to date batch by batch, the update log compacted."""
     counters = [
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
@@ -309,15 +343,19 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     ]
     stream = jobs.kpi_stream(_event_stream(spark, sf), counters)
     path, checkpoint = new_path(spark, "kpi"), new_path(spark, "kpi-state")
-    jobs.write_updates(stream, path, checkpoint).awaitTermination()
-    current = jobs.latest_updates(
-        spark, path, "window struct<start: timestamp, end: timestamp>, events bigint, errors bigint, high bigint", ["window"]
-    )
+    query = jobs.write_updates(stream, path, checkpoint)
+    query.awaitTermination()
+    schema, keys = "window struct<start: timestamp, end: timestamp>, events bigint, errors bigint, high bigint", ["window"]
+    jobs.compact_updates(spark, path, schema, keys, max(int(b) for b in partition_values(spark, path, "batch_id")))
+    current = jobs.latest_updates(spark, path, schema, keys)
     return current.select(date_key(F.col("window.start")).cast("string").alias("day"), "events", "errors", "high")
 
 
+LOOKBACK_DAYS = 5
+
+
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream of stories: one row per story key inside the lookback."""
+    """Events as a stream of stories: a key counts again once the lookback has passed over it."""
     keyed = _event_stream(spark, sf).withColumns(
         {
             "published_at": F.when(F.col("event_type") != "view", F.col("event_time")),
@@ -325,11 +363,13 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
             "canonical_url": F.concat_ws("/", F.col("user_id").cast("string"), "event_type"),
         }
     ).select("canonical_url", "published_at", "collected_at")
-    return jobs.run_to_table(jobs.dedup_stream(keyed)).select("canonical_url")
+    return jobs.run_to_table(jobs.dedup_stream(keyed, lookback=f"{LOOKBACK_DAYS} days")).select(
+        "canonical_url", F.unix_seconds(F.coalesce("published_at", "collected_at")).alias("epoch")
+    )
 
 
 def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Analysis cache fed by a stream: last analysis per fingerprint, expired ones dropped on read."""
+    """Analysis cache fed by a stream, batch by batch: last analysis per fingerprint, expired ones not returned."""
     clock = F.lit("2024-01-25T00:00:00Z").cast("timestamp")
     stream = _event_stream(spark, sf).select(
         F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256).alias("content_hash"), F.col("event_time").alias("saved_at"), "event_id"
@@ -339,9 +379,7 @@ def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
         stream.writeStream.foreachBatch(jobs.cache_writer(path, clock)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    cache = jobs.read_cache(spark, path, last, stream.schema)
-    return store.evict_expired(cache, clock).select("content_hash", "event_id")
+    return jobs.read_cache(spark, path, stream.schema, clock).select("content_hash", "event_id")
 
 
 QUERIES = {
@@ -349,7 +387,7 @@ QUERIES = {
     for f in (
         kpi_rollup, daily_kpi, net_score_daily, model_stats, tally_topk, facet_values, funnel_counts, source_health, run_status,
         error_log, trend, index_upsert, retention, report_scan, cache_maintenance, new_rows, range_presets, range_merge,
-        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, collect_only, event_windows, stream_dedup, stream_cache,
+        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, daily_store, collect_only, event_windows, stream_dedup, stream_cache,
     )
 }
 
@@ -508,7 +546,24 @@ ORACLES = {
           after_dedup as kpi_after_dedup, after_prefilter as kpi_after_prefilter, published as kpi_published from classified, counts where prefilter_score >= 8 and relevance_score >= 40""",
     "collect_only": f"""with recursive {sql_scored(items=sql_deduplicated(SQL_RAW_PAGES))}
         select {SQL_FUNNEL}, (select count(*) from scored where prefilter_score >= 8) as after_prefilter""",
+    "daily_store": " union all ".join(
+        f"""(with recursive {sql_classified(items=sql_deduplicated(SQL_RAW_DOCUMENTS.replace('from documents', f'from (select * from documents where {where})')))},
+        p as (select * from classified where prefilter_score >= 8 and relevance_score >= 40)
+        select '{day}' as date, 'degraded' as status, count(*) as total, count(*) filter (classification = 'positive') as positive, count(*) filter (classification = 'negative') as negative,
+          round(cast(coalesce(sum(impact_score * (confidence / 100.0)), 0) as double), 2) as net_impact_score, count(*) as stored, cast(sum(ord) as bigint) as ord_sum,
+          count(*) as source_items, {newest} as newest from p)"""
+        for day, where, newest in (("2024-01-30", "lang = 'fr'", "cast(null as boolean)"), ("2024-01-31", "lang <> 'fr'", "true"))
+    ),
     "event_windows": """select cast(cast(ts + interval 7 hour as date) as varchar) as day, count(*) as events, count(*) filter (event_type = 'error') as errors, count(*) filter (value >= 10) as high from events group by 1""",
-    "stream_dedup": "select distinct user_id || '/' || event_type as canonical_url from events",
+    # Four batches. A key is forgotten after a batch whose watermark, the last time of the batches before it less the
+    # lookback, has reached its time plus the lookback: with these spans only after the third batch.
+    "stream_dedup": f"""with b as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events),
+        e as (select user_id || '/' || event_type as k, event_id, epoch_us(ts) as t,
+          1 + cast(epoch_us(ts) > lo + (hi - lo) // 4 as int) + cast(epoch_us(ts) > lo + (hi - lo) * 2 // 4 as int) + cast(epoch_us(ts) > lo + (hi - lo) * 3 // 4 as int) as f from events, b),
+        r as (select *, row_number() over (partition by k order by f, event_id) as rn, row_number() over (partition by k, f order by event_id) as rf,
+          (select max(t) from e where f <= 2) as seen from e),
+        one as (select * from r where rn = 1)
+        select k as canonical_url, t // 1000000 as epoch from one
+        union all select r.k, r.t // 1000000 from r join one on one.k = r.k and one.f <= 3 and one.t + 2 * {LOOKBACK_DAYS} * 86400000000 <= one.seen where r.f = 4 and r.rf = 1""",
     "stream_cache": f"""with {SQL_EVENTS} select content_hash, arg_max(event_id, ts) as event_id from er group by 1 having max(ts) >= timestamp '2024-01-11'""",
 }
