@@ -73,13 +73,6 @@ class Lexicon:
     competitor_qualifiers: tuple[tuple[str, tuple[str, ...]], ...] = ()
     brand_templates: tuple[tuple[str, str], ...] = ()
 
-    @property
-    def category_order(self) -> tuple[str, ...]:
-        """Order in which the score adds categories."""
-        ids = [c.id for c in self.categories]
-        ids += [self.brand_category, self.competitor_category, self.geo_category]
-        return tuple(dict.fromkeys(ids))
-
     def terms_df(self, spark: SparkSession) -> DataFrame:
         """Category terms as a table: one row per term, in configuration order."""
         rows = [

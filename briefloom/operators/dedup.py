@@ -236,6 +236,7 @@ def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions()) -> DedupR
         .withColumn("duplicate_group_id", F.when(F.col("is_fuzzy"), F.col("root_id")))
         .drop("root_id", "is_fuzzy")
     )
+    items = materialize(items, "deduplicated")  # the gate, the enrichment and the counts read it
     groups = coverage.select("group_ord").distinct().agg(F.count(F.lit(1)).alias("groups"))
     counters = best.agg(
         F.coalesce(F.sum("group_size"), F.lit(0)).alias("items_in"),

@@ -35,6 +35,22 @@ def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def normalized_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as raw items through cleaning, fingerprints and scoring."""
+    out = normalize.normalize_items(document_items(spark, sf), PROBE_LEXICON, now())
+    return out.select(
+        F.col("ord").alias("doc_id"), "id", "content_hash", "canonical_url", "prefilter_score", F.sha2("title", 256).alias("title_sha"), F.sha2("snippet", 256).alias("snippet_sha"),
+        "coverage_count",
+    )
+
+
+def country_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that name a country of the lexicon, per country; the country table comes from the lexicon."""
+    names = PROBE_LEXICON.countries_df(spark).select("code", "home", F.explode("names").alias("term"))
+    found = queries.match_terms(table(spark, sf, "documents"), names.select("term"), "doc_id", "text")
+    return found.join(names, "term").groupBy("code", "home").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 def rule_classify(spark: SparkSession, sf: str) -> DataFrame:
     return classified_documents(spark, sf).select(
         F.col("ord").alias("doc_id"), "impact_score", "classification", "relevance_score", "confidence", "news_category",
@@ -214,7 +230,8 @@ def schema_violations(spark: SparkSession, sf: str) -> DataFrame:
             "affected_channels": F.when(F.col("quality") == 1, F.array(F.lit("B2G"))).otherwise(F.col("affected_channels")),
         }
     )
-    checked = quality.violations(broken, quality.ANALYSIS_RULES)
+    absent = broken.withColumn("affected_products", F.when(F.col("toxic") == 1, None).otherwise(F.col("affected_products")))
+    checked = quality.violations(quality.array_defaults(absent, ("affected_products",)), quality.ANALYSIS_RULES)
     return checked.where(F.size("violations") > 0).select(F.col("ord").alias("doc_id"), _join("violations"))
 
 
@@ -310,7 +327,7 @@ def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lexicon_score, rule_classify, term_matches, query_expansion, exact_dedup_best, exact_dedup_groups, first_wins,
+        lexicon_score, normalized_items, country_mentions, rule_classify, term_matches, query_expansion, exact_dedup_best, exact_dedup_groups, first_wins,
         token_jaccard_pairs, trigram_jaccard_pairs, near_dup_groups, duplicate_matches, recency_filter, facet_filter, publish_rank_topk,
         top_signals, compact_items, action_items, schema_violations, secret_scan, cost_budget, cached_enrichment,
     )
@@ -539,6 +556,14 @@ ORACLES = {
     "lexicon_score": f"""with {sql_scored()} select ord as doc_id, prefilter_score, {sql_list('matched_categories')} as matched_categories,
         {sql_list('matched_competitors')} as matched_competitors, {sql_list('matched_brands')} as matched_brands, has_context,
         is_press_release, is_sponsored, hard_excluded, {sql_list('reasons')} as reasons from scored""",
+    "normalized_items": f"""{sql_scored(items=sql_deduplicated(SQL_RAW_DOCUMENTS).split("        recent as materialized")[0].rstrip().rstrip(",").replace(SQL_RAW_DOCUMENTS, "with " + SQL_RAW_DOCUMENTS) + ", items as (select * from normal)")}
+        select ord as doc_id, substring(sha256(canonical_url), 1, 16) as id, content_hash, canonical_url, prefilter_score, sha256(title) as title_sha, sha256(snippet) as snippet_sha,
+          cast(0 as bigint) as coverage_count from scored""",
+    "country_mentions": "with d as (select doc_id, lower(text) as hay from documents) "
+    + " union all ".join(
+        f"(select '{c.code}' as code, {str(c.code == PROBE_LEXICON.home.code).lower()} as home, count(*) as documents from d where {sql_any('hay', c.names)} having count(*) > 0)"
+        for c in (PROBE_LEXICON.home, *PROBE_LEXICON.markets)
+    ),
     "rule_classify": f"""with {sql_classified()} select ord as doc_id, impact_score, classification, relevance_score, confidence, news_category,
         {', '.join(sql_list(c) + ' as ' + c for c in ('affected_channels', 'affected_products', 'positive_impacts', 'negative_impacts', 'reasoning_summary'))},
         classification as o1, case when list_contains(affected_channels, 'B2B') or list_contains(affected_channels, 'B2C') then classification else 'neutral' end as o2,

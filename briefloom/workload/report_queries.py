@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from briefloom.functions.dates import date_key
 from briefloom.operators import aggregates as agg
+from briefloom.functions.hashing import content_hash
 from briefloom.operators import ranges, ranking, store
+from briefloom.operators.dedup import keep_best, sort_code
 from briefloom.plans.briefing import briefing
 from briefloom.plans.daily import collect_funnel, run_daily, save_day
 from briefloom.plans.range_report import range_report
@@ -19,6 +21,7 @@ from briefloom.streaming import jobs
 from briefloom.workload.inputs import (
     PROBE_LEXICON, PROBE_RULES, analysed_documents, document_items, event_reports, now, table,
 )
+from briefloom.workload.text_queries import sql_content_hash
 from briefloom.workload.item_queries import (
     PUB, SIG, SQL_CLOSURE, SQL_FUNNEL, SQL_RAW_DOCUMENTS, SQL_RAW_PAGES, sql_classified, sql_deduplicated, sql_list, sql_scored,
 )
@@ -382,12 +385,27 @@ def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.read_cache(spark, path, stream.schema, clock).select("content_hash", "event_id")
 
 
+def stream_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a stream, joined with the analyses of a cache that have not expired."""
+    analysed = analysed_documents(spark, sf).where((F.col("language") == "de") & F.col("published_at").isNotNull())
+    keyed = analysed.withColumn("content_hash", content_hash(F.col("title"), F.col("snippet")))
+    cache = keep_best(keyed, "content_hash", sort_code((F.col("ord"), 19))).withColumns(
+        {"saved_at": F.col("published_at"), "analyzed_by": F.lit("ai"), "analysis_model": F.lit("cached")}
+    )
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents*").parquet(sf)
+    items = stream.select("doc_id", content_hash(F.substring_index("text", "\n", 1), F.col("text")).alias("content_hash"))
+    clock = F.lit("2024-02-13T00:00:00Z").cast("timestamp")
+    joined = jobs.with_cached_analysis(items, materialize(cache, "cache"), clock)
+    return jobs.run_to_table(joined.select("doc_id", "classification", "impact_score", "analyzed_by"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         kpi_rollup, daily_kpi, net_score_daily, model_stats, tally_topk, facet_values, funnel_counts, source_health, run_status,
         error_log, trend, index_upsert, retention, report_scan, cache_maintenance, new_rows, range_presets, range_merge,
-        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, daily_store, collect_only, event_windows, stream_dedup, stream_cache,
+        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, daily_store, collect_only, event_windows, stream_dedup, stream_cache, stream_cached,
     )
 }
 
@@ -565,5 +583,8 @@ ORACLES = {
         one as (select * from r where rn = 1)
         select k as canonical_url, t // 1000000 as epoch from one
         union all select r.k, r.t // 1000000 from r join one on one.k = r.k and one.f <= 3 and one.t + 2 * {LOOKBACK_DAYS} * 86400000000 <= one.seen where r.f = 4 and r.rf = 1""",
+    "stream_cached": f"""with {sql_classified()}, h as (select *, {sql_content_hash('title', 'snippet', None)} as ch from classified),
+        c as (select ch, arg_min(struct_pack(classification, impact_score, published_at), ord) as v from h where language = 'de' and published_at is not null group by ch)
+        select ord as doc_id, v.classification as classification, v.impact_score as impact_score, 'ai' as analyzed_by from h join c using (ch) where v.published_at >= timestamp '2024-01-30'""",
     "stream_cache": f"""with {SQL_EVENTS} select content_hash, arg_max(event_id, ts) as event_id from er group by 1 having max(ts) >= timestamp '2024-01-11'""",
 }

@@ -54,6 +54,19 @@ def feed_parse(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def feed_raw_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed entries to raw items with the attributes of their source, and as entries of a search feed."""
+    entries = feeds.feed_entries(_feed_documents(spark, sf))
+    docs = document_items(spark, sf)
+    sources = docs.groupBy("source_id").agg(F.first("source_name").alias("source_name"), F.first("source_tier").alias("source_tier")).withColumn(
+        "unverified", F.when(F.col("source_tier") == 3, True)
+    )
+    columns = [F.col("ord").alias("doc_id"), "source_name", "source_tier", "unverified", "item_kind", F.length("snippet").cast("bigint").alias("snippet_chars")]
+    own = feeds.feed_items(entries, sources).select(F.lit("feed").alias("kind"), *columns)
+    found = feeds.search_feed_items(entries, default_name="search").select(F.lit("search").alias("kind"), *columns)
+    return own.unionByName(found)
+
+
 def feed_check(spark: SparkSession, sf: str) -> DataFrame:
     """Feed check summary: every document is a feed of its own."""
     docs = _feed_documents(spark, sf).withColumn("source_id", F.col("ord"))
@@ -243,7 +256,7 @@ def item_scan(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        feed_parse, feed_check, news_payload_items, post_payload_items, short_video_items, video_items, api_errors, embedded_topics,
+        feed_parse, feed_raw_items, feed_check, news_payload_items, post_payload_items, short_video_items, video_items, api_errors, embedded_topics,
         embedded_topics_known_path, forecast_payload, weighted_signal, demand_signals, source_union, source_caps, item_scan,
     )
 }
@@ -273,6 +286,9 @@ ORACLES = {
     "feed_parse": f"""with {_DOCS}, t as (select *, {sql_strip_html(_FEED_TITLE)} as st, {sql_strip_html(_FEED_BODY)} as sb from d where doc_id % 20 <> 19)
         select doc_id, 'https://feed.example.com/' || lang || '/' || doc_id as link, length(st) as title_chars, {sql_content_hash('st', 'sb', None)} as text_hash,
           cast(1752546600 as bigint) as epoch, case when doc_id % 3 = 0 then 'pub' end as publisher from t where st <> ''""",
+    "feed_raw_items": f"""with {_DOCS}, t as (select *, cast(cast(substring(source, 4) as int) % 3 + 1 as int) as tier, {sql_strip_html(_FEED_TITLE)} as st, {sql_strip_html(_FEED_BODY)} as sb from d where doc_id % 20 <> 19)
+        select 'feed' as kind, doc_id, source || case when doc_id % 3 = 0 then ' / pub' else '' end as source_name, tier as source_tier, tier = 3 as unverified, 'news' as item_kind, length(sb) as snippet_chars from t where st <> ''
+        union all select 'search', doc_id, case when doc_id % 3 = 0 then 'pub' else 'search' end, cast(2 as int), false, 'news', length({sql_strip_html('sb')}) from t where st <> ''""",
     "feed_check": """select doc_id, doc_id % 20 <> 19 as ok, cast(case when doc_id % 20 <> 19 then 1 else 0 end as bigint) as entries,
           case when doc_id % 20 <> 19 then 'https://feed.example.com/' || lang || '/' || doc_id else '' end as sample,
           case when doc_id % 20 <> 19 then '' when doc_id % 3 = 0 then 'empty feed body' when doc_id % 3 = 1 then 'unrecognised feed format (no rss/rdf/atom root)' else 'malformed XML' end as error from documents""",

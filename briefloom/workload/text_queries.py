@@ -88,6 +88,8 @@ def url_canonicalize(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", "canonical_url", "safe_url",
         urls.domain_of(F.col("url")).alias("domain"),
         hashing.id_from_url(F.col("canonical_url")).alias("id"),
+        text.has_control_or_space(F.col("url")).alias("unclean_url"),
+        text.has_control_or_space(F.col("html")).alias("unclean_html"),
     )
 
 
@@ -237,7 +239,7 @@ _PAGE_TITLE = sql_strip_html("regexp_extract(html, '<title[^>]*>(.*?)</title>',
 ORACLES = {
     "url_canonicalize": f"""with {SQL_CANONICAL.format(src='pages')}
         select page_id, canonical_url, {_SAFE} as safe_url, regexp_replace(host, '^www\\.', '') as domain,
-               substring(sha256(canonical_url), 1, 16) as id from canon""",
+               substring(sha256(canonical_url), 1, 16) as id, regexp_matches(url, '[\\x00-\\x20\\x7F]') as unclean_url, regexp_matches(html, '[\\x00-\\x20\\x7F]') as unclean_html from canon""",
     "html_to_text": f"""with t as (select page_id, {_PAGE_TITLE} as title, {_PAGE_BODY} as body from pages)
         select page_id, case when length(title) <= 40 then title else rtrim(substring(title, 1, 39)) || '…' end as short_title,
                length(body) as chars, sha256(body) as text_sha from t""",

@@ -200,3 +200,74 @@ def test_store_round_trip(spark, tmp_path):
     latest = store.read_latest(spark, path, index)
     assert {str(r["date"]) for r in latest.collect()} == {"2026-07-21"}
     assert store.has_new_rows(df, None) and not store.has_new_rows(latest, df)
+
+
+def test_order_of_large_numbers(spark):
+    from briefloom.sources import items
+
+    a = spark.createDataFrame([(1 << 40, "a1"), (5, "a0")], "k bigint, title string")
+    b = spark.createDataFrame([(0, 1 << 50, "b1"), (0, 3, "b0"), (1 << 33, 0, "b2")], "k bigint, l bigint, title string")
+    got = items.ordered_union([(a, ["k"]), (b, ["k", "l"])]).orderBy("ord").collect()
+    assert [(r["ord"], r["title"]) for r in got] == list(enumerate(["a0", "a1", "b0", "b1", "b2"]))
+
+
+def test_coverage_of_a_large_group(spark):
+    schema = "ord bigint, id string, canonical_url string, content_hash string, title string, snippet string, published_at timestamp, source_name string, source_tier int, unverified boolean"
+    rows = [(i, f"id{i}", f"https://x.example/{i}", "same", "one story", "", NOW, f"s{i}", 2, False) for i in range(1_500)]
+    result = dedup.deduplicate(spark.createDataFrame(rows, schema))
+    item = result.items.first()
+    assert item["coverage_count"] == 1_499 and result.coverage.count() == 1_499
+    assert len(dedup.nest_coverage(result.items, result.coverage).first()["related_coverage"]) == 1_499
+
+
+def test_exact_groups_are_complete(spark):
+    rows = [(1, "U1", "H1"), (2, "U1", "H2"), (3, "U2", "H2"), (4, "U3", "H3"), (5, None, "H3"), (6, "U6", None)]
+    df = spark.createDataFrame(rows, "ord bigint, canonical_url string, content_hash string")
+    assert {r["ord"]: r["root"] for r in dedup.exact_groups(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_last_view_count_wins(spark):
+    from briefloom.sources import payloads
+
+    body = '{{"items": [{{"id": "v", "statistics": {{"viewCount": "{}"}}}}]}}'
+    df = spark.createDataFrame([(1, body.format(900)), (2, body.format(700))], "ord bigint, body string")
+    assert payloads.video_stats(df).collect()[0]["views"] == 700
+
+
+def test_one_day_range_keeps_the_stored_verdict(spark):
+    from briefloom.plans.range_report import range_report
+
+    day = date(2026, 7, 21)
+    rows = [(day, 1, "a", "h1", "u1", 2, 4, "positive"), (day, 2, "b", "h2", "u2", 2, 4, "negative")]
+    items = spark.createDataFrame(rows, "date date, ord bigint, id string, content_hash string, canonical_url string, source_tier int, impact_score int, classification string")
+    kpis = spark.createDataFrame([(day, 2, 1, 1)], "date date, published bigint, positive bigint, negative bigint")
+    days = spark.createDataFrame([(day, "ok", 5.6, "positive", "quiet")], "date date, status string, net_impact_score double, overall_sentiment string, summary string")
+    report = range_report(items, kpis, days, days.select("date"))
+    summary = report.summary.first()
+    assert (summary["overall_sentiment"], summary["net_impact_score"], summary["summary"], summary["is_range"]) == ("positive", 5.6, "quiet", False)
+    assert report.kpi.first()["published"] == 2 and report.items.count() == 2
+
+
+def test_merge_without_and_with_closure(spark):
+    day = lambda d: date(2026, 7, d)
+    # The third row connects the first two, which are different stories until then.
+    rows = [(1, day(21), "a", "h1", "u1", 2, 1), (2, day(20), "b", "h2", "u2", 2, 1), (3, day(19), "c", "h2", "u1", 2, 1)]
+    df = spark.createDataFrame(rows, "ord bigint, date date, id string, content_hash string, canonical_url string, source_tier int, impact_score int")
+    assert {r["first_ord"] for r in ranges.merge_items(df).collect()} == {1, 2}
+    assert {r["first_ord"] for r in ranges.merge_items(df, closure=True).collect()} == {1}
+
+
+def test_model_failures_fall_back_to_rules(spark, report):
+    from briefloom.operators.enrich import enrich
+
+    def broken(batches):
+        for _ in batches:
+            raise RuntimeError("no answer")
+            yield
+
+    items = report.items.drop("analyzed_by", "analysis_model")
+    done = enrich(items, VEHICLE_CARE_RULES, None, broken)
+    assert {r["analyzed_by"] for r in done.items.collect()} == {"fallback"}
+    errors = done.errors.collect()
+    assert len(errors) == items.count() and all("RuntimeError: no answer" in r["message"] for r in errors)
+    assert done.fresh.isEmpty()
