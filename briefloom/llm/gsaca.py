@@ -36,10 +36,10 @@ def suffix_arrays(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     base = offsets[:-1] + np.arange(k) + 1
     top = offsets[1:] + np.arange(k) + 1
     total = n + k + 1
-    group = np.full(total, -1, np.int64)  # first slot of the suffix's group: groups compare like their slots
-    size = np.zeros(total, np.int64)  # by first slot
-    slots = np.full(total, -1, np.int64)  # suffixes in the order of their groups
-    slot_of = np.full(total, -1, np.int64)
+    group = np.full(total, -1, np.int32)  # first slot of the suffix's group: groups compare like their slots
+    size = np.zeros(total, np.int32)  # by first slot
+    slots = np.full(total, -1, np.int32)  # suffixes in the order of their groups
+    slot_of = np.full(total, -1, np.int32)
     order = np.argsort(lane * (int(symbols.max()) + 1) + symbols, kind="stable")
     slots[at] = at[order]
     slot_of[slots[at]] = at
@@ -47,7 +47,7 @@ def suffix_arrays(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first = at[head]
     size[first] = np.diff(np.append(np.flatnonzero(head), n))
     group[slots[at]] = np.repeat(first, size[first])
-    previous = np.arange(total) - 1
+    previous = np.arange(-1, total - 1, dtype=np.int32)
 
     live_base, live_top = base.copy(), top.copy()
     while len(live_top):
@@ -95,8 +95,8 @@ def suffix_arrays(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         live_base, live_top = live_base[more], live_top[more]
 
     # Second pass. ``next_slot`` of a group's first slot: where its next suffix goes.
-    result = np.full(total, -1, np.int64)
-    next_slot = np.arange(total)
+    result = np.full(total, -1, np.int32)
+    next_slot = np.arange(total, dtype=np.int32)
     placed = np.zeros(total, bool)
     result[base] = top - 1
     placed[top - 1] = True

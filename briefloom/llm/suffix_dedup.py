@@ -19,6 +19,7 @@ Equality of segments in steps 2 and 4 is equality of 64- and 128-bit hashes; ste
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from briefloom.session import materialize
 
 LENGTH = 400
 GRAM = 64
-UNIT_SEGMENTS = 24  # different segments of one suffix array at most
+UNIT_SEGMENTS = 12  # different segments of one suffix array at most
 UNIT_BYTES = 1 << 21  # bytes of suffix arrays that advance together
 _SLICE = 1 << 21
 _SPLIT = 4
@@ -211,7 +212,6 @@ def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
     """Marks (anchor, piece, a, b) of units; rows arrive sorted by anchor."""
 
     def marks(units: list[tuple[int, list[tuple[int, bytes, int]]]]) -> pa.RecordBatch:
-        units.sort(key=lambda u: sum(len(x[1]) for x in u[1]))  # texts of like length advance together
         found = repeated_starts([[(x[1], x[2]) for x in u] for _, u in units], length)
         rows = [(anchor, x[0], a, b) for (anchor, u), starts in zip(units, found) for x, s in zip(u, starts) for a, b in _ranges(s)]
         columns = list(zip(*rows)) or [[], [], [], []]
@@ -219,18 +219,30 @@ def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["anchor", "piece", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: list[tuple[int, list]] = []
-        held = 0
+        # Finished units wait by size class, so that those that advance together have about the same length.
+        waiting: dict[int, list[tuple[int, list]]] = defaultdict(list)
+        held: dict[int, int] = defaultdict(int)
+        unit: tuple[int, list] | None = None
+
+        def finish(done: tuple[int, list]) -> Iterator[pa.RecordBatch]:
+            size = sum(len(x[1]) for x in done[1])
+            kind = size.bit_length()
+            waiting[kind].append(done)
+            held[kind] += size
+            if held[kind] >= UNIT_BYTES:
+                yield marks(waiting.pop(kind))
+                held[kind] = 0
+
         for batch in batches:
             for anchor, piece, n, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if not units or units[-1][0] != anchor:
-                    if held >= UNIT_BYTES:
-                        yield marks(units)
-                        units, held = [], 0
-                    units.append((anchor, []))
-                units[-1][1].append((piece, data, n))
-                held += len(data)
-        if units:
+                if unit is None or unit[0] != anchor:
+                    if unit is not None:
+                        yield from finish(unit)
+                    unit = (anchor, [])
+                unit[1].append((piece, data, n))
+        if unit is not None:
+            yield from finish(unit)
+        for units in waiting.values():
             yield marks(units)
 
     return rows.mapInArrow(run, "anchor long, piece long, a int, b int")
