@@ -36,6 +36,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def lower_bytes(data: np.ndarray) -> bytes:
+    return _LOWER[data].tobytes()
+
+
 def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for every text the number of its first word. No word crosses texts."""
     inside = _IS_WORD[data]
@@ -50,7 +54,10 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit mixtures of first and last eight bytes and length, in lower case: equal words have equal keys."""
+    """64-bit mixtures of first and last eight bytes and length, in lower case: equal words have equal keys.
+
+    Different words of more than 16 bytes may share a key, so this only filters.
+    """
     padded = np.zeros(len(data) + 16, np.uint8)
     padded[8:-8] = _LOWER[data]
     eight = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briefloom.llm.common import id_type, ids_and_texts, slices, text_bytes
-from briefloom.llm.decontam import word_keys, word_places
+from briefloom.llm.decontam import lower_bytes, word_keys, word_places
 from briefloom.operators.graph import connected, salted_lookup
 from briefloom.session import materialize
 
@@ -48,6 +48,18 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     return best
 
 
+def whole_word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all bytes of every word, in lower case. Up to 16 bytes, first and last eight are the word."""
+    keys = word_keys(data, starts, ends)
+    long = np.flatnonzero(ends - starts > 16)
+    if len(long):
+        low = lower_bytes(data)
+        keys[long] = np.frombuffer(
+            b"".join(hashlib.blake2b(low[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())), "<u8"
+        )
+    return keys
+
+
 def ngram_sets(column: pa.Array, n_words: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of all texts, one after another, and their bounds.
 
@@ -59,7 +71,7 @@ def ngram_sets(column: pa.Array, n_words: int = N_WORDS) -> tuple[np.ndarray, np
     n = len(column)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    keys = word_keys(data, starts, ends)
+    keys = whole_word_keys(data, starts, ends)
     words = np.diff(firsts)
     grams = np.where(words > 0, np.maximum(1, words - n_words + 1), 0)
     owner = np.repeat(np.arange(n), grams)

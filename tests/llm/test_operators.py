@@ -275,6 +275,18 @@ def test_jaccard_classes(docs, nothing, limits):
     assert jaccard_classes(nothing).collect() == []
 
 
+def test_long_words_are_compared_whole(spark):
+    long = [
+        "订单号1234567已发货请您注意查收", "订单号7654321已发货请您注意查收", "a b c d " + "q" * 9 + "1" + "q" * 9, "a b c d " + "q" * 9 + "2" + "q" * 9,
+        "A b c d " + "Q" * 9 + "2" + "q" * 9, "превысокомногорассмотрительствующий", "превысокомногопассмотрительствующий",
+    ]
+    links, group, _ = classes(long)
+    assert [len(x) for x in links] == [0, 0, 0, 1, 1, 0, 0]
+    made = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert rows(jaccard_classes(made), "doc_id", "class_id", "n_links") == expect((i, group[i], len(links[i])) for i in range(len(long)))
+    assert {r.doc_id for r in keep_one_per_class(made).collect()} == set(group)
+
+
 def test_one_per_class(docs):
     kept = keep_one_per_class(docs)
     assert kept.columns == docs.columns
