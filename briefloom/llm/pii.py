@@ -23,7 +23,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")  # the start of one
+_IBAN_NEXT = re.compile(r" ?([A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,17 +106,18 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    """Runs that begin like an account number, cut to the length of their country and confirmed by the checksum."""
-    out = []
-    for m in _IBAN.finditer(text):
-        need, end, chars = IBAN_LENGTHS.get(m[0][:2], 0), m.start(), []
-        while need and end < m.end() and len(chars) < need:
-            if text[end] != " ":
-                chars.append(text[end])
-            end += 1
+    """Account numbers from each possible start, read to the length of their country and confirmed by the checksum."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        need, end, chars = IBAN_LENGTHS.get(m[0][:2], 0), m.end(), list(m[0])
+        while len(chars) < need and (c := _IBAN_NEXT.match(text, end)):
+            chars.append(c[1])
+            end = c.end()
         whole = end == len(text) or not text[end].isalnum()
-        if need and len(chars) == need and whole and mod97("".join(chars)):
+        confirmed = len(chars) == need and whole and mod97("".join(chars))
+        if confirmed:
             out.append((m.start(), end))
+        m = _IBAN.search(text, end if confirmed else m.start() + 1)
     return out
 
 
