@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, and strings in a sensitive context that a primed compressor cannot shorten.
 
-Each candidate is a long run of key characters close behind a sensitive word. It is compressed alone with zstandard,
-primed with the text around it and with a dictionary of common identifiers; the bytes it adds are its novelty. Names,
+Each candidate is a long run of key characters close behind a sensitive word. It is compressed alone with zstandard, in
+short pieces, primed with the text around it and with a dictionary of common identifiers; the bytes it adds are its novelty. Names,
 paths and repeated values are found in the dictionary and add few bytes, random keys add nearly all of theirs.
 Offsets count code points, the end is exclusive.
 """
@@ -27,6 +27,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SENSITIVE = re.compile(r"(?:pass|secret|token|key|auth|bearer|credential|private|signature|session)", re.IGNORECASE | re.ASCII)
 
 AROUND = 1 << 11  # code points of surrounding text on each side that prime the compressor
+PIECE = 60  # characters compressed at once; from 64 literals on zstandard would code their frequencies
+LEAST = 20  # characters of a candidate
 BEHIND = 48  # a candidate begins at most so far behind the sensitive word
 #: Words of configuration and code; values made of them are names, not keys.
 IDENTIFIERS = " ".join(
@@ -51,9 +53,18 @@ _EMPTY = _compressed(b"", IDENTIFIERS.encode())
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that the string adds behind its surroundings and the identifiers, as a share of its length."""
-    around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
-    return max(0, _compressed(text[start:end].encode(), (IDENTIFIERS + "\n" + around).encode()) - _EMPTY) / (end - start)
+    """Bytes that the string adds behind its surroundings and the identifiers, as a share of its length.
+
+    It is compressed by pieces, each primed with what stands around the string and before the piece: zstandard leaves so
+    few literals as they are, so a long string or a small alphabet is not taken for known text.
+    """
+    n = -(-(end - start) // PIECE)
+    cuts = [start + (end - start) * k // n for k in range(n + 1)]
+    added = 0
+    for a, b in zip(cuts, cuts[1:]):
+        around = text[max(0, a - AROUND) : a] + "\n" + text[end : end + AROUND]
+        added += max(0, _compressed(text[a:b].encode(), (IDENTIFIERS + "\n" + around).encode()) - _EMPTY)
+    return added / (end - start)
 
 
 def mixed(value: str) -> bool:
@@ -71,13 +82,24 @@ def spans(text: str, threshold: float = 0.8) -> list[dict]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     out = [{"kind": k, "start": a, "end": b, "novelty": None, "base": True} for k, a, b in found]
-    taken = sorted((a, b) for _, a, b in found)
+    taken: list[list[int]] = []  # the places of fixed patterns, without overlaps
+    for a, b in sorted((a, b) for _, a, b in found):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
     at = 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if any(x < b and y > a for x, y in taken[at : at + 4]) or not _SENSITIVE.search(text, max(0, a - BEHIND), a):
+        free, done = 0, a  # the longest part outside fixed patterns
+        while at < len(taken) and taken[at][0] < b:
+            free, done = max(free, taken[at][0] - done), taken[at][1]
+            if done >= b:
+                break
+            at += 1
+        if max(free, b - done) < LEAST or not _SENSITIVE.search(text, max(0, a - BEHIND), a):
             continue
         if mixed(m[0]) and (share := novelty(text, a, b)) >= threshold:
             out.append({"kind": "novel", "start": a, "end": b, "novelty": share, "base": False})

@@ -177,6 +177,24 @@ def test_secrets(docs, nothing, spark):
     assert find_secrets(docs).count() == len(TEXTS) and find_secrets(nothing).collect() == []
 
 
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "low": "abcdefghijklmnopqrstuvwxyz0123456789"}
+ALPHABETS["base64"] = ALPHABETS["base32"] + ALPHABETS["low"] + "+/"
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_random_keys_of_any_length_are_novel(alphabet):
+    from briefloom.llm import secrets
+
+    rng = random.Random(5)
+    for size in (20, 40, 64, 128, 256, 800, 1_000, 2_000, 4_000):
+        key = "G7" + "".join(rng.choice(ALPHABETS[alphabet]) for _ in range(size - 2))
+        start = len("the private key ")
+        text = f"the private key {key} is here"
+        assert [(x["start"], x["end"]) for x in secrets.spans(text) if x["kind"] == "novel"] == [(start, start + size)], key
+    for known in ("service-account-private-key-password-1" * 9, "0123456789abcdefghij" * 40):
+        assert secrets.novelty("the private key " + known, start, start + len(known)) < 0.8
+
+
 def covered(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
