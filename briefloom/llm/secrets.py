@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, and strings in a sensitive context that a primed compressor cannot shorten.
 
 Each candidate is a long run of key characters close behind a sensitive word. It is compressed alone with zstandard, in
-short pieces, primed with the text around it and with a dictionary of common identifiers; the bytes it adds are its novelty. Names,
+short pieces, primed with the text before it and with a dictionary of common identifiers; the bytes it adds are its novelty. Names,
 paths and repeated values are found in the dictionary and add few bytes, random keys add nearly all of theirs.
 Offsets count code points, the end is exclusive.
 """
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
+from collections.abc import Iterator
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SENSITIVE = re.compile(r"(?:pass|secret|token|key|auth|bearer|credential|private|signature|session)", re.IGNORECASE | re.ASCII)
 
-AROUND = 1 << 11  # code points of surrounding text on each side that prime the compressor
+AROUND = 1 << 11  # code points of text before a string that prime the compressor
 PIECE = 60  # characters compressed at once; from 64 literals on zstandard would code their frequencies
 LEAST = 20  # characters of a candidate
 BEHIND = 48  # a candidate begins at most so far behind the sensitive word
@@ -41,6 +43,7 @@ IDENTIFIERS = " ".join(
     template test token true type undefined update user username value version your abcdefghijklmnopqrstuvwxyz
     ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 XXXXXXXXXXXXXXXX xxxxxxxxxxxxxxxx 00000000000000000000""".split()
 )
+_FILLERS = 6  # so many at the end are no words
 _FORMAT = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -53,31 +56,59 @@ _EMPTY = _compressed(b"", IDENTIFIERS.encode())
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that the string adds behind its surroundings and the identifiers, as a share of its length.
+    """Bytes that the string adds behind the text before it and the identifiers, as a share of its length.
 
-    It is compressed by pieces, each primed with what stands around the string and before the piece: zstandard leaves so
-    few literals as they are, so a long string or a small alphabet is not taken for known text.
+    It is compressed by pieces, each primed with what stands before it: zstandard leaves so few literals as they are, so
+    a long string or a small alphabet is not taken for known text. What follows does not prime, so that of two copies
+    the first is novel.
     """
     n = -(-(end - start) // PIECE)
     cuts = [start + (end - start) * k // n for k in range(n + 1)]
     added = 0
     for a, b in zip(cuts, cuts[1:]):
-        around = text[max(0, a - AROUND) : a] + "\n" + text[end : end + AROUND]
-        added += max(0, _compressed(text[a:b].encode(), (IDENTIFIERS + "\n" + around).encode()) - _EMPTY)
+        before = text[max(0, a - AROUND) : a]
+        added += max(0, _compressed(text[a:b].encode(), (IDENTIFIERS + "\n" + before).encode()) - _EMPTY)
     return added / (end - start)
 
 
-def mixed(value: str) -> bool:
-    """Digits, and letters of any case, with the spread of characters that keys have."""
-    if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-        return False
-    counts = Counter(value).values()
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
-    return bits >= 3.0
+def _pair_costs() -> dict[str, float]:
+    """Bits that each pair of letters costs more or less in a code of the identifiers than in a plain one."""
+    pairs = Counter(w[k : k + 2].lower() for w in IDENTIFIERS.split()[:-_FILLERS] for k in range(len(w) - 1))
+    first = Counter()
+    for pair, n in pairs.items():
+        first[pair[0]] += n
+    letters = string.ascii_lowercase
+    return {x + y: math.log2(26 * (pairs[x + y] + 0.1) / (first[x] + 2.6)) for x in letters for y in letters}
+
+
+_COSTS = _pair_costs()
+
+
+def worded(value: str) -> bool:
+    """Whether a string without digits is made of words: letter pairs as in identifiers make its code shorter.
+
+    Of random strings of 20 letters this takes one in 800 for words, of longer ones fewer.
+    """
+    low = value.lower()
+    return not any(c.isdigit() for c in low) and sum(_COSTS.get(low[k : k + 2], 0.0) for k in range(len(low) - 1)) > 0
+
+
+def _copies(text: str, values: dict[str, float]) -> Iterator[tuple[str, int, int]]:
+    """All places of the values, also inside longer runs, in one pass over the candidates."""
+    heads: dict[str, list[str]] = {}
+    for value in sorted(values, key=len, reverse=True):
+        heads.setdefault(value[:LEAST], []).append(value)
+    for m in _CANDIDATE.finditer(text):
+        at = m.start()
+        while at <= m.end() - LEAST:
+            value = next((v for v in heads.get(text[at : at + LEAST], ()) if text.startswith(v, at)), None)
+            if value is not None:
+                yield value, at, at + len(value)
+            at += len(value) if value is not None else 1
 
 
 def spans(text: str, threshold: float = 0.8) -> list[dict]:
-    """All spans of a text by start and kind: fixed patterns, then novel strings outside them."""
+    """All spans of a text by start and kind: fixed patterns, then novel strings outside them, with all their copies."""
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
@@ -88,7 +119,7 @@ def spans(text: str, threshold: float = 0.8) -> list[dict]:
             taken[-1][1] = max(b, taken[-1][1])
         else:
             taken.append([a, b])
-    at = 0
+    at, novel = 0, {}
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         while at < len(taken) and taken[at][1] <= a:
@@ -101,8 +132,15 @@ def spans(text: str, threshold: float = 0.8) -> list[dict]:
             at += 1
         if max(free, b - done) < LEAST or not _SENSITIVE.search(text, max(0, a - BEHIND), a):
             continue
-        if mixed(m[0]) and (share := novelty(text, a, b)) >= threshold:
-            out.append({"kind": "novel", "start": a, "end": b, "novelty": share, "base": False})
+        if m[0] not in novel and not worded(m[0]) and (share := novelty(text, a, b)) >= threshold:
+            novel[m[0]] = share
+    if novel:
+        at = 0
+        for value, a, b in _copies(text, novel):
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if not (at < len(taken) and taken[at][0] <= a and b <= taken[at][1]):
+                out.append({"kind": "novel", "start": a, "end": b, "novelty": novel[value], "base": False})
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 

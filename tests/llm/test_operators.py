@@ -195,6 +195,23 @@ def test_random_keys_of_any_length_are_novel(alphabet):
         assert secrets.novelty("the private key " + known, start, start + len(known)) < 0.8
 
 
+def test_copies_and_keys_without_digits():
+    from briefloom.llm import secrets
+
+    def novel(text):
+        return [text[x["start"] : x["end"]] for x in secrets.spans(text) if x["kind"] == "novel"]
+
+    key, letters = "q7Zp0Xv9LmT4rB2nKs8WdY3eHc6GjUa1", "qZpXvLmTrBnKsWdYeHcGjUaF"
+    for gap in (" ", " and words " * 20, " and words " * 400):
+        text = f"private key {key}{gap}private key {key}{gap}id/{key}"
+        assert novel(text) == [key] * 3, gap
+    assert novel("private key FEDCFEDDCFFEEDDC0A1B") == ["FEDCFEDDCFFEEDDC0A1B"]  # few different characters
+    assert novel(f"private key {letters} here") == [letters]
+    for name in ("getUserAuthenticationTokenFromSession", "internationalization", "a" * 40, "-" * 40):
+        assert novel(f"private key {name} here") == []
+    assert len(novel("private key " + f"{key} " * 20_000)) == 20_000
+
+
 def covered(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
