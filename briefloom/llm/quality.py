@@ -203,13 +203,18 @@ def train(
     slot = _slot(F.col("__id"))
     drawn = slot < max(good_slots, free_slots)
     texts = ids_and_texts(docs, id_col, text_col).where(F.col("__id").isNotNull() & ~held_out(F.col("__id")) & drawn)
-    chosen = texts.join(known.where(drawn), "__id", "left").where(
-        ((F.col("label") == 1) & (slot < good_slots)) | (F.col("label").isNull() & (slot < free_slots))
-    )
-    rows = chosen.select(
-        F.col("label").isNotNull().alias("good"), slot.alias("slot"), F.xxhash64("__text").alias("tie"),
-        _features_udf(text_or_empty(F.col("__text"))).alias("x"),
-    ).toArrow()
+    marked = texts.join(known.where(drawn), "__id", "left")
+
+    def least(rows: DataFrame, limit: int) -> DataFrame:
+        """The bound holds before rows leave the executors, however many share one identifier."""
+        made = rows.select(
+            F.col("label").isNotNull().alias("good"), slot.alias("slot"), F.xxhash64("__text").alias("tie"),
+            _features_udf(text_or_empty(F.col("__text"))).alias("x"),
+        )
+        return made.orderBy("slot", "tie").limit(limit)
+
+    positives = least(marked.where((F.col("label") == 1) & (slot < good_slots)), max_positives)
+    rows = positives.unionAll(least(marked.where(F.col("label").isNull() & (slot < free_slots)), max_unlabelled)).toArrow()
     order = np.lexsort((rows["tie"].to_numpy(), rows["slot"].to_numpy()))  # the same rows in the same order, however read
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)[order]
     good = rows["good"].to_numpy(zero_copy_only=False).astype(bool)[order]

@@ -371,6 +371,26 @@ def test_quality_separates_held_out_documents(spark):
     assert score_quality(docs.limit(0), labels).collect() == []
 
 
+def test_training_rows_are_bounded_on_the_driver(spark, monkeypatch):
+    from briefloom.llm.quality import _slot, held_out, train
+
+    ids = spark.range(100, 1_100)
+    drawn = ids.where(~held_out(ids["id"])).orderBy(_slot(ids["id"])).first().id  # falls into any draw
+    texts = [(1, prose(9)) for _ in range(300)] + [(drawn, prose(9)) for _ in range(300)] + [(i, prose(9)) for i in range(3, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(i, 1) for i in range(3, 30)], "doc_id long, quality int")
+    seen, collect = [], type(docs).toArrow
+
+    def counting(df):
+        table = collect(df)
+        seen.append((table["good"].to_pylist().count(True), table.num_rows))
+        return table
+
+    monkeypatch.setattr(type(docs), "toArrow", counting)
+    train(docs, labels, max_positives=40, max_unlabelled=50)
+    assert seen == [(40, 90)]
+
+
 def chats(turns):
     convs = {}
     for c, k, role, text in set(turns):
