@@ -91,3 +91,13 @@ def test_pipeline_stage_by_stage(spark, sf, sql):
         before = now
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in last.collect()} == before
+
+
+def test_bad_documents_go_with_enough_labels(spark, sf):
+    larger = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    now = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, larger).select("doc_id").collect()}
+    labels = duckdb.sql(f"select doc_id, quality from '{larger}/labels.parquet' where doc_id in (select doc_id from '{larger}/documents.parquet')").fetchall()
+    good, bad = ({i for i, q in labels if q == wanted} for wanted in (1, 0))
+    print("kept", len(now & good) / len(good), len(now & bad) / len(bad), len(good), len(bad))
+    assert len(now & good) / len(good) > 0.97 and len(now & bad) / len(bad) < 0.4
