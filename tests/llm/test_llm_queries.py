@@ -40,7 +40,7 @@ def test_a_row_for_every_document(spark, sf, sql, name):
 def test_repeats_of_documents(spark, sf, sql):
     import hashlib
 
-    from test_operators import covered
+    from test_llm_operators import covered
 
     docs = sql.sql("select doc_id, text from documents").fetchall()
     want = {i: (*c[:3], hashlib.sha256(c[3]).hexdigest()) for (i, _), c in zip(docs, covered([t for _, t in docs], 400))}
@@ -49,7 +49,7 @@ def test_repeats_of_documents(spark, sf, sql):
 
 
 def test_contamination_of_documents(spark, sf, sql):
-    from test_operators import hits
+    from test_llm_operators import hits
 
     docs = sql.sql("select doc_id, text from documents").fetchall()
     want = {i: h for (i, _), h in zip(docs, hits([t for _, t in docs], sql.sql("select item_id, text from benchmark").fetchall()))}
@@ -58,7 +58,7 @@ def test_contamination_of_documents(spark, sf, sql):
 
 
 def test_pipeline_stage_by_stage(spark, sf, sql):
-    from test_operators import classes, hits
+    from test_llm_operators import classes, hits
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, text = docs.columns, dict(sql.sql("select doc_id, text from documents").fetchall())
