@@ -111,6 +111,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), retain="largest")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=2048, end=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -129,6 +136,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_packing": op11_packing,
 }
 
 ORACLES = {
