@@ -118,6 +118,13 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefloom.llm.spelling import run_counts, variant_groups
+
+    words = run_counts(_table(spark, sf_dir, "documents"), min_length=6, min_count=5, typo_every=199)
+    return variant_groups(words, ratio=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,6 +144,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_packing": op11_packing,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES = {
