@@ -1,5 +1,6 @@
 """Rule behaviour, parity with brute force, and end-to-end invariants."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ import reference_clustering as brute
 from pyspark.sql import functions as F
 
 from briefloom.lexicons import VEHICLE_CARE_LEXICON, VEHICLE_CARE_RULES
-from briefloom.operators import dedup, lexicon, quality, queries, ranges, robots, signals, store
+from briefloom.operators import dedup, lexicon, pairs, quality, queries, ranges, robots, signals, store
 from briefloom.plans.briefing import briefing
 from briefloom.plans.daily import collect_preview, collect_funnel, index_entry, run_daily
 from briefloom.schemas import RAW_ITEM
@@ -271,3 +272,22 @@ def test_model_failures_fall_back_to_rules(spark, report):
     errors = done.errors.collect()
     assert len(errors) == items.count() and all("RuntimeError: no answer" in r["message"] for r in errors)
     assert done.fresh.isEmpty()
+
+
+def test_signatures_never_rule_out_a_similar_pair(spark):
+    """Differing signature bits are at most the shingles of only one set, and pairs far apart differ in many."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(60) for _ in range(4_000)]
+    sets = [(i, rng.sample(base, rng.choice([1, 3, 40, 600]))) for i in range(40)]
+    sets += [(100 + i, s[: len(s) * 9 // 10] + [rng.getrandbits(60)]) for i, s in sets]
+    df = spark.createDataFrame(sets, "ord long, set array<bigint>")
+    words = df.select("ord", F.explode("set").alias("h")).groupBy("ord").agg(*pairs._signature(F.col("h")))
+    a, b = (words.select(*[F.col(c).alias(f"{side}_{c}") for c in words.columns]) for side in "ab")
+    both = a.join(b, F.col("a_ord") < F.col("b_ord")).select("a_ord", "b_ord", pairs.differing_shingles().alias("bits"))
+    own = {i: set(s) for i, s in sets}
+    far = {(r.a_ord, r.b_ord): (r.bits, len(own[r.a_ord] ^ own[r.b_ord])) for r in both.collect()}
+    assert all(bits <= apart for bits, apart in far.values())
+    assert all(bits > 300 for bits, apart in far.values() if apart > 900)
+    found = {(r.a, r.b) for r in pairs.similar_pairs(df, "ord", F.col("set").cast("array<string>"), 0.6).where("similarity < 1").collect()}
+    want = {p for p, (_, apart) in far.items() for n in [len(own[p[0]] | own[p[1]])] if 0.6 <= 1 - apart / n < 1}
+    assert found == want and len(want) > 15
