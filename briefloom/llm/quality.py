@@ -6,10 +6,10 @@ share of good documents among all) the risk of a scorer is
     p * E_pos[loss(+)] + max(0, E_unl[loss(-)] - p * E_pos[loss(-)])
 
 whose second part, the risk on the negatives that hide in the unlabelled text, must not turn negative: when it does
-in a batch, the step goes the other way (non-negative unbiased risk). Labelled bad documents serve only to estimate the
-prior, as their share among the labelled training rows. The scorer is a small network on layout statistics of the whole
-text: neighbouring character classes, word lengths, repetition of words and lines. It is fitted on a bounded sample;
-all documents are scored where they are read.
+in a batch, the step goes the other way (non-negative unbiased risk). The prior is estimated from the same two samples;
+labelled bad documents have no part in anything but that they are not unlabelled. The scorer is a small network on layout
+statistics of the whole text: neighbouring character classes, word lengths, repetition of words and lines. It is fitted
+on a bounded sample; all documents are scored where they are read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from briefloom.llm.decontam import word_keys, word_places
 #: Rows that the fit reads at most: positives, unlabelled documents.
 MAX_POSITIVES = 8_000
 MAX_UNLABELLED = 16_000
+#: What is taken for the class prior before any row is seen, and how many positives it takes to count as much.
+USUAL_PRIOR = 0.9
+USUAL_WEIGHT = 60
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", ":;", "'\"`", "()[]{}<>", "|", "*#&$%@", "-_/\\+=~^")
 _CLASS = np.full(256, len(_CLASSES), np.int64)  # then control characters, then all beyond ASCII
@@ -119,15 +122,15 @@ def _sigmoid(t: np.ndarray) -> np.ndarray:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 4_000, width: int = 24, batch: int = 512, seed: int = 7) -> Scorer:
     """Minimise the non-negative risk with the sigmoid loss by Adam over mini-batches. The same rows give the same scorer."""
+    d = N_FEATURES
+    if not len(positive) or not len(unlabelled):
+        flat = np.zeros(width, np.float32)
+        sure = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
+        return Scorer(np.zeros(d, np.float32), np.ones(d, np.float32), np.zeros((d, width), np.float32), flat, flat.copy(), sure)
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), 1 / np.maximum(both.std(0), np.float32(1e-3))
-    d = both.shape[1]
     net = Scorer(mean, scale, rng.normal(0, d**-0.5, (d, width)).astype(np.float32), np.zeros(width, np.float32), rng.normal(0, width**-0.5, width).astype(np.float32), 0.0)
-    if not len(positive) or not len(unlabelled):
-        net.w2[:] = 0
-        net.b2 = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
-        return net
     names = ("w1", "b1", "w2", "b2")
     first, second = ({k: np.zeros_like(np.asarray(getattr(net, k), float)) for k in names} for _ in range(2))
     for step in range(1, steps + 1):
@@ -155,6 +158,31 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return net
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in unlabelled rows, from the two samples alone.
+
+    Half of each trains a scorer. On the other halves, the share of unlabelled rows above a cut is at least the prior
+    times the share of positives above it, so the least ratio of the two, at the cut where it is surest, is the
+    estimate. Few rows say little: the estimate is weighed against ``USUAL_PRIOR``, which counts as much as
+    ``USUAL_WEIGHT`` positives.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    train, test = (positive[::2], unlabelled[::2]), (positive[1::2], unlabelled[1::2])
+    if not all(map(len, (*train, *test))):
+        return USUAL_PRIOR
+    scorer = fit(*train, prior=0.5, steps=400)
+    good, free = (np.sort(scorer.score(x)) for x in test)
+    cuts = np.unique(np.concatenate([good, free]))
+    above_good, above_free = (1 - np.searchsorted(x, cuts) / len(x) for x in (good, free))
+    cuts_with_good = above_good > 0
+    above_good, above_free = above_good[cuts_with_good], above_free[cuts_with_good]
+    unsure = len(good) ** -0.5 + len(free) ** -0.5
+    best = int(np.argmin((above_free + unsure) / above_good))
+    found = min(1.0, float(above_free[best] / above_good[best]))
+    return (len(good) * found + USUAL_WEIGHT * USUAL_PRIOR) / (len(good) + USUAL_WEIGHT)
+
+
 def held_out(key: Column) -> Column:
     """Rows kept for evaluation: CRC-32 of the identifier as text divisible by five. Null identifiers are not."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -184,8 +212,8 @@ def train(
     """Fit on positives and unlabelled documents that are not held out, at most ``max_positives`` and ``max_unlabelled``.
 
     The rows are chosen by a hash of their identifier. Several labels of one identifier count as the worst; rows without
-    identifier or label do not count. ``prior``: share of good documents; by default their share among the labels that
-    are not held out. Without positives or without unlabelled text every document scores the prior.
+    identifier or label do not count. ``prior``: share of good documents; by default ``estimate_prior`` of the drawn
+    rows; bad labels have no part in it. Without positives or without unlabelled text every document scores the prior.
     """
     known = (
         labels.select(F.col(f"`{label_id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -194,8 +222,6 @@ def train(
         .agg(F.min("label").alias("label"))
     )
     n_known, n_good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("label") == 1, 1)), F.lit(0))).first()
-    if prior is None:
-        prior = n_good / n_known if n_known else 0.5
     n_docs = docs.count()
     # A few more than wanted are drawn, so that the cut below always finds enough.
     good_slots = int(min(1.0, 1.3 * max_positives / max(1, n_good)) * _SLOTS)
@@ -218,7 +244,8 @@ def train(
     order = np.lexsort((rows["tie"].to_numpy(), rows["slot"].to_numpy()))  # the same rows in the same order, however read
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)[order]
     good = rows["good"].to_numpy(zero_copy_only=False).astype(bool)[order]
-    return fit(x[good][:max_positives], x[~good][:max_unlabelled], prior)
+    positive, unlabelled = x[good][:max_positives], x[~good][:max_unlabelled]
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled) if prior is None else prior)
 
 
 def quality_score(scorer: Scorer, text: Column) -> Column:
@@ -236,7 +263,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """``id_col, held_out, score, predicted`` of every document.
 
     One row per input row, repeated rows included; null texts score as empty ones, null identifiers pass through and are
-    never learned from. Empty labels give one score for all. Other columns are never inputs of a score.
+    never learned from. Without good labels, or without unlabelled documents to learn from, all have one score, between 0
+    and 1 as every score; an empty table gives an empty one. Other columns are never inputs of a score.
     """
     scorer = train(docs, labels, id_col, text_col, **training)
     key = F.col(f"`{id_col}`")
@@ -245,7 +273,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **training) -> DataFrame:
-    """The documents that score at least ``threshold``, with all their columns."""
+    """The documents that score at least ``threshold``, with all their columns.
+
+    Repeated rows stay or go together, null texts score as empty ones, rows with a null identifier are judged as others.
+    Without good labels nothing can be learned and all stay; an empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
     scorer = train(docs, labels, id_col, text_col, **training)
     return docs.where(quality_score(scorer, F.col(f"`{text_col}`")) >= threshold)

@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briefloom.llm.bpe import encode_decode
@@ -371,6 +373,39 @@ def test_quality_separates_held_out_documents(spark):
     assert score_quality(docs.limit(0), labels).collect() == []
 
 
+def test_quality_without_anything_to_learn_from(spark):
+    from briefloom.llm.quality import held_out
+
+    text = "doc_id long, text string"
+    one, few = spark.createDataFrame([(1, "a b")], text), spark.createDataFrame([(i, prose(9)) for i in range(30)] + [(None, None)], text)
+    ids = [r.id for r in spark.range(30).collect()]
+    held = [r.id for r in spark.range(30).where(held_out(F.col("id"))).collect()]
+    labels = {
+        "all bad": [(i, 0) for i in ids], "all good": [(i, 1) for i in ids], "held out only": [(i, i % 2) for i in held],
+        "one good": [(next(i for i in ids if i not in held), 1)], "unknown": [(900, 1), (None, 1), (3, None)],
+    }
+    for case, rows in labels.items():
+        known = spark.createDataFrame(rows, "doc_id long, quality int")
+        for docs in (one, few, few.limit(0)):
+            got = score_quality(docs, known).collect()
+            assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got), case
+            if case in ("all bad", "held out only", "unknown"):
+                assert {r.predicted for r in got} <= {1}
+            assert keep_good(docs, known).count() == sum(r.predicted for r in got)
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    from briefloom.llm.quality import N_FEATURES, USUAL_PRIOR, estimate_prior
+
+    rng = np.random.default_rng(3)
+    for share in (0.5, 0.8, 0.95):
+        hidden = rng.random(8_000) < share
+        unlabelled = (rng.normal(0, 1, (8_000, N_FEATURES)) + np.where(hidden, 1, -1)[:, None] * 0.4).astype(np.float32)
+        positive = (rng.normal(0, 1, (4_000, N_FEATURES)) + 0.4).astype(np.float32)
+        assert abs(estimate_prior(positive, unlabelled) - share) < 0.1
+    assert estimate_prior(positive[:0], unlabelled) == 0.5 and estimate_prior(positive[:1], unlabelled[:1]) == USUAL_PRIOR
+
+
 def test_training_rows_are_bounded_on_the_driver(spark, monkeypatch):
     from briefloom.llm.quality import _slot, held_out, train
 
