@@ -95,51 +95,86 @@ def queries_per_locale(queries: DataFrame, locales: DataFrame, n: int | None = N
 
 # ---- term table against document table ----
 
+_WORD = "[a-z0-9]+"
+_BREAK = "[\\t\\n\\x0B\\f\\r]"
+#: A word and its right neighbour, verbatim with all that stands between; found at the start of every word.
+_NEIGHBOURS = "(?<![a-z0-9])(?=([a-z0-9]+[^a-z0-9]+[a-z0-9]+))"
 
-def match_terms(docs: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
-    """(key, term) for every term of a table that occurs in a document, same rules as ``contains_term``.
 
-    Latin terms are looked up by their rarest word, other terms by their first other characters, so that a word that
-    most documents hold is a probe only for terms made of nothing rarer. Documents and probes meet with a salt: a probe
-    that very many documents hold is spread over tasks. The terms found for a document are gathered and checked at word
-    edges in one pass over its text. No term is compared with every document. ``key`` must be unique.
-    """
-    needle = F.lower(F.trim(F.col(term)))
-    prepared = terms.select(F.col(term), needle.alias("needle")).where(F.col("needle") != "").distinct()
-    prepared = prepared.withColumn("latin", F.col("needle").rlike("^[ -~]+$"))
-    hay = docs.select(F.col(key), F.lower(F.col(text)).alias("hay"))
-    words = F.transform(F.regexp_extract_all("hay", F.lit("[a-z0-9]+"), 0), lambda w: F.concat(F.lit("w:"), w))
-    # Character probes exist only where the text leaves the Latin alphabet or holds bare symbols.
-    wide = F.regexp_extract_all("hay", F.lit("[^a-z0-9\\s][^a-z0-9]*"), 0)
+def _tagged(kind: str, texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.concat(F.lit(f"{kind}:"), t))
+
+
+def _postings(hay: Column) -> Column:
+    """All probes of a text: words, neighbouring words, and runs of one to three other characters."""
+    wide = F.regexp_extract_all(hay, F.lit("[^a-z0-9\\s][^a-z0-9]*"), F.lit(0))
     grams = F.flatten(
         F.transform(
             wide,
             lambda run: F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(run)),
-                    lambda i: F.array(*[F.concat(F.lit("c:"), run.substr(i, F.lit(n))) for n in (1, 2, 3)]),
-                )
+                F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.array(*[run.substr(i, F.lit(n)) for n in (1, 2, 3)]))
             ),
         )
     )
-    found = materialize(hay.select(key, F.explode(F.array_distinct(F.concat(words, grams))).alias("probe")), "probes")
+    words, neighbours = (F.regexp_extract_all(hay, F.lit(p), F.lit(g)) for p, g in ((_WORD, 0), (_NEIGHBOURS, 1)))
+    breaks = F.regexp_extract_all(hay, F.lit(_BREAK), F.lit(0))
+    return F.array_distinct(F.concat(_tagged("w", words), _tagged("n", neighbours), _tagged("c", grams), _tagged("c", breaks)))
+
+
+def _choices(terms: DataFrame, term: str) -> DataFrame:
+    """Every probe a term can be looked up by: (term, needle, latin, probe, whole).
+
+    A phrase has its neighbouring words, a single word itself, any other term its first other characters. ``whole``: the
+    probe is the term itself, so that a document with this posting holds it.
+    """
+    words = F.regexp_extract_all("needle", F.lit(_WORD), F.lit(0))
+    neighbours = F.regexp_extract_all("needle", F.lit(_NEIGHBOURS), F.lit(1))
+    symbol = F.regexp_extract("needle", "[^a-z0-9\\s][^a-z0-9]{0,2}", 0)
+    symbols = F.concat(F.lit("c:"), F.when(symbol != "", symbol).otherwise(F.regexp_extract("needle", _BREAK, 0)))
+    probes = (
+        F.when(F.col("latin") & (F.size(neighbours) > 0), _tagged("n", neighbours))
+        .when(F.col("latin") & (F.size(words) > 0), _tagged("w", words))
+        .otherwise(F.array(symbols))
+    )
+    chosen = terms.select(term, "needle", "latin", F.explode(F.array_distinct(probes)).alias("probe"))
+    return chosen.withColumn("whole", F.col("latin") & (F.substring("probe", 3, 1 << 30) == F.col("needle")) & ~F.col("probe").startswith("c:"))
+
+
+def match_terms(docs: DataFrame, terms: DataFrame, key: str, text: str, term: str = "term") -> DataFrame:
+    """(key, term) for every term of a table that occurs in a document, same rules as ``contains_term``.
+
+    The index holds the words of each document and its pairs of neighbouring words with what stands between them, as far
+    as terms ask for them. A phrase is looked up by its rarest pair, a single word by itself, other terms by their first
+    other characters. Where the probe is the whole term, the posting decides; the others found for a document are gathered
+    and checked at word edges in one pass over its text. Documents and probes meet with a salt: a probe that very many
+    documents hold is spread over tasks. No term is compared with every document. ``key`` must be unique.
+    """
+    needle = F.lower(F.trim(F.col(term)))
+    prepared = terms.select(F.col(term), needle.alias("needle")).where(F.col("needle") != "").distinct()
+    prepared = prepared.withColumn("latin", F.col("needle").rlike("^[ -~]+$"))
+    choices = materialize(_choices(prepared, term), "choices")
+    hay = docs.select(F.col(key), F.lower(F.col(text)).alias("hay"))
+    # The wanted probes are written first: with their size known, a small set reaches the documents without a shuffle.
+    wanted = materialize(choices.select("probe").distinct(), "wanted")
+    found = materialize(hay.select(key, F.explode(_postings(F.col("hay"))).alias("probe")).join(wanted, "probe", "left_semi"), "probes")
     frequency = found.groupBy("probe").agg(F.count(F.lit(1)).alias("df"))
-    symbols = F.concat(F.lit("c:"), F.regexp_extract("needle", "[^a-z0-9\\s][^a-z0-9]{0,2}", 0))
-    own = F.transform(F.regexp_extract_all("needle", F.lit("[a-z0-9]+"), 0), lambda w: F.concat(F.lit("w:"), w))
-    choices = prepared.select(term, "needle", "latin", F.explode(F.when(F.col("latin") & (F.size(own) > 0), own).otherwise(F.array(symbols))).alias("probe"))
-    # A word that no document holds rules its term out; else the rarest one is the probe.
+    # A probe that no document holds rules its term out; else the rarest one is looked up.
     rated = choices.join(frequency, "probe", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = rated.groupBy(term, "needle", "latin").agg(F.min(F.struct("df", "probe")).alias("p")).where("p.df > 0")
-    lists = rarest.groupBy(F.col("p.probe").alias("probe")).agg(F.collect_list(F.struct(term, "needle", "latin")).alias("terms"))  # terms with one rarest word
-    candidates = salted_lookup(found, "probe", lists, key).select(key, F.explode("terms").alias("t"))
-    per_doc = candidates.groupBy(key).agg(F.collect_set("t").alias("ts"))  # at most the terms that share a word with the document
+    rarest = rated.groupBy(term, "needle", "latin").agg(F.min(F.struct("df", "probe", "whole")).alias("p")).where("p.df > 0")
+    lists = rarest.groupBy(F.col("p.probe").alias("probe")).agg(
+        F.collect_list(F.struct(term, "needle", "latin", F.col("p.whole").alias("whole"))).alias("terms")
+    )  # terms with one rarest probe
+    candidates = materialize(salted_lookup(found, "probe", lists, key).select(key, F.explode("terms").alias("t")), "candidates")
+    sure = candidates.where("t.whole").select(key, F.col(f"t.{term}").alias(term))
+    per_doc = candidates.where("not t.whole").groupBy(key).agg(F.collect_set("t").alias("ts"))  # at most the terms that share a probe with the document
     padded = F.concat(F.lit(" "), F.regexp_replace("hay", "[^a-z0-9]", " "), F.lit(" "))
-    return (
+    checked = (
         hay.join(per_doc, key)
         .select(key, "hay", padded.alias("edges"), F.explode("ts").alias("t"))
         .where(_occurs(F.col("hay"), F.col("edges"), F.col("t.needle"), F.col("t.latin")))
         .select(key, F.col(f"t.{term}").alias(term))
     )
+    return sure.unionByName(checked)
 
 
 def _occurs(hay: Column, edges: Column, needle: Column, latin: Column) -> Column:

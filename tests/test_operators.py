@@ -1,6 +1,7 @@
 """Rule behaviour, parity with brute force, and end-to-end invariants."""
 
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -291,3 +292,25 @@ def test_signatures_never_rule_out_a_similar_pair(spark):
     found = {(r.a, r.b) for r in pairs.similar_pairs(df, "ord", F.col("set").cast("array<string>"), 0.6).where("similarity < 1").collect()}
     want = {p for p, (_, apart) in far.items() for n in [len(own[p[0]] | own[p[1]])] if 0.6 <= 1 - apart / n < 1}
     assert found == want and len(want) > 15
+
+
+def test_phrases_words_and_other_terms(spark):
+    """Phrases probe by pairs, words by themselves, the rest by their characters; edges and what stands between count."""
+    texts = {
+        1: "Car wash, car  wash and car-wash.", 2: "the car washing", 3: "scar wash", 4: "wash (car wash) now", 5: "ล้างแอร์ car wash ล้าง", 6: None, 7: "",
+        8: "a b c d a b d", 9: "car. Wash", 10: "c++ and c# in .net", 11: "the the the car", 12: "CAR\nWASH",
+    }
+    terms = ["car wash", "car  wash", "car-wash", "Car Wash,", "(car wash)", "wash car", "a b c", "b d", "c d a", "a b d", "the", "the the", "ล้าง", "แอร์ car", "c++", ".net",
+             "car. wash", " ", "", None, "car\nwash", "no such phrase", "d"]
+    docs = spark.createDataFrame(list(texts.items()), "k long, body string")
+    table = spark.createDataFrame([(t, 1) for t in terms] + [("the", 2)], "term string, n int")
+    got = sorted((r.k, r.term) for r in queries.match_terms(docs, table, "k", "body").collect())
+    want = []
+    for k, text in texts.items():
+        for t in terms:
+            needle = (t or "").lower().strip(" ")
+            low = (text or "").lower()
+            latin = bool(re.fullmatch("[ -~]+", needle))
+            if needle and (re.search("(^|[^a-z0-9])" + re.escape(needle) + "([^a-z0-9]|$)", low) if latin else needle in low):
+                want.append((k, t))
+    assert got == sorted(want)
