@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from briefloom.plans.range_report import range_report
 from briefloom.schemas import REPORT_INDEX
 from briefloom.session import materialize, new_path, partition_values, with_scalars
 from briefloom.streaming import jobs
+from briefloom.streaming.cache_state import cache_changes, live_rows, write_changes
 from briefloom.workload.inputs import (
     PROBE_LEXICON, PROBE_RULES, analysed_documents, document_items, event_reports, now, table,
 )
@@ -385,6 +386,17 @@ def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.read_cache(spark, path, stream.schema, clock).select("content_hash", "event_id")
 
 
+def stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Analysis cache in the state of a stream: what is held after the last batch; keys expire without coming again."""
+    stream = _event_stream(spark, sf).select(
+        F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256).alias("content_hash"), F.col("event_time").alias("saved_at"), "event_id"
+    )
+    changes = cache_changes(stream, "content_hash", "saved_at", "event_id", timedelta(days=3), late="1 day")
+    path = new_path(spark, "cache-log")
+    write_changes(changes, path, new_path(spark, "cache-log-state")).awaitTermination()
+    return live_rows(spark, path, stream.schema, "content_hash").select("content_hash", "event_id")
+
+
 def stream_cached(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a stream, joined with the analyses of a cache that have not expired."""
     analysed = analysed_documents(spark, sf).where((F.col("language") == "de") & F.col("published_at").isNotNull())
@@ -405,7 +417,7 @@ QUERIES = {
     for f in (
         kpi_rollup, daily_kpi, net_score_daily, model_stats, tally_topk, facet_values, funnel_counts, source_health, run_status,
         error_log, trend, index_upsert, retention, report_scan, cache_maintenance, new_rows, range_presets, range_merge,
-        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, daily_store, collect_only, event_windows, stream_dedup, stream_cache, stream_cached,
+        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, daily_store, collect_only, event_windows, stream_dedup, stream_cache, stream_expiry, stream_cached,
     )
 }
 
@@ -586,5 +598,7 @@ ORACLES = {
     "stream_cached": f"""with {sql_classified()}, h as (select *, {sql_content_hash('title', 'snippet', None)} as ch from classified),
         c as (select ch, arg_min(struct_pack(classification, impact_score, published_at), ord) as v from h where language = 'de' and published_at is not null group by ch)
         select ord as doc_id, v.classification as classification, v.impact_score as impact_score, 'ai' as analyzed_by from h join c using (ch) where v.published_at >= timestamp '2024-01-30'""",
+    "stream_expiry": f"""with {SQL_EVENTS} select content_hash, arg_max(event_id, (ts, event_id)) as event_id from er group by 1
+        having max(ts) + interval 3 day > (select max(ts) - interval 1 day from er)""",
     "stream_cache": f"""with {SQL_EVENTS} select content_hash, arg_max(event_id, ts) as event_id from er group by 1 having max(ts) >= timestamp '2024-01-11'""",
 }

@@ -314,3 +314,29 @@ def test_phrases_words_and_other_terms(spark):
             if needle and (re.search("(^|[^a-z0-9])" + re.escape(needle) + "([^a-z0-9]|$)", low) if latin else needle in low):
                 want.append((k, t))
     assert got == sorted(want)
+
+
+def test_cached_rows_expire_without_coming_again(spark, tmp_path):
+    """Three batches: a key that never comes again is gone, a renewed one stays, older and late rows change nothing."""
+    from briefloom.streaming.cache_state import cache_changes, live_rows, write_changes
+
+    day = datetime(2026, 1, 1)
+    batches = [
+        [("gone", day, 1), ("kept", day, 2), ("tie", day, 3), ("tie", day, 4), (None, day, 5), ("undated", None, 6)],
+        [("kept", day + timedelta(days=4), 7), ("kept", day + timedelta(days=1), 8), ("new", day + timedelta(days=9), 9)],
+        [("late", day + timedelta(days=2), 10), ("tie", day, 11), ("kept", day + timedelta(days=8), 12)],
+    ]
+    schema = "k string, at timestamp, n long"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    changes = cache_changes(stream, "k", "at", "n", timedelta(days=5), late="1 day")
+    write_changes(changes, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert sorted((r.k, r.at, r.n) for r in live_rows(spark, str(tmp_path / "log"), stream.schema, "k").collect()) == [
+        ("kept", day + timedelta(days=8), 12), ("new", day + timedelta(days=9), 9)
+    ]
+    log = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert sorted((r.k, r.n) for r in log if r.expired) == [("gone", 1), ("tie", 4)]
+    assert not any(r.k in (None, "undated", "late") for r in log)
