@@ -185,15 +185,6 @@ def distinct_flat(df: DataFrame, column: str, where: Column) -> DataFrame:
     return df.where(where).select(F.explode(column).alias("value")).distinct().orderBy("value")
 
 
-def funnel_counts(**stages: DataFrame) -> DataFrame:
-    """One row with the row count of each stage."""
-    rows = None
-    for name, df in stages.items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("n"))), F.lit(0)).alias(s) for s in stages])
-
-
 def model_stats(items: DataFrame) -> DataFrame:
     """Counters handed to the daily model pass."""
     return items.agg(

@@ -13,6 +13,7 @@ candidates whatever the skew. Intermediate tables are written to the shared fold
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -196,9 +197,11 @@ def cluster(items: DataFrame, options: DedupOptions = DedupOptions()) -> DataFra
     )
 
 
-def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions()) -> DedupResult:
+def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions(), watch: Callable[[DataFrame], DataFrame] = lambda items: items) -> DedupResult:
     """Collapse duplicate coverage (E2): exact groups first, then similar titles or snippets.
 
+    ``watch`` may add observed counters to the items as they are written; it must not change them.
+
     ``df`` needs ord, id, canonical_url, content_hash, title, snippet, published_at,
     source_name, source_tier and unverified.
     """
@@ -236,7 +239,7 @@ def deduplicate(df: DataFrame, options: DedupOptions = DedupOptions()) -> DedupR
         .withColumn("duplicate_group_id", F.when(F.col("is_fuzzy"), F.col("root_id")))
         .drop("root_id", "is_fuzzy")
     )
-    items = materialize(items, "deduplicated")  # the gate, the enrichment and the counts read it
+    items = materialize(watch(items), "deduplicated")  # the gate, the enrichment and the counts read it
     groups = coverage.select("group_ord").distinct().agg(F.count(F.lit(1)).alias("groups"))
     counters = best.agg(
         F.coalesce(F.sum("group_size"), F.lit(0)).alias("items_in"),

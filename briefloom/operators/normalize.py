@@ -82,16 +82,22 @@ def filter_by_recency(
     return df.where(~_stale(F.col(ts), F.col(kind), now, options))
 
 
+def is_recent(now: Column, options: RecencyOptions = RecencyOptions(), ts: str = "published_at", kind: str = "item_kind") -> Column:
+    """Whether ``filter_by_recency`` keeps a row."""
+    return ~_stale(F.col(ts), F.col(kind), now, options)
+
+
 def recency_counts(
     df: DataFrame,
     now: Column,
     options: RecencyOptions = RecencyOptions(),
     ts: str = "published_at",
     kind: str = "item_kind",
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Kept, dropped and undated rows of the recency filter, in one pass."""
+    """Kept, dropped and undated rows of the recency filter, in one pass, with ``by`` for each value of these columns."""
     stale = _stale(F.col(ts), F.col(kind), now, options)
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count_if(~stale).alias("kept"),
         F.count_if(stale).alias("dropped_stale"),
         F.count_if(F.col(ts).isNull()).alias("undated"),

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from briefloom.lexicons.model import Lexicon, RuleSet
 from briefloom.operators import store
-from briefloom.operators.aggregates import daily_kpi, error_log, funnel_counts, run_status
+from briefloom.operators.aggregates import daily_kpi, error_log, run_status
+from briefloom.operators.counters import StageCounts
 from briefloom.operators.dedup import DedupOptions, DedupResult, deduplicate
 from briefloom.operators.enrich import BatchModel, EnrichOptions, enrich, origin_counts
-from briefloom.operators.normalize import NormalizeOptions, RecencyOptions, filter_by_recency, normalize_items
+from briefloom.operators.normalize import NormalizeOptions, RecencyOptions, filter_by_recency, is_recent, normalize_items
 from briefloom.operators.ranking import candidate_preview, gate, publish_cut, publish_ranking
 from briefloom.operators.quality import ANALYSIS_RULES
 from briefloom.operators.store import RETENTION_DAYS
@@ -40,15 +41,11 @@ class Funnel:
     recent: DataFrame
     dedup: DedupResult
     candidates: DataFrame
+    seen: StageCounts
 
     def counts(self) -> DataFrame:
-        return funnel_counts(
-            total_collected=self.collected,
-            after_normalize=self.normalized,
-            after_recency=self.recent,
-            after_dedup=self.dedup.items,
-            after_prefilter=self.candidates,
-        )
+        """Rows of each stage, as they were counted while the tables were written. No table is read for it."""
+        return self.seen.row(self.collected.sparkSession)
 
 
 @dataclass(frozen=True)
@@ -74,12 +71,16 @@ class DailyReport:
 def collect_funnel(raw: DataFrame, now: Column, lexicon: Lexicon, options: DailyOptions = DailyOptions()) -> Funnel:
     """Normalise, drop stale items, deduplicate, gate. Nothing is enriched.
 
-    The normalised items are written once: the counts, the deduplication and the report read them.
+    The normalised items are written once: the deduplication and the report read them. Every stage is counted by a write.
     """
-    normalized = materialize(normalize_items(raw, lexicon, now, options.normalize), "normalized")
+    seen = StageCounts()
+    normal = normalize_items(seen.at(raw, total_collected=None), lexicon, now, options.normalize)
+    fresh = is_recent(now, options.recency)
+    normalized = materialize(seen.at(normal, after_normalize=None, after_recency=fresh), "normalized")
     recent = filter_by_recency(normalized, now, options.recency)
-    dedup = deduplicate(recent, options.dedup)
-    return Funnel(raw, normalized, recent, dedup, gate(dedup.items, options.min_prefilter_score))
+    passes = F.col("prefilter_score") >= options.min_prefilter_score
+    dedup = deduplicate(recent, options.dedup, watch=lambda items: seen.at(items, after_dedup=None, after_prefilter=passes))
+    return Funnel(raw, normalized, recent, dedup, gate(dedup.items, options.min_prefilter_score), seen)
 
 
 def collect_preview(funnel: Funnel, k: int = 10) -> DataFrame:

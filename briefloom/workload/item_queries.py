@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions.text import strip_html, token_set, trigrams
@@ -153,9 +153,7 @@ def duplicate_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recency_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as items with a window per kind; counters of the same filter joined as columns."""
-    from briefloom.session import with_scalars
-
+    """Events as items with a window per kind; the items of each kind that stay, and the counters of all kinds."""
     e = table(spark, sf, "events")
     items = e.select(
         "event_id",
@@ -164,8 +162,10 @@ def recency_filter(spark: SparkSession, sf: str) -> DataFrame:
     )
     clock = F.lit("2024-01-20T00:00:00Z").cast("timestamp")
     options = normalize.RecencyOptions(48, {"social": 240})
-    kept = normalize.filter_by_recency(items, clock, options).groupBy("item_kind").agg(F.count(F.lit(1)).alias("items"))
-    return with_scalars(kept, normalize.recency_counts(items, clock, options))
+    per_kind = normalize.recency_counts(items, clock, options, by=("item_kind",))  # one row per kind
+    whole = Window.partitionBy()
+    totals = [F.sum(c).over(whole).alias(c) for c in ("kept", "dropped_stale", "undated")]
+    return per_kind.select("item_kind", F.col("kept").alias("items"), *totals).where("items > 0")
 
 
 def facet_filter(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from briefloom.functions.dates import date_key
 from briefloom.operators import aggregates as agg
 from briefloom.functions.hashing import content_hash
+from briefloom.operators.counters import StageCounts
 from briefloom.operators import ranges, ranking, store
 from briefloom.operators.dedup import keep_best, sort_code
 from briefloom.plans.briefing import briefing
@@ -91,9 +92,11 @@ def facet_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def funnel_counts(spark: SparkSession, sf: str) -> DataFrame:
-    items = analysed_documents(spark, sf)
-    gated = ranking.gate(items)
-    return agg.funnel_counts(collected=document_items(spark, sf), candidates=gated, published=ranking.publish_cut(gated))
+    """Rows of each stage on the way to a published report, counted while the report is written."""
+    seen = StageCounts()
+    gated = seen.at(ranking.gate(seen.at(analysed_documents(spark, sf), collected=None)), candidates=None)
+    materialize(seen.at(ranking.publish_cut(gated), published=None), "published")
+    return seen.row(spark, "collected", "candidates", "published")
 
 
 def source_health(spark: SparkSession, sf: str) -> DataFrame:

@@ -340,3 +340,20 @@ def test_cached_rows_expire_without_coming_again(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log")).collect()
     assert sorted((r.k, r.n) for r in log if r.expired) == [("gone", 1), ("tie", 4)]
     assert not any(r.k in (None, "undated", "late") for r in log)
+
+
+def test_stages_are_counted_by_the_write(spark):
+    """The counts come from one write, cover empty stages, and the one-row table reads nothing."""
+    from briefloom.operators.counters import StageCounts
+    from briefloom.session import materialize
+
+    seen = StageCounts()
+    rows = seen.at(spark.range(0, 1_000, 1, 7), all=None, odd=F.col("id") % 2 == 1)
+    kept = seen.at(rows.where("id >= 900"), late=None)
+    materialize(seen.at(kept.where("id < 0"), never=None), "kept")
+    assert seen.values() == {"all": 1_000, "odd": 500, "late": 100, "never": 0}
+    row = seen.row(spark, "late", "never")
+    assert row.first().asDict() == {"late": 100, "never": 0} and "Scan" not in row._jdf.queryExecution().executedPlan().toString().replace("Scan OneRow", "")
+    empty = StageCounts()
+    materialize(empty.at(spark.createDataFrame([], "a int"), none=None), "empty")
+    assert empty.values() == {"none": 0}
