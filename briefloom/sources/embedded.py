@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,6 @@ TOPIC = (
     "struct<id: string, topic_id: string, title: string, detail: string, comment: string, url: string, "
     "created_time: string, last_reply_time: string>"
 )
-_FIELDS = ("id", "topic_id", "title", "detail", "comment", "url", "created_time", "last_reply_time")
 
 
 def embedded_json(html: Column) -> Column:
@@ -24,45 +22,79 @@ def embedded_json(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, _SCRIPT, 1), F.lit(""))
 
 
-def topic_finder(max_depth: int | None = None):
-    """Arrow UDF from JSON texts to topic lists, for layouts that are not known in advance.
+#: Levels below the whole document that are searched.
+MAX_DEPTH = 8
+_NODE = "struct<place: array<int>, text: string>"
+
+
+def _is_container(value: Column) -> Column:
+    """Objects and arrays; a text that merely looks like one is not."""
+    return F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
 
-    The search is a small helper per document; it is defined inside, so it travels to the
-    executors by value and needs no installed package there.
-    """
-    fields = _FIELDS
 
-    def is_topic_list(node: list) -> bool:
-        head = node[0] if node else None
-        return isinstance(head, dict) and "title" in head and ("id" in head or "topic_id" in head)
+def _is_array(text: Column) -> Column:
+    return F.regexp_like(text, F.lit("^\\s*\\["))
 
-    def search(doc: object) -> list:
-        """First list of topics in document order, not deeper than the limit, if there is one."""
-        stack = [(doc, 0)]
-        while stack:
-            node, depth = stack.pop()
-            if (max_depth is not None and depth > max_depth) or not isinstance(node, (dict, list)):
-                continue
-            if isinstance(node, list) and is_topic_list(node):
-                return node
-            children = node if isinstance(node, list) else list(node.values())
-            stack.extend((child, depth + 1) for child in reversed(children))
-        return []
 
-    def topics(text: str | None) -> list[dict]:
-        import json
+def _parts(text: Column) -> Column:
+    """Entries of an object or an array as (text, value), in the order of the document."""
 
-        try:
-            found = search(json.loads(text)) if text else []
-        except (ValueError, RecursionError):
-            return []
-        rows = [t for t in found if isinstance(t, dict)]
-        return [{f: None if t.get(f) is None else str(t[f]) for f in fields} for t in rows]
+    def parsed(kind: str) -> Column:
+        entries = F.map_values(F.from_json(text, f"map<string,{kind}>"))
+        return F.when(_is_array(text), F.from_json(text, f"array<{kind}>")).otherwise(entries)
 
-    def find(docs: pd.Series) -> pd.Series:
-        return docs.map(topics)
+    return F.arrays_zip(parsed("string").alias("text"), parsed("variant").alias("value"))
 
-    return F.pandas_udf(find, f"array<{TOPIC}>")
+
+def _is_topic_list(text: Column) -> Column:
+    """An array whose first entry is an object with a title and an identifier."""
+    first = F.get(F.from_json(text, "array<string>"), 0)
+    keys = F.json_object_keys(first)
+    named = F.array_contains(keys, "title") & (F.array_contains(keys, "id") | F.array_contains(keys, "topic_id"))
+    real = F.schema_of_variant(F.get(F.from_json(text, "array<variant>"), 0)).startswith("OBJECT")
+    return _is_array(text) & F.coalesce(real & named, F.lit(False))
+
+
+def with_topic_list(docs: DataFrame, doc: str, name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Add the first topic list of JSON texts whose layout is not known, as JSON text; null if there is none.
+
+    The containers of one level become those of the next, down to ``max_depth``; a place is the entries that lead to it,
+    so the first list in document order has the least place. Entries keep the order of the text, and their variant
+    values tell a real array from a text that looks like one. Texts that are no JSON have no list.
+    """
+    whole = F.try_parse_json(doc)
+    root = F.array(F.struct(F.array().cast("array<int>").alias("place"), F.col(doc).alias("text")))
+    front = F.when(whole.isNotNull() & _is_container(whole), root).otherwise(F.array().cast(f"array<{_NODE}>"))
+    state = compute_once(docs, {"__found": F.lit(None).cast(_NODE), "__front": front})
+    for depth in range(max_depth + 1):
+        hits = F.filter("__front", lambda n: _is_topic_list(n["text"]))
+        state = compute_once(state, {"__hits": hits})
+        found = F.array_min(F.concat(F.array("__found"), "__hits"))
+        rest = F.array_except(F.col("__front"), F.col("__hits"))
+        below = F.flatten(
+            F.transform(
+                rest,
+                lambda n: F.transform(
+                    F.filter(
+                        F.transform(_parts(n["text"]), lambda p, i: F.struct(F.concat(n["place"], F.array(i)).alias("place"), p["text"].alias("text"), p["value"].alias("value"))),
+                        lambda c: F.coalesce(_is_container(c["value"]), F.lit(False)),
+                    ),
+                    lambda c: F.struct(c["place"].alias("place"), c["text"].alias("text")),
+                ),
+            )
+        )
+        changes = {"__found": found} if depth == max_depth else {"__found": found, "__front": below}
+        state = compute_once(state, changes)
+    return state.select(*docs.columns, F.col("__found.text").alias(name))
+
+
+def topics_of(listed: Column) -> Column:
+    """Topics of a list given as JSON text; entries that are no objects are left out."""
+    objects = F.filter(
+        F.arrays_zip(F.from_json(listed, "array<string>").alias("text"), F.from_json(listed, "array<variant>").alias("value")),
+        lambda e: F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False)),
+    )
+    return F.transform(objects, lambda e: F.from_json(e["text"], TOPIC))
 
 
 def topics_at(doc: Column, path: str) -> Column:
@@ -70,28 +102,33 @@ def topics_at(doc: Column, path: str) -> Column:
     return F.from_json(F.get_json_object(doc, path), f"array<{TOPIC}>")
 
 
-def forum_topics(pages: DataFrame, html: str = "html", path: str | None = None, max_items: int | None = None) -> DataFrame:
-    """Pages to topic rows, in page order. Without a known ``path`` the topic list is searched for."""
+def forum_topics(pages: DataFrame, html: str = "html", path: str | None = None, max_items: int | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Pages to topic rows, in page order. Without a known ``path`` the topic list is searched for, down to ``max_depth``."""
     keep = [c for c in pages.columns if c != html]
     docs = pages.select(*keep, embedded_json(F.col(html)).alias("__doc")).where(F.col("__doc").isNotNull())
-    found = topic_finder()(F.col("__doc")) if path is None else topics_at(F.col("__doc"), path)
-    topics = docs.withColumn("__topics", found)
+    if path is None:
+        topics = with_topic_list(docs, "__doc", "__list", max_depth).withColumn("__topics", topics_of(F.col("__list")))
+    else:
+        topics = docs.withColumn("__topics", topics_at(F.col("__doc"), path))
     listed = F.col("__topics") if max_items is None else F.slice("__topics", 1, max_items)
     return topics.select(*keep, F.posexplode(listed).alias("entry_pos", "t")).select(*keep, "entry_pos", "t.*")
 
 
 def topic_items(
-    topics: DataFrame, keep: tuple[str, ...], label: Column, kind: Column, now: Column | None = None,
+    topics: DataFrame, keep: tuple[str, ...], label: Column, kind: Column, site: str, topic_url: str, now: Column | None = None,
     max_snippet_chars: int | None = None,
 ) -> DataFrame:
-    """Topics to raw items (A10). The label goes into the source name, never into scored text."""
+    """Topics to raw items (A10). The label goes into the source name, never into scored text.
+
+    ``site``: name of the forum; ``topic_url``: address of a topic without its identifier, for topics that give none.
+    """
     topic_id = F.coalesce("id", "topic_id")
     rows = compute_once(
         topics,
         {
             "topic": topic_id,
             "title": strip_html(strip_highlight(F.col("title"))),
-            "__link": F.coalesce("url", F.concat(F.lit("https://pantip.com/topic/"), topic_id)),
+            "__link": F.coalesce("url", F.concat(F.lit(topic_url), topic_id)),
             "__body": strip_html(strip_highlight(F.coalesce("detail", "comment"))),
             "published_at": parse_epoch_or_date(F.coalesce("created_time", "last_reply_time"), now),
             "__label": label,
@@ -106,8 +143,8 @@ def topic_items(
         "link",
         truncate(F.col("__body"), max_snippet_chars).alias("snippet"),
         "published_at",
-        F.concat(F.lit("pantip:"), F.col("__label")).alias("source_id"),
-        F.concat(F.lit("Pantip ("), F.col("__kind"), F.lit(" "), F.col("__label"), F.lit(")")).alias("source_name"),
+        F.concat(F.lit(f"{site.lower()}:"), F.col("__label")).alias("source_id"),
+        F.concat(F.lit(f"{site} ("), F.col("__kind"), F.lit(" "), F.col("__label"), F.lit(")")).alias("source_name"),
         F.lit(3).alias("source_tier"),
         F.lit("TH").alias("source_country"),
         F.lit("th").alias("language"),

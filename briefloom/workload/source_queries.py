@@ -156,7 +156,7 @@ def _topic_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topic_rows(topics: DataFrame) -> DataFrame:
-    out = embedded.topic_items(topics, ("page_id",), F.lit("cars"), F.lit("tag"))
+    out = embedded.topic_items(topics, ("page_id",), F.lit("cars"), F.lit("tag"), "Pantip", "https://pantip.com/topic/")
     return out.select(
         "page_id", F.col("entry_pos").cast("int").alias("pos"), "title", "link", F.unix_seconds("published_at").alias("epoch"),
         F.sha2("snippet", 256).alias("snippet_sha"), "source_name",

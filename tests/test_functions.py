@@ -218,3 +218,59 @@ def test_rounding(spark):
     assert one(spark, num(numbers.round1), "2.25") == 2.3
     assert one(spark, num(numbers.trunc), "-1.8") == -1
     assert one(spark, num(lambda c: numbers.clamp(c, -5.0, 5.0)), "9") == 5.0
+
+
+def _first_topic_list(node, depth=0, limit=8):
+    if depth > limit or not isinstance(node, (dict, list)):
+        return None
+    if isinstance(node, list) and node and isinstance(node[0], dict) and "title" in node[0] and ("id" in node[0] or "topic_id" in node[0]):
+        return node
+    for child in node if isinstance(node, list) else node.values():
+        found = _first_topic_list(child, depth + 1, limit)
+        if found is not None:
+            return found
+    return None
+
+
+def test_topic_lists_of_unknown_layout(spark):
+    """The first list in document order, as a search of the parsed document finds it; no Python in the plan."""
+    import json
+    import random
+
+    from pyspark.sql import functions as F
+
+    from briefloom.sources.embedded import topics_of, with_topic_list
+
+    rng = random.Random(9)
+
+    def value(depth):
+        kind = rng.choice("oooaaats") if depth else "s"
+        if kind == "o":
+            return {rng.choice(["z", "b", "title", "id", "topic_id", "m", "0"]): value(depth - 1) for _ in range(rng.randrange(4))}
+        if kind == "a":
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == "t":
+            return [{"title": rng.choice(["é\"x", None]), rng.choice(["id", "topic_id", "no"]): rng.randrange(99)}, 5, None, "s", {"id": "x"}]
+        return rng.choice([None, True, 1, 2.5, "text", '[{"title": 1, "id": 2}]', "{}", ""])
+
+    docs = [json.dumps(value(6), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(300)]
+    deep = json.dumps([{"title": "t", "id": 7}])
+    docs += ['{"a":' * n + deep + "}" * n for n in (7, 8, 9)] + ["", "{bad", '{"a": [', "[]", "null", "3", '"[{}]"', None]
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, doc string")
+    found = with_topic_list(df, "doc", "found").withColumn("topics", topics_of(F.col("found")))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    hits = 0
+    for r in found.collect():
+        try:
+            want = _first_topic_list(json.loads(r.doc)) if r.doc else None
+        except ValueError:
+            want = None
+        assert (None if r.found is None else json.loads(r.found)) == want, r.doc
+        hits += want is not None
+        if want is not None:
+            rows = [t for t in want if isinstance(t, dict)]
+            assert len(r.topics) == len(rows)
+            for got, row in zip(r.topics, rows):
+                for have, one in ((got.title, row.get("title")), (got.id, row.get("id"))):
+                    assert have == one if one is None or isinstance(one, str) else json.loads(have) == one  # nested values stay JSON
+    assert hits > 60
