@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from briefloom.operators.quality import Rule, split_valid
 from briefloom.session import delete_folder, partition_values
@@ -16,17 +15,23 @@ RETENTION_DAYS = 31
 CACHE_DAYS = 14
 
 
+def require_valid(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The same rows; an error if any of them breaks a rule."""
+    if not rules:
+        return df
+    good, bad = split_valid(df, rules)
+    broken = bad.select(F.array_join("violations", "; ").alias("v")).limit(1).collect()
+    if broken:
+        raise ValueError(f"report rows break the schema: {broken[0]['v']}")
+    return good
+
+
 def write_day(df: DataFrame, path: str, rules: tuple[Rule, ...] = ()) -> None:
     """Replace the partitions of the dates in ``df`` and leave all others alone (B1).
 
     Rows that break a rule stop the write before any partition is touched.
     """
-    if rules:
-        df, bad = split_valid(df, rules)
-        broken = bad.select(F.array_join("violations", "; ").alias("v")).limit(1).collect()
-        if broken:
-            raise ValueError(f"report rows break the schema: {broken[0]['v']}")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    require_valid(df, rules).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def upsert_index(index: DataFrame, entries: DataFrame, keep: int = RETENTION_DAYS) -> DataFrame:
@@ -87,19 +92,21 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 def read_report(spark: SparkSession, path: str, day: str) -> DataFrame | None:
     """One day of a report table (A13): partition-pruned; null for a malformed or missing date."""
-    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day):
-        return None
-    try:
-        df = spark.read.parquet(path).where(F.col("date") == F.lit(day).cast("date"))
-    except AnalysisException:
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) or day not in partition_values(spark, path, "date"):
         return None
+    df = read_reports(spark, path).where(F.col("date") == F.lit(day).cast("date"))
     return None if df.limit(1).isEmpty() else df
 
 
+def latest_of(reports: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of the newest day of an index (A14). The day is a subquery of the scan: when it is known, at run time, the scan
+    lists and opens that partition only, and nothing of it comes to the driver's program."""
+    return reports.where(F.col("date") == index.agg(F.max("date")).scalar())
+
+
 def read_latest(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """Newest report (A14): the date comes from the index, only its partition is read."""
-    newest = index.agg(F.max("date")).first()[0]  # one value
-    return spark.read.parquet(path).where(F.col("date") == F.lit(newest))
+    """Newest report of a table by day."""
+    return latest_of(spark.read.parquet(path), index)
 
 
 def read_dates(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
@@ -113,17 +120,23 @@ def read_dates(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
 def write_version(df: DataFrame, path: str) -> None:
     """Write the next version of a table and delete the ones before the last: readers always find a whole one."""
     spark = df.sparkSession
-    versions = [int(v) for v in partition_values(spark, path, "version")]
+    versions, finished = [int(v) for v in partition_values(spark, path, "version")], finished_versions(spark, path)
     df.write.parquet(f"{path}/version={max(versions, default=0) + 1}")
-    for old in sorted(versions)[:-1]:
+    for old in set(versions) - set(finished[-1:]):
         delete_folder(spark, f"{path}/version={old}")
 
 
 def read_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Last finished version of a table; empty if there is none."""
-    versions = sorted(int(v) for v in partition_values(spark, path, "version"))
-    for v in reversed(versions):
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")
-        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            return spark.read.schema(schema).parquet(f"{path}/version={v}")
-    return spark.createDataFrame([], schema)
+    finished = finished_versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={finished[-1]}") if finished else spark.createDataFrame([], schema)
+
+
+def finished_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a table that were written to their end, in order."""
+
+    def finished(version: int) -> bool:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}/_SUCCESS")
+        return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+    return [v for v in sorted(map(int, partition_values(spark, path, "version"))) if finished(v)]

@@ -15,6 +15,7 @@ from briefloom.operators.aggregates import daily_kpi, error_log, run_status
 from briefloom.operators.counters import StageCounts
 from briefloom.operators.dedup import DedupOptions, DedupResult, deduplicate
 from briefloom.operators.enrich import BatchModel, EnrichOptions, enrich, origin_counts
+from briefloom.operators.manifest import DayStore
 from briefloom.operators.normalize import NormalizeOptions, RecencyOptions, filter_by_recency, is_recent, normalize_items
 from briefloom.operators.ranking import candidate_preview, gate, publish_cut, publish_ranking
 from briefloom.operators.quality import ANALYSIS_RULES
@@ -62,11 +63,6 @@ class DailyReport:
     errors: DataFrame  #: (ord, scope, message) of failed model calls and answers
     fresh: DataFrame  #: cache rows of new model answers, without their time
 
-    def with_date(self, day: Column) -> "DailyReport":
-        """Add the partition column of the stored tables."""
-        names = ("items", "coverage", "kpi", "briefing", "dedup_stats", "funnel", "origins")
-        return DailyReport(**{n: getattr(self, n).withColumn("date", day) for n in names})
-
 
 def collect_funnel(raw: DataFrame, now: Column, lexicon: Lexicon, options: DailyOptions = DailyOptions()) -> Funnel:
     """Normalise, drop stale items, deduplicate, gate. Nothing is enriched.
@@ -141,28 +137,36 @@ DAY_TABLES = ("items", "coverage", "kpi", "briefing", "health", "errors")
 
 
 def save_day(
-    report: DailyReport, root: str, day: date, now: Column, health: DataFrame, errors: DataFrame | None = None, keep: int = RETENTION_DAYS
-) -> list[date]:
-    """Finish a day (O1): write its tables, put it into the history index, drop expired days, add to the cache.
+    report: DailyReport, root: str, day: date, now: Column, health: DataFrame, errors: DataFrame | None = None, keep: int = RETENTION_DAYS,
+    staged: Callable[[str], None] = lambda name: None,
+) -> list[date]:
+    """Finish a day (O1): its tables, its row of the history index, the days that expire, and the cache, all shown at once.
 
     ``health``: (source_id, source_name, ok, item_count, error, configured). ``errors``: (ord, scope, message) of the
     collectors, beside those of the model. A day that is saved again replaces what was stored. Returns the days that
-    were dropped. Items that break the schema stop the job before anything is written.
+    went out of view. Items that break the schema stop the job. Everything is staged first, and ``staged`` is called with
+    the name of each table; a job that ends before the last write leaves all readers with the former state.
     """
     spark = report.items.sparkSession
+    tables_of = DayStore(spark, root)
+    change = tables_of.begin()
+
+    def put(name: str, df: DataFrame, of: date | None = None, rules: tuple = ()) -> None:
+        change.put(name, df, of, rules)
+        staged(name)
+
     log = report.errors if errors is None else errors.select("ord", "scope", "message").unionByName(report.errors)
     tables = {
         "items": report.items.drop("saved_at"), "coverage": report.coverage, "kpi": report.kpi, "briefing": report.briefing, "health": health, "errors": error_log(log),
     }
     for name in DAY_TABLES:
-        dated = tables[name].withColumn("date", F.lit(day))
-        store.write_day(dated, f"{root}/{name}", ANALYSIS_RULES if name == "items" else ())
+        put(name, tables[name], day, ANALYSIS_RULES if name == "items" else ())
     entry = index_entry(report, health, log, F.lit(day), now)
-    index = materialize(store.upsert_index(store.read_version(spark, f"{root}/index", REPORT_INDEX), entry, keep), "index")
-    store.write_version(index, f"{root}/index")
-    dropped = [store.prune(spark, f"{root}/{name}", index) for name in DAY_TABLES]
+    index = materialize(store.upsert_index(tables_of.read("index", REPORT_INDEX), entry, keep), "index")
+    put("index", index.coalesce(1))
     fresh = report.fresh.withColumn("saved_at", now)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fresh.schema.fields)
-    cache = store.evict_expired(store.read_version(spark, f"{root}/cache", schema), now)
-    store.write_version(materialize(store.upsert_cache(cache, fresh), "cache"), f"{root}/cache")
-    return sorted({d for days in dropped for d in days})
+    put("cache", store.upsert_cache(store.evict_expired(tables_of.read("cache", schema), now), fresh))
+    gone = change.keep_days({r["date"] for r in index.select("date").collect()})  # at most ``keep`` days
+    change.commit()
+    return gone

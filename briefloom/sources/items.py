@@ -18,11 +18,6 @@ def read_raw_items(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return with_defaults(spark.read.schema(RAW_ITEM).format(fmt).load(path))
 
 
-def union_items(*parts: DataFrame) -> DataFrame:
-    """All sources in one table; columns a source lacks become null, then defaults."""
-    return _whole_items(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
-
-
 def _whole_items(merged: DataFrame, *extra: str) -> DataFrame:
     wanted = StructType.fromDDL(RAW_ITEM)
     have = set(merged.columns)

@@ -11,10 +11,11 @@ from briefloom.functions.dates import date_key
 from briefloom.operators import aggregates as agg
 from briefloom.functions.hashing import content_hash
 from briefloom.operators.counters import StageCounts
+from briefloom.operators.manifest import DayStore
 from briefloom.operators import ranges, ranking, store
 from briefloom.operators.dedup import keep_best, sort_code
 from briefloom.plans.briefing import briefing
-from briefloom.plans.daily import collect_funnel, run_daily, save_day
+from briefloom.plans.daily import DAY_TABLES, collect_funnel, run_daily, save_day
 from briefloom.plans.range_report import range_report
 from briefloom.schemas import REPORT_INDEX
 from briefloom.session import materialize, new_path, partition_values, with_scalars
@@ -314,16 +315,58 @@ def daily_store(spark: SparkSession, sf: str) -> DataFrame:
         fetches = names.select("source_id", (F.col("source_id") != "src3").alias("ok"), F.lit("refused").alias("error"), F.lit(1).alias("ord"))
         health = agg.source_health(fetches, report.items, names).withColumn("configured", F.lit(True))
         save_day(report, root, day, now(), health)
-    index = store.read_version(spark, f"{root}/index", REPORT_INDEX)
-    items = store.read_reports(spark, f"{root}/items").groupBy("date").agg(F.count(F.lit(1)).alias("stored"), F.sum("ord").alias("ord_sum"))
-    health = store.read_reports(spark, f"{root}/health").groupBy("date").agg(F.sum("item_count").alias("source_items"))
-    newest = store.read_latest(spark, f"{root}/items", index).select("date").distinct().withColumn("newest", F.lit(True))
+    days = DayStore(spark, root)
+    index, saved = days.read("index", REPORT_INDEX), days.read("items")
+    items = saved.groupBy("date").agg(F.count(F.lit(1)).alias("stored"), F.sum("ord").alias("ord_sum"))
+    health = days.read("health").groupBy("date").agg(F.sum("item_count").alias("source_items"))
+    newest = store.latest_of(saved, index).select("date").distinct().withColumn("newest", F.lit(True))
     rows = index.join(items, "date", "left").join(health, "date", "left").join(newest, "date", "left")
     return rows.select(
         F.col("date").cast("string").alias("date"), "status", "total", "positive", "negative", F.round("net_impact_score", 2).alias("net_impact_score"), "stored", "ord_sum", "source_items", "newest"
     )
 
 
+class _Killed(Exception):
+    pass
+
+
+def daily_switch(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored day saved anew, and the job killed after each table: every time the former day is read whole. At last it ends."""
+    root, day = new_path(spark, "store"), date(2024, 1, 30)
+    docs = document_items(spark, sf)
+    names = docs.select("source_id", "source_name").distinct()
+
+    def killing(after: str):
+        def staged(name: str) -> None:
+            if name == after:
+                raise _Killed
+
+        return staged
+
+    def save(report, after: str) -> None:
+        fetches = names.select("source_id", F.lit(True).alias("ok"), F.lit("").alias("error"), F.lit(1).alias("ord"))
+        health = agg.source_health(fetches, report.items, names).withColumn("configured", F.lit(True))
+        try:
+            save_day(report, root, day, now(), health, staged=killing(after))
+        except _Killed:
+            pass
+
+    former, later = (run_daily(docs.where(F.col("language") == lang), now(), PROBE_LEXICON, PROBE_RULES) for lang in ("fr", "de"))
+    save(former, "")
+    rows = None
+    for after in (*DAY_TABLES, "index", "cache", ""):
+        save(later, after)
+        days = DayStore(spark, root)
+        seen = days.read("items").groupBy("date").agg(F.count(F.lit(1)).alias("stored"), F.sum("ord").alias("ord_sum"))
+        seen = seen.join(days.read("index", REPORT_INDEX).select("date", "total"), "date", "full")
+        seen = seen.join(days.read("kpi").select("date", "published"), "date", "full").join(
+            days.read("health").groupBy("date").agg(F.sum("item_count").alias("source_items")), "date", "full"
+        )
+        one = seen.select(F.lit(after or "the end").alias("killed_after"), F.col("date").cast("string").alias("date"), "stored", "ord_sum", "total", "published", "source_items")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 # ---- streams ----
 
 
@@ -420,7 +463,7 @@ QUERIES = {
     for f in (
         kpi_rollup, daily_kpi, net_score_daily, model_stats, tally_topk, facet_values, funnel_counts, source_health, run_status,
         error_log, trend, index_upsert, retention, report_scan, cache_maintenance, new_rows, range_presets, range_merge,
-        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, daily_store, collect_only, event_windows, stream_dedup, stream_cache, stream_expiry, stream_cached,
+        range_merge_linked, range_report_kpi, range_report_day, daily_briefing, daily_pipeline, daily_store, daily_switch, collect_only, event_windows, stream_dedup, stream_cache, stream_expiry, stream_cached,
     )
 }
 
@@ -587,6 +630,13 @@ ORACLES = {
           count(*) as source_items, {newest} as newest from p)"""
         for day, where, newest in (("2024-01-30", "lang = 'fr'", "cast(null as boolean)"), ("2024-01-31", "lang <> 'fr'", "true"))
     ),
+    "daily_switch": " union all ".join(
+        f"""(with recursive {sql_classified(items=sql_deduplicated(SQL_RAW_DOCUMENTS.replace('from documents', f"from (select * from documents where lang = '{lang}')")))},
+        p as (select * from classified where prefilter_score >= 8 and relevance_score >= 40)
+        select k as killed_after, '2024-01-30' as date, count(ord) as stored, cast(sum(ord) as bigint) as ord_sum, count(ord) as total, count(ord) as published, cast(count(ord) as bigint) as source_items
+        from (select unnest({ends}) as k) left join p on true group by k having count(ord) > 0)"""
+        for lang, ends in (("fr", [*DAY_TABLES, "index", "cache"]), ("de", ["the end"]))
+    ),
     "event_windows": """select cast(cast(ts + interval 7 hour as date) as varchar) as day, count(*) as events, count(*) filter (event_type = 'error') as errors, count(*) filter (value >= 10) as high from events group by 1""",
     # Four batches. A key is forgotten after a batch whose watermark, the last time of the batches before it less the
     # lookback, has reached its time plus the lookback: with these spans only after the third batch.

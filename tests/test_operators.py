@@ -357,3 +357,55 @@ def test_stages_are_counted_by_the_write(spark):
     empty = StageCounts()
     materialize(empty.at(spark.createDataFrame([], "a int"), none=None), "empty")
     assert empty.values() == {"none": 0}
+
+
+def test_tables_are_shown_at_once(spark, tmp_path):
+    """Staged folders stay hidden until the commit; repeated, killed and expired days leave no folders behind."""
+    from briefloom.operators.manifest import DayStore
+
+    store_of = DayStore(spark, str(tmp_path / "store"))
+    first, second = date(2026, 7, 20), date(2026, 7, 21)
+
+    def rows(*values):
+        return spark.createDataFrame([(v,) for v in values], "n int")
+
+    def held(name):
+        return sorted((str(r["date"]), r["n"]) for r in store_of.read(name).collect())
+
+    assert store_of.read("a") is None and store_of.read("a", "n int").collect() == [] and store_of.days("a") == []
+    change = store_of.begin()
+    change.put("a", rows(1, 2), first)
+    change.put("b", rows(3), first)
+    change.put("whole", rows(4))
+    assert store_of.live() == []
+    change.commit()
+    reader = store_of.read("a")  # has started: keeps what it sees
+    killed = store_of.begin()
+    killed.put("a", rows(9), first)
+    change = store_of.begin()
+    change.put("a", rows(5), first)
+    change.put("a", rows(6), second)
+    with pytest.raises(ValueError):
+        change.put("b", rows(7), first, (quality.in_range("n", 0, 5),))
+    assert held("a") == [("2026-07-20", 1), ("2026-07-20", 2)]
+    change.commit()
+    assert held("a") == [("2026-07-20", 5), ("2026-07-21", 6)] and held("b") == [("2026-07-20", 3)]
+    assert sorted(r["n"] for r in reader.collect()) == [1, 2]
+    assert [r["n"] for r in store_of.read("whole").collect()] == [4]
+    change = store_of.begin()
+    assert change.keep_days({second}) == [first]
+    change.commit()
+    store_of.begin().commit()  # now nothing names the first day any more
+    assert held("a") == [("2026-07-21", 6)] and store_of.days("a") == [second]
+    assert len(list((tmp_path / "store" / "a").glob("date=*/run=*"))) == 1
+
+
+def test_latest_report_is_pruned_by_a_subquery(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    store.write_day(spark.createDataFrame([(date(2026, 7, d), d) for d in (19, 20, 21)], "date date, n int"), path)
+    index = spark.createDataFrame([(date(2026, 7, 19),), (date(2026, 7, 20),)], "date date")
+    latest = store.read_latest(spark, path, index)
+    assert [r["n"] for r in latest.collect()] == [20]
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "subquery" in plan.lower()
+    assert store.read_latest(spark, path, index.limit(0)).collect() == []
