@@ -48,16 +48,18 @@ def _listed(spans: str) -> Column:
     return F.array_join(one, ",")
 
 
-def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def _span_report(found: DataFrame, kinds: tuple[str, ...], *more: Column) -> DataFrame:
     counts = [F.size(F.expr(f"filter(spans, x -> x.base and x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in kinds]
     digest = F.sha2(_listed("filter(spans, x -> x.base)"), 256)
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), _listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), _listed("spans").alias("spans"), *more)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefloom.llm.pii import BASE_KINDS, find_pii
 
-    return _span_report(find_pii(_table(spark, sf_dir, "documents")), BASE_KINDS)
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    scores = F.array_join(F.transform("spans", lambda x: F.format_string("%.2f", x["score"])), ",")
+    return _span_report(found, BASE_KINDS, scores.alias("scores"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def count_tokens(
             for part in parts(text) if may_split and len(text) > PART_CHARS else [text]:
                 request.append(part)
                 owners.append(i)
-                held += len(part)
+                held += len(part.encode())
                 if held >= request_bytes:
                     send()
                     held = 0

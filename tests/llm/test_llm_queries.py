@@ -1,5 +1,7 @@
 """The registered queries on whole small tables: against SQL where there is one, else against brute force."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -101,3 +103,51 @@ def test_bad_documents_go_with_enough_labels(spark, sf):
     good, bad = ({i for i, q in labels if q == wanted} for wanted in (1, 0))
     print("kept", len(now & good) / len(good), len(now & bad) / len(bad), len(good), len(bad))
     assert len(now & good) / len(good) > 0.97 and len(now & bad) / len(bad) < 0.4
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
+def digits(text):
+    return re.sub("[^0-9]", "", text)
+
+
+#: Pattern, group whose length or text counts, and test, in the order of the contract.
+PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m[0])) <= 15),
+}
+SECRETS = {
+    "assign": (r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+}
+
+
+@pytest.mark.parametrize("name, kinds", [("op4_pii", PII), ("op5_secret_scan", SECRETS)])
+def test_base_spans_of_documents(spark, sf, name, kinds):
+    """Counts, digest and spans of the registered query against the contract's own patterns."""
+    import hashlib
+
+    larger = sf.replace("sf0.001", "sf0.01")  # of which the small table holds too few kinds
+    got = {r.doc_id: r for r in llm.QUERIES[name](spark, larger).collect()}
+    total = dict.fromkeys(kinds, 0)
+    for i, text in duckdb.sql(f"select doc_id, text from '{larger}/documents.parquet'").fetchall():
+        found = []
+        for place, (kind, (pattern, holds)) in enumerate(kinds.items()):
+            own = [m.span() for m in re.finditer(pattern, text or "") if holds(m)]
+            assert got[i][f"n_{kind}"] == len(own)
+            total[kind] += len(own)
+            found += [(a, place, f"{kind}:{a}:{b}") for a, b in own]
+        base = [x[2] for x in sorted(found)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        listed = got[i].spans.split(",") if got[i].spans else []
+        assert [x for x in listed if x in base] == base and len(set(listed)) == len(listed)
+        if name == "op4_pii":
+            assert len(got[i].scores.split(",") if got[i].scores else []) == len(listed)
+    print(total)
+    assert sum(n > 0 for n in total.values()) >= 2
