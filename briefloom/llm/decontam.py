@@ -26,7 +26,8 @@ from briefloom.llm.common import ROWS_AT_ONCE, byte_cuts, id_type, ids_and_texts
 from briefloom.session import materialize
 
 WINDOW = 10
-BLOCK_BYTES = 1 << 25
+#: Bytes of items in a block: at most so many windows, some 40 bytes each, and one entry per different word.
+BLOCK_BYTES = 1 << 23
 _SAMPLE = 8
 _PAIR_BITS = 22
 
@@ -92,15 +93,19 @@ class Windows:
         words, keys = _words(data, starts, ends), word_keys(data, starts, ends)
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted(set(words)))}  # 0: anything else
         ids = np.array([self.vocabulary[w] for w in words], np.int32)
-        found: dict[tuple[int, ...], set[int]] = {}
         self.names = [name for name, _ in items]
-        for i in range(len(items)):
-            own = tuple(ids[firsts[i] : firsts[i + 1]].tolist())
-            for k in range(max(1, len(own) - window + 1)) if own else ():
-                found.setdefault(own[k : k + window], set()).add(i)
-        self.windows = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        self.shortest = min(map(len, self.windows), default=0)
+        # By length: the different windows as rows of word numbers, and which items hold each (places in the last array).
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sizes = np.diff(firsts)
+        lengths = np.minimum(sizes, window)
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == length)
+            per = sizes[own] - length + 1
+            begin = np.repeat(firsts[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            rows, which = np.unique(np.lib.stride_tricks.sliding_window_view(ids, length)[begin], axis=0, return_inverse=True)
+            held = np.unique(which.ravel() * len(items) + np.repeat(own, per))
+            self.groups.append((rows, np.searchsorted(held // len(items), np.arange(len(rows) + 1)), held % len(items)))
+        self.shortest = min((rows.shape[1] for rows, _, _ in self.groups), default=0)
         self.pairs = np.zeros(1 << _PAIR_BITS, bool)
         inner = np.ones(max(0, len(ids) - 1), bool)
         inner[firsts[(firsts > 0) & (firsts < len(ids))] - 1] = False
@@ -216,7 +221,7 @@ def search_shard(column: pa.Array, known: Windows) -> tuple[np.ndarray, list[lis
     places: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
     items: list[set[int]] = [set() for _ in range(n_texts)]
     n = len(starts)
-    if not n or not known.windows:
+    if not n or not known.groups:
         return counts, words, places, items
     if known.shortest > 1:
         possible = known.pairs[_pair_slots(word_keys(data, starts, ends))] if n > 1 else np.zeros(0, bool)
@@ -234,13 +239,10 @@ def search_shard(column: pa.Array, known: Windows) -> tuple[np.ndarray, list[lis
     present = np.zeros(len(known.vocabulary) + 1, bool)
     present[ids] = True
     cover = np.zeros(n + 1, np.int64)
-    by_size: dict[int, list[int]] = {}
-    for k, w in enumerate(known.windows):
-        by_size.setdefault(len(w), []).append(k)
-    for size, group in by_size.items():
-        rows, numbers = np.array([known.windows[k] for k in group], np.int32), np.array(group)
-        may = present[rows].all(axis=1)
-        rows, numbers = rows[may], numbers[may]
+    for every, first_item, holders in known.groups:
+        size = every.shape[1]
+        numbers = np.flatnonzero(present[every].all(axis=1))
+        rows = every[numbers]
         low, high = index.search(rows)
         found = high - low
         if not found.sum():
@@ -251,7 +253,7 @@ def search_shard(column: pa.Array, known: Windows) -> tuple[np.ndarray, list[lis
         np.add.at(cover, first + size, -1)
         doc = np.searchsorted(firsts, first, side="right") - 1
         for d, k in np.unique(np.stack([doc, np.repeat(numbers, found)]), axis=1).T.tolist():
-            items[d].update(known.items[k])
+            items[d].update(holders[first_item[k] : first_item[k + 1]].tolist())
     hit = np.cumsum(cover[:n]) > 0
     edge = hit.copy()
     edge[firsts[(firsts > 0) & (firsts < n)]] = False  # spans end with their text
@@ -348,7 +350,9 @@ def find_contamination(
     for block in _blocks(rows, block_bytes):
         if passes:
             found = materialize(found, "contamination")
-        found = found.mapInArrow(searching(*_ship(docs, Windows(block, window))), schema)
+            shipped.unpersist()  # its pass is over
+        shipped, number = _ship(docs, Windows(block, window))
+        found = found.mapInArrow(searching(shipped, number), schema)
         passes += 1
     if not passes:
         found = found.mapInArrow(searching(*_ship(docs, Windows([], window))), schema)

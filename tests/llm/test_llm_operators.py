@@ -373,6 +373,26 @@ def test_quality_separates_held_out_documents(spark):
     assert score_quality(docs.limit(0), labels).collect() == []
 
 
+def test_windows_of_a_large_block_stay_in_arrays():
+    """Two megabytes of items: every window is found by its row, and Python holds an entry per word, not per window."""
+    import pickle
+
+    from briefloom.llm.decontam import Windows
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3_000)}" for _ in range(rng.choice([1, 4, 10, 60]))) for _ in range(20_000)]
+    texts += texts[:50]
+    known = Windows([(str(i), t) for i, t in enumerate(texts)])
+    want = {}
+    for i, t in enumerate(texts):
+        own = tuple(known.vocabulary[w.encode()] for w in t.split())
+        for k in range(max(1, len(own) - 9)):
+            want.setdefault(own[k : k + 10], set()).add(i)
+    got = {tuple(r): set(h[f[j] : f[j + 1]].tolist()) for rows, f, h in known.groups for j, r in enumerate(rows.tolist())}
+    assert got == want and sum(len(rows) for rows, _, _ in known.groups) > 200_000
+    assert len(pickle.dumps(known)) < 60 * len(want) + (1 << 23)
+
+
 def test_quality_without_anything_to_learn_from(spark):
     from briefloom.llm.quality import held_out
 

@@ -1,5 +1,6 @@
 """The registered queries on whole small tables: against SQL where there is one, else against brute force."""
 
+import hashlib
 import re
 
 import duckdb
@@ -40,8 +41,6 @@ def test_a_row_for_every_document(spark, sf, sql, name):
 
 
 def test_repeats_of_documents(spark, sf, sql):
-    import hashlib
-
     from test_llm_operators import covered
 
     docs = sql.sql("select doc_id, text from documents").fetchall()
@@ -57,6 +56,8 @@ def test_contamination_of_documents(spark, sf, sql):
     want = {i: h for (i, _), h in zip(docs, hits([t for _, t in docs], sql.sql("select item_id, text from benchmark").fetchall()))}
     got = {r.doc_id: r for r in llm.QUERIES["op7_benchmark_decontamination"](spark, sf).collect()}
     assert {i: (r.n_words, r.n_hit, r.n_items, r.contaminated) for i, r in got.items()} == {i: (h[0], h[1], len(h[2]), h[3]) for i, h in want.items()}
+    digest = {i: hashlib.sha256(",".join(sorted(map(str, h[2]))).encode()).hexdigest() for i, h in want.items()}
+    assert {i: r.items_sha256 for i, r in got.items()} == digest and len(set(digest.values())) > 2
 
 
 def test_pipeline_stage_by_stage(spark, sf, sql):
@@ -131,8 +132,6 @@ SECRETS = {
 @pytest.mark.parametrize("name, kinds", [("op4_pii", PII), ("op5_secret_scan", SECRETS)])
 def test_base_spans_of_documents(spark, sf, name, kinds):
     """Counts, digest and spans of the registered query against the contract's own patterns."""
-    import hashlib
-
     larger = sf.replace("sf0.001", "sf0.01")  # of which the small table holds too few kinds
     got = {r.doc_id: r for r in llm.QUERIES[name](spark, larger).collect()}
     total = dict.fromkeys(kinds, 0)
