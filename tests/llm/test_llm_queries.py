@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -49,6 +50,27 @@ def test_repeats_of_documents(spark, sf, sql):
     assert got == want and sum(x[1] for x in want.values()) > 0
 
 
+def test_repeats_of_a_larger_table(spark, sf):
+    """Every column of the query on a thousand whole documents, by hashes of all strings of 400 bytes."""
+    larger = sf.replace("sf0.001", "sf0.01")
+    docs = duckdb.sql(f"select doc_id, text from '{larger}/documents.parquet'").fetchall()
+    raw = {i: (t or "").encode() for i, t in docs}
+    starts = {i: [hash(r[k : k + 400]) for k in range(len(r) - 399)] for i, r in raw.items()}
+    often = Counter(h for hashes in starts.values() for h in hashes)
+    want = {}
+    for i, r in raw.items():
+        kept, spans, done = [], 0, 0
+        for k, h in enumerate(starts[i]):
+            if often[h] > 1:
+                if k > done or not spans:
+                    kept.append(r[done:k])
+                    spans += 1
+                done = k + 400
+        want[i] = (len(r), len(r) - len(b"".join(kept)) - len(r[done:]), spans, hashlib.sha256(b"".join(kept) + r[done:]).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in llm.QUERIES["op6_suffix_array_dedup"](spark, larger).collect()}
+    assert got == want and sum(x[1] > 0 for x in want.values()) > 50
+
+
 def test_contamination_of_documents(spark, sf, sql):
     from test_llm_operators import hits
 
