@@ -137,6 +137,16 @@ def near_dup_groups(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("ord", "root", "group_size", "coverage_count", "duplicate_group_id", "source_name", "source_tier")
 
 
+def dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of a deduplication in one row: rows in and out, copies removed, better copies promoted, groups with coverage."""
+    return dedup.deduplicate(dedup_items(spark, sf)).stats
+
+
+def coverage_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Other outlets of every story: one row per address, the first one, none of the outlet of the best copy."""
+    return dedup.deduplicate(dedup_items(spark, sf)).coverage.select("group_ord", "source_name", "url", "tier", "ord")
+
+
 def duplicate_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that one of the three accept rules links, with what each rule saw. A title that is near is enough below
     the strong threshold, a snippet counts where the titles do not."""
@@ -328,7 +338,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexicon_score, normalized_items, country_mentions, rule_classify, term_matches, query_expansion, exact_dedup_best, exact_dedup_groups, first_wins,
-        token_jaccard_pairs, trigram_jaccard_pairs, near_dup_groups, duplicate_matches, recency_filter, facet_filter, publish_rank_topk,
+        token_jaccard_pairs, trigram_jaccard_pairs, near_dup_groups, dedup_stats, coverage_rows, duplicate_matches, recency_filter, facet_filter, publish_rank_topk,
         top_signals, compact_items, action_items, schema_violations, secret_scan, cost_budget, cached_enrichment,
     )
 }
@@ -596,6 +606,13 @@ ORACLES = {
         select ord, root from closed""",
     "near_dup_groups": f"""with recursive {_KEYED}, {sql_groups('keyed')}
         select g.ord, g.root, g.group_size, g.coverage_count, g.duplicate_group_id, k.source_name, k.source_tier from groups g join keyed k using (ord)""",
+    "dedup_stats": f"""with recursive {_KEYED}, {sql_groups('keyed')}
+        select cast(sum(group_size) as bigint) as items_in, count(*) as items_out, cast(sum(group_size - 1) as bigint) as duplicates_removed,
+          count(*) filter (ord <> root) as promotions, count(*) filter (coverage_count > 0) as groups from groups""",
+    "coverage_rows": f"""with recursive {_KEYED}, {sql_groups('keyed')}
+        select b.ord as group_ord, r.source_name, r.canonical_url as url, r.source_tier as tier, r.ord
+        from best b join ranked r on r.root = b.root and r.ord <> b.ord and r.source_name <> b.source_name
+        qualify row_number() over (partition by b.ord, r.canonical_url order by r.ord) = 1""",
     "duplicate_matches": f"""with {_KEYED}, {sql_matches('keyed')} select a, b, case when by_title then round(ts, 6) end as title_similarity, by_title, case when not by_title then round(ss, 6) end as snippet_similarity, near from matches""",
     "first_wins": "select user_id, event_type, min(event_id) as event_id from events group by all",
     "token_jaccard_pairs": _pairs_sql(f"sh as materialized (select doc_id, unnest({sql_token_set('text')}) as s from documents)"),
