@@ -116,7 +116,12 @@ def enrich(
     breaks the schema, the rules decide and an error row is kept. ``budget`` takes the candidates (ord,
     prefilter_score, content_hash, prompt) and returns those that may be asked (see ``within_budget``).
     """
-    misses = items if cache is None else items.join(cache.select("content_hash"), "content_hash", "left_anti")
+    # Met with the cache once, and written: hits, misses and the rows for the model are filters of one table.
+    marked = items.withColumn("__stored", F.lit(None).cast("boolean"))
+    if cache is not None:
+        stored = cache.select("content_hash", F.struct(*ANALYSIS_COLUMNS, *PROVENANCE).alias("__stored"))
+        marked = materialize(items.join(stored, "content_hash", "left").select(*[items[c] for c in items.columns], "__stored"), "cached")
+    misses = marked.where("__stored is null").drop("__stored")
     parts = []
     rest = misses
     schema = classify(misses, rules).select("ord", *ANALYSIS_COLUMNS).schema
@@ -124,14 +129,15 @@ def enrich(
     errors = spark.createDataFrame([], "ord bigint, scope string, message string")
     answers = spark.createDataFrame([], schema)
     if model is not None:
-        answers, errors = _model_answers(items, misses, schema, cache, model, options, budget)
+        answers, errors = _model_answers(marked, misses, schema, model, options, budget)
         rest = misses.join(answers.select("ord"), "ord", "left_anti")
         bare = misses.drop(*ANALYSIS_COLUMNS, *PROVENANCE)
         parts.append(_from(bare.join(answers, "ord"), "ai", options.model_name))
     # Only rows without a cached or a model result are classified by the rules.
     parts.insert(0, _from(classify(rest, rules), "fallback", None))
     if cache is not None:
-        parts.append(overlay_cache(items, cache))
+        hits = marked.where("__stored is not null").drop(*ANALYSIS_COLUMNS, *PROVENANCE)
+        parts.append(hits.select("*", "__stored.*").drop("__stored"))
     final = reduce(lambda x, y: x.unionByName(y.select(*x.columns)), parts)
     final = final.withColumns({"source_url": F.col("canonical_url"), "title_original": F.col("title"), "original_snippet": F.col("snippet")})
     fresh = _from(misses.select("ord", "content_hash").join(answers, "ord"), "ai", options.model_name)
@@ -158,10 +164,9 @@ def _guarded(model: BatchModel, columns: list[str]) -> BatchModel:
 
 
 def _model_answers(
-    items: DataFrame,
+    marked: DataFrame,
     misses: DataFrame,
     schema: StructType,
-    cache: DataFrame | None,
     model: BatchModel,
     options: EnrichOptions,
     budget: Callable[[DataFrame], DataFrame] | None,
@@ -169,8 +174,7 @@ def _model_answers(
     """Valid model answers for the best-scored items (ord and the analysis columns), and error rows."""
     asked = misses
     if options.max_model_items is not None:
-        asked = items.orderBy(F.desc("prefilter_score"), "ord").limit(options.max_model_items)
-        asked = asked if cache is None else asked.join(cache.select("content_hash"), "content_hash", "left_anti")
+        asked = marked.orderBy(F.desc("prefilter_score"), "ord").limit(options.max_model_items).where("__stored is null")
     asked = asked.select("ord", "prefilter_score", "content_hash", prompt_text(options).alias("prompt"))
     if budget is not None:
         asked = budget(asked)

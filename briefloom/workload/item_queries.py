@@ -307,8 +307,12 @@ def _echo_model():
     return answer
 
 
-def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """Items enriched from a cache, a stand-in model while a budget lasts, and the rules; error rows beside them."""
+#: Ranks that may go to the model.
+MODEL_ITEMS = 100
+
+
+def _cached_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Items to be enriched, and a cache that holds those of one language."""
     from briefloom.functions.hashing import content_hash
 
     base = analysed_documents(spark, sf).withColumns(
@@ -321,6 +325,17 @@ def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     cache = dedup.keep_best(base.where(F.col("language") == "de"), "content_hash", dedup.sort_code((F.col("ord"), 19))).withColumns(
         {"analyzed_by": F.lit("ai"), "analysis_model": F.lit("cached"), "classification": F.lit("neutral")}
     )
+    return base, cache
+
+
+def _enriched(done: enrich.Enrichment) -> DataFrame:
+    errors = done.errors.select("ord", F.col("scope").alias("error"))
+    return done.items.join(errors, "ord", "left").select(F.col("ord").alias("doc_id"), "analyzed_by", "analysis_model", "classification", "impact_score", "error")
+
+
+def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Items enriched from a cache, a stand-in model while a budget lasts, and the rules; error rows beside them."""
+    base, cache = _cached_items(spark, sf)
 
     def budget(asked: DataFrame) -> DataFrame:
         """Every call costs one; each source may spend forty, best scores first."""
@@ -329,9 +344,14 @@ def cached_enrichment(spark: SparkSession, sf: str) -> DataFrame:
         return enrich.within_budget(priced, 40.0, ["source_name"], [F.col("ord")]).where("allowed").select(*asked.columns)
 
     options = enrich.EnrichOptions(model_name="stub")
-    done = enrich.enrich(base.drop(*ANALYSIS_COLUMNS), PROBE_RULES, cache, _echo_model(), options, budget)
-    errors = done.errors.select("ord", F.col("scope").alias("error"))
-    return done.items.join(errors, "ord", "left").select(F.col("ord").alias("doc_id"), "analyzed_by", "analysis_model", "classification", "impact_score", "error")
+    return _enriched(enrich.enrich(base.drop(*ANALYSIS_COLUMNS), PROBE_RULES, cache, _echo_model(), options, budget))
+
+
+def limited_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """The model sees the hundred best-scored items less those in the cache: a hit uses up its rank."""
+    base, cache = _cached_items(spark, sf)
+    options = enrich.EnrichOptions(model_name="stub", max_model_items=MODEL_ITEMS)
+    return _enriched(enrich.enrich(base.drop(*ANALYSIS_COLUMNS), PROBE_RULES, cache, _echo_model(), options))
 
 
 QUERIES = {
@@ -339,7 +359,7 @@ QUERIES = {
     for f in (
         lexicon_score, normalized_items, country_mentions, rule_classify, term_matches, query_expansion, exact_dedup_best, exact_dedup_groups, first_wins,
         token_jaccard_pairs, trigram_jaccard_pairs, near_dup_groups, dedup_stats, coverage_rows, duplicate_matches, recency_filter, facet_filter, publish_rank_topk,
-        top_signals, compact_items, action_items, schema_violations, secret_scan, cost_budget, cached_enrichment,
+        top_signals, compact_items, action_items, schema_violations, secret_scan, cost_budget, cached_enrichment, limited_enrichment,
     )
 }
 
@@ -671,4 +691,12 @@ ORACLES = {
         select ord as doc_id, case when hit or asked then 'ai' else 'fallback' end as analyzed_by, case when seen and bad then 'model answer' end as error,
           case when hit then 'cached' when asked then 'stub' end as analysis_model, case when hit or asked then 'neutral' else classification end as classification,
           cast(case when hit then ci when asked then 1 else impact_score end as int) as impact_score from k""",
+    "limited_enrichment": f"""with {sql_classified()}, h as (select *, {sql_content_hash('title', 'snippet', None)} as ch from classified),
+        c as (select ch, arg_min(impact_score, ord) as ci from h where language = 'de' group by ch),
+        t as (select ord from (select * from h order by prefilter_score desc, ord limit {MODEL_ITEMS}) where ch not in (select ch from c)),
+        j as (select h.*, ci, c.ch is not null as hit, h.ord in (select ord from t) as seen, contains(lower(title || ' ' || snippet), 'license') as bad from h left join c using (ch)),
+        k as (select *, seen and not bad as asked from j)
+        select ord as doc_id, case when hit or asked then 'ai' else 'fallback' end as analyzed_by, case when seen and bad then 'model answer' end as error,
+          case when hit then 'cached' when asked then 'stub' end as analysis_model, case when hit or asked then 'neutral' else classification end as classification,
+          cast(case when hit then ci when asked then 1 else impact_score end as int) as impact_score from k""",
 }
