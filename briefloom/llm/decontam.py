@@ -362,7 +362,11 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any hit word, with all their columns. Each block of the benchmark is one more filter."""
+    """The documents without any hit word, with all their columns. Each block of the benchmark is one more filter.
+
+    Null and empty texts have no words and stay; repeated rows and rows without identifier are judged by their text alone;
+    an empty benchmark removes nothing, an empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
 
     def clean(shipped, number: int):

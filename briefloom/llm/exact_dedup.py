@@ -82,7 +82,11 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", retain: str = "largest") -> DataFrame:
-    """The rows that stay, with all their columns. Of rows repeated with equal identifier and text any one stays."""
+    """The rows that stay, with all their columns. Of rows repeated with equal identifier and text any one stays.
+
+    Null texts equal empty ones. A null identifier stays only where no row of the group has one. An empty table gives an
+    empty one.
+    """
     groups = exact_groups(docs, id_col, text_col, retain)
     kept = groups.where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__digest"))
     digest = F.sha2(text_or_empty(docs[f"`{text_col}`"].cast("string")), 256)

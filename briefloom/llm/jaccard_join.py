@@ -305,7 +305,9 @@ def jaccard_classes(
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
     """One document of every class of near-duplicates, with all its columns: that of the smallest identifier.
 
-    Documents are told apart by identifier and text. Rows that repeat both are one document and stay together.
+    Documents are told apart by identifier and text. Rows that repeat both are one document and stay together. Null, empty
+    and wordless texts are classes of their own and stay; a null identifier stays only where no document of the class has
+    one. An empty table gives an empty one.
     """
     text = F.col(f"`{text_col}`").cast("string")
     row = F.struct(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text"))

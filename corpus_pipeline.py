@@ -1,7 +1,11 @@
 """A training corpus from raw documents: quality, exact copies, near copies, benchmark passages, tokens.
 
 Every stage takes the documents that its predecessor kept and returns documents with all their columns; the last one
-returns tokens. ``run`` writes and rereads the table after each stage, so that a lost executor repeats one stage.
+returns tokens. ``run`` writes and rereads the table after each stage, so that a lost executor repeats one stage, and
+deletes the table of a stage once the next one is written.
+
+All stages keep extra columns, whatever their names, and give an empty table for an empty one. Null texts count as empty
+ones; rows with a null identifier take part, and rank behind all others where one document of several stays.
 """
 
 from __future__ import annotations
@@ -15,26 +19,26 @@ from briefloom.llm.exact_dedup import drop_exact_copies
 from briefloom.llm.jaccard_join import keep_one_per_class
 from briefloom.llm.quality import keep_good
 from briefloom.llm.queries import vocabulary
-from briefloom.session import materialize
+from briefloom.session import delete_folder, new_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on these documents and the labels, does not reject."""
+    """Documents that the classifier, fitted on these documents and the labels, does not reject. Equal texts go together."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest identifier."""
+    """Of equal texts the document with the largest identifier. Of rows repeated as a whole, one."""
     return drop_exact_copies(docs, retain="largest")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest identifier."""
+    """Of each class of near-duplicates the document with the smallest identifier. Texts without words stay."""
     return keep_one_per_class(docs, threshold=0.8, n_words=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten words of a benchmark item."""
+    """Documents that hold no ten words of a benchmark item, and no whole shorter item. Texts without words stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -59,7 +63,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, former = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if former is not None:
+            delete_folder(spark, former)
+        former = path
     return docs

@@ -172,3 +172,41 @@ def test_base_spans_of_documents(spark, sf, name, kinds):
             assert len(got[i].scores.split(",") if got[i].scores else []) == len(listed)
     print(total)
     assert sum(n > 0 for n in total.values()) >= 2
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Nulls, empty texts, repeated rows, clashing columns and an empty table through every stage of the pipeline."""
+    long = " ".join(f"word{i % 97} of{i % 13}" for i in range(9_000)) + "."
+    rows = [(1, None), (2, ""), (None, "Only here, once."), (None, None), (3, "A few plain words here."), (3, "A few plain words here."), (4, long), (5, long + " end"), (6, "...")]
+    rows = [(i, t, "en", "s", 0, "x", 1, "y", True) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id string, entry int, digest string, kept boolean"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
+        made = materialize(stage(spark, docs, sf), name)
+        had, now = ([(r.doc_id, r.text or "") for r in t.collect()] if "text" in t.columns else [] for t in (docs, made))
+        if name == "quality_classifier":
+            stayed = {t for _, t in now}
+            assert sorted(now, key=repr) == sorted([x for x in had if x[1] in stayed], key=repr)
+        elif name == "exact_dedup":
+            best = {}
+            for i, t in had:
+                best[t] = max(best.get(t, -1), -1 if i is None else i)
+            assert sorted(now, key=repr) == sorted([(None if i < 0 else i, t) for t, i in best.items()], key=repr)
+        elif name == "ngram_jaccard_join":
+            assert len(now) == len(had) - sum(t == long + " end" for _, t in had if (4, long) in had)
+        elif name == "benchmark_decontamination":
+            assert sorted(now, key=repr) == sorted(had, key=repr)
+        else:
+            assert sorted((r.doc_id for r in made.collect()), key=repr) == sorted((i for i, _ in [(r.doc_id, r.text) for r in docs.collect()]), key=repr)
+            break
+        assert made.columns == docs.columns
+        docs = made
+
+
+def test_the_pipeline_keeps_one_table(spark, sf, tmp_path, monkeypatch):
+    """The tables of earlier stages are gone when it ends."""
+    made_in = []
+    monkeypatch.setattr(corpus_pipeline, "new_path", lambda spark, name: made_in.append(str(tmp_path / name)) or made_in[-1])
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert len(made_in) == len(corpus_pipeline.STAGES) and [p.name for p in tmp_path.iterdir()] == [corpus_pipeline.STAGES[-1][0]]
