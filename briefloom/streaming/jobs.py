@@ -34,13 +34,21 @@ def kpi_stream(items: DataFrame, aggregates: list[Column], ts: str = "event_time
     return items.withWatermark(ts, late).groupBy(day_window(ts, offset_hours)).agg(*aggregates)
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, fanout: int = 8) -> StreamingQuery:
     """Write the updated rows of every batch to a table, tagged with the batch, and stop at the end of input.
 
-    A batch that is retried after a failure replaces its own partition.
+    A batch that is retried after a failure replaces its own partition. With ``keys`` the log is compacted by levels while
+    the stream runs: ``fanout`` batches become one, ``fanout`` of those one again, and so on, so that readers open at most
+    ``fanout`` folders of each level, and a row is rewritten once per level. A batch compacts only what was finished before
+    it started; if it is retried, that is the same work once more.
     """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        size = fanout
+        while keys and batch_id and batch_id % size == 0:
+            compact_updates(batch.sparkSession, path, schema, keys, batch_id - 1, batch_id - size)
+            size *= fanout
         tagged = batch.withColumn("batch_id", F.lit(batch_id))
         tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
@@ -61,19 +69,23 @@ def latest_updates(spark: SparkSession, path: str, schema: str, keys: list[str])
     return last.select(*keys, "v.*")
 
 
-def compact_updates(spark: SparkSession, path: str, schema: str, keys: list[str], batch_id: int) -> None:
-    """Replace the update log up to ``batch_id`` by one row per key, and delete the older batches.
+def compact_updates(spark: SparkSession, path: str, schema: str, keys: list[str], batch_id: int, first: int = 0) -> None:
+    """Replace the batches from ``first`` to ``batch_id`` of the update log by one row per key, and delete the older of them.
 
-    The compacted rows are written as that batch first; rows of later batches still win over them.
+    The compacted rows are written as the last of these batches first; rows of later batches still win over them.
     """
-    log = spark.read.schema(f"{schema}, batch_id int").parquet(path).where(F.col("batch_id") <= batch_id)
+    stored = [int(b) for b in partition_values(spark, path, "batch_id")]
+    merged = [b for b in stored if first <= b <= batch_id]
+    if not merged or merged == [batch_id]:
+        return
+    log = spark.read.schema(f"{schema}, batch_id int").parquet(path).where(F.col("batch_id").between(first, batch_id))
     values = [c for c in log.columns if c not in (*keys, "batch_id")]
     last = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("v")).select(*keys, "v.*")
     compacted = materialize(last, "compacted").withColumn("batch_id", F.lit(batch_id))
     compacted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    for name in partition_values(spark, path, "batch_id"):
-        if int(name) < batch_id:
-            delete_folder(spark, f"{path}/batch_id={name}")
+    for old in merged:
+        if old < batch_id:
+            delete_folder(spark, f"{path}/batch_id={old}")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -18,7 +18,7 @@ from briefloom.plans.briefing import briefing
 from briefloom.plans.daily import DAY_TABLES, collect_funnel, run_daily, save_day
 from briefloom.plans.range_report import range_report
 from briefloom.schemas import REPORT_INDEX
-from briefloom.session import materialize, new_path, partition_values, with_scalars
+from briefloom.session import materialize, new_path, with_scalars
 from briefloom.streaming import jobs
 from briefloom.streaming.cache_state import cache_changes, live_rows, write_changes
 from briefloom.workload.inputs import (
@@ -385,7 +385,7 @@ def _event_stream(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream: counters per Bangkok day, kept up to date batch by batch, the update log compacted."""
+    """Events as a stream: counters per Bangkok day, kept up to date batch by batch, the update log compacted on the way."""
     counters = [
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
@@ -393,10 +393,9 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     ]
     stream = jobs.kpi_stream(_event_stream(spark, sf), counters)
     path, checkpoint = new_path(spark, "kpi"), new_path(spark, "kpi-state")
-    query = jobs.write_updates(stream, path, checkpoint)
-    query.awaitTermination()
     schema, keys = "window struct<start: timestamp, end: timestamp>, events bigint, errors bigint, high bigint", ["window"]
-    jobs.compact_updates(spark, path, schema, keys, max(int(b) for b in partition_values(spark, path, "batch_id")))
+    query = jobs.write_updates(stream, path, checkpoint, keys, fanout=2)
+    query.awaitTermination()
     current = jobs.latest_updates(spark, path, schema, keys)
     return current.select(date_key(F.col("window.start")).cast("string").alias("day"), "events", "errors", "high")
 

@@ -409,3 +409,37 @@ def test_latest_report_is_pruned_by_a_subquery(spark, tmp_path):
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "subquery" in plan.lower()
     assert store.read_latest(spark, path, index.limit(0)).collect() == []
+
+
+def test_update_log_stays_small(spark, tmp_path):
+    """Fifty batches: readers see the last value of every key and few folders, also when the last batch is run again."""
+    from briefloom.session import partition_values
+    from briefloom.streaming import jobs
+
+    path, source = str(tmp_path / "log"), str(tmp_path / "in")
+    batches = [[(k, b) for k in range(b % 7, 40, 7)] for b in range(50)]
+    want = {k: b for rows in batches for k, b in rows}
+    schema = "k int, v int"
+    seen = []
+    save = jobs.write_updates
+
+    class Writer:  # stands in for the stream's writer, one call per batch
+        def __init__(self, frame):
+            self.frame = frame
+
+        def __getattr__(self, name):
+            return lambda *args, **kwargs: setattr(self, "call", args[0]) or self if name == "foreachBatch" else self
+
+    class Frame:
+        def __init__(self, df):
+            self.schema, self.writeStream = df.schema, Writer(self)
+
+    first = spark.createDataFrame(batches[0], schema)
+    frame = Frame(first)
+    save(frame, path, source, ["k"], fanout=4)
+    for b, rows in enumerate(batches):
+        for _ in range(2 if b in (15, 16, 49) else 1):  # these are retried
+            frame.writeStream.call(spark.createDataFrame(rows, schema), b)
+        seen.append(len(partition_values(spark, path, "batch_id")))
+    assert {r.k: r.v for r in jobs.latest_updates(spark, path, schema, ["k"]).collect()} == want
+    assert max(seen) <= 4 * 3 and seen[48] <= 3 + 1
