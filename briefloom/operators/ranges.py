@@ -80,20 +80,23 @@ def merge_heads(items: DataFrame) -> DataFrame:
     """
     digest, url = F.nullif("content_hash", F.lit("")), F.nullif("canonical_url", F.lit(""))
     keyed = items.select("ord", "date", digest.alias("digest"), F.when(digest.isNull() & url.isNull(), F.concat(F.lit("i:"), "id")).otherwise(F.concat(F.lit("u:"), url)).alias("link"))
-    first = keyed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("ord").alias("first"))
-    # The last earlier item with the same link, by day first: no window sees all rows of a link.
-    linked = keyed.where(F.col("link").isNotNull())
-    days = linked.groupBy("link", "date").agg(F.max("ord").alias("last"))
-    before = Window.partitionBy("link").orderBy(F.desc("date"))
-    days = days.select("link", "date", F.lag("last").over(before).alias("earlier"))
-    inside = Window.partitionBy("link", "date").orderBy("ord")
-    previous = linked.withColumn("near", F.lag("ord").over(inside)).join(days, ["link", "date"]).select("ord", F.coalesce("near", "earlier").alias("previous"))
-    parents = keyed.select("ord", "digest").join(first, "digest", "left").join(previous, "ord", "left")
+    # Dealt out by ranges of ``ord``: parents are found inside a range first, then across them, and no window sees more of
+    # a link than one range holds, or more than one row per range.
+    ranged = materialize(keyed.drop("date").repartitionByRange("ord").withColumn("range", F.spark_partition_id()), "ranged")
+    first = ranged.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("ord").alias("first"))
+    linked = ranged.where(F.col("link").isNotNull())
+    spans = linked.groupBy("link", "range").agg(F.max("ord").alias("last"))
+    across = Window.partitionBy("link").orderBy("range")
+    spans = spans.select("link", "range", F.lag("last").over(across).alias("earlier"))
+    inside = Window.partitionBy("link", "range").orderBy("ord")
+    previous = linked.withColumn("near", F.lag("ord").over(inside)).join(spans, ["link", "range"]).select("ord", F.coalesce("near", "earlier").alias("previous"))
+    parents = salted_lookup(ranged.select("ord", "digest"), "digest", first, "ord", how="left").join(previous, "ord", "left")
     parents = parents.select("ord", F.when(F.col("first") < F.col("ord"), F.col("first")).otherwise(F.col("previous")).alias("up"))
     state = materialize(parents.select("ord", F.coalesce("up", "ord").alias("head"), F.col("up").isNotNull().alias("moved")), "heads")
     while not state.where("moved").isEmpty():
         above = state.select(F.col("ord").alias("head"), F.col("head").alias("above"))
-        climbed = state.join(above, "head").select("ord", F.col("above").alias("head"), (F.col("above") != F.col("head")).alias("moved"))
+        # Very many items can have one head: they reach it by (head, salt).
+        climbed = salted_lookup(state.select("ord", "head"), "head", above, "ord").select("ord", F.col("above").alias("head"), (F.col("above") != F.col("head")).alias("moved"))
         state = materialize(climbed, "heads")
     return state.select("ord", F.col("head").alias("first_ord"))
 

@@ -443,3 +443,24 @@ def test_update_log_stays_small(spark, tmp_path):
         seen.append(len(partition_values(spark, path, "batch_id")))
     assert {r.k: r.v for r in jobs.latest_updates(spark, path, schema, ["k"]).collect()} == want
     assert max(seen) <= 4 * 3 and seen[48] <= 3 + 1
+
+
+def test_merging_with_an_address_of_half_of_all_rows(spark):
+    """Heads equal those of a walk through all items, also where one address, and one fingerprint, are everywhere."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(1_500):
+        url = "https://hot.example/" if rng.random() < 0.5 else rng.choice([None, "", *[f"https://e.example/{k}" for k in range(200)]])
+        digest = "hot" if rng.random() < 0.2 else rng.choice([None, "", *[f"h{k}" for k in range(400)]])
+        rows.append((i, str(i % 600), date(2026, 7, 31) - timedelta(days=i // 100), digest, url))
+    heads, by_digest, by_link = {}, {}, {}
+    for i, name, _, digest, url in rows:
+        link = "u:" + url if url else None if digest else "i:" + name
+        up = by_digest.get(digest) if digest and digest in by_digest else by_link.get(link) if link else None
+        heads[i] = i if up is None else heads[up]
+        if digest:
+            by_digest.setdefault(digest, i)
+        if link:
+            by_link[link] = i
+    df = spark.createDataFrame(rows, "ord long, id string, date date, content_hash string, canonical_url string").repartition(5)
+    assert {r["ord"]: r["first_ord"] for r in ranges.merge_heads(df).collect()} == heads
