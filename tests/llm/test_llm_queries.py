@@ -174,6 +174,28 @@ def test_base_spans_of_documents(spark, sf, name, kinds):
     assert sum(n > 0 for n in total.values()) >= 2
 
 
+def test_links_of_a_larger_table(spark, sf):
+    """Recall of the banding, measured: every link of brute force is found, and no other, on a thousand whole documents."""
+    from test_llm_operators import grams
+
+    larger = sf.replace("sf0.001", "sf0.01")
+    sets = {i: grams(t) for i, t in duckdb.sql(f"select doc_id, text from '{larger}/documents.parquet'").fetchall()}
+    holders = {}
+    for i, own in sets.items():
+        for g in own:
+            holders.setdefault(g, []).append(i)
+    shared = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    links = Counter()
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+    got = {r.doc_id: r.n_links for r in llm.QUERIES["op9_ngram_jaccard_join"](spark, larger).collect()}
+    found = sum(min(got[i], links[i]) for i in sets)
+    print("recall", found / sum(links.values()), "of", sum(links.values()))
+    assert all(got[i] <= links[i] for i in sets) and found >= 0.99 * sum(links.values()) > 100
+
+
 def test_stages_on_odd_tables(spark, sf):
     """Nulls, empty texts, repeated rows, clashing columns and an empty table through every stage of the pipeline."""
     long = " ".join(f"word{i % 97} of{i % 13}" for i in range(9_000)) + "."
