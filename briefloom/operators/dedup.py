@@ -5,10 +5,10 @@ follows its earliest one, any other item becomes a leader. The result does not d
 partitioning. Items are compared with the leader's text, also after a better copy was promoted.
 
 How it scales. Only leaders are ever compared with everything else: rows are taken in batches
-of ascending ``ord`` whose candidate pairs fit a budget, the batch settles its own leaders, and
-all later rows are probed against these new leaders only. A large group of copies therefore
-costs one probe per copy, never all pairs, and each round handles a bounded number of
-candidates whatever the skew. Intermediate tables are written to the shared folder.
+of ascending ``ord``, the first one so small that all its pairs fit a budget, the batch settles its
+own leaders, and all later rows are probed against these new leaders only. A large group of copies
+therefore costs one probe per copy, never all pairs: its members have left the table before the
+batches grow. Intermediate tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -20,22 +20,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.operators.pairs import (
-    SimilarityOptions,
-    candidate_items,
-    item_features,
-    item_index,
-    matching_items,
-)
+from briefloom.operators.pairs import SimilarityOptions, item_features, item_index, linked_items
 from briefloom.operators.ranges import merge_groups
 from briefloom.schemas import COVERAGE
 from briefloom.session import materialize, with_scalars
 
 
+#: Most rows of the first batch: most items follow an early leader and are never compared with each other.
+FIRST_BATCH_ROWS = 4_000
+#: Rows of a batch by those of the batch before. Large groups have met their leaders by then.
+BATCH_GROWTH = 4
+
+
 @dataclass(frozen=True)
 class DedupOptions:
     similarity: SimilarityOptions = field(default_factory=SimilarityOptions)
-    #: candidate pairs a batch may produce, per item and at least
+    #: pairs the rows of the first batch may make, per item and at least
     pairs_per_item: int = 1_000
     min_pair_budget: int = 400_000_000
 
@@ -147,52 +147,43 @@ def settle_leaders(edges: DataFrame) -> DataFrame:
     )
 
 
-def _batch_limit(index: DataFrame, budget: int) -> int | None:
-    """Largest ``ord`` of a batch whose candidate pairs fit the budget; None if all rows fit."""
-
-    def pairs(df: DataFrame) -> float:
-        per_shingle = df.groupBy("h").agg(F.count(F.lit(1)).cast("double").alias("g"))
-        return per_shingle.agg(F.sum(F.col("g") * (F.col("g") - 1) / 2)).first()[0] or 0.0
-
-    total = pairs(index)
-    if total <= budget:
+def _batch_limit(items: DataFrame, rows: int) -> int | None:
+    """Largest ``ord`` of a batch of about this many rows; None if all fit."""
+    total, first = items.agg(F.count(F.lit(1)), F.min("ord")).first()
+    if total <= rows:
         return None
-    fraction = (budget / total) ** 0.5
-    first = index.agg(F.min("ord")).first()[0]
-    while True:
-        limit = index.agg(F.percentile_approx("ord", fraction, 10_000)).first()[0]
-        if limit <= first or pairs(index.where(F.col("ord") <= limit)) <= budget:
-            return max(limit, first)
-        fraction /= 2
+    return max(items.agg(F.percentile_approx("ord", rows / total, 10_000)).first()[0], first)
 
 
 def cluster(items: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
     """Leader of every item under the similarity rules: (ord, leader, fuzzy)."""
     sim = options.similarity
     features = materialize(item_features(items, sim), "features")
-    index = materialize(item_index(features, sim), "index")
+    index = item_index(features, sim)
+    orders = features.select("ord")
     budget = max(options.min_pair_budget, options.pairs_per_item * features.count())
+    rows = max(min(int((2 * budget) ** 0.5), FIRST_BATCH_ROWS), 1)
     links = None
-    open_index = index
+    members, open_items = index.members, orders
     while True:
-        limit = _batch_limit(open_index, budget)
-        batch = open_index if limit is None else open_index.where(F.col("ord") <= limit)
-        edges = matching_items(candidate_items(batch, batch, sim), features, sim)
-        inside = materialize(settle_leaders(edges), "links")
+        limit = _batch_limit(open_items, rows)
+        batch = members if limit is None else members.where(F.col("ord") <= limit)
+        inside = materialize(settle_leaders(linked_items(index, sim, batch)), "links")
         links = inside if links is None else links.unionByName(inside)
         if limit is None:
             break
         leaders = batch.join(inside, "ord", "left_anti")
-        rest = open_index.where(F.col("ord") > limit)
-        hits = matching_items(candidate_items(leaders, rest, sim), features, sim)
+        rest = members.where(F.col("ord") > limit)
+        hits = linked_items(index, sim, leaders, rest)
         probed = materialize(hits.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("leader")), "links")
         links = links.unionByName(probed)
-        open_index = materialize(rest.join(probed, "ord", "left_anti"), "index")
-        if _empty(open_index):
+        members = materialize(rest.join(probed, "ord", "left_anti"), "members")
+        open_items = open_items.where(F.col("ord") > limit).join(probed, "ord", "left_anti")
+        rows *= BATCH_GROWTH
+        if _empty(members):
             break
     return (
-        features.select("ord")
-        .join(links, "ord", "left")
+        orders.join(links, "ord", "left")
         .select("ord", F.coalesce("leader", "ord").alias("leader"), F.col("leader").isNotNull().alias("fuzzy"))
     )
 

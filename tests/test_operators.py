@@ -275,6 +275,37 @@ def test_model_failures_fall_back_to_rules(spark, report):
     assert done.fresh.isEmpty()
 
 
+def test_sets_that_many_items_share_are_compared_once(spark):
+    """Copies of a title are one set, so the blocks and the exact check see three sets of 302 items, and every edge is found."""
+    title = "solid state cells reach the market in spring"
+    rows = [(i, title, None, None) for i in range(300)] + [(300, title + " soon", None, None), (301, "an unrelated line of words", None, None)]
+    items = spark.createDataFrame(rows, "ord long, title string, snippet string, published_at timestamp")
+    options = pairs.SimilarityOptions()
+    index = pairs.item_index(pairs.item_features(items, options), options)
+    assert index.sets.where("fam = 0").count() == 3
+    found = {(r.a, r.b): r for r in pairs.linked_items(index, options).collect()}
+    assert set(found) == {(a, b) for a in range(301) for b in range(a + 1, 301)}
+    assert all(r.by_title and (r.title_similarity == 1.0) == (r.b < 300) for r in found.values())
+
+
+def test_packed_signatures_are_those_of_the_expression(spark):
+    """A signature of many words folds to the one that Spark's expression gives."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(0, i, [rng.getrandbits(62) - 2**61 for _ in range(n)]) for i, n in enumerate((1, 60, 400))], "fam int, sid long, set array<bigint>")
+    packed = {r.sid: r for r in pairs.signed(df, {0: 0.33}).collect()}
+    plain = df.select("sid", F.explode("set").alias("h")).groupBy("sid").agg(*pairs._signature(F.col("h")))
+    for r in plain.collect():
+        words = [int.from_bytes(packed[r.sid].sig[8 * i : 8 * i + 8], "little") for i in range(packed[r.sid].words)]
+        width = min(len(words), pairs.SIGNATURE_WORDS)
+        want = [0] * width
+        for i in range(pairs.SIGNATURE_WORDS):
+            want[i % width] ^= r[f"s{i}"] % 2**64
+        got = [0] * width
+        for i, w in enumerate(words):
+            got[i % width] ^= w
+        assert got == want
+
+
 def test_signatures_never_rule_out_a_similar_pair(spark):
     """Differing signature bits are at most the shingles of only one set, and pairs far apart differ in many."""
     rng = random.Random(12)
