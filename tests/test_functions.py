@@ -274,3 +274,35 @@ def test_topic_lists_of_unknown_layout(spark):
                 for have, one in ((got.title, row.get("title")), (got.id, row.get("id"))):
                     assert have == one if one is None or isinstance(one, str) else json.loads(have) == one  # nested values stay JSON
     assert hits > 60
+
+
+def test_text_passes_read_a_text_once(spark):
+    ws = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+    odd = [
+        "", " ", "a", " a", "a ", "a  b", "a\tb", "a \n b\n", "a\x85", "a \x85", "\x85a", "a\u00a0\u00a0b", "\ufeffx \u2028", "\x00a\x1f \x7fb\x9f", "A--b  c1",
+        "caf\u00e9 \u0e44\u0e17\u0e22, 1\u00bd _x_", "a<b>c</b> d", "x &amp; y&#10;z", "e\u0301 \U0001f600 q", "\n", "- -", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in odd], "c string")
+    c = F.col("c")
+    two_passes = lambda x: F.trim(F.regexp_replace(x, f"{ws}+", " "))
+    rows = df.select(
+        text.collapse_whitespace(c), two_passes(c),
+        text.trim_ws(c), F.regexp_replace(c, f"^{ws}+|{ws}+$", ""),
+        text.strip_html(c), F.coalesce(two_passes(text.remove_control_chars(text.decode_entities(text._without_tags(c)))), F.lit("")),
+        text.spaced_words(c), two_passes(text.normalize_words(c)),
+    ).collect()
+    for row in rows:
+        assert tuple(row[::2]) == tuple(row[1::2])
+    hashed = df.select(hashing.content_hash(F.lit("t"), c).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert hashed.count("regexp_replace") == 1  # the title is folded
+
+
+def test_terms_start_the_search(spark):
+    hays = ["", "is", "this is", "this", "xis isx is-", "is\n", "\u00e9is", "c++ a", "ac++", "c++", "of the", "of  the", "often of thee of the", "isis", "aais is", None]
+    terms = ["is", "c++", "of the", "++", "s", "isis", "\u00e9i"]
+    df = spark.createDataFrame([(h,) for h in hays], "c string")
+    edge = lambda t: F.col("c").rlike(f"(^|[^a-z0-9]){text.regex_quote(t)}([^a-z0-9]|$)") if text.is_latin_term(t) else F.col("c").contains(t)
+    for row in df.select(*[x for t in terms for x in (text.contains_term(F.col("c"), t), edge(t))]).collect():
+        assert tuple(row[::2]) == tuple(row[1::2])
+    plan = df.select(text.contains_any(F.col("c"), ["is", "of the"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(^|" not in plan
