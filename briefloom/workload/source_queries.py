@@ -56,7 +56,7 @@ def feed_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_raw_items(spark: SparkSession, sf: str) -> DataFrame:
     """Feed entries to raw items with the attributes of their source, and as entries of a search feed."""
-    entries = feeds.feed_entries(_feed_documents(spark, sf))
+    entries = materialize(feeds.feed_entries(_feed_documents(spark, sf)), "entries")  # read twice, parsed once
     docs = document_items(spark, sf)
     sources = docs.groupBy("source_id").agg(F.first("source_name").alias("source_name"), F.first("source_tier").alias("source_tier")).withColumn(
         "unverified", F.when(F.col("source_tier") == 3, True)

@@ -13,6 +13,7 @@ from briefloom.operators import dedup, lexicon, pairs, quality, queries, ranges,
 from briefloom.plans.briefing import briefing
 from briefloom.plans.daily import collect_preview, collect_funnel, index_entry, run_daily
 from briefloom.schemas import RAW_ITEM
+from briefloom.workload import source_queries
 from briefloom.workload.inputs import dedup_items
 
 NOW = datetime(2026, 7, 21, 12)
@@ -495,3 +496,8 @@ def test_merging_with_an_address_of_half_of_all_rows(spark):
             by_link[link] = i
     df = spark.createDataFrame(rows, "ord long, id string, date date, content_hash string, canonical_url string").repartition(5)
     assert {r["ord"]: r["first_ord"] for r in ranges.merge_heads(df).collect()} == heads
+
+
+def test_feed_entries_are_parsed_once(spark, sf):
+    plan = source_queries.feed_raw_items(spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "from_xml" not in plan.lower() and "xmltostructs" not in plan.lower()
