@@ -13,7 +13,7 @@ from briefloom.operators import dedup, lexicon, pairs, quality, queries, ranges,
 from briefloom.plans.briefing import briefing
 from briefloom.plans.daily import collect_preview, collect_funnel, index_entry, run_daily
 from briefloom.schemas import RAW_ITEM
-from briefloom.workload import source_queries
+from briefloom.workload import item_queries, source_queries
 from briefloom.workload.inputs import dedup_items
 
 NOW = datetime(2026, 7, 21, 12)
@@ -501,3 +501,9 @@ def test_merging_with_an_address_of_half_of_all_rows(spark):
 def test_feed_entries_are_parsed_once(spark, sf):
     plan = source_queries.feed_raw_items(spark, sf)._jdf.queryExecution().analyzed().toString()
     assert "from_xml" not in plan.lower() and "xmltostructs" not in plan.lower()
+
+
+def test_enrichment_writes_fingerprints(spark, sf):
+    base, cache = item_queries._cached_items(spark, sf)
+    for df in (base, cache):
+        assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
