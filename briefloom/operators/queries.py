@@ -97,6 +97,11 @@ def queries_per_locale(queries: DataFrame, locales: DataFrame, n: int | None = N
 
 _WORD = "[a-z0-9]+"
 _BREAK = "[\\t\\n\\x0B\\f\\r]"
+# Both patterns look ahead first: what is a letter, a digit or a blank is passed over by one small class.
+#: Other characters from the first that is no white space.
+_WIDE = "(?![a-z0-9 \\t\\n\\x0B\\f\\r])[^a-z0-9]++"
+#: A single character that edges show as a space, other than the space.
+_EDGE = "(?![a-z0-9 ])(?s:.)"
 #: A word and its right neighbour, verbatim with all that stands between; found at the start of every word.
 _NEIGHBOURS = "(?<![a-z0-9])(?=([a-z0-9]+[^a-z0-9]+[a-z0-9]+))"
 
@@ -107,7 +112,7 @@ def _tagged(kind: str, texts: Column) -> Column:
 
 def _postings(hay: Column) -> Column:
     """All probes of a text: words, neighbouring words, and runs of one to three other characters."""
-    wide = F.regexp_extract_all(hay, F.lit("[^a-z0-9\\s][^a-z0-9]*"), F.lit(0))
+    wide = F.regexp_extract_all(hay, F.lit(_WIDE), F.lit(0))
     grams = F.flatten(
         F.transform(
             wide,
@@ -167,10 +172,11 @@ def match_terms(docs: DataFrame, terms: DataFrame, key: str, text: str, term: st
     candidates = materialize(salted_lookup(found, "probe", lists, key).select(key, F.explode("terms").alias("t")), "candidates")
     sure = candidates.where("t.whole").select(key, F.col(f"t.{term}").alias(term))
     per_doc = candidates.where("not t.whole").groupBy(key).agg(F.collect_set("t").alias("ts"))  # at most the terms that share a probe with the document
-    padded = F.concat(F.lit(" "), F.regexp_replace("hay", "[^a-z0-9]", " "), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.regexp_replace("hay", _EDGE, " "), F.lit(" "))
     checked = (
         hay.join(per_doc, key)
-        .select(key, "hay", padded.alias("edges"), F.explode("ts").alias("t"))
+        .withColumn("edges", padded)  # once per document, before its terms are unfolded
+        .select(key, "hay", "edges", F.explode("ts").alias("t"))
         .where(_occurs(F.col("hay"), F.col("edges"), F.col("t.needle"), F.col("t.latin")))
         .select(key, F.col(f"t.{term}").alias(term))
     )

@@ -507,3 +507,23 @@ def test_enrichment_writes_fingerprints(spark, sf):
     base, cache = item_queries._cached_items(spark, sf)
     for df in (base, cache):
         assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_are_made_once_per_document(spark):
+    docs = spark.createDataFrame([(1, "a (big) dog\nsat"), (2, "x-y \u00e9\U0001f600 z"), (3, None)], "doc_id bigint, text string")
+    terms = spark.createDataFrame([("big) dog sat",), ("(big) dog",), ("a (big",), ("y \u00e9\U0001f600",), ("\U0001f600 z",), ("dog\nsat",)], "term string")
+    found = queries.match_terms(docs, terms, "doc_id", "text")
+    assert {tuple(r) for r in found.collect()} == {(1, "(big) dog"), (1, "a (big"), (2, "y \u00e9\U0001f600"), (2, "\U0001f600 z"), (1, "dog\nsat")}
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().rsplit("Generate explode(ts", 1)
+    # Below the step that unfolds the terms of a document: there it runs once per document.
+    assert f"{queries._EDGE}" in below
+
+    odd = ["", "a b", "\u00e9 a,b;;c", ";\n;", " ;x", "\t;\x00\x1f", "\U0001f600\u0e44 z", "\x85-\u00a0q", None]
+    df = spark.createDataFrame([(t,) for t in odd], "c string")
+    c = F.col("c")
+    rows = df.select(
+        F.regexp_extract_all(c, F.lit(queries._WIDE), F.lit(0)), F.regexp_extract_all(c, F.lit("[^a-z0-9\\s][^a-z0-9]*"), F.lit(0)),
+        F.regexp_replace(c, queries._EDGE, " "), F.regexp_replace(c, "[^a-z0-9]", " "),
+    ).collect()
+    for row in rows:
+        assert tuple(row[::2]) == tuple(row[1::2])
