@@ -101,6 +101,48 @@ def merge_heads(items: DataFrame) -> DataFrame:
     return state.select("ord", F.col("head").alias("first_ord"))
 
 
+def _story_keys() -> list[Column]:
+    """The key that stands for an item, and the key of its URL."""
+    digest, url = F.nullif("content_hash", F.lit("")), F.nullif("canonical_url", F.lit(""))
+    link = F.concat(F.lit("u:"), url)
+    key = F.coalesce(F.concat(F.lit("h:"), digest), link, F.concat(F.lit("i:"), F.col("id")), _order_key())
+    return [key.alias("key"), link.alias("other")]
+
+
+def _order_key() -> Column:
+    return F.concat(F.lit("o:"), F.col("ord").cast("string"))
+
+
+def _linked_keys(keyed: DataFrame) -> DataFrame:
+    """Smallest key of the group of every key that is linked to others: (node, root). ``keyed``: (ord, key, other).
+
+    Keys are linked where they share an ``other`` key, or an ``ord`` that came several times.
+    """
+    code = F.xxhash64("key")
+    repeated = keyed.groupBy("ord").agg(F.min(code).alias("low"), F.max(code).alias("high")).where("low <> high").select("ord")
+    repeated = materialize(repeated, "repeated")
+    shared = keyed.where(F.col("other").isNotNull()).select("key", "other")
+    shared = shared.unionByName(keyed.join(repeated, "ord", "left_semi").select("key", _order_key().alias("other")))
+    pairs = materialize(shared.distinct(), "keys")
+    least = pairs.groupBy("other").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("other", "a")
+    links = salted_lookup(pairs, "other", least, "key").where(F.col("a") < F.col("key")).select("a", F.col("key").alias("b"))
+    return connected(links)
+
+
+def _closed_groups(items: DataFrame, rank: Column) -> DataFrame:
+    """The groups of ``merge_groups`` with their best rank and all their dates: (first_ord, best, dates).
+
+    Items are gathered by one key each before the keys are linked, so the rounds of linking see keys, and no item
+    travels to its group.
+    """
+    placed = items.where(F.col("ord").isNotNull())
+    kept = placed.groupBy(_story_keys()[0]).agg(F.min(rank).alias("best"), F.min("ord").alias("first_ord"), F.collect_set("date").alias("dates"))
+    roots = _linked_keys(placed.select("ord", *_story_keys())).withColumnRenamed("node", "key")
+    # Dates travel one by one: the lists of all keys of a group would have no bound.
+    rooted = kept.join(roots, "key", "left").select(F.coalesce("root", "key").alias("root"), "best", "first_ord", F.explode_outer("dates").alias("date"))
+    return rooted.groupBy("root").agg(F.min("best").alias("best"), F.min("first_ord").alias("first_ord"), F.collect_set("date").alias("dates"))
+
+
 def merge_items(items: DataFrame, closure: bool = False) -> DataFrame:
     """One row per story over several days (E4): the best copy and all its report dates.
 
@@ -112,12 +154,10 @@ def merge_items(items: DataFrame, closure: bool = False) -> DataFrame:
     tier = F.coalesce(F.nullif("source_tier", F.lit(0)), F.lit(9))
     weaker = -F.abs(F.coalesce("impact_score", F.lit(0)))
     rank = F.struct(tier.alias("tier"), weaker.alias("weaker"), F.col("ord").alias("ord"))
-    groups = (
-        items.join(merge_groups(items) if closure else merge_heads(items), "ord")
-        .groupBy("first_ord")
-        .agg(
-            F.min(rank).getField("ord").alias("ord"),
-            F.sort_array(F.collect_set("date"), asc=False).alias("report_dates"),  # bounded by the days in range
-        )
-    )
-    return items.join(groups, "ord")
+    if closure:
+        groups = _closed_groups(items, rank)
+    else:
+        dates = F.collect_set("date").alias("dates")  # bounded by the days in range
+        groups = items.join(merge_heads(items), "ord").groupBy("first_ord").agg(F.min(rank).alias("best"), dates)
+    stories = groups.select("first_ord", F.col("best.ord").alias("ord"), F.sort_array("dates", asc=False).alias("report_dates"))
+    return items.join(materialize(stories, "stories") if closure else stories, "ord")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+import random
+from datetime import date, timedelta
 from types import SimpleNamespace
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from briefloom.operators import ranges
 from briefloom.streaming.cache_state import _Cache
 from briefloom.workload import report_queries
 
@@ -46,3 +48,37 @@ def test_a_batch_of_events_may_have_several_files(spark, sf, monkeypatch):
     monkeypatch.setattr(report_queries, "FILE_EVENTS", 10**9)
     assert files > 4 and files % 4 == 0
     assert got == {(r.content_hash, r.event_id) for r in report_queries.stream_expiry(spark, sf).collect()}
+
+
+ITEMS = "ord bigint, date date, id string, content_hash string, canonical_url string, source_tier int, impact_score int"
+
+
+def test_linking_of_stories_sees_keys_and_not_items(spark, monkeypatch):
+    links = []
+    connected = ranges.connected
+    monkeypatch.setattr(ranges, "connected", lambda df: links.append(df.count()) or connected(df))
+    day = date(2026, 7, 1)
+    # 300 items with three fingerprints; each URL comes twice, and one of them ties the first two fingerprints.
+    rows = [(i, day + timedelta(i % 3), f"i{i}", f"h{i % 3}", f"u{i // 6}-{i % 3}", 2, 1) for i in range(300)] + [(300, day, "x", "h1", "u0-0", 1, 1)]
+    got = ranges.merge_items(spark.createDataFrame(rows, ITEMS), closure=True).collect()
+    assert links == [1]
+    assert {(r.first_ord, r.ord, len(r.report_dates)) for r in got} == {(0, 300, 2), (2, 2, 1)}
+
+
+def test_stories_of_odd_items_are_those_of_their_groups(spark):
+    rng = random.Random(5)
+    pick = lambda name, n: rng.choice([None, "", name]) if rng.random() < 0.3 else f"{name}{rng.randrange(n)}"
+    pick_order = lambda: rng.choice([None, *range(1500)])
+    rows = [
+        # Repeated and missing orders, missing and empty keys, repeated rows.
+        (pick_order(), date(2026, 7, rng.randint(1, 5)), pick("i", 200), pick("h", 250), pick("u", 250), rng.choice([None, 0, 1, 2]), rng.randint(-3, 3))
+        for _ in range(200)
+    ]
+    items = spark.createDataFrame(rows + rows[:20], ITEMS)
+    groups = {}
+    for r in items.join(ranges.merge_groups(items), "ord").collect():
+        groups.setdefault(r.first_ord, []).append((r.source_tier or 9, -abs(r.impact_score), r.ord, r.date))
+    want = {(first, min(g)[2], tuple(sorted({d for *_, d in g}, reverse=True))) for first, g in groups.items()}
+    got = ranges.merge_items(items, closure=True).collect()
+    assert len(want) > 5 and {(r.first_ord, r.ord, tuple(r.report_dates)) for r in got} == want
+    assert len(got) == sum(r[0] in {w[1] for w in want} for r in rows + rows[:20])
