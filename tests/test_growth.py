@@ -6,11 +6,12 @@ import random
 from datetime import date, timedelta
 from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefloom.operators import ranges
+from briefloom.operators import pairs, ranges
 from briefloom.streaming.cache_state import _Cache
 from briefloom.workload import report_queries
 
@@ -82,3 +83,37 @@ def test_stories_of_odd_items_are_those_of_their_groups(spark):
     got = ranges.merge_items(items, closure=True).collect()
     assert len(want) > 5 and {(r.first_ord, r.ord, tuple(r.report_dates)) for r in got} == want
     assert len(got) == sum(r[0] in {w[1] for w in want} for r in rows + rows[:20])
+
+
+def test_a_set_travels_once_to_all_its_candidates_of_two_blocks(spark, monkeypatch):
+    def seen():
+        def count(asked: pa.Table, held: pa.Table) -> pa.Table:
+            rows = [held.num_rows] * asked.num_rows
+            return pa.table({**{c: asked.column(c) for c in ("fam", "x", "y")}, "shared": [1] * len(rows), "nx": rows, "ny": rows})
+
+        return count
+
+    monkeypatch.setattr(pairs, "_counting", seen)
+    sets = spark.createDataFrame([(0, i, list(range(i, i + 50))) for i in range(40)], "fam int, sid bigint, set array<bigint>")
+    asked = spark.createDataFrame([(0, x, y, 7) for x in range(40) for y in range(x)], "fam int, x bigint, y bigint, meet bigint")
+    got = {r.similarity for r in pairs.checked_sets(asked, sets, {0: 0.0}).collect()}
+    assert got == {1 / (40 + 40 - 1)}
+
+
+def test_the_exact_check_in_parts_finds_what_all_pairs_give(spark, monkeypatch):
+    for name, value in (("BATCH_PAIRS", 5), ("PART_PAIRS", 10), ("BLOCK_ROWS", 8), ("CHECK_ROWS", 3), ("WORD_SHINGLES", 2)):
+        monkeypatch.setattr(pairs, name, value)
+    rng = random.Random(3)
+    base = [frozenset(rng.sample(range(400), rng.choice([5, 30, 90]))) for _ in range(6)]
+    rows = [(i, sorted(rng.choice(base) - {rng.randrange(400) for _ in range(rng.randrange(60))})) for i in range(70)]
+    rows += rows[:3]  # a key that comes twice, with its set
+    df = spark.createDataFrame(rows, "ord bigint, set array<bigint>")
+    got = pairs.similar_pairs(df, "ord", F.col("set").cast("array<string>"), 0.6).where("similarity < 1").collect()
+    by_key = {}
+    for key, members in rows:
+        by_key.setdefault(frozenset(members), key)
+    want = {
+        (min(a, b), max(a, b)): len(s & t) / len(s | t)
+        for s, a in by_key.items() for t, b in by_key.items() if s and t and a < b and len(s & t) / len(s | t) >= 0.6
+    }
+    assert len(want) > 30 and {(r.a, r.b): r.similarity for r in got} == want
