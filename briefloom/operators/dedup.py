@@ -17,6 +17,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from briefloom.session import materialize, with_scalars
 FIRST_BATCH_ROWS = 4_000
 #: Rows of a batch by those of the batch before. Large groups have met their leaders by then.
 BATCH_GROWTH = 4
+#: Edges that one task settles by itself.
+SETTLED_AT_ONCE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -107,7 +111,7 @@ def first_by(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
 def exact_groups(df: DataFrame, url: str = "canonical_url", digest: str = "content_hash") -> DataFrame:
     """Root of every row (D1, D2): the earliest row it reaches over equal URLs or equal fingerprints."""
     rows = df.select("ord", F.col(url).alias("canonical_url"), F.col(digest).alias("content_hash"), F.col("ord").cast("string").alias("id"))
-    return merge_groups(rows).withColumnRenamed("first_ord", "root")
+    return merge_groups(materialize(rows, "fingerprints")).withColumnRenamed("first_ord", "root")
 
 
 def _empty(df: DataFrame) -> bool:
@@ -118,12 +122,17 @@ def settle_leaders(edges: DataFrame) -> DataFrame:
     """Followers among the nodes of ``edges(a, b)``, a before b, each with its earliest leader.
 
     Each round makes leaders of all nodes without an undecided earlier neighbour and followers
-    of their later neighbours, then drops every edge of a decided node.
+    of their later neighbours, then drops every edge of a decided node. The rounds end when the
+    edges that are left fit one task, which goes through them in order.
     """
     edges = materialize(edges.select("a", "b"), "edges")
     followers = None
     undecided = edges
-    while not _empty(undecided):
+    while (left := undecided.count()) > 0:
+        if left <= SETTLED_AT_ONCE:
+            new = materialize(_settled(undecided), "followers")
+            followers = new if followers is None else followers.unionByName(new)
+            break
         leaders = undecided.select(F.col("a").alias("node")).distinct().join(
             undecided.select(F.col("b").alias("node")).distinct(), "node", "left_anti"
         )
@@ -147,6 +156,24 @@ def settle_leaders(edges: DataFrame) -> DataFrame:
     )
 
 
+def _settled(edges: DataFrame) -> DataFrame:
+    """Followers among the nodes of ``edges(a, b)``, a before b, in one task: a node that is no follower when its turn comes leads."""
+
+    def settle(edges: pa.Table) -> pa.Table:
+        a, b = (edges.column(c).to_numpy() for c in ("a", "b"))
+        nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        order = np.argsort(places[: len(a)], kind="stable")
+        a, b = places[: len(a)][order], places[len(a) :][order]
+        follows = np.zeros(len(nodes), bool)
+        starts = np.flatnonzero(np.diff(a, prepend=-1)).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(a)]):
+            if not follows[a[start]]:
+                follows[b[start:stop]] = True
+        return pa.table({"node": nodes[follows]})
+
+    return edges.groupBy().applyInArrow(settle, f"node {edges.schema['a'].dataType.simpleString()}")
+
+
 def _batch_limit(items: DataFrame, rows: int) -> int | None:
     """Largest ``ord`` of a batch of about this many rows; None if all fit."""
     total, first = items.agg(F.count(F.lit(1)), F.min("ord")).first()
